@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import setjoin
+from . import bpe, fingerprint, setjoin, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_capture_index": warc.op1_warc,
+        "op2_oph_minhash_fingerprints": fingerprint.op2_fingerprints,
+        "op5_byte_bpe": bpe.op5_bpe,
         "op10_ngram_jaccard_join": setjoin.op10_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_capture_index": warc.ORACLE_OP1,
         "op10_ngram_jaccard_join": setjoin.ORACLE_OP10,
     }

@@ -41,7 +41,9 @@ _PARTS = 16
 #: Pivots a bucket offers in each round; None: all its members.
 PIVOTS = (1, 16, 256, None)
 
-_PROFILE = "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"
+_HIST = [f"h{k}" for k in range(_PARTS)]
+_PROFILE = "doc_id long, n long, k1 long, k2 long, chunk int, counts binary, " + ", ".join(f"{h} int" for h in _HIST)
+_PROFILE_NAMES = [x.split()[0] for x in _PROFILE.split(", ")]
 _POSTING = "token long, k1 long, k2 long, n int, pos int"
 
 
@@ -76,7 +78,7 @@ def _add_counts(into: np.ndarray, packed: bytes) -> None:
 
 
 def _profile(words: int):
-    """Set size and key of each document, then the task's shingle counts."""
+    """Set size, key and parts of each document, then the task's shingle counts."""
 
     def run(batches):
         counts = np.zeros(1 << CELL_BITS, dtype=np.uint32)
@@ -84,11 +86,13 @@ def _profile(words: int):
             ids = batch.column(0)
             n = np.zeros(len(ids), np.int64)
             k1, k2 = n.copy(), n.copy()
+            parts = np.zeros((len(ids), _PARTS), np.int32)
             pending, held = [], 0
             for row, s in distinct_sets(batch.column(1), words):
                 n[row] = len(s)
                 if len(s):
                     k1[row], k2[row] = _set_key(s)
+                    parts[row] = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=_PARTS)
                     pending.append(s >> np.uint64(64 - CELL_BITS))
                     held += len(s)
                 if held > 1 << 19:
@@ -97,12 +101,13 @@ def _profile(words: int):
             if pending:
                 np.add.at(counts, np.concatenate(pending).astype(np.int64), 1)
             empty = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(k1), pa.array(k2), *empty], names=["doc_id", "n", "k1", "k2", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(k1), pa.array(k2), *empty, *(pa.array(parts[:, k]) for k in range(_PARTS))], names=_PROFILE_NAMES)
         packed = _pack_counts(counts)
         for lo in range(0, len(packed), 16):
             some = packed[lo : lo + 16]
             none = [pa.nulls(len(some), pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([*none, pa.array([c for c, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())], names=["doc_id", "n", "k1", "k2", "chunk", "counts"])
+            packed_cols = [pa.array([c for c, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, *packed_cols, *[pa.nulls(len(some), pa.int32())] * _PARTS], names=_PROFILE_NAMES)
 
     return run
 
@@ -179,12 +184,8 @@ def _prefixes(words: int, percent: int, rarity):
 def _whole_sets(words: int):
     def run(batches):
         for batch in batches:
-            ids, sets, parts = batch.column(0), [], []
-            for _, s in distinct_sets(batch.column(1), words):
-                sets.append(s.tobytes())
-                parts.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=_PARTS))
-            parts = np.array(parts).reshape(-1, _PARTS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary()), *(pa.array(parts[:, k]) for k in range(_PARTS))], names=["rep", "shingles", *(f"h{k}" for k in range(_PARTS))])
+            sets = [s.tobytes() for _, s in distinct_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
     return run
 
@@ -240,19 +241,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     post = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(words, percent, rarity), _POSTING)
     # a bucket counts if it holds different sets; the least k1 is its leader
     shared = post.groupBy("token").agg(F.min("k1").alias("lead"), F.max("k1").alias("k1x"), F.min("k2").alias("k2m"), F.max("k2").alias("k2x"))
-    shared = shared.where("lead <> k1x OR k2m <> k2x").select("token", "lead")
-    found = post.join(shared, "token").select("token", "k1", "k2", "n", "pos", "lead").distinct()
+    shared = materialize(shared.where("lead <> k1x OR k2m <> k2x").select("token", "lead"), "setjoin-shared")
+    found = post.join(bounded_broadcast(shared, shared.count()), "token").select("token", "k1", "k2", "n", "pos", "lead").distinct()
     members = materialize(found.join(reps, ["k1", "k2"]).select("token", "rep", "n", "pos", "k1", "lead"), "setjoin-members")
+    discard(shared)
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    count = involved.count()
-    comp = None
-    if count:
-        need = docs.where("doc_id IS NOT NULL").join(bounded_broadcast(involved, count), "doc_id", "left_semi")
-        schema = "rep long, shingles binary, " + ", ".join(f"h{k} int" for k in range(_PARTS))
-        sets = materialize(need.select("doc_id", "text").mapInArrow(_whole_sets(words), schema), "setjoin-sets")
-        comp = _link(members, sets, percent)
-        discard(sets)
-    discard(members)
+    hist = prof.where("chunk IS NULL").select(F.col("doc_id").alias("rep"), *_HIST).dropDuplicates(["rep"])
+    hist = materialize(hist.join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "setjoin-parts")
+    comp = _link(docs.where("doc_id IS NOT NULL"), members, hist, words, percent)
+    discard(members, hist)
 
     named = sizes.join(reps, ["k1", "k2"], "left")
     if comp is not None:
@@ -263,10 +260,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(linked, F.col("doc_id")).alias("component_id"))
 
 
-def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def _link(docs: DataFrame, members: DataFrame, hist: DataFrame, words: int, percent: int) -> DataFrame | None:
     """(node, component) of the sets that links connect; None without a link."""
-    hist = sets.drop("shingles").dropDuplicates(["rep"])
-    full = sets.select("rep", "shingles")
     comp: DataFrame | None = None
     links: list[DataFrame] = []
     for width in PIVOTS:
@@ -293,8 +288,14 @@ def _link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None
         cols = ["token", "rep", "n", "pos", "comp", *(f"h{k}" for k in range(_PARTS))]
         probe = state.where(F.col("comp") != F.col("main")).select(*cols)
         pairs = _pairs(probe, state.where(chosen).select(*cols), percent)
-        sized = pairs.join(full.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+        pairs = materialize(pairs, "setjoin-pairs")
+        # whole sets only of the documents that a pair needs
+        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = docs.join(bounded_broadcast(ends, ends.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets(words), "rep long, shingles binary")
+        sets = materialize(sets, "setjoin-sets")
+        sized = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         new = materialize(sized.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "setjoin-links")
+        discard(pairs, sets)
         discard(open_)
         links.append(new)
         grown = new.count()
