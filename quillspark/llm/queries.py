@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, setjoin, warc
+from . import bpe, fingerprint, gif, mixing, packing, pii, quality, setjoin, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_capture_index": warc.op1_warc,
         "op2_oph_minhash_fingerprints": fingerprint.op2_fingerprints,
+        "op3_entropy_mixing": mixing.op3_mixing,
+        "op4_pii_boosting": pii.op4_pii,
         "op5_byte_bpe": bpe.op5_bpe,
+        "op6_gif_media": gif.op6_gif,
+        "op7_token_packing": packing.op7_packing,
+        "op8_quality_rules": quality.op8_quality,
+        "op9_toxicity_mil": toxicity.op9_toxicity,
         "op10_ngram_jaccard_join": setjoin.op10_jaccard,
     }
 

@@ -4,7 +4,8 @@ Plan, for documents as sets of word shingles and a similarity of ``percent`` / 1
 
 1. One pass over the texts gives each document its set size and a 128-bit key of
    its set (equal sets are one node from here on, however many copies there are)
-   and counts shingles in a fixed table of ``2**CELL_BITS`` cells.
+   and counts shingles in a table of cells, about one for every two shingles of the
+   corpus but at most ``2**MOST_BITS``.
 2. The order of shingles is (binary logarithm of the cell's count, hash): rare
    first. It is one total order for all documents, so a link cannot hide: two
    sets that reach the similarity share a shingle of their prefixes. A coarse
@@ -34,8 +35,9 @@ from .components import connected_components
 from .vector import distinct_sets, mix
 from .workspace import bounded_broadcast, discard, materialize
 
-#: Cells of the count table: 4 Mi counts of two bytes, whatever the corpus.
-CELL_BITS = 22
+#: Cells of the count table, as powers of two. Levels take half a byte a cell, so
+#: what is broadcast is 32 MiB at most; a fuller table orders less sharply.
+LEAST_BITS, MOST_BITS = 20, 26
 _CHUNK = 1 << 16
 _PARTS = 16
 #: Pivots a bucket offers in each round; None: all its members.
@@ -55,33 +57,44 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 
 def _pack_counts(counts: np.ndarray) -> list[tuple[int, bytes]]:
-    """The non-empty chunks of a count table; sparse ones as places and counts."""
+    """The non-empty chunks of a count table: a byte of gap for each cell in use, then the counts above 1."""
     out = []
     for k in range(0, len(counts), _CHUNK):
-        part = np.minimum(counts[k : k + _CHUNK], 65535).astype(np.uint16)
+        part = counts[k : k + _CHUNK]
         at = np.flatnonzero(part)
-        if len(at) * 8 < _CHUNK:
-            if len(at):
-                out.append((k // _CHUNK, b"s" + at.astype(np.uint16).tobytes() + part[at].tobytes()))
-        else:
-            out.append((k // _CHUNK, b"d" + part.tobytes()))
+        if len(at):
+            gap = np.diff(at, prepend=-1) - 1
+            skip = gap // 255
+            body = np.full(len(at) + int(skip.sum()), 255, np.uint8)
+            body[np.cumsum(skip + 1) - 1] = gap % 255
+            more = np.flatnonzero(part[at] > 1)
+            out.append((k // _CHUNK, np.uint32(len(body)).tobytes() + body.tobytes() + more.astype(np.uint16).tobytes() + part[at][more].tobytes()))
     return out
 
 
 def _add_counts(into: np.ndarray, packed: bytes) -> None:
-    body = np.frombuffer(packed, dtype=np.uint16, offset=1)
-    if packed[:1] == b"s":
-        at, c = np.split(body, 2)
-        into[at] += c
-    else:
-        into += body
+    n = int(np.frombuffer(packed, np.uint32, 1)[0])
+    body = np.frombuffer(packed, np.uint8, n, 4).astype(np.int64)
+    at = (np.cumsum(np.where(body == 255, 255, body + 1)) - 1)[body < 255]
+    rest = len(packed) - 4 - n
+    more = np.frombuffer(packed, np.uint16, rest // 3, 4 + n)
+    c = np.ones(len(at), np.int64)
+    c[more] = np.frombuffer(packed, np.uint8, rest // 3, 4 + n + 2 * (rest // 3))
+    into[at] += c
+
 
+def _count_cells(counts: np.ndarray, cells: list[np.ndarray]) -> None:
+    if cells:
+        u, c = np.unique(np.concatenate(cells), return_counts=True)
+        u = u.astype(np.int64)
+        counts[u] = np.minimum(counts[u] + c, 255).astype(np.uint8)
 
-def _profile(words: int):
+
+def _profile(words: int, bits: int):
     """Set size, key and parts of each document, then the task's shingle counts."""
 
     def run(batches):
-        counts = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+        counts = np.zeros(1 << bits, dtype=np.uint8)
         for batch in batches:
             ids = batch.column(0)
             n = np.zeros(len(ids), np.int64)
@@ -93,13 +106,12 @@ def _profile(words: int):
                 if len(s):
                     k1[row], k2[row] = _set_key(s)
                     parts[row] = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=_PARTS)
-                    pending.append(s >> np.uint64(64 - CELL_BITS))
+                    pending.append(s >> np.uint64(64 - bits))
                     held += len(s)
                 if held > 1 << 19:
-                    np.add.at(counts, np.concatenate(pending).astype(np.int64), 1)
+                    _count_cells(counts, pending)
                     pending, held = [], 0
-            if pending:
-                np.add.at(counts, np.concatenate(pending).astype(np.int64), 1)
+            _count_cells(counts, pending)
             empty = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(k1), pa.array(k2), *empty, *(pa.array(parts[:, k]) for k in range(_PARTS))], names=_PROFILE_NAMES)
         packed = _pack_counts(counts)
@@ -113,14 +125,14 @@ def _profile(words: int):
 
 
 def _sum_counts(batches):
-    """Adds up the counts of chunks that arrive grouped; one array of memory."""
+    """Adds up the counts of chunks that arrive grouped; gives their levels, two a byte."""
     now, total = None, None
 
     def done():
         level = np.zeros(_CHUNK, np.uint8)
         some = total > 0
-        level[some] = np.log2(total[some]).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "counts"])
+        level[some] = np.minimum(np.log2(total[some]).astype(np.uint8), 15)
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], names=["chunk", "counts"])
 
     for batch in batches:
         for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -133,22 +145,28 @@ def _sum_counts(batches):
         yield done()
 
 
-def _rarity(counts: DataFrame) -> np.ndarray:
-    """Binary logarithms of all cells' counts; 2**CELL_BITS bytes at the driver, at any scale."""
-    parts = max(1, min(counts.sparkSession.sparkContext.defaultParallelism, 1 << CELL_BITS >> 16))
+def _rarity(counts: DataFrame, bits: int) -> np.ndarray:
+    """Binary logarithms of all cells' counts, two a byte; 2**(MOST_BITS - 1) bytes at the driver at most."""
+    parts = max(1, min(counts.sparkSession.sparkContext.defaultParallelism, 1 << bits >> 16))
     summed = counts.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_counts, "chunk int, counts binary")
-    out = np.zeros(1 << CELL_BITS, np.uint8)
+    out = np.zeros(1 << (bits - 1), np.uint8)
+    half = _CHUNK // 2
     for chunk, level in summed.collect():
-        out[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(level, np.uint8)
+        out[chunk * half : (chunk + 1) * half] = np.frombuffer(level, np.uint8)
     return out
 
 
+def _levels(table: np.ndarray, s: np.ndarray, bits: int) -> np.ndarray:
+    cell = (s >> np.uint64(64 - bits)).astype(np.int64)
+    return (table[cell >> 1] >> ((cell & 1) << 2).astype(np.uint8)) & 15
+
+
 def needed_overlap(a: int, b: int, percent: int) -> int:
     """The least intersection of sets of these sizes with 100 * intersection >= percent * union."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _prefixes(words: int, percent: int, rarity):
+def _prefixes(words: int, percent: int, rarity, bits: int):
     """The prefix postings of each distinct set, once a task."""
 
     def run(batches):
@@ -167,7 +185,7 @@ def _prefixes(words: int, percent: int, rarity):
                     seen.clear()
                 seen.add(key)
                 size = n - -(-percent * n // 100) + 1
-                cls = level[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
+                cls = _levels(level, s, bits).astype(np.uint64)
                 # ties of the shortened hash keep the order of the whole hash
                 order = np.argsort((cls << np.uint64(58)) | (s >> np.uint64(6)), kind="stable")[:size]
                 out[0].append(s[order].view(np.int64))
@@ -233,16 +251,19 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prof = materialize(docs.mapInArrow(_profile(words), _PROFILE), "setjoin-profile")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # about six bytes a word, two shingles a cell
+    bits = min(max(int(size // 12).bit_length(), LEAST_BITS), MOST_BITS)
+    prof = materialize(docs.mapInArrow(_profile(words, bits), _PROFILE), "setjoin-profile")
     sizes = prof.where("chunk IS NULL").select("doc_id", "n", "k1", "k2")
-    rarity = spark.sparkContext.broadcast(_rarity(prof.where("chunk IS NOT NULL").select("chunk", "counts")))
+    rarity = spark.sparkContext.broadcast(_rarity(prof.where("chunk IS NOT NULL").select("chunk", "counts"), bits))
     reps = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
 
-    post = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(words, percent, rarity), _POSTING)
+    post = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(words, percent, rarity, bits), _POSTING)
     # a bucket counts if it holds different sets; the least k1 is its leader
     shared = post.groupBy("token").agg(F.min("k1").alias("lead"), F.max("k1").alias("k1x"), F.min("k2").alias("k2m"), F.max("k2").alias("k2x"))
     shared = materialize(shared.where("lead <> k1x OR k2m <> k2x").select("token", "lead"), "setjoin-shared")
-    found = post.join(bounded_broadcast(shared, shared.count()), "token").select("token", "k1", "k2", "n", "pos", "lead").distinct()
+    found = post.join(bounded_broadcast(shared, shared.count(), 1_000_000), "token").select("token", "k1", "k2", "n", "pos", "lead").distinct()
     members = materialize(found.join(reps, ["k1", "k2"]).select("token", "rep", "n", "pos", "k1", "lead"), "setjoin-members")
     discard(shared)
     involved = members.select(F.col("rep").alias("doc_id")).distinct()

@@ -73,12 +73,15 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         first = end
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each document the index of its first word (one more at the end)."""
+def word_bounds(data: np.ndarray, offs: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each document the index of its first word (one more at the end).
+
+    ``apart`` marks the bytes that separate words.
+    """
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~apart[data]
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offs] = True
     start = solid.copy()
@@ -90,6 +93,11 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Cumulative polynomial sums; :func:`span_hash` turns differences into hashes of spans."""
     pw = _power_tables(len(data) + 1)[0]
