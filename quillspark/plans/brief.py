@@ -1,0 +1,56 @@
+"""One run from stories to a validated report; phases are DataFrame plans, control stays at the driver."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import dedup, report, summaries, tagging
+
+OK, BAD_CONFIG, BAD_REPORT = 0, 1, 2
+
+
+@dataclass
+class Run:
+    """What a run needs: the time, places, rules and clients. Nothing is read from globals."""
+
+    now: datetime
+    folder: str
+    rules: tagging.TagRules
+    priority: list[str] = field(default_factory=list)
+    seeds: list[str] = field(default_factory=list)
+    batch_size: int = 3
+    parallel: int = 2
+    keep: int = 10
+
+
+def daily_brief(spark: SparkSession, run: Run, candidates: DataFrame, categories: DataFrame, client, weather: list[str], store) -> tuple[int, str, list[str]]:
+    """Deduplicates, enriches, tags, renders, writes and validates; (exit code, path, issues).
+
+    ``store`` writes a frame once and reads it back. What reaches the driver is the
+    finished report: a capped number of stories of each category.
+    """
+    stories = store(dedup.feed_dedup(candidates, categories, run.now))
+    done = store(summaries.summarize(stories, client, run.batch_size, run.parallel, store=store))
+    places = dedup.priority_order(categories, run.priority).select("category", "place")
+    tags = tagging.tag_array(F.col("title"), F.col("category"), run.rules)
+    w = Window.partitionBy("category").orderBy("k")
+    shown = places.join(done, "category", "left").select("place", "category", F.row_number().over(w).alias("n"), "title", "link", "summary", T.format_pub_date(F.col("pub_dt")).alias("pub_date"), tags.alias("tag_list"), tagging.tag_markup(F.col("title"), F.col("category"), run.rules).alias("tags"))
+    total, names = done.count(), done.agg(tagging.tag_union(tags, run.seeds)).first()[0]
+    body = [r["line"] for r in report.section_lines(shown).orderBy("place", "line_pos").collect()]
+    head = report.front_matter(run.now, total, places.count(), names or list(run.seeds))
+    path, _ = report.reserve(run.folder, run.now)
+    report.write_lines(path, [*head, "", f"# Daily Brief -- {run.now:%B %d, %Y}", *weather, *body])
+    report.remove_expired(run.folder, "DailyBrief-", run.keep)
+    passed, issues = report.validate_report(spark, path)
+    return (OK if passed else BAD_REPORT), path, issues
+
+
+def union_feeds(feeds: list[DataFrame]) -> DataFrame:
+    """All feeds in one frame; a feed that has no rows keeps its category's place in the categories table."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)
