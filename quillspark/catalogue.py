@@ -1,15 +1,605 @@
-"""All queries of the engine proper, with the SQL that checks them."""
+"""All queries of the engine proper over the shared tables, each with the DuckDB SQL that checks it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import lexicon
+from .functions import text as T
+from .operators import dedup, gate, lookup, report, summaries, tagging
+from .sources import feeds
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+NOW = datetime(2024, 1, 31)
+AGE, WINDOW, CAP, POOL = 24, 168, 5, 50
+
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; times without a zone are UTC, which is what the session's zone is set to."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+
+
+# ---------------------------------------------------------------- shared shapes
+def _stories(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as stories; their times are those of events."""
+    events = _read(spark, d, "events")
+    n = events.count()
+    docs = _read(spark, d, "documents")
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    s = docs.select(F.col("doc_id").alias("row_id"), F.col("source").alias("category"), "lang", title.alias("title"), F.col("text").alias("snippet"), ((F.col("doc_id") * 10) % n).alias("event_id"))
+    return s.join(events.select("event_id", F.col("ts").alias("pub_dt")), "event_id").drop("event_id").withColumn("norm", T.title_key(F.col("title")))
+
+
+def _categories(spark: SparkSession, d: str) -> DataFrame:
+    src = _read(spark, d, "documents").select(F.col("source").alias("category")).where("category IS NOT NULL").distinct()
+    return src.select("category", F.substring("category", 4, 9).cast("int").alias("cat_pos"), F.lit(AGE).alias("age_limit_h"), F.lit(WINDOW).alias("window_h"), F.lit(CAP).alias("cap"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What a user said as headline, the answer as summary."""
+    c = _read(spark, d, "conversations")
+    user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("title"))
+    answer = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("summary"))
+    return user.join(answer, ["conv_id", "turn"])
+
+
+_S = """stories AS (
+  SELECT d.doc_id AS row_id, d.source AS category, d.lang, split_part(d.text, chr(10), 1) AS title, d.text AS snippet, e.ts AS pub_dt,
+    lower(regexp_replace(split_part(d.text, chr(10), 1), '^\\s+|\\s+$', '', 'g')) AS norm,
+    (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(e.ts)) / 3600000000.0 AS age_h
+  FROM documents d JOIN events e ON e.event_id = (d.doc_id * 10) % (SELECT count(*) FROM events))"""
+_C = "cats AS (SELECT DISTINCT source AS category, CAST(substr(source, 4) AS INT) AS cat_pos FROM documents WHERE source IS NOT NULL)"
+_P = """pairs AS (
+  SELECT u.conv_id, u.turn, u.text AS title, a.text AS summary
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+
+def _any(column: str, phrases) -> str:
+    return "(" + " OR ".join("contains(lower({}), '{}')".format(column, p.replace("'", "''")) for p in phrases) + ")"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _collapse(x: str) -> str:
+    return _strip(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+
+
+def _sentences(x: str) -> str:
+    """Number of sentences of a text."""
+    return f"CASE WHEN {x} IS NULL OR {_strip(x)} = '' THEN 0 ELSE 1 + len(regexp_extract_all({_collapse(x)}, '[.!?]\\s+[A-Z0-9\"'']')) END"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join("'{}'".format(w.replace("'", "''")) for w in words) + "]"
+
+
+def _significant(x: str) -> str:
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-zA-Z'']+'), lambda w: len(w) > 3 AND NOT list_contains({_list(lexicon.TOPIC_STOP)}, w)))"
+
+
+_BAD = f"({_any('title', lexicon.OBITUARY)} OR {_any('title', lexicon.REAL_ESTATE)})"
+_DEDUP = f"""{_S}, {_C},
+c AS (SELECT s.*, k.cat_pos, CASE WHEN age_h IS NULL OR age_h <= {AGE} THEN 0 ELSE greatest(2, ceil(age_h / 24))::INT END AS band, {_BAD} AS bad
+  FROM stories s JOIN cats k USING (category)),
+r AS (SELECT *, row_number() OVER (PARTITION BY category, norm ORDER BY band, pub_dt DESC, row_id) AS rn,
+    bool_or(band = 0) OVER (PARTITION BY category, norm) AS in0 FROM c),
+e AS (SELECT *, (rn = 1 AND NOT bad) AS ok,
+    coalesce(sum(CASE WHEN rn = 1 AND NOT bad THEN 1 ELSE 0 END) OVER (PARTITION BY category ORDER BY band RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM r),
+q AS (SELECT *, (band = 0 OR (below < 3 AND band <= least({WINDOW // 24}, 7))) AS reached FROM e),
+acc AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY band, pub_dt DESC, row_id) AS k FROM q WHERE ok AND reached),
+capped AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY cat_pos, band, pub_dt DESC, row_id) AS x FROM acc WHERE k <= {CAP})"""
+
+
+# ---------------------------------------------------------------- deduplication
+@_query("feed_dedup", f"WITH {_DEDUP} SELECT category, row_id, title, band, k::INT AS k FROM capped WHERE x = 1")
+def _feed_dedup(spark, d):
+    out = dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP)
+    return out.select("category", "row_id", "title", "band", "k")
+
+
+@_query(
+    "feed_dedup_stats",
+    f"""WITH {_DEDUP} SELECT (SELECT count(*) FROM c) AS total_before, (SELECT count(*) FROM capped WHERE x = 1) AS total_after,
+  (SELECT count(*) FROM c WHERE age_h > {AGE}) AS age_filtered,
+  (SELECT count(*) FROM q WHERE reached AND rn > 1 AND (band = 0 OR in0 OR NOT bad)) AS dup_filtered,
+  (SELECT count(*) FROM capped WHERE x > 1) AS cross_dup_filtered""",
+)
+def _feed_dedup_stats(spark, d):
+    return dedup.feed_dedup_stats(_stories(spark, d), _categories(spark, d), NOW, CAP)
+
+
+@_query("age_filter", f"WITH {_S} SELECT row_id, round(age_h, 6) AS age_h FROM stories WHERE age_h IS NULL OR age_h <= 72")
+def _age_filter(spark, d):
+    s = _stories(spark, d).where(dedup.within_age(F.col("pub_dt"), 72, NOW))
+    return s.select("row_id", F.round(dedup.age_hours(F.col("pub_dt"), NOW), 6).alias("age_h"))
+
+
+@_query("title_dedup_per_category", f"WITH {_S} SELECT category, norm, min_by(row_id, {{'a': -epoch_us(pub_dt), 'b': row_id}}) AS row_id, count(*) AS copies FROM stories GROUP BY ALL")
+def _title_dedup_per_category(spark, d):
+    g = _stories(spark, d).groupBy("category", "norm")
+    return g.agg(F.min_by("row_id", F.struct((-F.unix_micros("pub_dt")).alias("a"), F.col("row_id").alias("b"))).alias("row_id"), F.count("*").alias("copies"))
+
+
+@_query("title_dedup_cross_category", f"WITH {_S}, {_C} SELECT norm, min_by(row_id, {{'a': cat_pos, 'b': row_id}}) AS row_id FROM stories JOIN cats USING (category) GROUP BY norm")
+def _title_dedup_cross_category(spark, d):
+    s = _stories(spark, d).join(_categories(spark, d).select("category", "cat_pos"), "category")
+    return s.groupBy("norm").agg(F.min_by("row_id", F.struct("cat_pos", "row_id")).alias("row_id"))
+
+
+@_query("category_cap", f"WITH {_S} SELECT category, row_id, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pub_dt DESC, row_id) AS k FROM stories) WHERE k <= {CAP}")
+def _category_cap(spark, d):
+    s = _stories(spark, d).withColumn("band", F.lit(0)).withColumn("cap", F.lit(CAP))
+    return dedup.capped(s, CAP).select("category", "row_id", "k")
+
+
+@_query(
+    "widen_category",
+    f"""WITH {_DEDUP}, n AS (SELECT category, band, count(*) AS n FROM e WHERE ok AND band <= 7 GROUP BY ALL),
+b AS (SELECT category, unnest([0, 2, 3, 4, 5, 6, 7]) AS band FROM cats),
+w AS (SELECT b.*, coalesce(sum(n) OVER (PARTITION BY category ORDER BY band ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM b LEFT JOIN n USING (category, band))
+SELECT category, band FROM w WHERE band = 0 OR below < 3""",
+)
+def _widen_category(spark, d):
+    cats = _categories(spark, d)
+    return dedup.reached_bands(dedup.leaders(dedup.with_bands(_stories(spark, d), cats, NOW)), cats)
+
+
+@_query("candidate_pool_topk", f"SELECT event_type AS category, event_id AS row_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= {POOL}")
+def _candidate_pool(spark, d):
+    e = _read(spark, d, "events").select(F.col("event_type").alias("category"), F.col("event_id").alias("row_id"), F.col("ts").alias("pub_dt"))
+    return dedup.pool(e, POOL).select("category", "row_id", "rank")
+
+
+_PRIORITY = ["src7", "src2", "nowhere", "src11"]
+
+
+@_query("category_priority_order", f"WITH {_C} SELECT category, row_number() OVER (ORDER BY coalesce(list_position({_list(_PRIORITY)}, category), 1000000000), cat_pos)::INT AS place FROM cats")
+def _priority(spark, d):
+    return dedup.priority_order(_categories(spark, d), _PRIORITY).select("category", "place")
+
+
+@_query("category_counts", f"WITH {_DEDUP} SELECT category, count(*) AS n FROM capped WHERE x = 1 GROUP BY category")
+def _category_counts(spark, d):
+    return dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@_query(
+    "category_config_enrich",
+    """SELECT doc_id, source, coalesce(age, 24) AS age_limit_h, coalesce(w, 24) AS window_h FROM documents
+LEFT JOIN (VALUES ('src3', 8, 72), ('src4', 48, 168)) v(s, age, w) ON s = source""",
+)
+def _enrich(spark, d):
+    dim = spark.createDataFrame([("src3", 8, 72), ("src4", 48, 168)], "source string, age int, w int")
+    j = _read(spark, d, "documents").select("doc_id", "source").join(F.broadcast(dim), "source", "left")
+    return j.select("doc_id", "source", F.coalesce("age", F.lit(AGE)).alias("age_limit_h"), F.coalesce("w", F.lit(24)).alias("window_h"))
+
+
+@_query("category_sections", "SELECT source AS category, count(*) AS n, list(doc_id ORDER BY doc_id)[1:20]::VARCHAR AS first_ids FROM documents GROUP BY source")
+def _sections(spark, d):
+    # the report shows the first twenty of each section: only they are gathered
+    from pyspark.sql import Window
+
+    docs = _read(spark, d, "documents").select(F.col("source").alias("category"), "doc_id")
+    w = Window.partitionBy("category").orderBy("doc_id")
+    first = docs.withColumn("k", F.row_number().over(w)).where("k <= 20").groupBy("category").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    count = docs.groupBy("category").agg(F.count("*").alias("n"))
+    text = F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ", "), F.lit("]"))
+    return count.join(first, "category").select("category", "n", text.alias("first_ids"))
+
+
+# ---------------------------------------------------------------- filters and text
+@_query("obituary_realestate_filter", f"WITH {_S} SELECT row_id, {_any('title', lexicon.OBITUARY)} AS obituary, {_any('title', lexicon.REAL_ESTATE)} AS real_estate FROM stories")
+def _obituary(spark, d):
+    return _stories(spark, d).select("row_id", T.is_obituary(F.col("title")).alias("obituary"), T.is_real_estate(F.col("title")).alias("real_estate"))
+
+
+_TAGLESS = _strip("regexp_replace(html, '<[^\\n]*?>', '', 'g')")
+
+
+@_query("strip_html_text", f"SELECT page_id, length(x) AS n, md5(x) AS digest FROM (SELECT page_id, {_TAGLESS} AS x FROM pages)")
+def _strip_html(spark, d):
+    x = _read(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("x"))
+    return x.select("page_id", F.length("x").cast("long").alias("n"), F.md5(F.col("x").cast("binary")).alias("digest"))
+
+
+@_query("html_extract")
+def _html_extract(spark, d):
+    return _read(spark, d, "pages").select("page_id", T.html_text()(F.col("html")).alias("context"))
+
+
+@_query("html_table_cells")
+def _html_cells(spark, d):
+    return feeds.html_tables(_read(spark, d, "pages"), "page_id")
+
+
+@_query(
+    "article_extract_skip",
+    """SELECT page_id, (trim(url) = '' OR starts_with(trim(url), '#') OR contains(url, 'news.google.com')) AS skipped FROM pages""",
+)
+def _skip(spark, d):
+    p = _read(spark, d, "pages")
+    return p.select("page_id", feeds.skip_article(F.lit("news"), F.lit("World"), F.col("url")).alias("skipped"))
+
+
+@_query("sentence_count", f"SELECT doc_id, ({_sentences('text')})::INT AS n FROM documents")
+def _sentence_count(spark, d):
+    return _read(spark, d, "documents").select("doc_id", T.sentence_count(F.col("text")).alias("n"))
+
+
+_TRIM = f"""WITH s AS (SELECT doc_id, {_strip("replace(" + _collapse("text") + ", '..', '.')")} AS s FROM documents),
+p AS (SELECT doc_id, s, list_filter(list_transform(string_split(regexp_replace(s, '([.!?])\\s+([A-Z0-9"''])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: len(x) > 0) AS p FROM s)
+SELECT doc_id, CASE WHEN len(p) >= 3 THEN array_to_string(p[1:3], ' ') ELSE s END AS summary FROM p"""
+
+
+@_query("sentence_trim", _TRIM)
+def _sentence_trim(spark, d):
+    return _read(spark, d, "documents").select("doc_id", T.sentence_trim(F.col("text")).alias("summary"))
+
+
+@_query(
+    "build_context",
+    f"""WITH {_S}, x AS (SELECT *, CASE WHEN lang = 'en' THEN NULL ELSE {_strip('snippet')} END AS c FROM stories)
+SELECT row_id, CASE WHEN len(c) >= 50 THEN substr(c, 1, 600) WHEN {_strip('snippet')} = '' AND {_strip('title')} = '' THEN category || ': ' || title
+  ELSE substr(array_to_string(list_filter([{_strip('substr(snippet, 1, 200)')}, {_strip('title')}], lambda v: len(v) > 0) || ['Category: ' || category], chr(10) || '---' || chr(10)), 1, 600) END AS context FROM x""",
+)
+def _context(spark, d):
+    s = _stories(spark, d)
+    own = F.when(F.col("lang") != "en", F.col("snippet"))
+    return s.select("row_id", T.build_context(own, F.substring("snippet", 1, 200), F.col("title"), F.col("category")).alias("context"))
+
+
+@_query(
+    "text_scalars",
+    f"""SELECT o_orderkey, CASE WHEN {_strip('o_orderpriority')} = '' OR o_orderpriority IS NULL THEN 'N/A' ELSE {_strip('o_orderpriority')} END AS safe,
+  CASE WHEN lower(o_orderstatus) IN ('none', 'n/a', 'na') THEN 'Unavailable' ELSE replace(o_orderstatus, '|', '&#124;') END AS present,
+  TRY_CAST(regexp_extract(replace(o_orderpriority, ' ', ''), '\\d+(\\.\\d+)?') AS DOUBLE) AS first_number,
+  TRY_CAST(regexp_extract(o_orderpriority, '^(\\d+(\\.\\d+)?)', 1) AS DOUBLE) AS percent,
+  CASE WHEN TRY_CAST(regexp_replace(o_orderpriority, '[^0-9.]', '', 'g') AS DOUBLE) BETWEEN -50 AND 140 THEN TRY_CAST(regexp_replace(o_orderpriority, '[^0-9.]', '', 'g') AS DOUBLE) END AS temperature,
+  strftime(o_orderdate, '%a') AS day FROM orders""",
+)
+def _scalars(spark, d):
+    p, o = F.col("o_orderpriority"), _read(spark, d, "orders")
+    return o.select("o_orderkey", T.safe_text(p).alias("safe"), T.present_value(F.col("o_orderstatus")).alias("present"), T.first_number(p).alias("first_number"), T.percent_value(p).alias("percent"), T.coerce_temperature(p).alias("temperature"), T.day_label(F.col("o_orderdate")).alias("day"))
+
+
+@_query("feed_dates", "SELECT event_id, date_trunc('second', ts) AS parsed, strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS shown FROM events")
+def _dates(spark, d):
+    # written as mail dates and read again; every third has an ISO form
+    e = _read(spark, d, "events").select("event_id", "ts")
+    mail = F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss Z")
+    raw = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(mail)
+    parsed = T.parse_feed_date(F.when(F.col("event_id") % 2 == 0, raw), raw)
+    return e.select("event_id", parsed.alias("parsed"), T.format_pub_date(F.date_trunc("second", "ts")).alias("shown"))
+
+
+@_query("significant_words_overlap", f"WITH {_P} SELECT conv_id, turn, len({_significant('title')})::INT AS n, coalesce(list_has_any({_significant('title')}, {_significant('summary')}), false) AS overlap FROM pairs")
+def _overlap(spark, d):
+    p = _pairs(spark, d)
+    return p.select("conv_id", "turn", F.size(T.significant_words(F.col("title"))).alias("n"), gate.topic_overlap(F.col("summary"), F.col("title")).alias("overlap"))
+
+
+@_query(
+    "word_containment",
+    f"""WITH {_P}, w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{Nd}}_]+'), lambda x: regexp_matches(x, '^[a-z]{{3,}}$'))) AS a,
+  list_distinct(list_filter(regexp_extract_all(lower(summary), '[\\p{{L}}\\p{{Nd}}_]+'), lambda x: regexp_matches(x, '^[a-z]{{3,}}$'))) AS b FROM pairs)
+SELECT conv_id, turn, round(len(list_intersect(a, b)) / nullif(len(a), 0), 6) AS share FROM w""",
+)
+def _containment(spark, d):
+    p = _pairs(spark, d)
+    a, b = T.keyword_tokens(F.col("title"), 3), T.keyword_tokens(F.col("summary"), 3)
+    return p.select("conv_id", "turn", F.round(T.containment(a, b), 6).alias("share"))
+
+
+# ---------------------------------------------------------------- gates
+_REASON = f"""CASE WHEN summary IS NULL OR {_strip('summary')} = '' THEN 'empty' WHEN {_any('summary', lexicon.REFUSAL)} THEN 'refusal' WHEN {_any('summary', lexicon.BOILERPLATE)} THEN 'boilerplate'
+  WHEN starts_with({_strip('summary')}, '[Auto]') OR starts_with({_strip('summary')}, '[Summary Unavailable]') THEN 'marker'
+  WHEN lower({_collapse('summary')}) = lower({_collapse("coalesce(title, '')")}) OR starts_with(lower({_collapse('summary')}), lower({_collapse("coalesce(title, '')")}) || '.') THEN 'echo'
+  WHEN ({_sentences('summary')}) < 2 THEN 'short' WHEN NOT coalesce(list_has_any({_significant('title')}, {_significant('summary')}), false) THEN 'off_topic' END"""
+
+
+@_query("summary_gate", f"WITH {_P} SELECT conv_id, turn, {_REASON} AS reason FROM pairs")
+def _gate(spark, d):
+    return _pairs(spark, d).select("conv_id", "turn", gate.gate_reason(F.col("summary"), F.col("title")).alias("reason"))
+
+
+@_query("refusal_boilerplate_flags", f"SELECT doc_id, {_any('text', lexicon.REFUSAL)} AS refusal, {_any('text', lexicon.BOILERPLATE)} AS boilerplate FROM documents")
+def _flags(spark, d):
+    return _read(spark, d, "documents").select("doc_id", gate.is_refusal(F.col("text")).alias("refusal"), gate.is_boilerplate(F.col("text")).alias("boilerplate"))
+
+
+_STUB = """CASE WHEN ('0x' || substr(md5(title), 1, 4))::INT % 7 <> 0 THEN title || ' was reported today. It follows earlier events.' END"""
+_AUTO = f"""CASE WHEN title IS NULL OR title = '' THEN '[Summary Unavailable]' ELSE '[Auto] ' || {_strip("regexp_replace(" + _collapse("title") + ", '[:—-]\\s*$', '')")} END"""
+
+
+@_query(
+    "stub_summaries",
+    f"""WITH {_S}, a AS (SELECT row_id, title, {_STUB} AS summary FROM stories), g AS (SELECT *, {_REASON} AS reason FROM a)
+SELECT row_id, CASE WHEN reason IS NULL THEN summary ELSE {_AUTO} END AS summary FROM g""",
+)
+def _stub(spark, d):
+    s = _stories(spark, d).select("row_id", "title", summaries.stub_summary(F.col("title")).alias("answer"))
+    ok = gate.is_valid_summary(F.col("answer"), F.col("title"))
+    return s.select("row_id", F.when(ok, F.col("answer")).otherwise(T.auto_summary(F.col("title"))).alias("summary"))
+
+
+@_query(
+    "summary_outcomes",
+    f"""WITH {_P}, o AS (SELECT CASE WHEN summary IS NULL OR {_strip('summary')} = '' THEN 'invalid' WHEN starts_with({_strip('summary')}, '[Summary Unavailable]') THEN 'unavailable' WHEN starts_with({_strip('summary')}, '[Auto]') THEN 'auto' ELSE 'valid' END AS o FROM pairs)
+SELECT count(*) AS total_stories, count(*) FILTER (o = 'valid') AS final_valid, count(*) FILTER (o = 'auto') AS auto_fallbacks, count(*) FILTER (o = 'unavailable') AS unavailable_summaries, count(*) FILTER (o = 'invalid') AS final_invalid FROM o""",
+)
+def _outcomes(spark, d):
+    return gate.outcome_counts(_pairs(spark, d))
+
+
+_ISSUE = f"""CASE WHEN summary IS NULL OR {_strip('summary')} = '' THEN 'empty' WHEN starts_with(summary, '[Auto]') THEN NULL
+  WHEN regexp_replace(lower(summary), '\\s+', ' ', 'g') = regexp_replace(lower(title), '\\s+', ' ', 'g') OR starts_with(regexp_replace(lower(summary), '\\s+', ' ', 'g'), regexp_replace(lower(title), '\\s+', ' ', 'g') || '.') THEN 'echo'
+  WHEN ({_sentences('summary')}) < 2 THEN 'short' WHEN starts_with(summary, '[Headline]') OR contains(lower(summary), '[summary unavailable]') THEN 'marker'
+  WHEN len(w) > 0 AND len(list_filter(w, lambda x: contains(lower(summary), x))) < 0.25 * len(w) THEN 'off_topic' END"""
+_W = f"""w AS (SELECT *, list_filter(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{Nd}}_]+'), lambda x: regexp_matches(x, '^[a-z]{{4,}}$') AND NOT list_contains({_list(lexicon.HEADLINE_STOP)}, x)) AS w FROM pairs)"""
+
+
+@_query("story_issues", f"WITH {_P}, {_W} SELECT conv_id, turn, {_ISSUE} AS issue FROM w")
+def _issues(spark, d):
+    return _pairs(spark, d).select("conv_id", "turn", gate.story_issue(F.col("title"), F.col("summary")).alias("issue"))
+
+
+@_query(
+    "validation_verdict",
+    f"""WITH {_P}, {_W}, i AS (SELECT {_ISSUE} AS issue, starts_with(summary, '[Auto]') AS auto FROM w)
+SELECT count(*) AS total, count(issue) AS bad, count(*) FILTER (auto) AS auto, count(*) > 0 AND count(issue) <= 0.1 * count(*) AS passed FROM i""",
+)
+def _verdict(spark, d):
+    return gate.verdict(_pairs(spark, d))
+
+
+@_query("duplicate_urls", "SELECT url, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY url HAVING count(*) > 1")
+def _duplicate_urls(spark, d):
+    return gate.duplicate_urls(_read(spark, d, "pages"))
+
+
+@_query("lag_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max_value FROM events GROUP BY event_type")
+def _lag(spark, d):
+    p = gate.lag_percentiles(_read(spark, d, "events"), ["event_type"])
+    return p.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")), "max_value")
+
+
+@_query("missing_references", "SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def _missing(spark, d):
+    return gate.missing_references(_read(spark, d, "customer"), "c_custkey", _read(spark, d, "orders").where("o_custkey IS NOT NULL"), "o_custkey")
+
+
+@_query("probe_tally", "SELECT count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, bool_and(ok) AS all_ok FROM (SELECT event_type <> 'error' AS ok FROM events)")
+def _probes(spark, d):
+    return gate.probe_tally(_read(spark, d, "events").select((F.col("event_type") != "error").alias("ok")))
+
+
+# ---------------------------------------------------------------- tags
+TAGS = tagging.TagRules(
+    mappings={"function": ["that", "with the"], "marker": ["threlyes", "edoution", "ouble"], "romance": ["que", "les", "de la"], "german": ["und", "der die", "einen"], "secret": ["password", "token"], "fresh": ["new", "first report"]},
+    boosts={"src0": ["function", "that"], "src3": ["marker", "ouble"], "src5": ["romance", "the"]},
+    conflicts=[("romance", "german"), ("function", "marker")],
+)
+
+
+def _score_sql(tag: str) -> str:
+    """The score of a tag for t (a lower-cased title), as SQL."""
+    match = lambda kw: "regexp_matches(t, '(^|[^a-zA-Z]){}(s|es|ed|ing)?([^a-zA-Z]|$)')".format(kw)
+    parts = ["0.0"]
+    for kw in TAGS.mappings[tag]:
+        if not tagging.only_stop_words(kw):
+            parts.append(f"CASE WHEN {match(kw)} AND strpos(t, '{kw}') > 0 THEN (CASE WHEN strpos(t, '{kw}') <= 100 THEN 2.0 ELSE 1.0 END) * {tagging.keyword_weight(kw)} ELSE 0.0 END")
+    for cat, boosted in TAGS.boosts.items():
+        gain = "3.0" if tag in boosted else " + ".join(["0.0", *(f"CASE WHEN {match(b)} THEN 2.0 ELSE 0.0 END" for b in boosted if not tagging.only_stop_words(b))])
+        parts.append(f"CASE WHEN category = '{cat}' THEN {gain} ELSE 0.0 END")
+    return " + ".join(parts)
+
+
+_TAGGED = f"""{_S}, t AS (SELECT row_id, category, lower(title) AS t FROM stories),
+scored AS ({" UNION ALL ".join(f"SELECT row_id, '{tag}' AS tag, {n} AS tpos, {_score_sql(tag)} AS raw FROM t" for n, tag in enumerate(TAGS.mappings))}),
+kept AS (SELECT row_id, tag, tpos, least(raw, 5.0) AS score, row_number() OVER (PARTITION BY row_id ORDER BY least(raw, 5.0) DESC, tpos) AS rn FROM scored WHERE raw > 0.3),
+losers AS ({" UNION ALL ".join(f"SELECT a.row_id, CASE WHEN a.score <= b.score THEN '{x}' ELSE '{y}' END AS tag FROM kept a JOIN kept b ON a.row_id = b.row_id WHERE a.tag = '{x}' AND b.tag = '{y}'" for x, y in TAGS.conflicts)}),
+own AS (SELECT k.row_id, k.tag, k.rn, CASE WHEN k.rn <= 5 THEN 0 ELSE 1 END AS grp FROM kept k WHERE NOT EXISTS (SELECT 1 FROM losers l WHERE l.row_id = k.row_id AND l.tag = k.tag)),
+allt AS (SELECT * FROM own UNION ALL SELECT row_id, lower(category), 0, 2 FROM t),
+placed AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY grp, rn) AS p FROM allt),
+tags AS (SELECT row_id, tag, p FROM placed WHERE grp = 0 OR p <= 3)"""
+
+
+@_query("keyword_tags", f"WITH {_TAGGED} SELECT row_id, string_agg('[[' || tag || ']]', ' ' ORDER BY p) AS tags FROM tags GROUP BY row_id")
+def _tags(spark, d):
+    return _stories(spark, d).select("row_id", tagging.tag_markup(F.col("title"), F.col("category"), TAGS).alias("tags"))
+
+
+@_query("tag_frequency", f"WITH {_TAGGED} SELECT tag, count(*) AS n FROM tags GROUP BY tag")
+def _tag_frequency(spark, d):
+    t = _stories(spark, d).select(F.explode(tagging.tag_array(F.col("title"), F.col("category"), TAGS)).alias("tag"))
+    return t.groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@_query("tag_conflicts", f"WITH {_TAGGED} SELECT tag, count(*) AS n FROM (SELECT DISTINCT row_id, tag FROM losers) GROUP BY tag")
+def _tag_conflicts(spark, d):
+    s = _stories(spark, d)
+    lost = tagging.conflict_losers(F.col("scored"), TAGS)
+    scored = s.select(tagging.scored_tags(F.col("title"), F.col("category"), TAGS).alias("scored"))
+    return scored.select(F.explode(F.array_distinct(lost)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@_query("tag_union", f"WITH {_TAGGED} SELECT array_to_string(list_sort(list_distinct(list(lower(tag)) || ['daily', 'brief'])), ',') AS tags FROM tags")
+def _tag_union(spark, d):
+    t = _stories(spark, d).select(tagging.tag_array(F.col("title"), F.col("category"), TAGS).alias("t"))
+    return t.agg(F.array_join(tagging.tag_union(F.col("t"), ["daily", "brief"]), ",").alias("tags"))
+
+
+# ---------------------------------------------------------------- look-ups
+_TARGETS = "(VALUES ('today', DATE '2001-03-04'), ('one_week_ago', DATE '2001-02-25'), ('thirty_days_ago', DATE '2001-02-02')) v(label, target)"
+
+
+def _targets(spark: SparkSession) -> DataFrame:
+    rows = [("today", "2001-03-04"), ("one_week_ago", "2001-02-25"), ("thirty_days_ago", "2001-02-02")]
+    return spark.createDataFrame(rows, "label string, t string").select("label", F.to_date("t").alias("target"))
+
+
+def _readings(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "orders").select((F.col("o_custkey") % 50).alias("series"), F.to_date("o_orderdate").alias("obs_date"), F.col("o_orderkey").alias("ord"), F.col("o_totalprice").alias("value"))
+
+
+@_query(
+    "asof_levels",
+    f"""WITH r AS (SELECT o_custkey % 50 AS series, o_orderdate::DATE AS obs_date, o_orderkey AS ord, o_totalprice AS value FROM orders),
+x AS (SELECT series, label, target, obs_date, value, row_number() OVER (PARTITION BY series, label ORDER BY obs_date > target, abs(obs_date - target), ord) AS k FROM r CROSS JOIN {_TARGETS})
+SELECT series, label, target, obs_date, value FROM x WHERE k = 1""",
+)
+def _asof(spark, d):
+    return lookup.asof_levels(_readings(spark, d), _targets(spark))
+
+
+@_query(
+    "nearest_day",
+    f"""WITH p AS (SELECT event_type AS slot, ts::DATE AS day, event_id AS ord, value FROM events), t AS (SELECT DATE '2024-01-30' + CAST(unnest(range(0, 3)) AS INT) AS target),
+x AS (SELECT target, slot, day, ord, value, row_number() OVER (PARTITION BY target, slot ORDER BY abs(day - target), ord) AS k FROM p CROSS JOIN t)
+SELECT target, slot, day, ord, value FROM x WHERE k = 1""",
+)
+def _nearest(spark, d):
+    p = _read(spark, d, "events").select(F.col("event_type").alias("slot"), F.to_date("ts").alias("day"), F.col("event_id").alias("ord"), "value")
+    days = spark.range(3).select(F.date_add(F.lit("2024-01-30").cast("date"), F.col("id").cast("int")).alias("target"))
+    return lookup.nearest_day(p, days)
+
+
+@_query(
+    "forecast_pivot",
+    """WITH p AS (SELECT ts::DATE AS day, hour(ts) BETWEEN 6 AND 17 AS is_day, event_id AS ord, event_type AS short, user_id AS temperature, value FROM events),
+o AS (SELECT day AS target, is_day, max_by(short, ord) AS short, max_by(temperature, ord) AS temperature, max_by(round(value)::INT, ord) AS precip FROM p GROUP BY ALL),
+n AS (SELECT * FROM (SELECT target, is_day, short, temperature, round(value)::INT AS precip, row_number() OVER (PARTITION BY target, is_day ORDER BY abs(day - target), ord) AS k FROM p CROSS JOIN (SELECT DATE '2024-01-29' + CAST(unnest(range(0, 3)) AS INT) AS target)) WHERE k = 1),
+s AS (SELECT n.target, n.is_day, coalesce(o.short, n.short) AS short, coalesce(o.temperature, n.temperature) AS temperature, coalesce(o.precip, n.precip) AS precip FROM n LEFT JOIN o USING (target, is_day))
+SELECT a.target AS date, strftime(a.target, '%a') AS label, a.short AS day, b.short AS night, a.temperature || '°F' AS high, b.temperature || '°F' AS low, a.precip || '%' AS precip, 'Dynamic' AS wind
+FROM s a JOIN s b ON a.target = b.target AND a.is_day AND NOT b.is_day""",
+)
+def _forecast(spark, d):
+    e = _read(spark, d, "events")
+    p = e.select(F.col("ts").alias("start"), F.hour("ts").between(6, 17).alias("is_day"), F.col("event_id").alias("ord"), F.col("event_type").alias("short"), F.col("user_id").cast("string").alias("temperature"), F.lit("F").alias("unit"), F.lit(None).cast("string").alias("wind_speed"), F.lit(None).cast("string").alias("wind_dir"), F.round("value").cast("int").cast("string").alias("precip"))
+    days = spark.range(3).select(F.date_add(F.lit("2024-01-29").cast("date"), F.col("id").cast("int")).alias("target"))
+    return lookup.forecast_rows(p, days)
+
+
+@_query(
+    "provider_merge",
+    """WITH c AS (SELECT s_suppkey AS station, s_nationkey AS high FROM supplier WHERE s_suppkey % 3 <> 0), m AS (SELECT s_suppkey AS station, s_nationkey % 4 AS average, s_nationkey % 3 AS current FROM supplier WHERE s_suppkey % 4 <> 0),
+f AS (SELECT station, high || '°F' AS t, average || ' Inches' AS a, current || ' Inches' AS b FROM c FULL JOIN m USING (station))
+SELECT station, coalesce(t, 'Unavailable') AS avg_temp_today, coalesce(a, 'Unavailable') AS avg_monthly_rainfall, coalesce(CASE WHEN a IS NOT DISTINCT FROM b THEN NULL ELSE b END, 'Unavailable') AS current_monthly_rainfall FROM f""",
+)
+def _merge(spark, d):
+    s = _read(spark, d, "supplier")
+    climate = s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("high"))
+    monthly = s.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("station"), (F.col("s_nationkey") % 4).alias("average"), (F.col("s_nationkey") % 3).alias("current"))
+    return lookup.merge_station(climate, monthly)
+
+
+@_query("retention_rank", "SELECT event_type AS kind, event_id AS name, rank::INT AS rank, rank > 100 AS expired FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rank FROM events)")
+def _retention(spark, d):
+    f = _read(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("event_id").alias("name"), F.col("ts").alias("mtime"))
+    return lookup.keep_newest(f, 100).select("kind", "name", "rank", "expired")
+
+
+@_query("next_version", "SELECT (max(doc_id % 97) + 1)::INT AS version, lpad((max(doc_id % 97) + 1)::VARCHAR, 2, '0') AS label FROM documents")
+def _version(spark, d):
+    f = _read(spark, d, "documents").select(F.format_string("DailyBrief-2024-01-31_v%02d.md", F.col("doc_id") % 97).alias("name"))
+    return lookup.next_version(f, "DailyBrief-2024-01-31")
+
+
+# ---------------------------------------------------------------- sources and rendering
+@_query("url_host", "SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages")
+def _host(spark, d):
+    return _read(spark, d, "pages").select("page_id", feeds.host(F.col("url")).alias("host"))
+
+
+@_query("source_url", f"SELECT p_partkey, '{feeds.RSS_BASE}when%3A' || ceil(p_size / 24.0)::INT || 'd+' || replace(p_name, ' ', '+') || '{feeds.RSS_PARAMS}' AS url FROM part")
+def _source_url(spark, d):
+    return _read(spark, d, "part").select("p_partkey", feeds.feed_url_with_window(F.col("p_name"), F.col("p_size")).alias("url"))
+
+
+@_query("json_field", "SELECT event_id, (props::JSON->>'k')::INT AS k FROM events")
+def _json(spark, d):
+    return _read(spark, d, "events").select("event_id", F.from_json(feeds.json_or_null(F.col("props")), "k int")["k"].alias("k"))
+
+
+@_query("http_status_classes", "SELECT event_id, s, s = 200 AS accepted, s BETWEEN 200 AND 299 AS accepted_2xx, s IN (429, 502, 503, 504) AS retry FROM (SELECT event_id, (200 + event_id % 320)::INT AS s FROM events)")
+def _status(spark, d):
+    from .sources import http
+
+    e = _read(spark, d, "events").select("event_id", (F.lit(200) + F.col("event_id") % 320).cast("int").alias("s"))
+    return e.select("event_id", "s", http.is_accepted(F.col("s")).alias("accepted"), http.is_accepted(F.col("s"), True).alias("accepted_2xx"), http.should_retry(F.col("s")).alias("retry"))
+
+
+@_query("batch_assign", "SELECT row_id, category, (n // 3)::INT AS batch, n::INT AS place FROM (SELECT conv_id * 1000 + turn AS row_id, role AS category, row_number() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn) - 1 AS n FROM conversations)")
+def _batches(spark, d):
+    c = _read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), F.col("role").alias("category"))
+    return summaries.assign_batches(c, 3, ["row_id"])
+
+
+@_query("batch_summaries")
+def _batch_summaries(spark, d):
+    s = dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP).withColumn("context", F.col("snippet"))
+    return summaries.summarize(s, summaries.StubClient()).select("row_id", "category", "title", "summary", "how")
+
+
+@_query("fuzzy_headline_match")
+def _fuzzy(spark, d):
+    p = _pairs(spark, d)
+    return p.select("conv_id", "turn", F.round(summaries.likeness(F.substring("title", 1, 200), F.substring("summary", 1, 200)), 6).alias("ratio"))
+
+
+@_query("parse_batch_response")
+def _parse(spark, d):
+    p = _pairs(spark, d).select("conv_id", "turn", F.array(F.col("title")).alias("heads"), F.concat(F.lit("STORY_0 | "), F.col("title"), F.lit("="), F.col("summary")).alias("answer"))
+    return summaries.match_headlines(p, "answer", "heads").select("conv_id", "turn", F.col("summaries")[0].alias("summary"))
+
+
+@_query(
+    "report_lines",
+    f"""WITH {_DEDUP}, s AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY k) AS n FROM capped WHERE x = 1)
+SELECT category, n * 10 + 1 AS line_pos, n || '. [' || replace(replace(title, chr(10), ' '), chr(13), ' ') || '](http://x/' || row_id || ')' AS line FROM s
+UNION ALL SELECT category, 0, '## ' || category || ' (' || count(*) || ' stories)' FROM s GROUP BY category""",
+)
+def _lines(spark, d):
+    from pyspark.sql import Window
+
+    s = dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP)
+    w = Window.partitionBy("category").orderBy("k")
+    s = s.select(F.lit(1).alias("place"), "category", F.row_number().over(w).alias("n"), "title", F.concat(F.lit("http://x/"), F.col("row_id").cast("string")).alias("link"), F.lit("s").alias("summary"), F.lit(None).cast("string").alias("pub_date"), F.lit("").alias("tags"))
+    lines = report.section_lines(s)
+    return lines.where((F.col("line_pos") % 10 == 1) | (F.col("line_pos") == 0)).select("category", F.col("line_pos").cast("long").alias("line_pos"), "line")
+
+
+@_query("markdown_urls", "SELECT page_id, url AS link FROM pages WHERE regexp_matches(url, '^https?://[^)]+$')")
+def _urls(spark, d):
+    md = F.concat(F.lit("1. [Title]("), F.col("url"), F.lit(") and [no](mailto:x)"))
+    return _read(spark, d, "pages").select("page_id", F.explode(T.extract_urls(md)).alias("link"))

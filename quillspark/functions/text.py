@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicon
 
@@ -25,7 +26,7 @@ def collapse(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd_key(titles: pd.Series) -> pd.Series:
     return titles.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t).strip().lower())
 
@@ -90,7 +91,7 @@ def percent_value(c: Column) -> Column:
     return F.regexp_extract(strip(c.cast("string")), r"^(\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _one_decimal(v: pd.Series) -> pd.Series:
     # exact halves of the double decide, as C's printf does; Spark's format_string rounds the decimal text
     return v.map(lambda x: None if pd.isna(x) else f"{x:.1f}%")
@@ -170,8 +171,14 @@ def significant_words(c: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*lexicon.TOPIC_STOP)))
 
 
+def word_list(c: Column, least: int = 4) -> Column:
+    """Words of ASCII letters only, ``least`` or more, in order; letters of any script bound a word."""
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{Nd}_]+)"), 1)
+    return F.filter(words, lambda w: w.rlike(rf"^[a-z]{{{least},}}$"))
+
+
 def keyword_tokens(c: Column, least: int = 4) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(rf"\b([a-z]{{{least},}})\b"), 1))
+    return F.array_distinct(word_list(c, least))
 
 
 def containment(a: Column, b: Column) -> Column:

@@ -44,7 +44,7 @@ def story_issue(title: Column, summary: Column) -> Column:
     """The first per-story problem in a finished report; null for none. ``[Auto]`` summaries are accepted."""
     low_t, low_s = F.lower(title), F.lower(summary)
     norm_t, norm_s = F.regexp_replace(low_t, r"(?U)\s+", " "), F.regexp_replace(low_s, r"(?U)\s+", " ")
-    words = F.filter(F.regexp_extract_all(low_t, F.lit(r"\b([a-z]{4,})\b"), 1), lambda w: ~w.isin(*lexicon.HEADLINE_STOP))
+    words = F.filter(T.word_list(title), lambda w: ~w.isin(*lexicon.HEADLINE_STOP))
     found = F.size(F.filter(words, lambda w: F.contains(low_s, w)))
     return (
         F.when(summary.isNull() | (T.strip(summary) == ""), "empty")

@@ -64,48 +64,69 @@ def tag_score(title_low: Column, category: Column | None, tag: str, rules: TagRu
     return score
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def scored_tags(title: Column, category: Column | None, rules: TagRules) -> Column:
-    """Array of (score, tag) above the threshold, capped, best first, ties in dictionary order."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    rows = []
-    for n, tag in enumerate(rules.mappings):
-        s = tag_score(low, category, tag, rules)
-        # equal scores: the earlier tag has the larger second key
-        rows.append(F.struct(F.least(s, F.lit(rules.score_cap)).alias("score"), F.lit(-n).alias("turn"), F.lit(tag).alias("tag"), s.alias("raw")))
-    if not rows:
+    """Array of (score, turn, tag) above the threshold, capped, best first, ties in dictionary order."""
+    if not rules.mappings:
         return F.array().cast("array<struct<score:double,turn:int,tag:string>>")
-    kept = F.filter(F.array(*rows), lambda x: x["raw"] > rules.score_threshold)
-    return F.transform(F.sort_array(kept, asc=False), lambda x: F.struct(x["score"].alias("score"), x["turn"].alias("turn"), x["tag"].alias("tag")))
+    names = F.array(*(F.lit(t) for t in rules.mappings))
+
+    def scores(low: Column) -> Column:
+        raw = F.array(*(tag_score(low, category, tag, rules) for tag in rules.mappings))
+        # equal scores: the earlier tag has the larger second key
+        rows = F.transform(raw, lambda s, n: F.struct(F.least(s, F.lit(rules.score_cap)).alias("score"), (-n).alias("turn"), F.element_at(names, n + 1).alias("tag"), s.alias("raw")))
+        kept = F.filter(rows, lambda x: x["raw"] > rules.score_threshold)
+        return F.sort_array(F.transform(kept, lambda x: F.struct(x["score"].alias("score"), x["turn"].alias("turn"), x["tag"].alias("tag"))), asc=False)
+
+    return _let(F.lower(F.coalesce(title, F.lit(""))), scores)
+
+
+def conflict_losers(scored: Column, rules: TagRules) -> Column:
+    """Tags that lose a conflict; the first of a pair loses a tie."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in rules.conflicts))
+    if not rules.conflicts:
+        return F.array().cast("array<string>")
+    of = F.map_from_entries(F.transform(scored, lambda x: F.struct(x["tag"], x["score"])))
+
+    def losers(score: Column) -> Column:
+        met = F.filter(pairs, lambda p: F.map_contains_key(score, p["a"]) & F.map_contains_key(score, p["b"]))
+        return F.transform(met, lambda p: F.when(F.try_element_at(score, p["a"]) <= F.try_element_at(score, p["b"]), p["a"]).otherwise(p["b"]))
+
+    return _let(of, losers)
 
 
 def tag_array(title: Column, category: Column | None, rules: TagRules) -> Column:
-    """The tags of a story as an array: top tags, conflicts resolved, filled up to the minimum."""
-    scored = scored_tags(title, category, rules)
-    names = F.transform(scored, lambda x: x["tag"])
-
-    losers = [F.lit(None).cast("string")]
-    for a, b in rules.conflicts:
-        both = F.array_contains(names, a) & F.array_contains(names, b)
-        losers.append(F.when(both, F.when(F.try_element_at(F.transform(F.filter(scored, lambda x, a=a: x["tag"] == a), lambda x: x["score"]), F.lit(1)) <= F.try_element_at(F.transform(F.filter(scored, lambda x, b=b: x["tag"] == b), lambda x: x["score"]), F.lit(1)), F.lit(a)).otherwise(F.lit(b))))
-    lost = F.array_compact(F.array(*losers))
-    top = F.array_except(F.slice(names, 1, rules.max_tags), lost)
-    rest = F.array_except(F.array_except(names, lost), top)
-    filled = F.when(F.size(top) < rules.min_tags, F.slice(F.concat(top, rest), 1, rules.min_tags)).otherwise(top)
+    """The tags of a story as an array: top tags, conflicts resolved, filled up to the minimum.
+
+    Filled from the other scored tags, then from the category as a whole and its words.
+    """
     if category is None:
-        return filled
-    slug = F.translate(F.lower(category), " /", "--")
-    parts = F.transform(F.filter(F.split(F.lower(category), r"\s+"), lambda w: F.length(w) > 0), lambda w: F.translate(w, " /", "--"))
-    more = F.array_except(F.array_except(F.concat(F.array(slug), parts), lost), filled)
-    filled = F.when(F.size(filled) < rules.min_tags, F.slice(F.concat(filled, more), 1, rules.min_tags)).otherwise(filled)
-    none = F.array().cast("array<string>")
-    return F.when(category.isNull(), F.coalesce(F.slice(F.concat(top, rest), 1, F.greatest(F.size(top), F.lit(rules.min_tags))), none)).otherwise(F.when(F.size(filled) > 0, filled).otherwise(F.array(slug)))
+        more = F.array().cast("array<string>")
+    else:
+        slug = lambda c: F.translate(F.lower(c), " /", "--")
+        words = F.filter(F.split(F.lower(category), r"\s+"), lambda w: F.length(w) > 0)
+        more = F.coalesce(F.concat(F.array(slug(category)), F.transform(words, slug)), F.array().cast("array<string>"))
+
+    def resolve(s: Column) -> Column:
+        all_tags = F.transform(s["scored"], lambda x: x["tag"])
+        top = F.array_except(F.slice(all_tags, 1, rules.max_tags), s["lost"])
+        # each candidate once, those of the top first
+        order = F.array_distinct(F.concat(top, F.array_except(all_tags, s["lost"]), F.array_except(more, s["lost"])))
+        return F.slice(order, 1, F.greatest(F.size(top), F.lit(rules.min_tags)))
+
+    both = _let(scored_tags(title, category, rules), lambda x: F.struct(x.alias("scored"), conflict_losers(x, rules).alias("lost")))
+    tags = _let(both, resolve)
+    return tags if category is None else _let(tags, lambda t: F.when((F.size(t) == 0) & category.isNotNull(), F.slice(more, 1, 1)).otherwise(t))
 
 
 def tag_markup(title: Column, category: Column | None, rules: TagRules) -> Column:
     """``[[tag]] [[tag]]``, or the fallback without any tag."""
-    tags = tag_array(title, category, rules)
-    marked = F.array_join(F.transform(tags, lambda t: F.concat(F.lit("[["), t, F.lit("]]"))), " ")
-    return F.when(F.size(tags) > 0, marked).otherwise(F.lit(rules.fallback))
+    shown = lambda tags: F.array_join(F.transform(tags, lambda t: F.concat(F.lit("[["), t, F.lit("]]"))), " ")
+    return _let(tag_array(title, category, rules), lambda tags: F.when(F.size(tags) > 0, shown(tags)).otherwise(F.lit(rules.fallback)))
 
 
 def tag_union(tags: Column, seeds: list[str]) -> Column:
