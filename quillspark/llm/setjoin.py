@@ -16,12 +16,14 @@ Plan, for documents as sets of word shingles and a similarity of ``percent`` / 1
    pivots (1, 16, 256, then all), so members already known to be connected are
    never compared again: components are exact, the pairs stay few. The pairs of
    a round pass the length, positional and suffix filters in the join itself
-   and are verified once, on the whole sets.
+   and are verified once, on the whole sets. A leader has met all members in the
+   first round and is no pivot of its own bucket later.
 4. Components are found by star contractions.
 
-The suffix filter compares how many shingles of the two sets fall in each of 16
-parts of the hash space; the summed differences are a lower bound of the
-symmetric difference.
+The suffix filter compares how many shingles of the two sets fall in each part of
+the hash space; the summed differences are a lower bound of the symmetric
+difference. The join itself uses 16 parts; pairs that are left are held to 256
+parts before any whole set is sent to them.
 """
 
 from __future__ import annotations
@@ -32,19 +34,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .vector import distinct_sets, mix
+from .vector import distinct_sets, mix, tidy
 from .workspace import bounded_broadcast, discard, materialize
 
 #: Cells of the count table, as powers of two. Levels take half a byte a cell, so
 #: what is broadcast is 32 MiB at most; a fuller table orders less sharply.
 LEAST_BITS, MOST_BITS = 20, 26
 _CHUNK = 1 << 16
-_PARTS = 16
+_PARTS, _FINE = 16, 256
 #: Pivots a bucket offers in each round; None: all its members.
 PIVOTS = (1, 16, 256, None)
 
 _HIST = [f"h{k}" for k in range(_PARTS)]
-_PROFILE = "doc_id long, n long, k1 long, k2 long, chunk int, counts binary, " + ", ".join(f"{h} int" for h in _HIST)
+_PROFILE = "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"
 _PROFILE_NAMES = [x.split()[0] for x in _PROFILE.split(", ")]
 _POSTING = "token long, k1 long, k2 long, n int, pos int"
 
@@ -91,7 +93,7 @@ def _count_cells(counts: np.ndarray, cells: list[np.ndarray]) -> None:
 
 
 def _profile(words: int, bits: int):
-    """Set size, key and parts of each document, then the task's shingle counts."""
+    """Set size and key of each document, then the task's shingle counts."""
 
     def run(batches):
         counts = np.zeros(1 << bits, dtype=np.uint8)
@@ -99,13 +101,11 @@ def _profile(words: int, bits: int):
             ids = batch.column(0)
             n = np.zeros(len(ids), np.int64)
             k1, k2 = n.copy(), n.copy()
-            parts = np.zeros((len(ids), _PARTS), np.int32)
             pending, held = [], 0
             for row, s in distinct_sets(batch.column(1), words):
                 n[row] = len(s)
                 if len(s):
                     k1[row], k2[row] = _set_key(s)
-                    parts[row] = np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=_PARTS)
                     pending.append(s >> np.uint64(64 - bits))
                     held += len(s)
                 if held > 1 << 19:
@@ -113,13 +113,15 @@ def _profile(words: int, bits: int):
                     pending, held = [], 0
             _count_cells(counts, pending)
             empty = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(k1), pa.array(k2), *empty, *(pa.array(parts[:, k]) for k in range(_PARTS))], names=_PROFILE_NAMES)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(k1), pa.array(k2), *empty], names=_PROFILE_NAMES)
         packed = _pack_counts(counts)
         for lo in range(0, len(packed), 16):
             some = packed[lo : lo + 16]
             none = [pa.nulls(len(some), pa.int64())] * 4
             packed_cols = [pa.array([c for c, _ in some], pa.int32()), pa.array([b for _, b in some], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, *packed_cols, *[pa.nulls(len(some), pa.int32())] * _PARTS], names=_PROFILE_NAMES)
+            yield pa.RecordBatch.from_arrays([*none, *packed_cols], names=_PROFILE_NAMES)
+        del counts, packed
+        tidy()
 
     return run
 
@@ -195,6 +197,40 @@ def _prefixes(words: int, percent: int, rarity, bits: int):
                 out[4].append(np.arange(size, dtype=np.int32))
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["token", "k1", "k2", "n", "pos"])
+        tidy()
+
+    return run
+
+
+def _shapes(words: int):
+    """Counts of each set's shingles by part of the hash space: coarse ones as columns, fine ones packed."""
+
+    def run(batches):
+        for batch in batches:
+            fine = np.zeros((batch.num_rows, _FINE), np.uint16)
+            for row, s in distinct_sets(batch.column(1), words):
+                fine[row] = np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=_FINE), 65535)
+            coarse = fine.reshape(-1, _PARTS, _FINE // _PARTS).sum(axis=2, dtype=np.int32)
+            cols = [batch.column(0), pa.array([f.tobytes() for f in fine], pa.binary()), *(pa.array(coarse[:, k]) for k in range(_PARTS))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "fine", *_HIST])
+
+    return run
+
+
+def _close_enough(percent: int):
+    """Keeps the pairs whose fine counts leave room for the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in batch.column(k)]).astype(np.int64) for k in (2, 3))
+            total = x.sum(axis=1) + y.sum(axis=1)
+            need = -(-percent * total // (100 + percent))
+            # a set with a saturated part is never dropped here
+            full = (x.max(axis=1) >= 65535) | (y.max(axis=1) >= 65535)
+            keep = full | (np.abs(x - y).sum(axis=1) <= total - 2 * need)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -267,9 +303,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     members = materialize(found.join(reps, ["k1", "k2"]).select("token", "rep", "n", "pos", "k1", "lead"), "setjoin-members")
     discard(shared)
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    hist = prof.where("chunk IS NULL").select(F.col("doc_id").alias("rep"), *_HIST).dropDuplicates(["rep"])
-    hist = materialize(hist.join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"), "setjoin-parts")
-    comp = _link(docs.where("doc_id IS NOT NULL"), members, hist, words, percent)
+    own = docs.where("doc_id IS NOT NULL")
+    shapes = own.join(bounded_broadcast(involved, involved.count()), "doc_id", "left_semi").select("doc_id", "text")
+    schema = "rep long, fine binary, " + ", ".join(f"{h} int" for h in _HIST)
+    hist = materialize(shapes.mapInArrow(_shapes(words), schema).dropDuplicates(["rep"]), "setjoin-shapes")
+    comp = _link(own, members, hist, words, percent)
     discard(members, hist)
 
     named = sizes.join(reps, ["k1", "k2"], "left")
@@ -298,18 +336,22 @@ def _link(docs: DataFrame, members: DataFrame, hist: DataFrame, words: int, perc
         if not most:
             discard(open_)
             break
-        state = state.join(open_, "token").join(hist, "rep")
+        state = state.join(open_, "token").join(hist.select("rep", *_HIST), "rep")
         # a pivot is a member with a small hash for its bucket's size: no ranking of a hot bucket
         rank = (F.shiftrightunsigned(F.xxhash64("rep"), 1) / F.lit(float(1 << 63))) * F.col("size")
-        chosen = F.col("k1") == F.col("lead")
-        if width is None or most <= width:
-            chosen, width = F.lit(True), None
-        elif width > 1:
-            chosen = chosen | (rank < width)
+        leads = F.col("k1") == F.col("lead")
+        if width == 1:
+            chosen = leads
+        elif width is None or most <= width:
+            chosen, width = ~leads, None
+        else:
+            chosen = ~leads & (rank < width)
         cols = ["token", "rep", "n", "pos", "comp", *(f"h{k}" for k in range(_PARTS))]
         probe = state.where(F.col("comp") != F.col("main")).select(*cols)
         pairs = _pairs(probe, state.where(chosen).select(*cols), percent)
-        pairs = materialize(pairs, "setjoin-pairs")
+        shape = hist.select("rep", "fine")
+        pairs = pairs.join(shape.withColumnsRenamed({"rep": "a", "fine": "x"}), "a").join(shape.withColumnsRenamed({"rep": "b", "fine": "y"}), "b")
+        pairs = materialize(pairs.select("a", "b", "x", "y").mapInArrow(_close_enough(percent), "a long, b long"), "setjoin-pairs")
         # whole sets only of the documents that a pair needs
         ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         sets = docs.join(bounded_broadcast(ends, ends.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets(words), "rep long, shingles binary")
