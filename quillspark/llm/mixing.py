@@ -30,6 +30,8 @@ STRATUM_ROWS = 20_000
 SPARE = 12
 NEWTON_STEPS = 60
 TOLERANCE = 1e-12
+#: Newton steps between two written states.
+STEPS_A_WRITE = 4
 
 
 def word_count(text: Column) -> Column:
@@ -73,31 +75,36 @@ def entropy_rates(cells: DataFrame, targets: DataFrame, cap: float = 2.0) -> Dat
     source's words differ from its target by more than ``TOLERANCE`` of it. A source
     whose target is its cap has every document at the cap; one without words keeps 0.
     """
-    state = targets.select("source", "target").withColumn("lam", F.lit(0.0))
-    state = materialize(state, "mix-state")
-    for _ in range(NEWTON_STEPS):
-        rate = F.col("q") * F.exp("lam")
-        tilted = cells.join(state.select(F.col("source").alias("s"), "lam"), F.col("source").eqNullSafe(F.col("s")))
-        sums = tilted.groupBy("s").agg(
-            F.sum(F.col("size") * F.least(rate, F.lit(float(cap)))).alias("words"),
-            F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).alias("slope"),
-        )
-        gap = F.col("words") - F.col("target")
-        open_ = (F.abs(gap) > F.col("target") * TOLERANCE) & (F.col("words") > 0)
-        # at the cap the slope vanishes; a step down is bounded, one up goes in halves of a unit
-        step = F.when(F.col("slope") > 0, F.greatest(F.least(gap / F.col("slope"), F.lit(1.0)), F.lit(-1.0))).otherwise(F.when(gap > 0, 0.5).otherwise(-0.5))
-        moved = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
-        nxt = moved.select("source", "target", F.when(open_, F.col("lam") - step).otherwise(F.col("lam")).alias("lam"), F.coalesce(open_, F.lit(False)).alias("open"))
+    state = targets.select("source", "target", F.lit(0.0).alias("lam"))
+    for _ in range(NEWTON_STEPS // STEPS_A_WRITE):
+        nxt = state
+        for _ in range(STEPS_A_WRITE):
+            nxt = _newton_step(cells, nxt, cap)
         nxt = materialize(nxt, "mix-state")
         still = nxt.where("open").limit(1).count()
         discard(state)
-        state = nxt.select("source", "target", "lam")
-        state._quill_path = nxt._quill_path
+        state = nxt
         if not still:
             break
     return state.select("source", F.col("lam").alias("lambda"))
 
 
+def _newton_step(cells: DataFrame, state: DataFrame, cap: float) -> DataFrame:
+    """(source, target, lam, open) after one step; open where the source was not yet balanced before it."""
+    rate = F.col("q") * F.exp("lam")
+    tilted = cells.join(state.select(F.col("source").alias("s"), "lam"), F.col("source").eqNullSafe(F.col("s")))
+    sums = tilted.groupBy("s").agg(
+        F.sum(F.col("size") * F.least(rate, F.lit(float(cap)))).alias("words"),
+        F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).alias("slope"),
+    )
+    gap = F.col("words") - F.col("target")
+    open_ = (F.abs(gap) > F.col("target") * TOLERANCE) & (F.col("words") > 0)
+    # at the cap the slope vanishes; a step is bounded, and one back from the cap is half a unit
+    step = F.when(F.col("slope") > 0, F.greatest(F.least(gap / F.col("slope"), F.lit(1.0)), F.lit(-1.0))).otherwise(F.when(gap > 0, 0.5).otherwise(-0.5))
+    moved = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
+    return moved.select("source", "target", F.when(open_, F.col("lam") - step).otherwise(F.col("lam")).alias("lam"), F.coalesce(open_, F.lit(False)).alias("open"))
+
+
 def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
     """``sizes`` (row columns, source, size, key; optionally a base rate q > 0) with ``copies``.
 
@@ -107,7 +114,7 @@ def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
     """
     cols = sizes.columns
     base = sizes.withColumn("q", F.coalesce(F.col("q").cast("double"), F.lit(1.0)) if "q" in cols else F.lit(1.0))
-    cells = base.groupBy("source", "q").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+    cells = materialize(base.groupBy("source", "q").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "mix-cells")
     lam = entropy_rates(cells, targets, cap)
     rows_of = cells.groupBy("source").agg(F.sum("rows").alias("source_rows"))
     lam = lam.join(rows_of, lam["source"].eqNullSafe(rows_of["source"])).select(lam["source"].alias("s"), "lambda", "source_rows")
