@@ -392,8 +392,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if most and most > 1:
         again = keep.where("copies > 1").select("doc_id")
         twice = kept.join(again, "doc_id", "left_semi")
-        first = twice.groupBy("doc_id").agg(F.min(F.struct(*(c for c in ["text", *cols] if c != "doc_id"))).alias("r"))
-        once = first.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in cols))
+        row = F.struct("text", *(F.col(c).alias(f"c_{c}") for c in cols))
+        first = twice.groupBy("doc_id").agg(F.min(row).alias("r"))
+        once = first.select(*(F.col(f"r.c_{c}").alias(c) for c in cols))
         kept = kept.join(again, "doc_id", "left_anti").select(*cols).union(once.select(*cols))
     return kept.union(docs.where("doc_id IS NULL").select(*cols))
 
