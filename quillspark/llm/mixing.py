@@ -5,7 +5,9 @@ base rates q under the constraint that the words of each source add up to its
 target; the solution is an exponential tilt, r = min(cap, q * exp(lambda_source)).
 The dual is convex in lambda and separates by source. Newton's method solves it:
 every iteration adds up the tilted words and their derivative for each source,
-on (source, base rate) cells that were summed before anything was shuffled.
+on (source, base rate) cells that were summed before anything was shuffled. Base
+rates count by steps of a thousandth, so a source has a bounded number of cells, and
+all iterations of a write share one exchange by source.
 
 Rounding. A document is copied floor(r) times, and once more for a part of the
 documents: within strata (source, size class, slice of a hash) every position of
@@ -22,16 +24,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import discard, materialize
+from .workspace import bounded_broadcast, discard, materialize
 
 #: Documents of a stratum, about; the number of slices of a source follows from its rows.
 STRATUM_ROWS = 20_000
 #: Documents a size class of a source offers for working off the rest.
-SPARE = 12
+SPARE = 48
 NEWTON_STEPS = 60
 TOLERANCE = 1e-12
 #: Newton steps between two written states.
-STEPS_A_WRITE = 4
+STEPS_A_WRITE = 12
+#: Sources up to which their table is broadcast.
+FEW_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -69,40 +73,39 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
 
 
 def entropy_rates(cells: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
-    """(source, lambda) that balances the cells (source, q, size) to the targets.
+    """(source, lambda) that balances the cells (source, q, size) to the targets (source, target).
 
     Damped Newton steps on the convex dual, all sources at once; stops when no
     source's words differ from its target by more than ``TOLERANCE`` of it. A source
     whose target is its cap has every document at the cap; one without words keeps 0.
     """
-    state = targets.select("source", "target", F.lit(0.0).alias("lam"))
+    own = targets.select(F.col("source").alias("s"), "target")
+    state = cells.join(own, F.col("source").eqNullSafe(F.col("s"))).select("source", "q", "size", "target", F.lit(0.0).alias("lam"))
     for _ in range(NEWTON_STEPS // STEPS_A_WRITE):
         nxt = state
         for _ in range(STEPS_A_WRITE):
-            nxt = _newton_step(cells, nxt, cap)
+            nxt = _newton_step(nxt, cap)
         nxt = materialize(nxt, "mix-state")
         still = nxt.where("open").limit(1).count()
         discard(state)
         state = nxt
         if not still:
             break
-    return state.select("source", F.col("lam").alias("lambda"))
+    return state.select("source", F.col("lam").alias("lambda")).distinct()
 
 
-def _newton_step(cells: DataFrame, state: DataFrame, cap: float) -> DataFrame:
-    """(source, target, lam, open) after one step; open where the source was not yet balanced before it."""
+def _newton_step(state: DataFrame, cap: float) -> DataFrame:
+    """Cells (source, q, size, target, lam) after one step; open where the source was not yet balanced before it."""
     rate = F.col("q") * F.exp("lam")
-    tilted = cells.join(state.select(F.col("source").alias("s"), "lam"), F.col("source").eqNullSafe(F.col("s")))
-    sums = tilted.groupBy("s").agg(
-        F.sum(F.col("size") * F.least(rate, F.lit(float(cap)))).alias("words"),
-        F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).alias("slope"),
-    )
+    of = Window.partitionBy("source")
+    words = F.sum(F.col("size") * F.least(rate, F.lit(float(cap)))).over(of)
+    slope = F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).over(of)
+    summed = state.select("source", "q", "size", "target", "lam", words.alias("words"), slope.alias("slope"))
     gap = F.col("words") - F.col("target")
     open_ = (F.abs(gap) > F.col("target") * TOLERANCE) & (F.col("words") > 0)
     # at the cap the slope vanishes; a step is bounded, and one back from the cap is half a unit
     step = F.when(F.col("slope") > 0, F.greatest(F.least(gap / F.col("slope"), F.lit(1.0)), F.lit(-1.0))).otherwise(F.when(gap > 0, 0.5).otherwise(-0.5))
-    moved = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
-    return moved.select("source", "target", F.when(open_, F.col("lam") - step).otherwise(F.col("lam")).alias("lam"), F.coalesce(open_, F.lit(False)).alias("open"))
+    return summed.select("source", "q", "size", "target", F.when(open_, F.col("lam") - step).otherwise(F.col("lam")).alias("lam"), open_.alias("open"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
@@ -113,11 +116,15 @@ def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
     sources are a source. Documents without words are copied by their rate as well.
     """
     cols = sizes.columns
-    base = sizes.withColumn("q", F.coalesce(F.col("q").cast("double"), F.lit(1.0)) if "q" in cols else F.lit(1.0))
+    prior = F.exp(F.round(F.ln(F.coalesce(F.col("q").cast("double"), F.lit(1.0))), 3)) if "q" in cols else F.lit(1.0)
+    base = sizes.withColumn("q", prior)
     cells = materialize(base.groupBy("source", "q").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "mix-cells")
     lam = entropy_rates(cells, targets, cap)
     rows_of = cells.groupBy("source").agg(F.sum("rows").alias("source_rows"))
     lam = lam.join(rows_of, lam["source"].eqNullSafe(rows_of["source"])).select(lam["source"].alias("s"), "lambda", "source_rows")
+    lam = materialize(lam, "mix-lambda")
+    few = lam.count()
+    lam = bounded_broadcast(lam, few, FEW_SOURCES)
     # the rate is rounded so that the order in which doubles were added cannot show
     rate = F.round(F.least(F.col("q") * F.exp("lambda"), F.lit(float(cap))), 9)
     rated = base.join(lam, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate)
@@ -128,24 +135,37 @@ def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
     stratum = Window.partitionBy("source", "class", "slice").orderBy("size", "h", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.sum("part").over(stratum) + F.lit(500_000_000)
     extra = F.floor(upto / F.lit(1_000_000_000)) - F.floor((upto - F.col("part")) / F.lit(1_000_000_000))
-    first = rated.withColumn("copies", (F.col("whole") + extra).cast("long"))
-    first = materialize(first.select(*cols, "copies", "class", "h"), "mix-first")
+    first = materialize(rated.withColumn("copies", (F.col("whole") + extra).cast("long")).select(*cols, "copies", "class", "h"), "mix-first")
 
-    # what is missing (or too much) of each source, and documents that can change by one copy
-    taken = first.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
+    second = materialize(_work_off(first, targets, cap, few), "mix-second")
+    discard(first)
+    return _work_off(second, targets, cap, few).select(*cols, "copies")
+
+
+def _work_off(rows: DataFrame, targets: DataFrame, cap: float, few: int) -> DataFrame:
+    """``rows`` (source, size, key, class, h, copies) with the words that a source misses, or has too many, worked off.
+
+    Of each size class the largest ``SPARE`` documents that can change by one copy are
+    offered; from the largest down those change whose change brings the source nearer.
+    A large one may go past the target: a second pass comes back with smaller ones.
+    """
+    taken = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     rest = taken.join(targets.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.round(F.col("target") - F.col("words")).cast("long").alias("rest"))
+    rest = bounded_broadcast(rest.where("rest <> 0"), few, FEW_SOURCES)
     can = F.when(F.col("rest") > 0, F.col("copies") < F.floor(F.lit(float(cap)))).otherwise(F.col("copies") > 0)
-    offers = first.join(rest, F.col("source").eqNullSafe(F.col("s"))).where(can & (F.col("size") > 0) & (F.col("size") <= F.abs("rest")))
+    offers = rows.join(rest, F.col("source").eqNullSafe(F.col("s"))).where(can & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("rest")))
     best = Window.partitionBy("source", "class").orderBy(F.desc("size"), "h", "key")
     offers = offers.withColumn("n", F.row_number().over(best)).where(F.col("n") <= SPARE)
     listed = offers.groupBy("source", "rest").agg(F.sort_array(F.collect_list(F.struct("size", "h", "key")), asc=False).alias("list"))
-    none = F.slice(F.col("list"), 1, 0)
+    none = F.transform(F.slice(F.col("list"), 1, 0), lambda x: x["key"])
     start = F.struct(F.abs("rest").alias("left"), none.alias("use"))
-    pick = F.aggregate("list", start, lambda a, x: F.when(x["size"] <= a["left"], F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["use"], F.array(x)).alias("use"))).otherwise(a))
-    change = listed.select(F.col("source").alias("s"), F.signum("rest").cast("long").alias("sign"), F.explode(pick["use"]).alias("u"))
-    change = change.select("s", "sign", F.col("u.key").alias("k")).distinct()
-    done = first.join(change, F.col("source").eqNullSafe(F.col("s")) & F.col("key").eqNullSafe(F.col("k")), "left")
-    return done.select(*cols, (F.col("copies") + F.coalesce("sign", F.lit(0))).alias("copies"))
+    nearer = lambda a, x: F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["use"], F.array(x["key"])).alias("use"))
+    pick = F.aggregate("list", start, lambda a, x: F.when(x["size"] < 2 * a["left"], nearer(a, x)).otherwise(a))
+    change = listed.select(F.col("source").alias("s"), F.signum("rest").cast("long").alias("sign"), F.explode(pick["use"]).alias("k")).distinct()
+    # at most SPARE documents of each size class of a source
+    change = bounded_broadcast(change, few, FEW_SOURCES // 100)
+    done = rows.join(change, F.col("source").eqNullSafe(F.col("s")) & F.col("key").eqNullSafe(F.col("k")), "left")
+    return done.select(*rows.columns[:-3], (F.col("copies") + F.coalesce("sign", F.lit(0))).alias("copies"), "class", "h")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -162,7 +182,7 @@ def mixture(docs: DataFrame) -> DataFrame:
     sized = materialize(_sized(docs), "mix-sizes")
     targets = materialize(source_targets(sized), "mix-targets")
     mixed = mix(sized.withColumn("key", F.col("doc_id")), targets)
-    t = targets.withColumnRenamed("source", "s")
+    t = bounded_broadcast(targets.withColumnRenamed("source", "s"), targets.count(), FEW_SOURCES)
     out = mixed.join(t, F.col("source").eqNullSafe(F.col("s")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -184,6 +204,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix(sized.withColumn("key", F.col("doc_id")), targets)
     copies = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
     copies = materialize(copies.where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies"), "mix-copies")
+    copies = bounded_broadcast(copies, copies.count(), 500_000)
     sized_docs = docs.withColumn("__size", word_count(F.col("text")))
     joined = sized_docs.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("__size") == F.col("z")))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cols)

@@ -53,8 +53,9 @@ def test_mixture(spark):
         assert abs(r["target"] - target[s]) < 1e-6 and r["taken"] in (0, r["size"], 2 * r["size"])
         taken[s] += r["taken"]
     for s in sizes:
-        # a source of few documents can only come as near as its documents allow
-        slack = 5 if sizes[s] > 3000 or s in ("z", "s1") else max(5, 0.5 * max(len(WORD.findall(t or "")) for i, t, _, x, _ in rows if x == s))
+        # one document that is a large part of its source is taken whole or not at all
+        largest = max(len(WORD.findall(t or "")) for _, t, _, x, _ in rows if x == s)
+        slack = max(5, 0.005 * target[s] if 20 * largest < sizes[s] else largest / 2)
         assert abs(taken[s] - target[s]) <= slack, s
     assert len(got) == len(rows)
     assert mixing.mixture(empty(spark)).count() == 0
