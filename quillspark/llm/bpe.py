@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vector import mix, prefix_hash, ragged_index, span_hash, text_slices
+from .workspace import arrow_map
 
 #: Ids that the cache of merged pieces holds before it starts anew.
 CACHE_IDS = 6_000_000
@@ -393,7 +394,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     """
     keep = [c for c in docs.columns if c not in ("ids", "piece_bytes", "piece_ids")]
     schema = docs.select(*keep).schema.add("ids", "array<int>").add("piece_bytes", "array<int>").add("piece_ids", "array<int>")
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(_encode(path), schema)
+    return arrow_map(docs.select(F.col(text_col).alias("__text"), *keep), _encode(path), schema)
 
 
 def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -407,7 +408,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", pa
             out = [voc.decode(np.array(x.as_py() or [], np.int64)).tobytes() for x in col]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out, pa.binary())], names=[*batch.schema.names[1:], out_col])
 
-    return tokens.select(F.col(ids_col).alias("__ids"), *keep).mapInArrow(run, tokens.select(*keep).schema.add(out_col, "binary"))
+    return arrow_map(tokens.select(F.col(ids_col).alias("__ids"), *keep), run, tokens.select(*keep).schema.add(out_col, "binary"))
 
 
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -438,7 +439,7 @@ def _digests(path: str | None):
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_digests(path), _DIGEST)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), _digests(path), _DIGEST)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import discard, materialize
+from .workspace import arrow_map, discard, materialize
 
 
 #: Edges that one task may hold.
@@ -68,7 +68,7 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     cur = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
     if cur.count() <= ONE_TASK:
-        out = materialize(cur.coalesce(1).mapInArrow(_union_find, "node long, component long"), label)
+        out = materialize(arrow_map(cur.coalesce(1), _union_find, "node long, component long"), label)
         discard(cur)
         return out
     before = None

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vector import mix, shingle_hashes, text_slices, word_hashes
+from .workspace import arrow_map
 
 BINS = 512
 BITS = 4
@@ -195,7 +196,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = {r[0]: (r[1], r[2]) for r in rows.groupBy("bucket").agg(F.max(F.coalesce("doc_id", F.lit(-(1 << 63)))), F.count("*")).collect()}
     order = sorted(heads)
     if not order:
-        return rows.select("doc_id", "text").limit(0).mapInArrow(_edited_rows_of_none, _EDITED)
+        return arrow_map(rows.select("doc_id", "text").limit(0), _edited_rows_of_none, _EDITED)
     before = {b: order[k - 1] for k, b in enumerate(order)}
     first_ids = {heads[b][0]: (b, before[b]) for b in order}
     lookup = F.create_map(*[x for i, (_, p) in first_ids.items() for x in (F.lit(i), F.lit(p))])
@@ -205,7 +206,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     top = copies.groupBy("bucket").agg(F.max_by("doc_id", F.coalesce("text", F.lit(""))).alias("doc_id"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
     both = rows.select("bucket", "doc_id", "text", F.lit(0).alias("tail")).union(top.select("bucket", "doc_id", "text", F.lit(1)))
     dealt = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.desc(F.coalesce("text", F.lit(""))))
-    return dealt.select("bucket", "doc_id", "text").mapInArrow(_edited_rows, _EDITED)
+    return arrow_map(dealt.select("bucket", "doc_id", "text"), _edited_rows, _EDITED)
 
 
 def _edited_rows_of_none(batches):

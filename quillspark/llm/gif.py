@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vector import ragged_index
+from .workspace import arrow_map
 
 SIDE = 24
 TILE = SIDE * SIDE
@@ -390,7 +391,7 @@ def gif_frames(media: DataFrame, media_col: str = "media") -> DataFrame:
     schema = media.select(*keep).schema
     for n in new:
         schema = schema.add(n, kinds[n])
-    return media.select(F.col(media_col).alias("__media"), *keep).mapInArrow(_frame_rows, schema)
+    return arrow_map(media.select(F.col(media_col).alias("__media"), *keep), _frame_rows, schema)
 
 
 def _store(batches):
@@ -416,7 +417,7 @@ def _store(batches):
 def texts_as_gifs(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, n_bytes and media: the text's UTF-8 bytes, padded with 255 to frames of 24 x 24 samples. A null text is empty."""
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__b"), *keep).mapInArrow(_store, schema)
+    return arrow_map(docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__b"), *keep), _store, schema)
 
 
 _DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -446,7 +447,7 @@ def gif_digests(media: DataFrame) -> DataFrame:
     schema = media.select(*keep).schema
     for x in _DIGEST.split(", "):
         schema = schema.add(*x.split())
-    return media.select("media", *keep).mapInArrow(_digests, schema)
+    return arrow_map(media.select("media", *keep), _digests, schema)
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

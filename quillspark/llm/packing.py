@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workspace import arrow_map
+
 ROW_TOKENS = 2048
 BUFFER_TOKENS = 4_000_000
 PAD = 50256
@@ -149,7 +151,7 @@ def packed_rows(docs: DataFrame, row: int = ROW_TOKENS, buffer: int = BUFFER_TOK
     table gives an empty table; rows with a null doc_id are packed under null.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_pack(path, row, buffer, pad), _PACKED)
+    return arrow_map(rows, _pack(path, row, buffer, pad), _PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

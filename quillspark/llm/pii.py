@@ -8,8 +8,8 @@ format and of the text around it. Trees are boosted on the candidates of a
 bounded sample of documents: base matches, rewritten into the other notations in
 place, are positive; matches that fail their checks, and numbers that are dates,
 versions or amounts, are negative. A third of the candidates calibrates the
-scores, and for each kind the threshold is the least score from which on the
-calibrated share of true ones stays at ``PRECISION`` or more. Chosen spans never
+scores, and for each kind the threshold is the least score down to which the share of
+true ones is ``PRECISION`` or more. Chosen spans never
 overlap a base span; of overlapping ones the likeliest stays.
 
 Positions are code points, ends exclusive.
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .trees import Boosted, boost, sigmoid
+from .workspace import arrow_map
 
 #: Documents whose candidates train the trees: those with the least hashes of their ids.
 TRAIN_DOCS = 3_000
@@ -119,7 +120,10 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
 
 
 _HINTS = [re.compile(p, re.I) for p in (r"mail|contact|@|write", r"\bip\b|server|host|addr", r"card|visa|credit|account", r"phone|tel|call|fax|mobile", r"pass|token|key|secret", r"version|v\.?\s?$|date|page|\bno\b|isbn|order|total|\$|€")]
-FEATURES = 27
+FEATURES = 31
+
+
+_DOT_WORD = re.compile(r"[ (\[{](?:dot|DOT)[ )\]}]")
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -148,6 +152,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(span.startswith("+")),
         float("(" in span),
         float(len(tail.group()) if tail else 0),
+        float("@" in span),
+        float(sum(c in "([{" for c in span)),
+        float(len(_DOT_WORD.findall(span))),
+        float(span.count(".")),
         value,
         float(prev.isalnum()),
         float(nxt.isalnum()),
@@ -162,6 +170,9 @@ def _rewritten(text: str, kind: str, start: int, end: int, turn: int) -> tuple[s
     if kind == "email":
         at, dot = [(" [at] ", "."), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]")][turn % 4]
         name, _, host = span.partition("@")
+        if start & 1:
+            # addresses without digits are as common as those with
+            name, host = re.sub("[0-9]", "", name) or "a", re.sub("[0-9]", "", host)
         new = name + at + host.replace(".", dot)
     elif kind == "phone":
         d = _only_digits(span)[-10:]
@@ -261,7 +272,12 @@ def fit_selector(x: np.ndarray, y: np.ndarray) -> Selector:
         ps, ts = p[own][order], yh[own][order]
         right = np.cumsum(ts) / np.arange(1, len(ts) + 1) if len(ts) else np.zeros(0)
         fit = np.flatnonzero(right >= PRECISION)
-        thresholds[kind] = max(float(ps[fit[-1]]), 0.5) if len(fit) and ts.sum() >= 5 else 2.0
+        if not len(fit) or ts.sum() < 5:
+            thresholds[kind] = 2.0
+            continue
+        # halfway to the next lower score, so that a gap between the classes is shared
+        low = ps[fit[-1] + 1] if fit[-1] + 1 < len(ps) else 0.0
+        thresholds[kind] = max(float(ps[fit[-1]] + low) / 2, 0.5)
     return Selector(model, a, b, thresholds)
 
 
@@ -269,7 +285,7 @@ def train_selector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Fits on the candidates of at most ``train_docs`` documents; without any, nothing is added to base spans."""
     chosen = docs.select(F.col(id_col).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(train_docs)
     sample = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k", "left_semi").select("t")
-    rows = sorted((tuple(x), y) for y, x in sample.mapInArrow(_examples, "y int, x array<double>").limit(200_000).collect())
+    rows = sorted((tuple(x), y) for y, x in arrow_map(sample, _examples, "y int, x array<double>").limit(200_000).collect())
     return fit_selector(np.array([x for x, _ in rows]).reshape(-1, FEATURES), np.array([y for _, y in rows]))
 
 
@@ -336,7 +352,7 @@ def personal_data(docs: DataFrame, selector: Selector) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row; a null text is empty."""
     shared = docs.sparkSession.sparkContext.broadcast(selector)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_scan(shared), "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_sha256 string, spans string")
+    return arrow_map(rows, _scan(shared), "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_sha256 string, spans string")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,4 +387,4 @@ def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     chars = cols.index("n_chars") if "n_chars" in cols else -1
     if chars >= 0:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return docs.mapInArrow(_redacted(cols.index("text"), chars, shared), docs.schema)
+    return arrow_map(docs, _redacted(cols.index("text"), chars, shared), docs.schema)

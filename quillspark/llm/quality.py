@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .trees import Boosted, boost, sigmoid
 from .vector import text_slices, word_hashes
-from .workspace import materialize
+from .workspace import arrow_map, materialize
 
 #: Labelled rows that the model is fitted on at most: those with the least hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -100,7 +100,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = docs.select(*keep).schema
     for n in STATISTICS:
         schema = schema.add(f"s_{n}", "double")
-    return docs.select(F.col(text_col).alias("__text"), *keep).mapInArrow(_stat_rows, schema)
+    return arrow_map(docs.select(F.col(text_col).alias("__text"), *keep), _stat_rows, schema)
 
 
 class RuleEnsemble:
@@ -247,7 +247,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     sample = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
     model = fit_quality(statistics(sample), known)
-    stats = docs.select(*cols).mapInArrow(_with_statistics(cols.index("text")), _stat_schema(docs.select(*cols)))
+    stats = arrow_map(docs.select(*cols), _with_statistics(cols.index("text")), _stat_schema(docs.select(*cols)))
     return stats.where(model.column() >= 0.5).select(*cols)
 
 

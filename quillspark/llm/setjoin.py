@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .vector import distinct_sets, mix, tidy
-from .workspace import bounded_broadcast, discard, materialize
+from .workspace import arrow_map, bounded_broadcast, discard, materialize
 
 #: Cells of the count table, as powers of two. Levels take half a byte a cell, so
 #: what is broadcast is 32 MiB at most; a fuller table orders less sharply.
@@ -150,7 +150,7 @@ def _sum_counts(batches):
 def _rarity(counts: DataFrame, bits: int) -> np.ndarray:
     """Binary logarithms of all cells' counts, two a byte; 2**(MOST_BITS - 1) bytes at the driver at most."""
     parts = max(1, min(counts.sparkSession.sparkContext.defaultParallelism, 1 << bits >> 16))
-    summed = counts.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(_sum_counts, "chunk int, counts binary")
+    summed = arrow_map(counts.repartition(parts, "chunk").sortWithinPartitions("chunk"), _sum_counts, "chunk int, counts binary")
     out = np.zeros(1 << (bits - 1), np.uint8)
     half = _CHUNK // 2
     for chunk, level in summed.collect():
@@ -290,23 +290,24 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about six bytes a word, two shingles a cell
     bits = min(max(int(size // 12).bit_length(), LEAST_BITS), MOST_BITS)
-    prof = materialize(docs.mapInArrow(_profile(words, bits), _PROFILE), "setjoin-profile")
+    prof = materialize(arrow_map(docs, _profile(words, bits), _PROFILE), "setjoin-profile")
     sizes = prof.where("chunk IS NULL").select("doc_id", "n", "k1", "k2")
     rarity = spark.sparkContext.broadcast(_rarity(prof.where("chunk IS NOT NULL").select("chunk", "counts"), bits))
     reps = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
 
-    post = docs.where("doc_id IS NOT NULL").select("text").mapInArrow(_prefixes(words, percent, rarity, bits), _POSTING)
+    post = arrow_map(docs.where("doc_id IS NOT NULL").select("text"), _prefixes(words, percent, rarity, bits), _POSTING)
     # a bucket counts if it holds different sets; the least k1 is its leader
     shared = post.groupBy("token").agg(F.min("k1").alias("lead"), F.max("k1").alias("k1x"), F.min("k2").alias("k2m"), F.max("k2").alias("k2x"))
     shared = materialize(shared.where("lead <> k1x OR k2m <> k2x").select("token", "lead"), "setjoin-shared")
     found = post.join(bounded_broadcast(shared, shared.count(), 1_000_000), "token").select("token", "k1", "k2", "n", "pos", "lead").distinct()
     members = materialize(found.join(reps, ["k1", "k2"]).select("token", "rep", "n", "pos", "k1", "lead"), "setjoin-members")
     discard(shared)
+    rarity.unpersist()
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     own = docs.where("doc_id IS NOT NULL")
     shapes = own.join(bounded_broadcast(involved, involved.count()), "doc_id", "left_semi").select("doc_id", "text")
     schema = "rep long, fine binary, " + ", ".join(f"{h} int" for h in _HIST)
-    hist = materialize(shapes.mapInArrow(_shapes(words), schema).dropDuplicates(["rep"]), "setjoin-shapes")
+    hist = materialize(arrow_map(shapes, _shapes(words), schema).dropDuplicates(["rep"]), "setjoin-shapes")
     comp = _link(own, members, hist, words, percent)
     discard(members, hist)
 
@@ -351,13 +352,13 @@ def _link(docs: DataFrame, members: DataFrame, hist: DataFrame, words: int, perc
         pairs = _pairs(probe, state.where(chosen).select(*cols), percent)
         shape = hist.select("rep", "fine")
         pairs = pairs.join(shape.withColumnsRenamed({"rep": "a", "fine": "x"}), "a").join(shape.withColumnsRenamed({"rep": "b", "fine": "y"}), "b")
-        pairs = materialize(pairs.select("a", "b", "x", "y").mapInArrow(_close_enough(percent), "a long, b long"), "setjoin-pairs")
+        pairs = materialize(arrow_map(pairs.select("a", "b", "x", "y"), _close_enough(percent), "a long, b long"), "setjoin-pairs")
         # whole sets only of the documents that a pair needs
         ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = docs.join(bounded_broadcast(ends, ends.count()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_whole_sets(words), "rep long, shingles binary")
+        sets = arrow_map(docs.join(bounded_broadcast(ends, ends.count()), "doc_id", "left_semi").select("doc_id", "text"), _whole_sets(words), "rep long, shingles binary")
         sets = materialize(sets, "setjoin-sets")
         sized = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-        new = materialize(sized.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "setjoin-links")
+        new = materialize(arrow_map(sized.select("a", "b", "x", "y"), _verify(percent), "a long, b long"), "setjoin-links")
         discard(pairs, sets)
         discard(open_)
         links.append(new)

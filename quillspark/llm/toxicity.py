@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .trees import sigmoid
 from .vector import lowered, prefix_hash, span_hash, text_slices, word_bounds
+from .workspace import arrow_map
 
 #: Labelled rows that the model is fitted on at most: those with the least hashes of their ids.
 TRAIN_ROWS = 10_000
@@ -165,7 +166,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("double").alias("label"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "doc_id", "label")
-    bags = sample.mapInArrow(_bags, "doc_id long, label double, feats binary, sents binary, count long").limit(2 * train_rows).toPandas()
+    bags = arrow_map(sample, _bags, "doc_id long, label double, feats binary, sents binary, count long").limit(2 * train_rows).toPandas()
     bags = bags.sort_values(["doc_id", "label", "count", "feats"], kind="stable").reset_index(drop=True)
     return fit_noisy_or(bags)
 
@@ -198,7 +199,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("text").alias("__text"), *keep)
     schema = docs.select(*keep).schema.add("score", "double").add("worst_sentence", "long").add("offending_sentences", "string")
-    return rows.mapInArrow(_score(shared, threshold), schema)
+    return arrow_map(rows, _score(shared, threshold), schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,12 +26,17 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+_libc = ctypes.CDLL(None)
+if hasattr(_libc, "mallopt"):
+    # arrays of 4 MiB or more are mapped on their own and go back when they are freed
+    _libc.mallopt(-3, 4 << 20)
+
+
 def tidy() -> None:
     """Gives freed memory back to the system; called when a task has used a lot of it."""
     pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]

@@ -34,7 +34,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import bounded_broadcast, materialize, shared_path
+from .workspace import arrow_map, bounded_broadcast, materialize, shared_path
 
 BLOCK_LINES = 1000
 MOST_SHARDS = 1024
@@ -158,7 +158,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     rows = rows.join(bounded_broadcast(again, again.count(), 500_000), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = rows.select("page_id", "url", "ts", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
-    return materialize(rows.mapInArrow(_write(root), _CAPTURE), "warc-captures")
+    return materialize(arrow_map(rows, _write(root), _CAPTURE), "warc-captures")
 
 
 _SHARD = "key string, ts string, id long, file string, captures long"
@@ -208,7 +208,7 @@ def build_index(captures: DataFrame, root: str) -> list[tuple]:
     n = max(1, min(n, MOST_SHARDS))
     order = ["key", "ts", "id", "file", "at"]
     ranged = captures.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    shards = materialize(ranged.mapInArrow(_write_shards(root), _SHARD), "warc-shards")
+    shards = materialize(arrow_map(ranged, _write_shards(root), _SHARD), "warc-shards")
     return sorted(((r["key"].encode(), r["ts"], r["id"]), r["file"]) for r in shards.collect())
 
 
@@ -296,7 +296,7 @@ def look_up(requests: DataFrame, root: str, top: list[tuple]) -> DataFrame:
     host = F.reverse(F.split(F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")), r"\."))
     keyed = requests.select("url", "ts", "page_id", "exact", F.array_join(host, ",").alias("k"))
     dealt = keyed.repartitionByRange(n, "k", "url", "page_id").sortWithinPartitions("k", "url", "page_id")
-    return dealt.select("url", "ts", "page_id", "exact").mapInArrow(_look_up(root, top), _CAPTURE)
+    return arrow_map(dealt.select("url", "ts", "page_id", "exact"), _look_up(root, top), _CAPTURE)
 
 
 _PAYLOAD = "page_id long, record_type string, refers_to long, header_digest string, payload_digest string, payload_bytes long, payload binary"
@@ -342,7 +342,7 @@ def read_records(found: DataFrame, root: str, with_payload: bool = True) -> Data
     """
     n = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.select("file", "at", "size").repartitionByRange(n, "file", "at").sortWithinPartitions("file", "at")
-    return dealt.mapInArrow(_read(root, with_payload), _PAYLOAD)
+    return arrow_map(dealt, _read(root, with_payload), _PAYLOAD)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

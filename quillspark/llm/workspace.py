@@ -46,6 +46,18 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+BATCH_ROWS = 2_000
+
+
+def arrow_map(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows: some megabytes of whole texts, on both sides."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
     """Hints a broadcast when the counted ``rows`` stay under ``limit``.
 
