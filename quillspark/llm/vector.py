@@ -28,8 +28,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _libc = ctypes.CDLL(None)
 if hasattr(_libc, "mallopt"):
-    # arrays of 4 MiB or more are mapped on their own and go back when they are freed
-    _libc.mallopt(-3, 4 << 20)
+    # arrays of 16 MiB or more are mapped on their own and go back when they are freed
+    _libc.mallopt(-3, 16 << 20)
 
 
 def tidy() -> None:
