@@ -28,7 +28,7 @@ def tags(spark, title, category=None):
         ("World news today", None, "#news"),
         ("3m grows", None, "#news"),
         ("Storm hits Houston", None, "[[city]]"),
-        ("New chip", "Tech News", "[[tech]] [[weather]] [[world]]"),
+        ("New chip", "Tech News", "[[tech]] [[city]] [[world]]"),
         ("Nothing", "Big Tech", "[[big-tech]] [[big]] [[tech]]"),
     ],
 )
