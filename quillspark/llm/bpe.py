@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vector import mix, prefix_hash, ragged_index, span_hash, text_slices
-from .workspace import arrow_map
+from .workspace import arrow_map, extended
 
 #: Ids that the cache of merged pieces holds before it starts anew.
 CACHE_IDS = 6_000_000
@@ -393,7 +393,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     text has empty arrays. Columns of these names are replaced, all others kept.
     """
     keep = [c for c in docs.columns if c not in ("ids", "piece_bytes", "piece_ids")]
-    schema = docs.select(*keep).schema.add("ids", "array<int>").add("piece_bytes", "array<int>").add("piece_ids", "array<int>")
+    schema = extended(docs.select(*keep).schema, "ids array<int>, piece_bytes array<int>, piece_ids array<int>")
     return arrow_map(docs.select(F.col(text_col).alias("__text"), *keep), _encode(path), schema)
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .vector import ragged_index
-from .workspace import arrow_map
+from .workspace import arrow_map, extended
 
 SIDE = 24
 TILE = SIDE * SIDE
@@ -387,11 +387,7 @@ def gif_frames(media: DataFrame, media_col: str = "media") -> DataFrame:
     """
     new = [x.split()[0] for x in _FRAME.split(", ")]
     keep = [c for c in media.columns if c != media_col and c not in new]
-    kinds = dict(x.split() for x in _FRAME.split(", "))
-    schema = media.select(*keep).schema
-    for n in new:
-        schema = schema.add(n, kinds[n])
-    return arrow_map(media.select(F.col(media_col).alias("__media"), *keep), _frame_rows, schema)
+    return arrow_map(media.select(F.col(media_col).alias("__media"), *keep), _frame_rows, extended(media.select(*keep).schema, _FRAME))
 
 
 def _store(batches):

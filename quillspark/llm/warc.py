@@ -293,7 +293,7 @@ def look_up(requests: DataFrame, root: str, top: list[tuple]) -> DataFrame:
     with very many requests is dealt to several tasks.
     """
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    host = F.reverse(F.split(F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")), r"\."))
+    host = F.reverse(F.split(F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit("")), r"\."))
     keyed = requests.select("url", "ts", "page_id", "exact", F.array_join(host, ",").alias("k"))
     dealt = keyed.repartitionByRange(n, "k", "url", "page_id").sortWithinPartitions("k", "url", "page_id")
     return arrow_map(dealt.select("url", "ts", "page_id", "exact"), _look_up(root, top), _CAPTURE)

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -58,6 +59,11 @@ def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """``schema`` with the fields of ``ddl`` after its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
     """Hints a broadcast when the counted ``rows`` stay under ``limit``.
 
