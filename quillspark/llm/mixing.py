@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .workspace import bounded_broadcast, discard, materialize
 
 #: Documents of a stratum, about; the number of slices of a source follows from its rows.
-STRATUM_ROWS = 20_000
+STRATUM_ROWS = 4_000
 #: Documents a size class of a source offers for working off the rest.
 SPARE = 48
 NEWTON_STEPS = 60
