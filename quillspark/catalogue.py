@@ -453,10 +453,10 @@ def _tag_conflicts(spark, d):
     return scored.select(F.explode(F.array_distinct(lost)).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@_query("tag_union", f"WITH {_TAGGED} SELECT array_to_string(list_sort(list_distinct(list(lower(tag)) || ['daily', 'brief'])), ',') AS tags FROM tags")
+@_query("tag_union", f"WITH {_TAGGED} SELECT array_to_string(list_sort(list_distinct(list(lower(tag)) || ['digest', 'news'])), ',') AS tags FROM tags")
 def _tag_union(spark, d):
     t = _stories(spark, d).select(tagging.tag_array(F.col("title"), F.col("category"), TAGS).alias("t"))
-    return t.agg(F.array_join(tagging.tag_union(F.col("t"), ["daily", "brief"]), ",").alias("tags"))
+    return t.agg(F.array_join(tagging.tag_union(F.col("t"), ["digest", "news"]), ",").alias("tags"))
 
 
 # ---------------------------------------------------------------- look-ups
@@ -531,8 +531,8 @@ def _retention(spark, d):
 
 @_query("next_version", "SELECT (max(doc_id % 97) + 1)::INT AS version, lpad((max(doc_id % 97) + 1)::VARCHAR, 2, '0') AS label FROM documents")
 def _version(spark, d):
-    f = _read(spark, d, "documents").select(F.format_string("DailyBrief-2024-01-31_v%02d.md", F.col("doc_id") % 97).alias("name"))
-    return lookup.next_version(f, "DailyBrief-2024-01-31")
+    f = _read(spark, d, "documents").select(F.format_string("Digest-2024-01-31_v%02d.md", F.col("doc_id") % 97).alias("name"))
+    return lookup.next_version(f, "Digest-2024-01-31")
 
 
 # ---------------------------------------------------------------- sources and rendering

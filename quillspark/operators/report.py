@@ -59,7 +59,7 @@ def section_lines(stories: DataFrame, skip: tuple[str, ...] = ("Weather Forecast
     return body.union(head)
 
 
-def front_matter(now: datetime, stories: int, categories: int, tags: list[str], age_window: int = 24, title: str = "Daily Brief") -> list[str]:
+def front_matter(now: datetime, stories: int, categories: int, tags: list[str], age_window: int = 24, title: str = "Digest") -> list[str]:
     """Lines between the two rules at the report's top; times are UTC."""
     return ["---", f"title: {title}", f"date: {now:%Y-%m-%d}", f"time_generated: {now:%Y-%m-%dT%H:%M:%SZ}", "status: active", f"content_age_window: {age_window}", f"story_count_total: {stories}", f"categories: {categories}", "tags:", *(f"  - {t}" for t in tags), "---"]
 
@@ -69,7 +69,7 @@ def weather_lines(forecast: list[str], station: list[str], lakes: list[str], hea
     return ["", "---", f"## {heading}", "", "**3 Day forecast:**", "", bold, "|" + " --- |" * 7, *forecast, "", station[0], "| --- | --- |", *station[1:], "", "| Where | Today | 1 Week Ago | 30 Days ago |", "|" + " --- |" * 4, *lakes]
 
 
-def report_path(folder: str, now: datetime, version: int | None = None, prefix: str = "DailyBrief") -> tuple[str, int]:
+def report_path(folder: str, now: datetime, version: int | None = None, prefix: str = "Digest") -> tuple[str, int]:
     """Path and version; without one, the one after the largest of this day's files."""
     day = f"{prefix}-{now:%Y-%m-%d}"
     if version is None:
@@ -79,7 +79,7 @@ def report_path(folder: str, now: datetime, version: int | None = None, prefix:
     return os.path.join(folder, f"{day}_v{version:02d}.md"), version
 
 
-def reserve(folder: str, now: datetime, prefix: str = "DailyBrief", tries: int = 1000) -> tuple[str, int]:
+def reserve(folder: str, now: datetime, prefix: str = "Digest", tries: int = 1000) -> tuple[str, int]:
     """Claims the next version by creating its file, which only one process can."""
     path, version = report_path(folder, now, None, prefix)
     for _ in range(tries):

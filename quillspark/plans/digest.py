@@ -29,7 +29,7 @@ class Run:
     keep: int = 10
 
 
-def daily_brief(spark: SparkSession, run: Run, candidates: DataFrame, categories: DataFrame, client, weather: list[str], store) -> tuple[int, str, list[str]]:
+def run_digest(spark: SparkSession, run: Run, candidates: DataFrame, categories: DataFrame, client, weather: list[str], store) -> tuple[int, str, list[str]]:
     """Deduplicates, enriches, tags, renders, writes and validates; (exit code, path, issues).
 
     ``store`` writes a frame once and reads it back. What reaches the driver is the
@@ -45,8 +45,8 @@ def daily_brief(spark: SparkSession, run: Run, candidates: DataFrame, categories
     body = [r["line"] for r in report.section_lines(shown).orderBy("place", "line_pos").collect()]
     head = report.front_matter(run.now, total, places.count(), names or list(run.seeds))
     path, _ = report.reserve(run.folder, run.now)
-    report.write_lines(path, [*head, "", f"# Daily Brief -- {run.now:%B %d, %Y}", *weather, *body])
-    report.remove_expired(run.folder, "DailyBrief-", run.keep)
+    report.write_lines(path, [*head, "", f"# Digest -- {run.now:%B %d, %Y}", *weather, *body])
+    report.remove_expired(run.folder, "Digest-", run.keep)
     passed, issues = report.validate_report(spark, path)
     return (OK if passed else BAD_REPORT), path, issues
 

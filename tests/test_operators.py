@@ -127,7 +127,7 @@ def test_report_round_trip(spark, tmp_path):
     report.write_lines(path, [*head, *report.weather_lines(lines, ["| a | b |"], []), *body])
     passed, issues = report.validate_report(spark, path)
     assert passed and issues == ["placeholder: Dynamic"]
-    assert report.remove_expired(str(tmp_path), "DailyBrief-", 1) and len(os.listdir(tmp_path)) == 1
+    assert report.remove_expired(str(tmp_path), "Digest-", 1) and len(os.listdir(tmp_path)) == 1
 
 
 def test_missing_report(spark, tmp_path):
@@ -135,6 +135,6 @@ def test_missing_report(spark, tmp_path):
 
 
 def test_versions_and_retention(spark):
-    f = spark.createDataFrame([("r", "DailyBrief-2026-07-30_v01.md", 1), ("r", "DailyBrief-2026-07-30_v09.md", 2), ("l", "run.md", 3)], "kind string, name string, mtime long")
-    assert lookup.next_version(f, "DailyBrief-2026-07-30").first().asDict() == {"version": 10, "label": "10"}
-    assert {r["name"] for r in lookup.keep_newest(f, 1).where("expired").collect()} == {"DailyBrief-2026-07-30_v01.md"}
+    f = spark.createDataFrame([("r", "Digest-2026-07-30_v01.md", 1), ("r", "Digest-2026-07-30_v09.md", 2), ("l", "run.md", 3)], "kind string, name string, mtime long")
+    assert lookup.next_version(f, "Digest-2026-07-30").first().asDict() == {"version": 10, "label": "10"}
+    assert {r["name"] for r in lookup.keep_newest(f, 1).where("expired").collect()} == {"Digest-2026-07-30_v01.md"}
