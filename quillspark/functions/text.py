@@ -16,6 +16,11 @@ from . import lexicon
 _SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends (trim() knows spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -81,9 +86,10 @@ def sentence_count(c: Column) -> Column:
 
 def sentence_trim(c: Column, most: int = 3) -> Column:
     """At most ``most`` sentences; doubled points are joined first."""
-    s = strip(F.replace(collapse(c), F.lit(".."), F.lit(".")))
-    parts = F.filter(F.transform(F.split(s, _SENTENCE_GAP), strip), lambda p: F.length(p) > 0)
-    return F.when(c.isNull(), F.lit("")).when(F.size(parts) >= most, F.array_join(F.slice(parts, 1, most), " ")).otherwise(s)
+    whole = strip(F.replace(collapse(c), F.lit(".."), F.lit(".")))
+    split = lambda s: F.filter(F.transform(F.split(s, _SENTENCE_GAP), strip), lambda p: F.length(p) > 0)
+    short = lambda s: let(split(s), lambda p: F.when(F.size(p) >= most, F.array_join(F.slice(p, 1, most), " ")).otherwise(s))
+    return F.when(c.isNull(), F.lit("")).otherwise(let(whole, short))
 
 
 def percent_value(c: Column) -> Column:
