@@ -574,7 +574,7 @@ def _batch_summaries(spark, d):
 @_query("fuzzy_headline_match")
 def _fuzzy(spark, d):
     p = _pairs(spark, d)
-    return p.select("conv_id", "turn", F.round(summaries.likeness(F.substring("title", 1, 200), F.substring("summary", 1, 200)), 6).alias("ratio"))
+    return p.select("conv_id", "turn", F.round(summaries.likeness(F.col("title"), F.col("summary")), 6).alias("ratio"))
 
 
 @_query("parse_batch_response")

@@ -1,5 +1,6 @@
 import os
 from datetime import date, datetime
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,18 @@ def test_batches_and_recovery(spark):
     assert m["final_valid"] > 0
 
 
+def test_headline_ratios_are_of_whole_texts(spark, tmp_path):
+    from quillspark.catalogue import queries
+
+    head = "Harbour  roads " * 20
+    turns = [("same start " * 30 + "A quick ending", "same start " * 30 + "another close"), (head + "closed after the flood", head.upper() + "reopened on Monday"), ("short", "Short"), ("x" * 150 + " abc" * 40, "y" * 150 + " abc" * 40)]
+    rows = [(k, n, role, text) for k, pair in enumerate(turns) for n, (role, text) in enumerate(zip(("user", "assistant"), pair))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    flat = [[" ".join(t.lower().split()) for t in pair] for pair in turns]
+    got = {r["conv_id"]: r["ratio"] for r in queries()["fuzzy_headline_match"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({k: SequenceMatcher(None, a, b).ratio() for k, (a, b) in enumerate(flat)}, abs=1e-6)
+
+
 def test_report_round_trip(spark, tmp_path):
     now = datetime(2026, 7, 30, 14)
     rows = [(1, "News", n, f"Harbour story {n}", f"http://x/{n}", "The harbour story was told. It is long." + " Pad." * 300, "2026-07-30", "[[a]]") for n in range(1, 6)]
