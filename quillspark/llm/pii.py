@@ -5,11 +5,14 @@ generators propose spans of the same kinds in other notations (spelled-out
 addresses, national telephone numbers, IPv6, cards with other separators) and
 credentials; they may overlap each other. Each candidate has features of its
 format and of the text around it. Trees are boosted on the candidates of a
-bounded sample of documents: base matches, rewritten into the other notations in
+bounded sample of documents that contain some, drawn for each kind and label on
+its own, so that a rare kind is found in a corpus of any size: base matches,
+rewritten into the other notations in
 place, are positive; matches that fail their checks, and numbers that are dates,
 versions or amounts, are negative. A third of the candidates calibrates the
 scores, and for each kind the threshold is the least score down to which the share of
-true ones is ``PRECISION`` or more. Chosen spans never
+true ones is ``PRECISION`` or more; a kind with few true ones, or without such a score,
+has the threshold of all kinds together. Chosen spans never
 overlap a base span; of overlapping ones the likeliest stays.
 
 Positions are code points, ends exclusive.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .trees import Boosted, boost, sigmoid
-from .workspace import arrow_map
+from .workspace import arrow_map, discard, materialize
 
-#: Documents whose candidates train the trees: those with the least hashes of their ids.
-TRAIN_DOCS = 3_000
+#: Documents that train the trees, for each kind and label: of those with such candidates, the least hashes of their ids.
+TRAIN_DOCS = 500
+#: Candidates that a document gives for one kind and label, spread over its length.
+TRAIN_CANDIDATES = 4
 PRECISION = 0.98
+#: Held-out true candidates below which a kind has the threshold of all kinds.
+LEAST_TRUE = 5
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -208,31 +216,58 @@ _DECOYS = (
 )
 
 
+def _labelled(text: str) -> dict[tuple[str, int], list[tuple[str, int, int]]]:
+    """The candidates of a text whose labels are known, by kind and label."""
+    good, bad = base_spans(text)
+    out: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
+    for s in good:
+        out.setdefault((s[0], 1), []).append(s)
+    for s in bad:
+        out.setdefault((s[0], 0), []).append(s)
+    for s in proposals(text):
+        if s[0] == "secret":
+            span = text[s[1] : s[2]]
+            out.setdefault(("secret", int(len(span) >= 12 and sum(c.isdigit() for c in span) >= 3)), []).append(s)
+    return out
+
+
+def _bit(kind: str, y: int) -> int:
+    return 1 << (2 * _ORDER[kind] + y)
+
+
+def _strata(batches):
+    """(k, strata) of the documents with labelled candidates: a bit for each kind and label."""
+    for batch in batches:
+        bits = [sum(_bit(*g) for g in _labelled(t)) for t in pc.fill_null(batch.column(1), "").to_pylist()]
+        some = pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32())], names=["k", "strata"])
+        yield some.filter(pa.array([b > 0 for b in bits], pa.bool_()))
+
+
 def _examples(batches):
-    """(label, features) of a sample's candidates, base ones, failing ones, rewritten ones and decoys."""
+    """(label, features) of a sample's candidates in the strata asked for: base ones, failing ones, rewritten ones and decoys."""
     for batch in batches:
         xs, ys = [], []
-        for text in pc.fill_null(batch.column(0), "").to_pylist():
-            good, bad = base_spans(text)
-            for n, s in enumerate(good):
-                xs.append(features(text, *s))
-                ys.append(1)
-                other = _rewritten(text, *s, turn=s[1] + n)
-                if other:
-                    xs.append(features(other[0], s[0], *other[1:]))
-                    ys.append(1)
-                kind, decoy = _DECOYS[(s[1] + n) % len(_DECOYS)]
-                before, after = text[max(0, s[1] - 40) : s[1]], text[s[2] : s[2] + 40]
-                xs.append(features(before + decoy + after, kind, len(before), len(before) + len(decoy)))
-                ys.append(0)
-            for s in bad:
-                xs.append(features(text, *s))
-                ys.append(0)
-            for kind, start, end in proposals(text):
-                if kind == "secret":
-                    span = text[start:end]
-                    xs.append(features(text, kind, start, end))
-                    ys.append(int(len(span) >= 12 and sum(c.isdigit() for c in span) >= 3))
+
+        def add(y, text, *span):
+            xs.append(features(text, *span))
+            ys.append(y)
+
+        for text, strata in zip(pc.fill_null(batch.column(0), "").to_pylist(), batch.column(1).to_pylist()):
+            for (kind, y), found in _labelled(text).items():
+                if not strata & _bit(kind, y):
+                    continue
+                step = max(len(found) / TRAIN_CANDIDATES, 1)
+                for n in range(min(len(found), TRAIN_CANDIDATES)):
+                    s = found[int(n * step)]
+                    add(y, text, *s)
+                    if not y or kind == "secret":
+                        continue
+                    other = _rewritten(text, *s, turn=s[1] + n)
+                    if other:
+                        add(1, other[0], kind, *other[1:])
+                    like, decoy = _DECOYS[(s[1] + n) % len(_DECOYS)]
+                    before, after = text[max(0, s[1] - 40) : s[1]], text[s[2] : s[2] + 40]
+                    add(0, before + decoy + after, like, len(before), len(before) + len(decoy))
         yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.float64()))], names=["y", "x"])
 
 
@@ -246,6 +281,18 @@ class Selector:
         return sigmoid(self.slope * self.model.raw(x) + self.shift)
 
 
+def _threshold(p: np.ndarray, true: np.ndarray) -> float | None:
+    """The least score down to which the share of true ones is ``PRECISION``; None without one or with few true ones."""
+    order = np.argsort(-p, kind="stable")
+    ps, ts = p[order], true[order]
+    fit = np.flatnonzero(np.cumsum(ts) >= PRECISION * np.arange(1, len(ts) + 1))
+    if not len(fit) or ts.sum() < LEAST_TRUE:
+        return None
+    # halfway to the next lower score, so that a gap between the classes is shared
+    low = ps[fit[-1] + 1] if fit[-1] + 1 < len(ps) else 0.0
+    return max(float(ps[fit[-1]] + low) / 2, 0.5)
+
+
 def fit_selector(x: np.ndarray, y: np.ndarray) -> Selector:
     """Boosts on two thirds of the candidates, calibrates and sets thresholds on the rest."""
     if not len(y) or y.min() == y.max():
@@ -265,27 +312,25 @@ def fit_selector(x: np.ndarray, y: np.ndarray) -> Selector:
         d = np.linalg.solve(h, g)
         a, b = a - float(np.clip(d[0], -1, 1)), b - float(np.clip(d[1], -1, 1))
     p = sigmoid(a * raw + b)
-    thresholds = {}
-    for k, kind in enumerate(KINDS):
-        own = x[hold][:, k] > 0
-        order = np.argsort(-p[own], kind="stable")
-        ps, ts = p[own][order], yh[own][order]
-        right = np.cumsum(ts) / np.arange(1, len(ts) + 1) if len(ts) else np.zeros(0)
-        fit = np.flatnonzero(right >= PRECISION)
-        if not len(fit) or ts.sum() < 5:
-            thresholds[kind] = 2.0
-            continue
-        # halfway to the next lower score, so that a gap between the classes is shared
-        low = ps[fit[-1] + 1] if fit[-1] + 1 < len(ps) else 0.0
-        thresholds[kind] = max(float(ps[fit[-1]] + low) / 2, 0.5)
+    # where even all kinds are too few to count, what is likelier true than not
+    pooled = _threshold(p, yh) or 0.5
+    thresholds = {kind: _threshold(p[own], yh[own]) or pooled for kind, own in ((kind, x[hold][:, k] > 0) for k, kind in enumerate(KINDS))}
     return Selector(model, a, b, thresholds)
 
 
 def train_selector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Selector:
-    """Fits on the candidates of at most ``train_docs`` documents; without any, nothing is added to base spans."""
-    chosen = docs.select(F.col(id_col).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(train_docs)
-    sample = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "k", "left_semi").select("t")
-    rows = sorted((tuple(x), y) for y, x in arrow_map(sample, _examples, "y int, x array<double>").limit(200_000).collect())
+    """Fits on candidates of at most ``train_docs`` documents a kind and label; without any, nothing is added to base spans."""
+    docs = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k IS NOT NULL")
+    held = arrow_map(docs, _strata, docs.select("k", F.lit(0).alias("strata")).schema)
+    held = materialize(held.groupBy("k").agg(F.bit_or("strata").alias("strata")), "pii-strata")
+    picks = []
+    for bit in (1 << n for n in range(2 * len(KINDS))):
+        own = held.where(F.col("strata").bitwiseAND(bit) > 0).select("k")
+        picks.append(own.orderBy(F.xxhash64("k"), "k").limit(train_docs).withColumn("strata", F.lit(bit)))
+    chosen = reduce(DataFrame.union, picks).groupBy("k").agg(F.bit_or("strata").alias("strata"))
+    sample = docs.join(F.broadcast(chosen), "k").select("t", "strata")
+    rows = sorted((tuple(x), y) for y, x in arrow_map(sample, _examples, "y int, x array<double>").collect())
+    discard(held)
     return fit_selector(np.array([x for x, _ in rows]).reshape(-1, FEATURES), np.array([y for _, y in rows]))
 
 

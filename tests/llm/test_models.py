@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -142,6 +143,24 @@ def test_selector_adds_other_notations(spark):
     assert spans[2] == [] and spans[3] == []
 
 
+def test_rare_kinds_stay_on(spark):
+    rows = [(k, "plain words and nothing else " * 3, "en", "s", 1) for k in range(2000)]
+    rows += [(5000 + k, t, c, s, n) for k, (_, t, c, s, n) in enumerate(r for r in people(240, 4) if r[0] % 6 != 1)]
+    rows += [(9000 + k, f"some words here call +1 (415) 555-01{k}0 today and more", "en", "s", 1) for k in range(2)]
+    docs = frame(spark, rows)
+    texts = ["some words here call (415) 555-0132 today and more", "some words mail me at jane [at] mail [dot] example [dot] com now"]
+    # few documents with candidates among many, then few documents at all
+    for sel in (pii.train_selector(docs, train_docs=100), pii.train_selector(docs.where("doc_id >= 5000"))):
+        assert max(sel.thresholds.values()) < 1
+        assert [{s[0] for s in found} for found in pii.find_spans(texts, sel)[1]] == [{"phone"}, {"email"}]
+
+
+def test_one_text_does_not_crowd_out_others(spark):
+    long = " ".join(f"order 4111 1111 1111 {k:04d}" for k in range(3000))
+    batch = [r for b in pii._examples([pa.RecordBatch.from_pydict({"t": [long], "strata": pa.array([(1 << 2 * len(pii.KINDS)) - 1], pa.int32())})]) for r in b.to_pylist()]
+    assert 0 < len(batch) <= 2 * 3 * pii.TRAIN_CANDIDATES
+
+
 def test_personal_data_rows(spark):
     rows = people(60) + [(1000, None, "en", "s", 1), (1001, "", "en", "s", 1), (1001, "é a@b.c", "en", "s", 1)]
     docs = frame(spark, rows)
