@@ -101,7 +101,9 @@ _NATIONAL = re.compile(r"(?<![0-9+.-])(?:00[0-9][ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-
 _SPACED = re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])")
 _V6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _NAME = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|credential)s?[\"']?\s{0,3}$")
-_VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"',;]{6,200})")
+_OPEN = re.compile(r"\s{0,3}[\"']?")
+# a value reaches its run's end, however long
+_VALUE = re.compile(r"[^\s\"',;]{6,}+")
 
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
@@ -121,9 +123,12 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     for sign in "=:":
         at = text.find(sign)
         while at >= 0:
-            if _NAME.search(text, max(0, at - 24), at) and (m := _VALUE.match(text, at + 1)):
-                out.append(("secret", *m.span(1)))
-            at = text.find(sign, at + 1)
+            nxt = at + 1
+            if _NAME.search(text, max(0, at - 24), at) and (m := _VALUE.match(text, _OPEN.match(text, nxt).end())):
+                out.append(("secret", *m.span()))
+                # names within a value are part of it, so a long one is read once
+                nxt = m.end()
+            at = text.find(sign, nxt)
     return out
 
 
@@ -190,6 +195,8 @@ def _rewritten(text: str, kind: str, start: int, end: int, turn: int) -> tuple[s
         if len(d) != 16:
             return None
         new = "._/"[turn % 3].join(d[k : k + 4] for k in (0, 4, 8, 12))
+    elif kind == "secret":
+        new = span * (200 // len(span) + 1 + turn % 5)
     elif kind == "ip":
         p = [int(x) for x in span.split(".")]
         new = ":".join(f"{x * 257:x}" for x in (*p, *p))
@@ -260,11 +267,13 @@ def _examples(batches):
                 for n in range(min(len(found), TRAIN_CANDIDATES)):
                     s = found[int(n * step)]
                     add(y, text, *s)
-                    if not y or kind == "secret":
+                    if not y:
                         continue
                     other = _rewritten(text, *s, turn=s[1] + n)
                     if other:
                         add(1, other[0], kind, *other[1:])
+                    if kind == "secret":
+                        continue
                     like, decoy = _DECOYS[(s[1] + n) % len(_DECOYS)]
                     before, after = text[max(0, s[1] - 40) : s[1]], text[s[2] : s[2] + 40]
                     add(0, before + decoy + after, like, len(before), len(before) + len(decoy))

@@ -143,6 +143,24 @@ def test_selector_adds_other_notations(spark):
     assert spans[2] == [] and spans[3] == []
 
 
+def credentials(n=200, seed=3):
+    rng = random.Random(seed)
+    names = ["password", "token", "api_key", "client_secret", "pwd"]
+    return [(7000 + k, f"here is a line {names[k % 5]}{': ' if k % 2 else ' = '}{rng.getrandbits(64 + k % 90):x} and more words", "en", "s", 1) for k in range(n)]
+
+
+def test_long_secrets_are_covered_to_their_end(spark):
+    rng = random.Random(5)
+    secret = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.-=") for _ in range(1000))
+    sel = pii.train_selector(frame(spark, people() + credentials()))
+    for text in (f"here is a line token={secret} and more", f'here is a line password: "{secret}" and more'):
+        assert ("secret", text.index(secret), text.index(secret) + 1000) in pii.proposals(text)
+        spans = pii.find_spans([text], sel)[1][0]
+        assert pii.redact(text, spans) == text.replace(secret, "[SECRET]")
+    for text in ("token=" * 40_000, "token:" * 40_000, "token=" + "a" * 200_000):
+        assert pii.proposals(text) == [("secret", 6, len(text))]
+
+
 def test_rare_kinds_stay_on(spark):
     rows = [(k, "plain words and nothing else " * 3, "en", "s", 1) for k in range(2000)]
     rows += [(5000 + k, t, c, s, n) for k, (_, t, c, s, n) in enumerate(r for r in people(240, 4) if r[0] % 6 != 1)]
