@@ -9,7 +9,8 @@ bounded sample of documents that contain some, drawn for each kind and label on
 its own, so that a rare kind is found in a corpus of any size: base matches,
 rewritten into the other notations in
 place, are positive; matches that fail their checks, and numbers that are dates,
-versions or amounts, are negative. A third of the candidates calibrates the
+versions or amounts, are negative. Values after the names of credentials are
+positive in any length and form; placeholders there, and values after other names, are negative. A third of the candidates calibrates the
 scores, and for each kind the threshold is the least score down to which the share of
 true ones is ``PRECISION`` or more; a kind with few true ones, or without such a score,
 has the threshold of all kinds together. Chosen spans never
@@ -100,10 +101,18 @@ _SPELT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:[ ]?[(\[{][ ]?(?:dot|DOT|\.)[ ]?[)
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:00[0-9][ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 _SPACED = re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])")
 _V6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-_NAME = re.compile(r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|credential)s?[\"']?\s{0,3}$")
+_CREDENTIAL = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|credential)s?[\"']?\s{0,3}"
+_NAME = re.compile(_CREDENTIAL + "$")
+_NAMED = re.compile(_CREDENTIAL + r"[=:]\s{0,3}[\"']?$")
 _OPEN = re.compile(r"\s{0,3}[\"']?")
 # a value reaches its run's end, however long
 _VALUE = re.compile(r"[^\s\"',;]{6,}+")
+#: Other names and their values, for examples only.
+_OTHER = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,30}[\"']?\s{0,3}$")
+_OTHERS = re.compile(r"[^\s\"',;]{6,64}+(?![^\s\"',;])")
+_STANDS = ("unknown", "required", "undefined", "changeme", "********", "optional", "xxxxxxxx", "redacted", "<token>", "${SECRET}", "expired", "missing", "invalid", "your-key-here")
+#: What is written in the place of a credential.
+_PLACEHOLDER = re.compile(r"(?i)(?:" + "|".join(w for w in _STANDS if w.isalpha()) + r"|disabled|enabled|default|string|[*x._-]++|<.*>|\$?\{+[^{}]*\}+|%[a-z_]+%|your[_-].*)[.!?)\]]*")
 
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
@@ -133,7 +142,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
 
 
 _HINTS = [re.compile(p, re.I) for p in (r"mail|contact|@|write", r"\bip\b|server|host|addr", r"card|visa|credit|account", r"phone|tel|call|fax|mobile", r"pass|token|key|secret", r"version|v\.?\s?$|date|page|\bno\b|isbn|order|total|\$|€")]
-FEATURES = 31
+FEATURES = 33
 
 
 _DOT_WORD = re.compile(r"[ (\[{](?:dot|DOT)[ )\]}]")
@@ -151,6 +160,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     octets = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     tail = re.search(r"[A-Za-z]+$", span)
     value = len(set(span)) / max(len(span), 1)
+    stands = bool(_PLACEHOLDER.fullmatch(span))
     return [
         *(float(kind == k) for k in KINDS),
         float(end - start),
@@ -173,10 +183,15 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(prev.isalnum()),
         float(nxt.isalnum()),
         float(sum(c.isdigit() for c in before[-12:]) + sum(c.isdigit() for c in after)),
+        float(bool(_NAMED.search(before)) and not stands),
+        float(stands),
         *(float(bool(h.search(before))) for h in _HINTS),
     ]
 
 
+_LETTERS = str.maketrans("0123456789", "ghijklmnop")
+
+
 def _rewritten(text: str, kind: str, start: int, end: int, turn: int) -> tuple[str, int, int] | None:
     """A base match in another notation, with what stands around it."""
     span = text[start:end]
@@ -196,7 +211,9 @@ def _rewritten(text: str, kind: str, start: int, end: int, turn: int) -> tuple[s
             return None
         new = "._/"[turn % 3].join(d[k : k + 4] for k in (0, 4, 8, 12))
     elif kind == "secret":
-        new = span * (200 // len(span) + 1 + turn % 5)
+        # very long, short, or of letters only: neither length nor digits make a credential
+        letters = span.translate(_LETTERS)
+        new = [span * (200 // len(span) + 1 + turn % 5), span[: 6 + turn % 10], letters[: 6 + turn % 17]][turn % 3]
     elif kind == "ip":
         p = [int(x) for x in span.split(".")]
         new = ":".join(f"{x * 257:x}" for x in (*p, *p))
@@ -233,8 +250,14 @@ def _labelled(text: str) -> dict[tuple[str, int], list[tuple[str, int, int]]]:
         out.setdefault((s[0], 0), []).append(s)
     for s in proposals(text):
         if s[0] == "secret":
-            span = text[s[1] : s[2]]
-            out.setdefault(("secret", int(len(span) >= 12 and sum(c.isdigit() for c in span) >= 3)), []).append(s)
+            out.setdefault(("secret", int(not _PLACEHOLDER.fullmatch(text, s[1], s[2]))), []).append(s)
+    for sign in "=:":
+        at = text.find(sign)
+        while at >= 0:
+            m = _OTHERS.match(text, _OPEN.match(text, at + 1).end())
+            if m and _OTHER.search(text, max(0, at - 36), at) and not _NAME.search(text, max(0, at - 24), at):
+                out.setdefault(("secret", 0), []).append(("secret", *m.span()))
+            at = text.find(sign, at + 1)
     return out
 
 
@@ -272,9 +295,7 @@ def _examples(batches):
                     other = _rewritten(text, *s, turn=s[1] + n)
                     if other:
                         add(1, other[0], kind, *other[1:])
-                    if kind == "secret":
-                        continue
-                    like, decoy = _DECOYS[(s[1] + n) % len(_DECOYS)]
+                    like, decoy = _DECOYS[(s[1] + n) % len(_DECOYS)] if kind != "secret" else (kind, _STANDS[(s[1] + n) % len(_STANDS)])
                     before, after = text[max(0, s[1] - 40) : s[1]], text[s[2] : s[2] + 40]
                     add(0, before + decoy + after, like, len(before), len(before) + len(decoy))
         yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.float64()))], names=["y", "x"])

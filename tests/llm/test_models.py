@@ -161,6 +161,12 @@ def test_long_secrets_are_covered_to_their_end(spark):
         assert pii.proposals(text) == [("secret", 6, len(text))]
 
 
+def test_secrets_need_neither_length_nor_digits(spark):
+    sel = pii.train_selector(frame(spark, people() + credentials()))
+    found = {t: [t[a:b] for k, a, b in pii.find_spans([t], sel)[1][0] if k == "secret"] for t in ("password: correcthorsebattery", "set pwd=hunter2 there", "my token = abcdefgh", "password: required", "the token = unknown yet", 'secret: "********"', "title: correcthorsebattery")}
+    assert list(found.values()) == [["correcthorsebattery"], ["hunter2"], ["abcdefgh"], [], [], [], []]
+
+
 def test_rare_kinds_stay_on(spark):
     rows = [(k, "plain words and nothing else " * 3, "en", "s", 1) for k in range(2000)]
     rows += [(5000 + k, t, c, s, n) for k, (_, t, c, s, n) in enumerate(r for r in people(240, 4) if r[0] % 6 != 1)]
