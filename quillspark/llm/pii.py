@@ -118,7 +118,7 @@ _PLACEHOLDER = re.compile(r"(?i)(?:" + "|".join(w for w in _STANDS if w.isalpha(
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Candidates in other notations; they may overlap base spans and each other."""
     out = []
-    for m in _AT.finditer(text) if ("at" in text or "AT" in text or "@" in text) and ("(" in text or "[" in text or "{" in text or "dot" in text or "DOT" in text or " @ " in text) else ():
+    for m in _AT.finditer(text) if "at" in text or "AT" in text or "@" in text else ():
         start = m.start()
         while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
             start -= 1
@@ -196,7 +196,7 @@ def _rewritten(text: str, kind: str, start: int, end: int, turn: int) -> tuple[s
     """A base match in another notation, with what stands around it."""
     span = text[start:end]
     if kind == "email":
-        at, dot = [(" [at] ", "."), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]")][turn % 4]
+        at, dot = [(" [at] ", "."), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"), (" at ", ".")][turn % 5]
         name, _, host = span.partition("@")
         if start & 1:
             # addresses without digits are as common as those with
@@ -235,6 +235,9 @@ _DECOYS = (
     ("ip", "00:00:10:25"),
     ("email", "meet at noon.then"),
     ("email", "looked at him.she"),
+    ("email", "arrived at home.Then"),
+    ("email", "was at work.it"),
+    ("email", "stayed at sea.Nobody"),
     ("secret", "unknown"),
     ("secret", "required"),
 )

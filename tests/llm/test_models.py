@@ -167,6 +167,14 @@ def test_secrets_need_neither_length_nor_digits(spark):
     assert list(found.values()) == [["correcthorsebattery"], ["hunter2"], ["abcdefgh"], [], [], [], []]
 
 
+def test_spelt_at_with_a_plain_dot(spark):
+    text = "some words mail me at jane at host3.example.com now and more words"
+    assert ("email", text.index("jane"), text.index(" now")) in pii.proposals(text)
+    sel = pii.train_selector(frame(spark, people()))
+    assert pii.redact(text, pii.find_spans([text], sel)[1][0]) == "some words mail me at [EMAIL] now and more words"
+    assert pii.find_spans(["we shall meet at noon.then we go"], sel)[1] == [[]]
+
+
 def test_rare_kinds_stay_on(spark):
     rows = [(k, "plain words and nothing else " * 3, "en", "s", 1) for k in range(2000)]
     rows += [(5000 + k, t, c, s, n) for k, (_, t, c, s, n) in enumerate(r for r in people(240, 4) if r[0] % 6 != 1)]
