@@ -208,11 +208,13 @@ def _shapes(words: int):
     def run(batches):
         for batch in batches:
             fine = np.zeros((batch.num_rows, _FINE), np.uint16)
+            k1 = np.zeros(batch.num_rows, np.int64)
             for row, s in distinct_sets(batch.column(1), words):
+                k1[row] = _set_key(s)[0] if len(s) else 0
                 fine[row] = np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=_FINE), 65535)
             coarse = fine.reshape(-1, _PARTS, _FINE // _PARTS).sum(axis=2, dtype=np.int32)
-            cols = [batch.column(0), pa.array([f.tobytes() for f in fine], pa.binary()), *(pa.array(coarse[:, k]) for k in range(_PARTS))]
-            yield pa.RecordBatch.from_arrays(cols, names=["rep", "fine", *_HIST])
+            cols = [batch.column(0), pa.array(k1), pa.array([f.tobytes() for f in fine], pa.binary()), *(pa.array(coarse[:, k]) for k in range(_PARTS))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "k1", "fine", *_HIST])
 
     return run
 
@@ -224,13 +226,13 @@ def _close_enough(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in batch.column(k)]).astype(np.int64) for k in (2, 3))
+            x, y = (np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in batch.column(k)]).astype(np.int64) for k in (4, 5))
             total = x.sum(axis=1) + y.sum(axis=1)
             need = -(-percent * total // (100 + percent))
             # a set with a saturated part is never dropped here
             full = (x.max(axis=1) >= 65535) | (y.max(axis=1) >= 65535)
             keep = full | (np.abs(x - y).sum(axis=1) <= total - 2 * need)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -238,8 +240,11 @@ def _close_enough(percent: int):
 def _whole_sets(words: int):
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for _, s in distinct_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+            sets, k1 = [], []
+            for _, s in distinct_sets(batch.column(1), words):
+                sets.append(s.tobytes())
+                k1.append(_set_key(s)[0] if len(s) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "k1", "shingles"])
 
     return run
 
@@ -270,7 +275,8 @@ def _pairs(probe: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     apart = sum((F.abs(F.col(f"p_h{k}") - F.col(f"q_h{k}")) for k in range(_PARTS)), F.lit(0))
     suffix = apart <= F.col("p_n") + F.col("q_n") - 2 * need
     on = (p["token"] == q["token"]) & (F.col("p_comp") != F.col("q_comp")) & length & positional & suffix
-    return p.join(q, on).select(F.least("p_rep", "q_rep").alias("a"), F.greatest("p_rep", "q_rep").alias("b")).distinct()
+    ends = [F.struct(F.col(f"{x}_rep").alias("rep"), F.col(f"{x}_k1").alias("k1")) for x in "pq"]
+    return p.join(q, on).select(*(end[c].alias(n + e) for n, end in (("a", F.least(*ends)), ("b", F.greatest(*ends))) for c, e in (("rep", ""), ("k1", "k")))).distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,10 +312,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     own = docs.where("doc_id IS NOT NULL")
     shapes = own.join(bounded_broadcast(involved, involved.count()), "doc_id", "left_semi").select("doc_id", "text")
-    schema = "rep long, fine binary, " + ", ".join(f"{h} int" for h in _HIST)
-    hist = materialize(arrow_map(shapes, _shapes(words), schema).dropDuplicates(["rep"]), "setjoin-shapes")
+    schema = "rep long, k1 long, fine binary, " + ", ".join(f"{h} int" for h in _HIST)
+    hist = materialize(arrow_map(shapes, _shapes(words), schema).dropDuplicates(["rep", "k1"]), "setjoin-shapes")
     comp = _link(own, members, hist, words, percent)
     discard(members, hist)
+    # the sets of one document link, also where a smaller doc_id stands for one of them
+    known = sizes.where("n > 0 AND doc_id IS NOT NULL")
+    several = known.groupBy("doc_id").agg(*(f(k).alias(f"{k}{e}") for k in ("k1", "k2") for e, f in (("m", F.min), ("x", F.max)))).where("k1m <> k1x OR k2m <> k2x").select("doc_id")
+    count = several.count()
+    if count:
+        edges = known.join(bounded_broadcast(several, count), "doc_id", "left_semi").join(reps, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        old = comp
+        comp = connected_components(edges if old is None else edges.union(old.select("node", "component")), "setjoin-components")
+        if old is not None:
+            discard(old)
 
     named = sizes.join(reps, ["k1", "k2"], "left")
     if comp is not None:
@@ -337,7 +353,7 @@ def _link(docs: DataFrame, members: DataFrame, hist: DataFrame, words: int, perc
         if not most:
             discard(open_)
             break
-        state = state.join(open_, "token").join(hist.select("rep", *_HIST), "rep")
+        state = state.join(open_, "token").join(hist.select("rep", "k1", *_HIST), ["rep", "k1"])
         # a pivot is a member with a small hash for its bucket's size: no ranking of a hot bucket
         rank = (F.shiftrightunsigned(F.xxhash64("rep"), 1) / F.lit(float(1 << 63))) * F.col("size")
         leads = F.col("k1") == F.col("lead")
@@ -347,17 +363,17 @@ def _link(docs: DataFrame, members: DataFrame, hist: DataFrame, words: int, perc
             chosen, width = ~leads, None
         else:
             chosen = ~leads & (rank < width)
-        cols = ["token", "rep", "n", "pos", "comp", *(f"h{k}" for k in range(_PARTS))]
+        cols = ["token", "rep", "k1", "n", "pos", "comp", *(f"h{k}" for k in range(_PARTS))]
         probe = state.where(F.col("comp") != F.col("main")).select(*cols)
         pairs = _pairs(probe, state.where(chosen).select(*cols), percent)
-        shape = hist.select("rep", "fine")
-        pairs = pairs.join(shape.withColumnsRenamed({"rep": "a", "fine": "x"}), "a").join(shape.withColumnsRenamed({"rep": "b", "fine": "y"}), "b")
-        pairs = materialize(arrow_map(pairs.select("a", "b", "x", "y"), _close_enough(percent), "a long, b long"), "setjoin-pairs")
+        shape = hist.select("rep", "k1", "fine")
+        pairs = pairs.join(shape.withColumnsRenamed({"rep": "a", "k1": "ak", "fine": "x"}), ["a", "ak"]).join(shape.withColumnsRenamed({"rep": "b", "k1": "bk", "fine": "y"}), ["b", "bk"])
+        pairs = materialize(arrow_map(pairs.select("a", "b", "ak", "bk", "x", "y"), _close_enough(percent), "a long, b long, ak long, bk long"), "setjoin-pairs")
         # whole sets only of the documents that a pair needs
         ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = arrow_map(docs.join(bounded_broadcast(ends, ends.count()), "doc_id", "left_semi").select("doc_id", "text"), _whole_sets(words), "rep long, shingles binary")
+        sets = arrow_map(docs.join(bounded_broadcast(ends, ends.count()), "doc_id", "left_semi").select("doc_id", "text"), _whole_sets(words), "rep long, k1 long, shingles binary")
         sets = materialize(sets, "setjoin-sets")
-        sized = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+        sized = pairs.join(sets.withColumnsRenamed({"rep": "a", "k1": "ak", "shingles": "x"}), ["a", "ak"]).join(sets.withColumnsRenamed({"rep": "b", "k1": "bk", "shingles": "y"}), ["b", "bk"])
         new = materialize(arrow_map(sized.select("a", "b", "x", "y"), _verify(percent), "a long, b long"), "setjoin-links")
         discard(pairs, sets)
         discard(open_)

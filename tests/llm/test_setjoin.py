@@ -59,6 +59,22 @@ def test_null_and_repeated_ids(spark):
     assert got == sorted([(True, 0, None)] * 2 + [(False, 5, 5)] * 3 + [(False, 9, 5)], key=str)
 
 
+def test_near_copies_of_every_text_of_an_id(spark):
+    rng = random.Random(8)
+    rows, expected = [], {}
+    for k in range(30):
+        one, two = ([f"{c}{k}x{rng.randint(0, 999)}" for _ in range(60 + 40 * (c == "q"))] for c in "pq")
+        near = two[:-1] + ["other"]
+        rows += [(100 + k, " ".join(one), "en", "s", 1), (100 + k, " ".join(two), "en", "s", 1), (200 + k, " ".join(near), "en", "s", 1)]
+        # a smaller id has one of the texts
+        rows.append((k, " ".join(one if k % 2 else near), "en", "s", 1))
+        expected |= {i: k for i in (k, 100 + k, 200 + k)}
+    alone = [r for r in rows if r[0] >= 100]
+    for some, least in ((rows, 0), (alone, 100)):
+        got = {(r["doc_id"], r["component_id"]) for r in setjoin.jaccard_components(frame(spark, some), 3, 90).collect()}
+        assert got == {(i, c + least) for i, c in expected.items() if i >= least}
+
+
 def test_empty_table(spark):
     assert setjoin.jaccard_components(empty(spark)).count() == 0
     assert setjoin.keep_one_of_each(spark, empty(spark), "").count() == 0
