@@ -27,14 +27,17 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _libc = ctypes.CDLL(None)
-if hasattr(_libc, "mallopt"):
-    # arrays of 16 MiB or more are mapped on their own and go back when they are freed
-    _libc.mallopt(-3, 16 << 20)
 
 
 def tidy() -> None:
-    """Gives freed memory back to the system; called when a task has used a lot of it."""
+    """Gives freed memory back to the system; every task of a Python worker ends with it.
+
+    From then on the worker's arrays of 16 MiB or more are mapped on their own and go
+    back when they are freed. Nothing is changed in the driver or by an import.
+    """
     pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "mallopt"):
+        _libc.mallopt(-3, 16 << 20)
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
 

@@ -1,7 +1,9 @@
 """Shared scratch tables: lineage is cut by writing to the cluster's shared folder.
 
 The folder is the one named by ``spark.checkpoint.dir``; only where that setting
-is absent (unit tests on one machine) a temporary folder is created and set.
+is absent and the master is local (unit tests on one machine) a temporary folder is
+created and set. On a cluster its absence is an error: executors do not share the
+driver's folders.
 """
 
 from __future__ import annotations
@@ -10,14 +12,20 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .vector import tidy
+
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -47,16 +55,36 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
-BATCH_ROWS = 2_000
+#: Bytes of an Arrow batch of whole texts, on the way to Python.
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches to ``BATCH_BYTES`` where the session does not say otherwise.
+
+    Batches are cut when a plan runs, which for the frames returned here is the
+    caller's action; so the bound stays in the session. It changes no result, and
+    a session that sets the bound itself keeps its own.
+    """
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+def _tidied(function):
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return run
 
 
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most ``BATCH_ROWS`` rows: some megabytes of whole texts, on both sides."""
-    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    """``df.mapInArrow`` with batches bounded in bytes; a task that ends gives its memory back to the system."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(_tidied(function), schema)
 
 
 def extended(schema: StructType, ddl: str) -> StructType:
@@ -64,11 +92,13 @@ def extended(schema: StructType, ddl: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
 
 
-def bounded_broadcast(df: DataFrame, rows: int, limit: int = 2_000_000) -> DataFrame:
+#: Rows of a relation that is broadcast at most: some 20 MB of ids.
+BROADCAST_ROWS = 300_000
+
+
+def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast when the counted ``rows`` stay under ``limit``.
 
     Beyond the limit the frame is returned unhinted and Spark's sort-merge join runs.
     """
-    from pyspark.sql import functions as F
-
     return F.broadcast(df) if rows <= limit else df

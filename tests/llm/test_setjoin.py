@@ -75,6 +75,61 @@ def test_near_copies_of_every_text_of_an_id(spark):
         assert got == {(i, c + least) for i, c in expected.items() if i >= least}
 
 
+def test_links_of_every_text_of_a_repeated_id(spark):
+    """The shapes of an id's texts are kept apart: texts of one size that differ in all else, near copies of each elsewhere."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(40):
+        a, b = ([f"{c}{k}x{rng.randint(0, 99999)}" for _ in range(80)] for c in "ab")
+        rows += [(1000 + k, " ".join(a), "en", "s", 1), (1000 + k, " ".join(b), "en", "s", 1)]
+        rows += [(2000 + k, " ".join([*a[:-1], "end"]), "en", "s", 1), (3000 + k, " ".join(["start", *b[1:]]), "en", "s", 1)]
+    # and one id with a third of all rows, most of them alike
+    rows += [(7, f"hot {k % 5} " + " ".join(f"h{(k % 5) * 100 + j}" for j in range(60)), "en", "s", 1) for k in range(80)]
+    rows.append((8, "hot 3 " + " ".join(f"h{300 + j}" for j in range(59)) + " z", "en", "s", 1))
+    assert result(setjoin.jaccard_components(frame(spark, rows), 3, 90)) == brute(rows, 3, 90)
+
+
+@pytest.mark.parametrize("n, percent, seed", [(1, 80, 1), (1, 90, 2), (2, 80, 3)])
+def test_random_tables_with_repeated_ids(spark, monkeypatch, n, percent, seed):
+    """Small vocabularies: every shingle is in many sets, buckets are large and links chains."""
+    monkeypatch.setattr(setjoin, "SMALL", 3)
+    rng = random.Random(seed)
+    rows = []
+    for k in range(240):
+        size = rng.choice([1, 2, 3, 5, 8, 12, 20])
+        rows.append((rng.randint(0, 150), " ".join(rng.choice("abcdefghijklmnopqrstuvwx") for _ in range(size)), "en", "s", 1))
+    assert result(setjoin.jaccard_components(frame(spark, rows), n, percent)) == brute(rows, n, percent)
+
+
+def test_a_hot_bucket_is_not_paired_whole(spark, monkeypatch):
+    """One shingle in the prefix of 2,000 unlike sets: candidates stay far below the 2,000,000 pairs, links are found."""
+    made = []
+    held = setjoin._Join.verified
+    monkeypatch.setattr(setjoin._Join, "verified", lambda self, pairs: made.append(pairs.count()) or held(self, pairs))
+    # without an order the hot shingle is in most prefixes
+    monkeypatch.setattr(setjoin, "_levels", lambda table, s, bits: np.zeros(len(s), np.uint8))
+    rows = [(k, "hot words here " + " ".join(f"u{k}x{j}" for j in range(12)), "en", "s", 1) for k in range(2000)]
+    near = [(5000 + k, rows[k][1] + " more", "en", "s", 1) for k in range(0, 2000, 40)]
+    got = {i: c for i, _, c in result(setjoin.jaccard_components(frame(spark, rows + near), 3, 90))}
+    assert got == {**{k: k for k in range(2000)}, **{5000 + k: k for k in range(0, 2000, 40)}}
+    assert sum(made) < 60_000
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90])
+def test_similar_sets_agree_on_a_part(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(300):
+        n = int(rng.integers(1, 120))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[rng.random(n) < 0.95], rng.integers(0, 1 << 63, int(rng.integers(0, 6)), dtype=np.uint64)])
+        common, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        if 100 * common >= percent * union and common:
+            small, large = min(n, len(b)), max(n, len(b))
+            c = setjoin._size_class(small)
+            assert setjoin._size_class(-(-large * percent // 100)) <= c <= setjoin._size_class(large)
+            assert union - common <= setjoin._most_apart(c, percent)
+
+
 def test_empty_table(spark):
     assert setjoin.jaccard_components(empty(spark)).count() == 0
     assert setjoin.keep_one_of_each(spark, empty(spark), "").count() == 0
