@@ -1,20 +1,24 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame operations only.
 
 The rates r of documents are as near as possible (in relative entropy) to their
-base rates q under the constraint that the words of each source add up to its
-target; the solution is an exponential tilt, r = min(cap, q * exp(lambda_source)).
-The dual is convex in lambda and separates by source. Newton's method solves it:
-every iteration adds up the tilted words and their derivative for each source,
-on (source, base rate) cells that were summed before anything was shuffled. Base
-rates count by steps of a thousandth, so a source has a bounded number of cells, and
-all iterations of a write share one exchange by source.
-
-Rounding. A document is copied floor(r) times, and once more for a part of the
-documents: within strata (source, size class, slice of a hash) every position of
-the running sum of fractions that crosses a whole number gets the copy. A slice
-bounds a stratum, so a source with a third of all rows is many strata. What is
-left between words taken and target is worked off greedily on the ``SPARE``
-largest documents of each source and size class that still fit.
+base rate 1 under the constraint that the words of each source add up to its target;
+the solution is an exponential tilt by what the constraint counts, the words z of a
+document: r = min(cap, exp(lambda_source * z)). The dual is convex in lambda and
+separates by source. Documents of one source and size have one rate, so the dual needs
+only (source, size) cells with their counts, summed before anything is shuffled.
+Newton's method solves it: every iteration adds up the tilted words and their
+derivative by source over the cells, again with partial sums, all sources at once; a
+bracket around each lambda, halved where a step would leave it, makes it safe at the
+caps. A source whose target is its cap has every document at the cap.
+
+Rounding. A document is copied floor(r) times, and once more for a part of each cell:
+within a source, in order of size, every position of the running sum of fractions that
+crosses a whole number gives its cell one more copy. The words that a source then misses,
+or has too many, are worked off on cells too: from the largest size down the nearest whole
+number of copies is added or dropped. The documents of a cell that get the copy are those with the least hashes of
+their contents. Cells of more than ``STRATUM_ROWS`` documents are dealt into slices by
+the hash, each with its share, so that a source or a size with a third of all rows is
+many groups; what leads back to the documents is a threshold for each slice.
 
 Nothing depends on the order of rows or partitions: reruns agree.
 """
@@ -23,19 +27,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from .workspace import bounded_broadcast, discard, materialize
 
-#: Documents of a stratum, about; the number of slices of a source follows from its rows.
+#: Documents of a slice of a cell, about.
 STRATUM_ROWS = 4_000
-#: Documents a size class of a source offers for working off the rest.
-SPARE = 48
-NEWTON_STEPS = 60
-TOLERANCE = 1e-12
+#: Cells that a size class (a binary order) of a source offers for working off the rest.
+SPARE = 8
+NEWTON_STEPS = 80
+TOLERANCE = 1e-9
 #: Newton steps between two written states.
-STEPS_A_WRITE = 12
-#: Sources up to which their table is broadcast.
-FEW_SOURCES = 100_000
+STEPS_A_WRITE = 4
+#: Fractions of copies are counted in millionths.
+_UNIT = 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -72,139 +77,190 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return per.select("source", "source_size", at.cast("double").alias("target"))
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def entropy_rates(cells: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
-    """(source, lambda) that balances the cells (source, q, size) to the targets (source, target).
+    """(source, target, lambda, full) that balances the cells (source, size, docs) to the targets (source, target).
 
-    Damped Newton steps on the convex dual, all sources at once; stops when no
-    source's words differ from its target by more than ``TOLERANCE`` of it. A source
-    whose target is its cap has every document at the cap; one without words keeps 0.
+    Rates are min(cap, exp(lambda * size)). ``full``: the target is the cap of all words,
+    every document with words has the cap; a source without words keeps 0. Stops when no source's words differ
+    from its target by more than ``TOLERANCE`` of it.
     """
+    per = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     own = targets.select(F.col("source").alias("s"), "target")
-    state = cells.join(own, F.col("source").eqNullSafe(F.col("s"))).select("source", "q", "size", "target", F.lit(0.0).alias("lam"))
+    state = own.join(per, _same("s", "source")).select("s", "target", ((F.col("words") > 0) & (F.col("target") >= F.col("words") * F.lit(cap * (1 - 1e-12)))).alias("full"), (F.col("words") > 0).alias("open"), (F.lit(60.0) / F.coalesce("least", F.lit(1))).alias("hi"))
+    # at the ends of the bracket the smallest document has the rate exp(60), or all but none
+    state = materialize(state.select("s", "target", "full", F.lit(0.0).alias("lam"), (-F.col("hi")).alias("lo"), "hi", (F.col("open") & ~F.col("full")).alias("open")), "mix-state")
+    few = state.count()
     for _ in range(NEWTON_STEPS // STEPS_A_WRITE):
-        nxt = state
+        if not state.where("open").limit(1).count():
+            break
+        nxt = state.where("open")
         for _ in range(STEPS_A_WRITE):
-            nxt = _newton_step(nxt, cap)
-        nxt = materialize(nxt, "mix-state")
-        still = nxt.where("open").limit(1).count()
+            nxt = _newton_step(cells, nxt, cap, few)
+        nxt = materialize(nxt.union(state.where("NOT open")), "mix-state")
         discard(state)
         state = nxt
-        if not still:
-            break
-    return state.select("source", F.col("lam").alias("lambda")).distinct()
+    return state.select(F.col("s").alias("source"), "target", F.col("lam").alias("lambda"), "full")
 
 
-def _newton_step(state: DataFrame, cap: float) -> DataFrame:
-    """Cells (source, q, size, target, lam) after one step; open where the source was not yet balanced before it."""
-    rate = F.col("q") * F.exp("lam")
-    of = Window.partitionBy("source")
-    words = F.sum(F.col("size") * F.least(rate, F.lit(float(cap)))).over(of)
-    slope = F.sum(F.when(rate < cap, F.col("size") * rate).otherwise(0.0)).over(of)
-    summed = state.select("source", "q", "size", "target", "lam", words.alias("words"), slope.alias("slope"))
+def _newton_step(cells: DataFrame, state: DataFrame, cap: float, few: int) -> DataFrame:
+    """The state (s, target, full, lam, lo, hi, open) of unbalanced sources after one step."""
+    rate = F.exp(F.col("lam") * F.col("size"))
+    words = F.sum(F.col("docs") * F.col("size") * F.least(rate, F.lit(float(cap)))).alias("words")
+    slope = F.sum(F.when(rate < cap, F.col("docs") * F.col("size") * F.col("size") * rate).otherwise(0.0)).alias("slope")
+    keys = ["s", "target", "full", "lam", "lo", "hi"]
+    summed = cells.where("size > 0").join(bounded_broadcast(state, few), _same("source", "s")).groupBy(*keys).agg(words, slope)
     gap = F.col("words") - F.col("target")
-    open_ = (F.abs(gap) > F.col("target") * TOLERANCE) & (F.col("words") > 0)
-    # at the cap the slope vanishes; a step is bounded, and one back from the cap is half a unit
-    step = F.when(F.col("slope") > 0, F.greatest(F.least(gap / F.col("slope"), F.lit(1.0)), F.lit(-1.0))).otherwise(F.when(gap > 0, 0.5).otherwise(-0.5))
-    return summed.select("source", "q", "size", "target", F.when(open_, F.col("lam") - step).otherwise(F.col("lam")).alias("lam"), open_.alias("open"))
+    lo, hi = F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")), F.when(gap > 0, F.col("lam")).otherwise(F.col("hi"))
+    step = F.col("lam") - gap / F.when(F.col("slope") > 0, F.col("slope"))
+    nxt = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
+    open_ = F.abs(gap) > F.col("target") * TOLERANCE
+    return summed.select("s", "target", "full", F.when(open_, nxt).otherwise(F.col("lam")).alias("lam"), lo.alias("lo"), hi.alias("hi"), open_.alias("open"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
-    """``sizes`` (row columns, source, size, key; optionally a base rate q > 0) with ``copies``.
+    """What the mix takes of the rows (source, size, h), a row for each (source, size): s, z, docs, floor, extra, slices, cut.
 
-    ``key`` orders rows reproducibly; rows with equal key and size are told apart by
-    nothing and share their stratum's copies. Copies never exceed ceil(cap). Null
-    sources are a source. Documents without words are copied by their rate as well.
+    ``h`` is a hash of a row's contents. Each of a cell's ``docs`` rows is copied ``floor`` times
+    and ``extra`` of them once more: by slice (h modulo ``slices``), the rows whose h is below
+    ``cut[slice].t``, and ``cut[slice].need`` of the ``ties`` rows that have it. Null sources are
+    a source. Copies never exceed ``cap``, a whole number.
     """
-    cols = sizes.columns
-    prior = F.exp(F.round(F.ln(F.coalesce(F.col("q").cast("double"), F.lit(1.0))), 3)) if "q" in cols else F.lit(1.0)
-    base = sizes.withColumn("q", prior)
-    cells = materialize(base.groupBy("source", "q").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "mix-cells")
+    cells = materialize(sizes.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-cells")
     lam = entropy_rates(cells, targets, cap)
-    rows_of = cells.groupBy("source").agg(F.sum("rows").alias("source_rows"))
-    lam = lam.join(rows_of, lam["source"].eqNullSafe(rows_of["source"])).select(lam["source"].alias("s"), "lambda", "source_rows")
-    lam = materialize(lam, "mix-lambda")
-    few = lam.count()
-    lam = bounded_broadcast(lam, few, FEW_SOURCES)
-    # the rate is rounded so that the order in which doubles were added cannot show
-    rate = F.round(F.least(F.col("q") * F.exp("lambda"), F.lit(float(cap))), 9)
-    rated = base.join(lam, F.col("source").eqNullSafe(F.col("s"))).withColumn("rate", rate)
-    rated = rated.withColumn("whole", F.floor("rate")).withColumn("part", F.round((F.col("rate") - F.floor("rate")) * F.lit(1e9)).cast("long"))
-    rated = rated.withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int")).withColumn("h", F.xxhash64("key"))
-    slices = F.ceil(F.col("source_rows") / F.lit(STRATUM_ROWS))
-    rated = rated.withColumn("slice", F.pmod(F.col("h"), slices))
-    stratum = Window.partitionBy("source", "class", "slice").orderBy("size", "h", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("part").over(stratum) + F.lit(500_000_000)
-    extra = F.floor(upto / F.lit(1_000_000_000)) - F.floor((upto - F.col("part")) / F.lit(1_000_000_000))
-    first = materialize(rated.withColumn("copies", (F.col("whole") + extra).cast("long")).select(*cols, "copies", "class", "h"), "mix-first")
-
-    second = materialize(_work_off(first, targets, cap, few), "mix-second")
-    discard(first)
-    return _work_off(second, targets, cap, few).select(*cols, "copies")
-
-
-def _work_off(rows: DataFrame, targets: DataFrame, cap: float, few: int) -> DataFrame:
-    """``rows`` (source, size, key, class, h, copies) with the words that a source misses, or has too many, worked off.
-
-    Of each size class the largest ``SPARE`` documents that can change by one copy are
-    offered; from the largest down those change whose change brings the source nearer.
-    A large one may go past the target: a second pass comes back with smaller ones.
+    lam = lam.select(F.col("source").alias("s"), "target", "lambda", "full")
+    # rates are rounded so that the order in which doubles were added cannot show
+    rate = F.round(F.when(F.col("full") & (F.col("size") > 0), F.lit(float(cap))).otherwise(F.least(F.exp(F.col("lambda") * F.col("size")), F.lit(float(cap)))), 6)
+    rated = cells.join(bounded_broadcast(lam, lam.count()), _same("source", "s")).withColumn("floor", F.floor(rate))
+    rated = rated.withColumn("part", F.round((rate - F.col("floor")) * F.lit(float(_UNIT))).cast("long") * F.col("docs"))
+    upto = F.sum("part").over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.lit(_UNIT // 2)
+    extra = F.floor(upto / F.lit(_UNIT)) - F.floor((upto - F.col("part")) / F.lit(_UNIT))
+    first = materialize(rated.select("source", "size", "docs", "floor", extra.alias("extra"), "target"), "mix-first")
+    done = materialize(_work_off(first, cap), "mix-second")
+    discard(cells, first)
+    plan = _cuts(sizes, done)
+    discard(done)
+    return plan
+
+
+def _work_off(cells: DataFrame, cap: float) -> DataFrame:
+    """``cells`` (source, size, docs, floor, extra, target) with the words that a source misses, or has too many, worked off.
+
+    The ``SPARE`` largest sizes of each binary order are offered; from the largest down the
+    nearest whole number of copies is added or dropped. No step leaves more than there was.
+    """
+    copies = F.col("docs") * F.col("floor") + F.col("extra")
+    rest = F.round(F.col("target") - F.sum(F.col("size") * copies).over(Window.partitionBy("source"))).cast("long")
+    cells = cells.withColumn("copies", copies.cast("long")).withColumn("rest", rest)
+    offers = cells.where((F.col("size") > 0) & (F.col("size") <= 2 * F.abs("rest")))
+    best = Window.partitionBy("source", F.floor(F.log2("size"))).orderBy(F.desc("size"))
+    offers = offers.withColumn("n", F.row_number().over(best)).where(F.col("n") <= SPARE).withColumn("most", (F.col("docs") * F.floor(F.lit(float(cap)))).cast("long"))
+    listed = offers.groupBy("source", "rest").agg(F.sort_array(F.collect_list(F.struct("size", "copies", "most")), asc=False).alias("list"))
+    start = F.struct(F.col("rest").alias("left"), F.expr("CAST(array() AS array<struct<size:bigint,more:bigint>>)").alias("use"))
+
+    def take(acc, x):
+        more = F.greatest(F.least(F.round(acc["left"] / x["size"]).cast("long"), x["most"] - x["copies"]), -x["copies"])
+        return F.struct((acc["left"] - more * x["size"]).alias("left"), F.concat(acc["use"], F.array(F.struct(x["size"].alias("size"), more.alias("more")))).alias("use"))
+
+    used = listed.select(F.col("source").alias("s"), F.explode(F.aggregate("list", start, take)["use"]).alias("u"))
+    used = used.select("s", F.col("u.size").alias("z"), F.col("u.more").alias("more"))
+    out = cells.join(used, _same("source", "s") & (F.col("size") == F.col("z")), "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
+    return out.select("source", "size", "docs", F.expr("copies DIV docs").alias("floor"), F.pmod("copies", "docs").alias("extra"))
+
+
+def _cuts(sizes: DataFrame, cells: DataFrame) -> DataFrame:
+    """The plan of :func:`mix` from the cells (source, size, docs, floor, extra)."""
+    cells = cells.select(F.col("source").alias("s"), F.col("size").alias("z"), "docs", "floor", "extra", F.ceil(F.col("docs") / F.lit(STRATUM_ROWS)).alias("slices"))
+    some = cells.where("extra > 0 AND extra < docs")
+    count, most = some.agg(F.count("*"), F.max("slices")).first()
+    rows = sizes.join(bounded_broadcast(some, count), _same("source", "s") & (F.col("size") == F.col("z")))
+    rows = rows.select("s", "z", "h", "docs", "extra", F.pmod("h", "slices").alias("slice"))
+    if most and most > 1:
+        # a slice's share of its cell's copies: whole crossings of the running share
+        dealt = rows.where(F.col("docs") > STRATUM_ROWS).groupBy("s", "z", "docs", "extra", "slice").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy("s", "z").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        part = lambda at: F.floor(at.cast("decimal(19,0)") * F.col("extra") / F.col("docs")).cast("long")
+        dealt = dealt.withColumn("upto", upto).select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("slice").alias("slice2"), (part(F.col("upto")) - part(F.col("upto") - F.col("n"))).alias("quota"))
+        dealt = materialize(dealt, "mix-slices")
+        rows = rows.join(bounded_broadcast(dealt, dealt.count()), _same("s", "s2") & (F.col("z") == F.col("z2")) & (F.col("slice") == F.col("slice2")), "left")
+        rows = rows.withColumn("quota", F.coalesce("quota", "extra"))
+    else:
+        rows = rows.withColumn("quota", F.col("extra"))
+    stratum = Window.partitionBy("s", "z", "slice").orderBy("h")
+    ranked = rows.withColumn("n", F.row_number().over(stratum)).withColumn("rank", F.rank().over(stratum)).withColumn("ties", F.count("*").over(stratum.rangeBetween(Window.currentRow, Window.currentRow)))
+    last = ranked.where(F.col("n") == F.col("quota")).select("s", "z", "slice", F.struct(F.col("h").alias("t"), (F.col("quota") - F.col("rank") + 1).cast("long").alias("need"), "ties").alias("c"))
+    by = last.groupBy(F.col("s").alias("s2"), F.col("z").alias("z2")).agg(F.map_from_entries(F.collect_list(F.struct("slice", "c"))).alias("cut"))
+    return materialize(cells.join(by, _same("s", "s2") & (F.col("z") == F.col("z2")), "left").select("s", "z", "docs", "floor", "extra", "slices", "cut"), "mix-plan")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (source, size, h and others) with ``copies``, by the plan of :func:`mix`.
+
+    One join with a row for each source and size. Rows of one hash stand for each other: where only
+    a part of them gets a copy, any do.
     """
-    taken = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
-    rest = taken.join(targets.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).select("s", F.round(F.col("target") - F.col("words")).cast("long").alias("rest"))
-    rest = bounded_broadcast(rest.where("rest <> 0"), few, FEW_SOURCES)
-    can = F.when(F.col("rest") > 0, F.col("copies") < F.floor(F.lit(float(cap)))).otherwise(F.col("copies") > 0)
-    offers = rows.join(rest, F.col("source").eqNullSafe(F.col("s"))).where(can & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("rest")))
-    best = Window.partitionBy("source", "class").orderBy(F.desc("size"), "h", "key")
-    offers = offers.withColumn("n", F.row_number().over(best)).where(F.col("n") <= SPARE)
-    listed = offers.groupBy("source", "rest").agg(F.sort_array(F.collect_list(F.struct("size", "h", "key")), asc=False).alias("list"))
-    none = F.transform(F.slice(F.col("list"), 1, 0), lambda x: x["key"])
-    start = F.struct(F.abs("rest").alias("left"), none.alias("use"))
-    nearer = lambda a, x: F.struct((a["left"] - x["size"]).alias("left"), F.concat(a["use"], F.array(x["key"])).alias("use"))
-    pick = F.aggregate("list", start, lambda a, x: F.when(x["size"] < 2 * a["left"], nearer(a, x)).otherwise(a))
-    change = listed.select(F.col("source").alias("s"), F.signum("rest").cast("long").alias("sign"), F.explode(pick["use"]).alias("k")).distinct()
-    # at most SPARE documents of each size class of a source
-    change = bounded_broadcast(change, few, FEW_SOURCES // 100)
-    done = rows.join(change, F.col("source").eqNullSafe(F.col("s")) & F.col("key").eqNullSafe(F.col("k")), "left")
-    return done.select(*rows.columns[:-3], (F.col("copies") + F.coalesce("sign", F.lit(0))).alias("copies"), "class", "h")
-
-
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    cols = rows.columns
+    count, tied = plan.agg(F.count("*"), F.count_if(F.exists(F.coalesce(F.map_values("cut"), F.array()), lambda c: c["need"] < c["ties"]))).first()
+    joined = rows.join(bounded_broadcast(plan, count), _same("source", "s") & (F.col("size") == F.col("z")))
+    cut = F.element_at("cut", F.pmod("h", "slices"))
+    some = (F.col("extra") > 0) & (F.col("extra") < F.col("docs"))
+    split = F.coalesce(some & (F.col("h") == cut["t"]) & (cut["need"] < cut["ties"]), F.lit(False))
+    more = F.when(F.col("extra") >= F.col("docs"), 1).when(some & (F.col("h") <= cut["t"]), 1).otherwise(0)
+    whole = joined.where(~split).select(*cols, (F.col("floor") + more).cast("long").alias("copies")) if tied else joined.select(*cols, (F.col("floor") + more).cast("long").alias("copies"))
+    if not tied:
+        return whole
+    same = Window.partitionBy("source", "size", "h").orderBy(F.lit(1))
+    some_of = joined.where(split).withColumn("need", cut["need"]).withColumn("n", F.row_number().over(same))
+    return whole.union(some_of.select(*cols, (F.col("floor") + (F.col("n") <= F.col("need")).cast("int")).cast("long").alias("copies")))
+
+
+def _plain(kind: t.DataType) -> bool:
+    """Types that can be hashed."""
+    if isinstance(kind, t.ArrayType):
+        return _plain(kind.elementType)
+    if isinstance(kind, t.StructType):
+        return all(_plain(f.dataType) for f in kind.fields)
+    return not isinstance(kind, (t.MapType, t.VariantType))
+
+
+def _content(docs: DataFrame, cols: list[str]) -> Column:
+    return F.xxhash64(*(F.col(f"`{c}`") for c in cols if _plain(docs.schema[c].dataType)))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row.
 
     A null text has size 0, null sources are one source, the last. Rows that repeat a
-    doc_id within a source are mixed alike where the rest is worked off. An empty
-    table gives an empty table; other columns are ignored.
+    doc_id, or have none, are mixed each by its own text; of rows that are alike in id,
+    source and text any may get a copy. An empty table gives an empty table; other
+    columns are ignored.
     """
-    sized = materialize(_sized(docs), "mix-sizes")
+    h = F.xxhash64(F.col("doc_id").cast("long"), "source", "text")
+    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), h.alias("h")), "mix-sizes")
     targets = materialize(source_targets(sized), "mix-targets")
-    mixed = mix(sized.withColumn("key", F.col("doc_id")), targets)
-    t = bounded_broadcast(targets.withColumnRenamed("source", "s"), targets.count(), FEW_SOURCES)
-    out = mixed.join(t, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    mixed = with_copies(sized, mix(sized, targets))
+    per = bounded_broadcast(targets.withColumnRenamed("source", "s"), targets.count())
+    return mixed.join(per, _same("source", "s")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``: 150 % of all words, weights 3, 1, 2, at most two copies."""
+    """All ``documents``: 150 % of all words, weights 3, 1, 2, at most two copies. Odd rows as in :func:`mixture`."""
     return mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it, in the columns of documents.
 
-    The number of copies is a function of doc_id; rows with a null doc_id are mixed by
-    their source and size.
+    Whether a row is copied follows from a hash of all its columns, so rows with null or
+    repeated ids are mixed each on its own; documents without words keep one copy. Columns of any name are kept as they are.
     """
     cols = docs.columns
-    sized = materialize(_sized(docs), "mix-sizes")
-    targets = materialize(source_targets(sized), "mix-targets")
-    mixed = mix(sized.withColumn("key", F.col("doc_id")), targets)
-    copies = mixed.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = materialize(copies.where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), "copies"), "mix-copies")
-    copies = bounded_broadcast(copies, copies.count(), 500_000)
-    sized_docs = docs.withColumn("__size", word_count(F.col("text")))
-    joined = sized_docs.join(copies, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("__size") == F.col("z")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cols)
+    rows = docs.select("source", word_count(F.col("text")).alias("size"), _content(docs, cols).alias("h"), F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"))
+    sized = materialize(rows.select("source", "size", "h"), "mix-sizes")
+    plan = mix(sized, materialize(source_targets(sized), "mix-targets"))
+    discard(sized)
+    taken = with_copies(rows, plan).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

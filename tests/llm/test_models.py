@@ -62,23 +62,77 @@ def test_mixture(spark):
     assert mixing.mixture(empty(spark)).count() == 0
 
 
-def test_priors_tilt_the_rates(spark):
-    cells = spark.createDataFrame([("a", 1.0, 100), ("a", 2.0, 50), ("b", 1.0, 10)], "source string, q double, size long")
-    targets = spark.createDataFrame([("a", 150.0), ("b", 20.0)], "source string, target double")
-    lam = dict(tuple(r) for r in mixing.entropy_rates(cells, targets).collect())
-    assert abs(sum(z * min(2.0, q * np.exp(lam["a"])) for q, z in ((1, 100), (2, 50))) - 150) < 1e-6 and np.exp(lam["b"]) >= 2
+def dual(cells, target, cap):
+    """lambda of r = min(cap, exp(lambda * size)) by bisection."""
+    lo, hi = -100.0, 100.0
+    for _ in range(300):
+        lam = (lo + hi) / 2
+        lo, hi = (lam, hi) if sum(n * z * min(cap, np.exp(min(lam * z, 50))) for z, n in cells) < target else (lo, lam)
+    return lo
+
+
+def test_rates_solve_the_dual(spark):
+    rng = random.Random(4)
+    cells, targets, sizes = [], [], {}
+    for k, share in enumerate((0.02, 0.3, 0.9, 1.0, 1.2, 1.7, 1.99, 2.0)):
+        own = {rng.randint(1, 3000): rng.randint(1, 40) for _ in range(60)} | {1: 3}
+        sizes[f"s{k}"] = list(own.items())
+        cells += [(f"s{k}", z, n) for z, n in own.items()] + [(f"s{k}", 0, 5)]
+        targets.append((f"s{k}", share * sum(z * n for z, n in own.items())))
+    got = mixing.entropy_rates(spark.createDataFrame(cells, "source string, size long, docs long"), spark.createDataFrame(targets, "source string, target double"))
+    for r in got.collect():
+        own, target = sizes[r["source"]], dict(targets)[r["source"]]
+        if r["source"] == "s7":
+            assert r["full"]
+            continue
+        assert not r["full"]
+        rates = [min(2.0, np.exp(min(r["lambda"] * z, 50))) for z, _ in own]
+        assert abs(sum(n * z * q for (z, n), q in zip(own, rates)) - target) < 1e-6 * target
+        lam = dual(own, target, 2.0)
+        assert max(abs(q - min(2.0, np.exp(min(lam * z, 50)))) for (z, _), q in zip(own, rates)) < 1e-5
+
+
+def test_repeated_ids_come_near_their_targets(spark, monkeypatch):
+    """Half of a source's rows share one id, others have none, some are alike; cells of several slices."""
+    monkeypatch.setattr(mixing, "STRATUM_ROWS", 10)
+    rng = random.Random(9)
+    rows = []
+    for k in range(1200):
+        text = " ".join(f"w{rng.randint(0, 50)}" for _ in range(rng.choice([7, 30, 30, 90])))
+        rows.append((rng.choice([1, None, k + 10]), text, "en", rng.choice(["a", "b", "c"]), 1))
+    rows += [(1, "same text here " * 10, "en", "a", 1)] * 150
+    one = mixing.mixture(frame(spark, rows)).collect()
+    assert len(one) == len(rows)
+    two = mixing.mixture(frame(spark, rows).repartition(7)).collect()
+    key = lambda r: tuple((v is None, v or 0) for v in r)
+    assert sorted(map(key, one)) == sorted(map(key, two))
+    taken = {}
+    for r in one:
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[r["source_size"], r["target"]] = taken.get((r["source_size"], r["target"]), 0) + r["taken"]
+    assert len(taken) == 3
+    for (_, target), words in taken.items():
+        assert abs(words - target) <= 7
 
 
 def test_mix_stage_repeats_rows(spark):
-    rows = odd_rows()
-    docs = frame(spark, rows, extra=False)
+    rng = random.Random(2)
+    rows = odd_rows() + [(k % 3 * 500, " ".join(["w"] * rng.randint(1, 60)), "en", "a", k) for k in range(300)]
+    docs = frame(spark, rows).withColumns({c: F.lit(1) for c in ("s", "d", "z", "h", "copies", "copy", "row", "floor", "cut", "a.b")})
     out = mixing.mix_stage(spark, docs, "")
     assert out.columns == docs.columns
-    expected = {r["doc_id"]: r["taken"] for r in mixing.mixture(docs).collect() if r["size"]}
-    got = {}
+    words, sizes, times = {}, {}, {}
+    for i, t, _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + len(WORD.findall(t or ""))
+        times[i, t, s, n] = 0
     for r in out.collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(WORD.findall(r["text"] or ""))
-    assert {k: v for k, v in got.items() if v} == {k: v for k, v in expected.items() if v}
+        words[r["source"]] = words.get(r["source"], 0) + len(WORD.findall(r["text"] or ""))
+        times[r["doc_id"], r["text"], r["source"], r["n_chars"]] += 1
+    assert max(times.values()) <= 2
+    target = water(sizes)
+    for s in sizes:
+        largest = max(len(WORD.findall(t or "")) for _, t, _, x, _ in rows if x == s)
+        assert abs(words.get(s, 0) - target[s]) <= (largest / 2 if 20 * largest >= sizes[s] else max(5, 0.005 * target[s]))
 
 
 # ---------------------------------------------------------------- personal data
