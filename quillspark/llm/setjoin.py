@@ -48,10 +48,10 @@ from .workspace import arrow_map, bounded_broadcast, discard, materialize
 LEAST_BITS, MOST_BITS = 20, 26
 _CHUNK = 1 << 16
 _PARTS, _FINE = 16, 256
-#: Pivots that a large bucket offers in each round after its leader.
-PIVOTS = (16,)
-#: Members of a bucket that are paired with each other.
-SMALL = 64
+#: Pivots that a bucket with more members offers in each round after its leader.
+PIVOTS = (16, 256)
+#: Members of a bucket that are paired with each other after these rounds.
+SMALL = 8192
 #: Partners of a node whose texts meet in one group.
 GROUP = 128
 #: Distinct sets that a task remembers, so that copies next to each other are sent once.
@@ -504,10 +504,13 @@ class _Join:
         return self.members.join(self.comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
     def open_buckets(self) -> tuple[DataFrame, int]:
-        """(token, main, size) of the buckets whose members are not all connected, written, and the largest size."""
-        main = F.min(F.when(F.col("node") == F.col("lead"), F.col("comp")))
-        found = self.state().groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), main.alias("main"), F.count("*").alias("size"))
-        found = materialize(found.where("lo <> hi").select("token", "main", "size"), "setjoin-open")
+        """(token, main, size) of the buckets whose members are not all connected, written, and the largest size.
+
+        ``main`` is the component with most members: of two unconnected members one at least is outside it.
+        """
+        parts = self.state().groupBy("token", "comp").agg(F.count("*").alias("part"))
+        found = parts.groupBy("token").agg(F.max_by("comp", "part").alias("main"), F.sum("part").alias("size"), F.count("*").alias("parts"))
+        found = materialize(found.where("parts > 1").select("token", "main", "size"), "setjoin-open")
         return found, found.agg(F.max("size")).first()[0] or 0
 
     def run(self) -> DataFrame | None:
@@ -519,10 +522,10 @@ class _Join:
         self.verified(first.select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct())
         found, most = self.open_buckets()
         for width in PIVOTS:
-            if most <= SMALL:
-                break
+            if most <= width:
+                continue
             # a pivot is a member with a small hash for its bucket's size: no ranking of a hot bucket
-            large = self.state().join(found.where(F.col("size") > SMALL), "token").join(shape, "node")
+            large = self.state().join(found.where(F.col("size") > width), "token").join(shape, "node")
             rank = (F.shiftrightunsigned(F.xxhash64("node"), 1) / F.lit(float(1 << 63))) * F.col("size")
             pivots = large.where((F.col("node") != F.col("lead")) & (rank < width)).select(*cols)
             self.verified(_pairs(large.where(F.col("comp") != F.col("main")).select(*cols), pivots, percent))
@@ -539,20 +542,17 @@ class _Join:
         return self.comp
 
     def agreeing(self, large: DataFrame, shape: DataFrame) -> DataFrame:
-        """Pairs of nodes of large open buckets that agree on a part of the hash space."""
+        """Pairs of nodes of one large open bucket that agree on a part of the hash space."""
         spark, marks = large.sparkSession, MOST_BITS + 1
         hot = spark.sparkContext.broadcast(_bit_table(large, marks))
-        nodes = self.state().join(large.select("token"), "token").groupBy("node").agg(F.min("comp").alias("comp"))
-        asks = nodes.select("node").join(self.nodes.select("node", "rep", "digest"), "node")
-        texts = self.texts(asks, nodes.count()).select("node", "text")
+        held = self.state().join(large, "token").select("token", "node", "n", "place", "comp", (F.col("comp") != F.col("main")).alias("outside"))
+        nodes = materialize(held.select("node").distinct(), "setjoin-hot")
+        texts = self.texts(nodes.join(self.nodes.select("node", "rep", "digest"), "node"), nodes.count()).select("node", "text")
         keys = materialize(arrow_map(texts, _part_keys(self.words, self.percent, hot, marks), "node long, part long, key long"), "setjoin-parts")
         hot.destroy()
-        rows = keys.join(nodes, "node").join(self.nodes.select("node", "n"), "node").join(shape, "node").withColumn("place", F.lit(0))
-        # keys of one component only are no candidates
-        mixed = keys.join(nodes, "node").groupBy("part", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("part", "key")
-        rows = rows.join(mixed, ["part", "key"])
-        pairs = materialize(_pairs(rows, rows, self.percent, ("part", "key")).where("a < b"), "setjoin-agreeing")
-        discard(keys)
+        rows = keys.join(held, "node").join(shape, "node")
+        pairs = materialize(_pairs(rows.where("outside").drop("outside"), rows.drop("outside"), self.percent, ("token", "part", "key")), "setjoin-agreeing")
+        discard(keys, nodes)
         return pairs
 
 
