@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .vector import mix, prefix_hash, ragged_index, span_hash, text_slices
 from .workspace import arrow_map, extended
 
-#: Ids that the cache of merged pieces holds before it starts anew.
-CACHE_IDS = 6_000_000
+#: Ids and pieces (as a power of two) that the cache of merged pieces holds before it starts anew: some 25 MB.
+CACHE_IDS, CACHE_BITS = 3_000_000, 19
 _LONG = 48
 
 # ---------------------------------------------------------------- classes
@@ -146,38 +146,82 @@ def piece_starts(cps: np.ndarray, doc_start: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- merging
+class _Pieces:
+    """Ids of pieces by their hashes: an open-addressing table, half full at most, probed side by side."""
+
+    def __init__(self, bits: int = CACHE_BITS + 1, ids: int = 1 << 16):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.first, self.size = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        self.pool = np.zeros(ids, np.int32)
+        self.count = self.used = 0
+
+    def fits(self, pieces: int, ids: int) -> bool:
+        return self.count + pieces <= len(self.keys) // 2 and self.used + ids <= max(CACHE_IDS, len(self.pool))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        at = (keys >> self.shift).astype(np.int64)
+        got = self.keys[at]
+        out = np.where(got == keys, at, -1)
+        wait = np.flatnonzero((got != keys) & (got != 0))
+        while len(wait):
+            at[wait] = (at[wait] + 1) & self.mask
+            got = self.keys[at[wait]]
+            same = got == keys[wait]
+            out[wait[same]] = at[wait[same]]
+            wait = wait[~same & (got != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        """Distinct new keys with the numbers of their ids, and all ids."""
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(self.used, len(flat)) + len(flat), np.int32)])
+        first = self.used + np.cumsum(sizes) - sizes
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = (keys >> self.shift).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == 0]
+            some, won = np.unique(at[free], return_index=True)
+            won = free[won]
+            self.keys[some], self.first[some], self.size[some] = keys[won], first[won], sizes[won]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.mask
+        self.count += len(keys)
+        self.used += len(flat)
+
+
 class Vocabulary:
     """Ranks of byte strings, and everything built from them."""
 
     def __init__(self, path: str):
         with open(path, "rb") as fh:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, fh)}
-        size = max(self.ranks.values()) + 1
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, fh)}
+        size = max(ranks.values()) + 1
         tokens = [b""] * size
-        for t, r in self.ranks.items():
+        for t, r in ranks.items():
             tokens[r] = t
-        self.tokens = tokens
         self.lens = np.array([len(t) for t in tokens], np.int64)
         self.at = np.concatenate([[0], np.cumsum(self.lens)])
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         left, right, rank = [], [], []
-        for t, r in self.ranks.items():
+        for t, r in ranks.items():
             for k in range(1, len(t)):
-                a, b = self.ranks.get(t[:k]), self.ranks.get(t[k:])
+                a, b = ranks.get(t[:k]), ranks.get(t[k:])
                 if a is not None and b is not None:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
         key = np.array(left, np.int64) << 20 | np.array(right, np.int64)
-        self.pairs = dict(zip(key.tolist(), rank))
         self._table(key, np.array(rank, np.int32))
         digits = [b"%d" % k for k in range(size)]
         self.digit_lens = np.array([len(d) for d in digits], np.int64)
         self.digit_at = np.concatenate([[0], np.cumsum(self.digit_lens)])
         self.digit_blob = np.frombuffer(b"".join(digits), np.uint8)
-        self.cache: dict[int, np.ndarray] = {}
-        self.held = 0
+        self.pairs: dict[int, int] | None = None
+        self.pieces = _Pieces()
 
     def _table(self, key: np.ndarray, rank: np.ndarray) -> None:
         """An open-addressing table of pairs, a quarter full; probed side by side."""
@@ -222,6 +266,9 @@ class Vocabulary:
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        if self.pairs is None:
+            used = self.slots >= 0
+            self.pairs = dict(zip(self.slots[used].tolist(), self.values[used].tolist()))
         pairs = self.pairs
         heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := pairs.get(a << 20 | b)) is not None]
         heapq.heapify(heap)
@@ -306,28 +353,35 @@ class Vocabulary:
         mark = piece_starts(cps, doc[:-1][first_byte])
         starts = first_byte[mark]
         ends = np.append(starts[1:], len(data))
-        keys = span_hash(prefix_hash(data), starts, ends)
-        uniq, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        cache = self.cache
-        got = [cache.get(k) for k in uniq.tolist()]
-        miss = [k for k, g in enumerate(got) if g is None]
-        if miss:
-            w = where[miss]
-            if self.held > CACHE_IDS:
-                cache.clear()
-                self.held = 0
-            for k, key, ids in zip(miss, uniq[miss].tolist(), self.merge_many(data, starts[w], ends[w] - starts[w])):
-                got[k] = cache[key] = ids
-                self.held += len(ids) + 12
-        lens = np.array([len(g) for g in got], np.int64)
-        flat = np.concatenate(got)
-        at = np.cumsum(lens) - lens
-        per = lens[back]
-        ids = flat[ragged_index(at[back], per)]
+        # 0 marks a free place of the cache
+        keys = np.maximum(span_hash(prefix_hash(data), starts, ends), np.uint64(1))
+        at = self.pieces.find(keys)
+        if (at < 0).any():
+            self._merged(keys, np.flatnonzero(at < 0), data, starts, ends)
+            at = self.pieces.find(keys)
+            if (at < 0).any():
+                # the cache started anew
+                self._merged(keys, np.flatnonzero(at < 0), data, starts, ends)
+                at = self.pieces.find(keys)
+        pieces = self.pieces
+        per = pieces.size[at].astype(np.int64)
+        ids = pieces.pool[ragged_index(pieces.first[at].astype(np.int64), per)]
         id_at = np.concatenate([[0], np.cumsum(per)])
         first = id_at[np.searchsorted(starts, offs)]
         return ids, first, np.append(starts, len(data)), id_at
 
+    def _merged(self, keys: np.ndarray, miss: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Merges the missing pieces and adds them to the cache, which starts anew when it is full."""
+        uniq, first = np.unique(keys[miss], return_index=True)
+        at = miss[first]
+        got = self.merge_many(data, starts[at], ends[at] - starts[at])
+        sizes = np.array([len(g) for g in got], np.int64)
+        flat = np.concatenate(got)
+        if not self.pieces.fits(len(uniq), len(flat)):
+            # a slice of one very long text can need a larger one
+            self.pieces = _Pieces(max(CACHE_BITS + 1, (4 * len(keys)).bit_length()))
+        self.pieces.add(uniq, sizes, flat)
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids, gathered from the tokens' bytes."""
         ids = np.asarray(ids, np.int64)
@@ -348,7 +402,7 @@ _loaded: dict[str, Vocabulary] = {}
 
 
 def vocabulary(path: str | None = None) -> Vocabulary:
-    """The vocabulary of a rank file, kept for the life of a worker. None: byte_bpe_50k."""
+    """The vocabulary of a rank file; its tables, some 20 MB, are kept for the life of a worker. None: byte_bpe_50k."""
     if path is None:
         import public_tokenizers
 

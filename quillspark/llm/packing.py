@@ -89,6 +89,8 @@ def _pack(path: str | None, row: int, buffer: int, pad: int):
         from .vector import text_slices
 
         voc = vocabulary(path)
+        # two bytes an id as long as all fit, the padding too
+        kind = np.dtype("<u2") if max(len(voc.lens) - 1, pad) < 1 << 16 else np.dtype("<u4")
         part, serial = TaskContext.get().partitionId(), 0
         docs: list[int | None] = []
         tokens: list[np.ndarray] = []
@@ -104,7 +106,7 @@ def _pack(path: str | None, row: int, buffer: int, pad: int):
             for some in _by(best_fit_decreasing(size, row), 512):
                 cols: list[list] = [[] for _ in range(7)]
                 for r in some:
-                    ids = np.full(row, pad, np.uint16)
+                    ids = np.full(row, pad, kind)
                     cu = np.concatenate([[0], np.cumsum(size[r])])
                     for k, at in zip(r, cu):
                         ids[at : at + size[k]] = tokens[doc[k]][start[k] : start[k] + size[k]]
@@ -122,7 +124,7 @@ def _pack(path: str | None, row: int, buffer: int, pad: int):
             ids = batch.column(0).to_pylist()
             for lo, hi, data, offs in text_slices(batch.column(1)):
                 flat, first, _, _ = voc.encode_slice(data, offs)
-                flat = flat.astype(np.uint16)
+                flat = flat.astype(kind)
                 for d in range(hi - lo):
                     if first[d + 1] > first[d]:
                         docs.append(ids[lo + d])
@@ -144,8 +146,10 @@ def _by(xs: list, n: int):
 def packed_rows(docs: DataFrame, row: int = ROW_TOKENS, buffer: int = BUFFER_TOKENS, pad: int = PAD, path: str | None = None) -> DataFrame:
     """Packed rows of the byte-level BPE ids of every text.
 
-    ``ids`` are ``row`` little-endian 16-bit ids; after ``n_tokens`` of them come
-    ``pad``. Segment k of a row lies between cu_seqlens[k] and cu_seqlens[k+1] and
+    ``ids`` are ``row`` little-endian ids of 16 bits (32 where the vocabulary or the padding
+    needs them); after ``n_tokens`` of them come ``pad``. Documents are packed with those of
+    their partition, without a shuffle: another layout of the same table gives other rows of
+    the same tokens, the same layout the same rows. Segment k of a row lies between cu_seqlens[k] and cu_seqlens[k+1] and
     holds the ids of doc_ids[k] from doc_starts[k] on; positions start anew at
     position_resets. Null and empty texts have no tokens and no segment; an empty
     table gives an empty table; rows with a null doc_id are packed under null.
