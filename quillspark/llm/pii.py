@@ -2,19 +2,22 @@
 
 Base spans follow fixed patterns and checks and are always kept. Beyond them,
 generators propose spans of the same kinds in other notations (spelled-out
-addresses, national telephone numbers, IPv6, cards with other separators) and
-credentials; they may overlap each other. Each candidate has features of its
-format and of the text around it. Trees are boosted on the candidates of a
-bounded sample of documents that contain some, drawn for each kind and label on
-its own, so that a rare kind is found in a corpus of any size: base matches,
-rewritten into the other notations in
-place, are positive; matches that fail their checks, and numbers that are dates,
-versions or amounts, are negative. Values after the names of credentials are
-positive in any length and form; placeholders there, and values after other names, are negative. A third of the candidates calibrates the
-scores, and for each kind the threshold is the least score down to which the share of
-true ones is ``PRECISION`` or more; a kind with few true ones, or without such a score,
-has the threshold of all kinds together. Chosen spans never
-overlap a base span; of overlapping ones the likeliest stays.
+addresses, national telephone numbers, IPv6 and defanged addresses, cards with other
+separators) and values that are given to names; they are wide and overlap each other.
+Each candidate has features of its format and of the text around it.
+
+Trees are boosted on candidates whose labels are known without looking at features:
+into the texts of a bounded sample of documents made-up values are planted, personal
+ones in many notations and look-alikes (dates, times, versions, placeholders, ordinary
+sentences), and the generators run over the result. A candidate is true if it is a
+planted personal value from end to end; all others that touch what was planted are
+not, so wrong ends are learned as well. Base matches and matches that fail their checks
+join them, drawn for each kind and label on its own, so that a rare kind is found in a
+corpus of any size. The documents of a third of the sample calibrate the scores, and for
+each kind the threshold is the least score down to which the share of true ones is
+``PRECISION`` or more; a kind with few true ones, or without such a score, has the
+threshold of all kinds together. Chosen spans never overlap a base span; of overlapping
+ones the likeliest stays.
 
 Positions are code points, ends exclusive.
 """
@@ -22,7 +25,10 @@ Positions are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -34,8 +40,10 @@ from pyspark.sql import functions as F
 from .trees import Boosted, boost, sigmoid
 from .workspace import arrow_map, discard, materialize
 
-#: Documents that train the trees, for each kind and label: of those with such candidates, the least hashes of their ids.
+#: Documents that train the trees: those with the least hashes of their ids for planting, and for each kind and label of base matches.
 TRAIN_DOCS = 500
+#: Values of each kind that are planted into a document of the sample, and as many look-alikes.
+PLANTED = 4
 #: Candidates that a document gives for one kind and label, spread over its length.
 TRAIN_CANDIDATES = 4
 PRECISION = 0.98
@@ -96,23 +104,32 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 
 
 # ---------------------------------------------------------------- candidates
-_AT = re.compile(r"[ ]?[(\[{][ ]?(?:at|AT|@)[ ]?[)\]}][ ]?|[ ](?:at|AT|@)[ ]")
-_SPELT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:[ ]?[(\[{][ ]?(?:dot|DOT|\.)[ ]?[)\]}][ ]?|[ ](?:dot|DOT)[ ]|\.)[A-Za-z0-9-]{1,63}){1,6}")
-_NATIONAL = re.compile(r"(?<![0-9+.-])(?:00[0-9][ .-]?)?\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
-_SPACED = re.compile(r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])")
-_V6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-_CREDENTIAL = r"(?i)(?:password|passwd|pwd|token|secret|api[_-]?key|credential)s?[\"']?\s{0,3}"
-_NAME = re.compile(_CREDENTIAL + "$")
-_NAMED = re.compile(_CREDENTIAL + r"[=:]\s{0,3}[\"']?$")
-_OPEN = re.compile(r"\s{0,3}[\"']?")
+_AT = re.compile(r"\s?[(\[{<]\s?(?:at|AT|At|@)\s?[)\]}>]\s?|[ ](?:at|AT|@)[ ]")
+_LABEL = r"[A-Za-z0-9-]++"
+_SPELT = re.compile(_LABEL + r"(?:(?:\s?[(\[{<]\s?(?:dot|DOT|Dot|\.)\s?[)\]}>]\s?|[ ](?:dot|DOT)[ ]|\.)" + _LABEL + ")+")
+_NATIONAL = re.compile(r"(?<![0-9+.-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?[ .-]?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+.-])0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])")
+_SPACED = re.compile(r"(?<![0-9])[0-9]{4}([^0-9A-Za-z\s-]|[ ]{2,3}|\t|\u00a0)[0-9]{4}(?:\1[0-9]{4}){2}(?![0-9])|(?<![0-9])[0-9]{4}([._/|])[0-9]{6}\2[0-9]{5}(?![0-9])")
+_V6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+_DEFANGED = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?[0-9]{1,3}){3}(?![0-9])")
+_CREDENTIAL = re.compile(r"(?i)pass(?:word|wd|phrase|code)?s?$|pwd|token|secret|credential|(?:api|access|private|auth|encryption|signing)[_.-]?key|auth$")
+_OPEN = re.compile(r"\s*[\"']?")
 # a value reaches its run's end, however long
 _VALUE = re.compile(r"[^\s\"',;]{6,}+")
-#: Other names and their values, for examples only.
-_OTHER = re.compile(r"[A-Za-z][A-Za-z0-9_-]{0,30}[\"']?\s{0,3}$")
-_OTHERS = re.compile(r"[^\s\"',;]{6,64}+(?![^\s\"',;])")
-_STANDS = ("unknown", "required", "undefined", "changeme", "********", "optional", "xxxxxxxx", "redacted", "<token>", "${SECRET}", "expired", "missing", "invalid", "your-key-here")
-#: What is written in the place of a credential.
-_PLACEHOLDER = re.compile(r"(?i)(?:" + "|".join(w for w in _STANDS if w.isalpha()) + r"|disabled|enabled|default|string|[*x._-]++|<.*>|\$?\{+[^{}]*\}+|%[a-z_]+%|your[_-].*)[.!?)\]]*")
+_RANDOM = re.compile(r"(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9+/_.=-]{16,}+")
+_IN_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+
+
+def _name_before(text: str, at: int) -> str:
+    """The name to the left of a sign at ``at``; white space and a quotation mark may stand between."""
+    end = at
+    while end > 0 and text[end - 1].isspace():
+        end -= 1
+    if end > 0 and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start > 0 and text[start - 1] in _IN_NAME:
+        start -= 1
+    return text[start:end]
 
 
 def proposals(text: str) -> list[tuple[str, int, int]]:
@@ -120,32 +137,54 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     out = []
     for m in _AT.finditer(text) if "at" in text or "AT" in text or "@" in text else ():
         start = m.start()
-        while start > 0 and m.start() - start < 64 and text[start - 1] in _LOCAL:
+        while start > 0 and text[start - 1] in _LOCAL:
             start -= 1
         if start < m.start() and (d := _SPELT.match(text, m.end())):
             out.append(("email", start, d.end()))
+            # a sentence may go on without a space
+            cut = text.rfind(".", m.end(), d.end())
+            if cut > 0 and _SPELT.fullmatch(text, m.end(), cut):
+                out.append(("email", start, cut))
     if _DIGIT.search(text):
         out += [("phone", *m.span()) for m in _NATIONAL.finditer(text)]
         out += [("card", *m.span()) for m in _SPACED.finditer(text)]
         if ":" in text:
             out += [("ip", *m.span()) for m in _V6.finditer(text)]
+        if "[" in text or "(" in text or "{" in text:
+            out += [("ip", *m.span()) for m in _DEFANGED.finditer(text)]
     for sign in "=:":
         at = text.find(sign)
         while at >= 0:
             nxt = at + 1
-            if _NAME.search(text, max(0, at - 24), at) and (m := _VALUE.match(text, _OPEN.match(text, nxt).end())):
-                out.append(("secret", *m.span()))
-                # names within a value are part of it, so a long one is read once
-                nxt = m.end()
+            name = _name_before(text, at)
+            if name and (m := _VALUE.match(text, _OPEN.match(text, nxt).end())):
+                credential = _CREDENTIAL.search(name)
+                if credential or _RANDOM.fullmatch(m.group()):
+                    out.append(("secret", *m.span()))
+                    end = m.end()
+                    while text[end - 1] in ".)]}!?" and end - m.start() > 6:
+                        end -= 1
+                    if end < m.end():
+                        out.append(("secret", m.start(), end))
+                if credential:
+                    # names within a value are part of it, so a long one is read once
+                    nxt = m.end()
             at = text.find(sign, nxt)
     return out
 
 
-_HINTS = [re.compile(p, re.I) for p in (r"mail|contact|@|write", r"\bip\b|server|host|addr", r"card|visa|credit|account", r"phone|tel|call|fax|mobile", r"pass|token|key|secret", r"version|v\.?\s?$|date|page|\bno\b|isbn|order|total|\$|€")]
-FEATURES = 33
+#: What is written in the place of a credential (some of the planted look-alikes, too).
+_STANDS = ("unknown", "required", "undefined", "changeme", "********", "optional", "xxxxxxxx", "redacted", "<token>", "${SECRET}", "expired", "missing", "invalid", "your-key-here", "<your-password>", "%(secret)s", "{{token}}", "disabled", "enabled", "default", "string", "example", "placeholder", "not-set")
+_PLACEHOLDER = re.compile(r"(?i)(?:" + "|".join(w for w in _STANDS if w.isalpha()) + r"|[*x._-]++|<.*>|\$?\{+[^{}]*\}+|%[(]?[a-z_]+[)]?[a-z%]|your[_-].*)[.!?)\]]*")
+_HINTS = [re.compile(p, re.I) for p in (r"mail|contact|@|write|reach", r"\bip\b|server|host|addr|node|gateway", r"card|visa|credit|account|paid|charge", r"phone|tel|call|fax|mobile|dial|reach", r"version|v\.?\s?$|date|page|\bno\b|isbn|order|total|\$|€|\bon\b|lines?\b|score|chapter|mac|time|\bat\b")]
+_TLD = re.compile(r"(?:com|org|net|edu|gov|io|info|[a-z]{2})$")
+FEATURES = 43
+_DOT_WORD = re.compile(r"(?i)[ (\[{<]dot[ )\]}>]")
 
 
-_DOT_WORD = re.compile(r"[ (\[{](?:dot|DOT)[ )\]}]")
+def _entropy(span: str) -> float:
+    n = len(span)
+    return -sum(c / n * math.log2(c / n) for c in (span.count(x) for x in set(span))) if n else 0.0
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -153,14 +192,18 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     span = text[start:end]
     digits = _only_digits(span)
     letters = sum(c.isalpha() for c in span)
+    upper = sum("A" <= c <= "Z" for c in span)
     groups = [len(g) for g in re.split(r"[^0-9]+", span) if g]
     before, after = text[max(0, start - 28) : start], text[end : end + 12]
     prev, nxt = before[-1:], after[:1]
-    parts = span.split(".")
-    octets = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    parts = re.split(r"[^0-9]+", span)
+    octets = len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
     tail = re.search(r"[A-Za-z]+$", span)
-    value = len(set(span)) / max(len(span), 1)
-    stands = bool(_PLACEHOLDER.fullmatch(span))
+    local = re.split(r"[^A-Za-z0-9._%+-]", span, maxsplit=1)[0]
+    sign = before.rstrip(" \t\n\"'")
+    # no longer a look back than a credential's name
+    name = _name_before(text[max(0, start - 100) : start], len(text[max(0, start - 100) : start].rstrip(" \t\n\"'")) - 1) if kind == "secret" and sign[-1:] in ("=", ":") else ""
+    size = max(len(span), 1)
     return [
         *(float(kind == k) for k in KINDS),
         float(end - start),
@@ -175,92 +218,122 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(span.startswith("+")),
         float("(" in span),
         float(len(tail.group()) if tail else 0),
+        float(bool(tail) and bool(_TLD.fullmatch(tail.group()))),
         float("@" in span),
-        float(sum(c in "([{" for c in span)),
+        float(sum(c in "([{<" for c in span)),
         float(len(_DOT_WORD.findall(span))),
         float(span.count(".")),
-        value,
+        float(span.count(":")),
+        float("::" in span),
+        float(any(c in "abcdefABCDEF" for c in span)),
+        float(any(c in "._%+-" or c.isdigit() for c in local)),
+        len(set(span)) / size,
+        _entropy(span[:256]),
+        len(digits) / size,
+        upper / size,
+        float(max(map(len, re.findall(r"[a-z]+", span)), default=0)),
         float(prev.isalnum()),
         float(nxt.isalnum()),
+        float(nxt in ("", " ", "\n", '"', "'", ",", ";")),
+        float(span[-1:].isalnum()),
         float(sum(c.isdigit() for c in before[-12:]) + sum(c.isdigit() for c in after)),
-        float(bool(_NAMED.search(before)) and not stands),
-        float(stands),
+        float(bool(_CREDENTIAL.search(name))),
+        float(bool(_PLACEHOLDER.fullmatch(span))),
         *(float(bool(h.search(before))) for h in _HINTS),
     ]
 
 
-_LETTERS = str.maketrans("0123456789", "ghijklmnop")
+# ---------------------------------------------------------------- examples
+_HEX, _BASE = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_NAMES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apikey", "Password", "TOKEN", "db.password", "aws_secret", "credential", "x-auth-token", "private_key")
+_OTHER_NAMES = ("color", "title", "date", "version", "id", "name", "url", "path", "file", "checksum", "commit", "build", "ref", "note", "status", "model", "uuid", "sha1")
+_TLDS = ("com", "org", "net", "de", "fr", "es", "io", "co.uk", "example.com")
 
 
-def _rewritten(text: str, kind: str, start: int, end: int, turn: int) -> tuple[str, int, int] | None:
-    """A base match in another notation, with what stands around it."""
-    span = text[start:end]
+def _digits_of(rng: random.Random, n: int) -> str:
+    return "".join(rng.choice("0123456789") for _ in range(n))
+
+
+def _card(rng: random.Random, n: int, valid: bool) -> str:
+    d = str(rng.randint(3, 6)) + _digits_of(rng, n - 2)
+    check = next(c for c in "0123456789" if luhn(d + c))
+    return d + (check if valid else str((int(check) + rng.randint(1, 9)) % 10))
+
+
+def _planted(rng: random.Random, kind: str, true: bool, words: list[str]) -> tuple[str, str, str]:
+    """(what comes before, a personal value or a look-alike, what comes after)."""
+    pick, word = rng.choice, lambda: rng.choice(words)
+    lead = ""
     if kind == "email":
-        at, dot = [(" [at] ", "."), (" (at) ", " (dot) "), (" at ", " dot "), ("[at]", "[dot]"), (" at ", ".")][turn % 5]
-        name, _, host = span.partition("@")
-        if start & 1:
-            # addresses without digits are as common as those with
-            name, host = re.sub("[0-9]", "", name) or "a", re.sub("[0-9]", "", host)
-        new = name + at + host.replace(".", dot)
-    elif kind == "phone":
-        d = _only_digits(span)[-10:]
-        new = [f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}"][turn % 4]
-    elif kind == "card":
-        d = _only_digits(span)
-        if len(d) != 16:
-            return None
-        new = "._/"[turn % 3].join(d[k : k + 4] for k in (0, 4, 8, 12))
-    elif kind == "secret":
-        # very long, short, or of letters only: neither length nor digits make a credential
-        letters = span.translate(_LETTERS)
-        new = [span * (200 // len(span) + 1 + turn % 5), span[: 6 + turn % 10], letters[: 6 + turn % 17]][turn % 3]
-    elif kind == "ip":
-        p = [int(x) for x in span.split(".")]
-        new = ":".join(f"{x * 257:x}" for x in (*p, *p))
-    else:
-        return None
-    before, after = text[max(0, start - 40) : start], text[end : end + 40]
-    return before + new + after, len(before), len(before) + len(new)
-
-
-#: Look-alikes that are no personal data, put in the place of a match (fixed values).
-_DECOYS = (
-    ("phone", "2024-03-17"),
-    ("phone", "12.345.678"),
-    ("phone", "1999 2004 2010"),
-    ("phone", "100-200-300"),
-    ("card", "2021/0412/1187/0033"),
-    ("card", "1000.2000.3000.4001"),
-    ("ip", "12:30:45:07"),
-    ("ip", "00:00:10:25"),
-    ("email", "meet at noon.then"),
-    ("email", "looked at him.she"),
-    ("email", "arrived at home.Then"),
-    ("email", "was at work.it"),
-    ("email", "stayed at sea.Nobody"),
-    ("secret", "unknown"),
-    ("secret", "required"),
-)
+        if true:
+            local = pick((f"{word()}.{word()}", f"{word()}{rng.randint(1, 99)}", word(), f"{word()}_{word()}", f"{word()}.{rng.randint(1, 99)}"))
+            at = pick((" [at] ", " (at) ", " at ", "[at]", "(at)", " [AT] ", " @ ", " <at> "))
+            dot = pick((".", ".", " [dot] ", " (dot) ", " dot ", "[dot]", "(dot)", " [DOT] ")) if at != " @ " else "."
+            host = pick((f"{word()}.{pick(_TLDS)}", f"mail{rng.randint(1, 9)}.{word()}.{pick(_TLDS)}"))
+            return pick(("", "mail ", "contact: ", "write to ")), local + at + host.replace(".", dot), pick((" ", " ", ", ", ". "))
+        return "", pick((f"{word()} at {word()}.{word().capitalize()}", f"{word()} at {word()}.{word()}", f"{word()} at {rng.randint(1, 12)}.{rng.randint(10, 59)}", f"{word()} [at] {word()}")), " "
+    if kind == "phone":
+        d = _digits_of(rng, 10)
+        if true:
+            forms = (f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}", f"0{d[:2]}/{d[2:9]}", f"0{rng.randint(1, 9)} {d[:2]} {d[2:4]} {d[4:6]} {d[6:8]}", f"00{rng.randint(30, 49)} {d[:3]} {d[3:6]} {d[6:]}")
+            return pick(("", "call ", "tel. ", "phone: ", "fax ", "mobile ")), pick(forms), pick((" ", " ", ", ", ". "))
+        forms = (f"{rng.randint(1900, 2030)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", f"{d[:2]}.{d[2:5]}.{d[5:8]}", f"{rng.randint(1900, 2030)} {rng.randint(1900, 2030)} {rng.randint(1900, 2030)}", f"{rng.randint(1, 9)}00-{rng.randint(1, 9)}00-{rng.randint(1, 9)}00", f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", f"978-{d[0]}-{d[1:3]}-{d[3:9]}-{d[9]}", f"{d[:2]},{d[2:5]} {d[5:8]}", f"{d[:3]}-{d[3:6]}")
+        return pick(("", "pages ", "isbn ", "in ", "order ", "from ")), pick(forms), pick((" ", ", "))
+    if kind == "card":
+        sep = pick(".._//|·*") if rng.random() < 0.8 else pick(("  ", "\u00a0"))
+        if rng.random() < 0.2 and sep in "._/|":
+            d = _card(rng, 15, true)
+            groups = (d[:4], d[4:10], d[10:])
+        else:
+            d = _card(rng, 16, true)
+            groups = (d[:4], d[4:8], d[8:12], d[12:])
+        return pick(("", "card ", "visa ", "paid with ") if true else ("", "no ", "order ", "from ")), sep.join(groups), pick((" ", ", "))
+    if kind == "ip":
+        if true:
+            h = [f"{rng.getrandbits(16):x}" for _ in range(8)]
+            o = [str(rng.randint(0, 255)) for _ in range(4)]
+            return pick(("", "host ", "from ", "server ")), pick((":".join(h), f"{h[0]}:{h[1]}::{h[2]}", f"fe80::{h[0]}:{h[1]}:{h[2]}:{h[3]}", pick(("[.]", "(.)", "[dot]", "{.}")).join(o), f"{h[0]}:{h[1]}:{h[2]}::{h[4]}:{h[5]}")), pick((" ", ", "))
+        two = lambda: f"{rng.randint(0, 59):02}"
+        mac = ":".join(f"{rng.getrandbits(8):02x}" for _ in range(6))
+        return pick(("", "at ", "mac ", "time ")), pick((f"{rng.randint(0, 23)}:{two()}:{two()}", f"{two()}:{two()}:{two()}:{two()}", f"{rng.randint(1, 9)}:{rng.randint(1, 9)}:{rng.randint(1, 9)}", mac, "[.]".join(str(rng.randint(256, 999)) for _ in range(4)))), pick((" ", ", "))
+    sign, mark = pick(("=", ": ", " = ", ":", ": ")), pick(("", "", '"', "'"))
+    n = pick((6, 7, 8, 10, 12, 16, 20, 32, 40, 64, 120, 400))
+    value = pick((lambda: "".join(pick(_HEX) for _ in range(n)), lambda: "".join(pick(_BASE) for _ in range(n)), lambda: (word() + word() + word())[: max(n, 8)].ljust(6, "a"), lambda: f"{word()[:6]}{_digits_of(rng, 3)}!".rjust(7, "z"), lambda: "-".join("".join(pick(_HEX) for _ in range(k)) for k in (8, 4, 4, 4, 12)), lambda: ".".join("".join(pick(_BASE[:62] + "_-") for _ in range(n)) for _ in range(3))))
+    if true:
+        return pick(_NAMES) + sign + mark, value(), mark + pick((" ", "\n", ", ") if not mark else (" ", ", "))
+    if rng.random() < 0.45:
+        return pick(_NAMES) + sign + mark, pick(_STANDS), mark + pick((" ", " ", ". ", ", "))
+    return pick(_OTHER_NAMES) + sign + mark, value(), mark + " "
+
+
+_WORDS = re.compile(r"[a-z]{2,12}")
+
+
+def planted_examples(text: str, rng: random.Random, times: int = PLANTED):
+    """(label, text around, kind, start, end) of the generators' candidates where made-up values were planted into ``text``."""
+    words = _WORDS.findall(text[: 1 << 14]) or ["word"]
+    for kind in KINDS:
+        for true in (True, False):
+            for _ in range(times):
+                at = text.find(" ", rng.randrange(len(text) + 1)) + 1
+                lead, value, tail = _planted(rng, kind, true, words)
+                left = text[max(0, at - 60) : at]
+                start = len(left) + len(lead)
+                whole = left + lead + value + tail + text[at : at + 60]
+                good, _ = base_spans(whole)
+                for s in proposals(whole):
+                    if s[1] < start + len(value) and start < s[2] and not any(s[1] < e and b < s[2] for _, b, e in good):
+                        yield int(true and s == (kind, start, start + len(value))), whole, *s
 
 
 def _labelled(text: str) -> dict[tuple[str, int], list[tuple[str, int, int]]]:
-    """The candidates of a text whose labels are known, by kind and label."""
+    """Base matches, and matches that fail their checks, by kind and label."""
     good, bad = base_spans(text)
     out: dict[tuple[str, int], list[tuple[str, int, int]]] = {}
     for s in good:
         out.setdefault((s[0], 1), []).append(s)
     for s in bad:
         out.setdefault((s[0], 0), []).append(s)
-    for s in proposals(text):
-        if s[0] == "secret":
-            out.setdefault(("secret", int(not _PLACEHOLDER.fullmatch(text, s[1], s[2]))), []).append(s)
-    for sign in "=:":
-        at = text.find(sign)
-        while at >= 0:
-            m = _OTHERS.match(text, _OPEN.match(text, at + 1).end())
-            if m and _OTHER.search(text, max(0, at - 36), at) and not _NAME.search(text, max(0, at - 24), at):
-                out.setdefault(("secret", 0), []).append(("secret", *m.span()))
-            at = text.find(sign, at + 1)
     return out
 
 
@@ -268,8 +341,12 @@ def _bit(kind: str, y: int) -> int:
     return 1 << (2 * _ORDER[kind] + y)
 
 
+#: The stratum of documents that values are planted into.
+_PLANT = 1 << 2 * len(KINDS)
+
+
 def _strata(batches):
-    """(k, strata) of the documents with labelled candidates: a bit for each kind and label."""
+    """(k, strata) of the documents with base matches or failing ones: a bit for each kind and label."""
     for batch in batches:
         bits = [sum(_bit(*g) for g in _labelled(t)) for t in pc.fill_null(batch.column(1), "").to_pylist()]
         some = pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.int32())], names=["k", "strata"])
@@ -277,31 +354,23 @@ def _strata(batches):
 
 
 def _examples(batches):
-    """(label, features) of a sample's candidates in the strata asked for: base ones, failing ones, rewritten ones and decoys."""
+    """(label, third, features) of a sample's candidates in the strata asked for."""
     for batch in batches:
-        xs, ys = [], []
-
-        def add(y, text, *span):
-            xs.append(features(text, *span))
-            ys.append(y)
-
+        xs, ys, thirds = [], [], []
         for text, strata in zip(pc.fill_null(batch.column(0), "").to_pylist(), batch.column(1).to_pylist()):
+            seed, had = zlib.crc32(text.encode()), len(xs)
             for (kind, y), found in _labelled(text).items():
-                if not strata & _bit(kind, y):
-                    continue
-                step = max(len(found) / TRAIN_CANDIDATES, 1)
-                for n in range(min(len(found), TRAIN_CANDIDATES)):
-                    s = found[int(n * step)]
-                    add(y, text, *s)
-                    if not y:
-                        continue
-                    other = _rewritten(text, *s, turn=s[1] + n)
-                    if other:
-                        add(1, other[0], kind, *other[1:])
-                    like, decoy = _DECOYS[(s[1] + n) % len(_DECOYS)] if kind != "secret" else (kind, _STANDS[(s[1] + n) % len(_STANDS)])
-                    before, after = text[max(0, s[1] - 40) : s[1]], text[s[2] : s[2] + 40]
-                    add(0, before + decoy + after, like, len(before), len(before) + len(decoy))
-        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.float64()))], names=["y", "x"])
+                if strata & _bit(kind, y):
+                    step = max(len(found) / TRAIN_CANDIDATES, 1)
+                    for n in range(min(len(found), TRAIN_CANDIDATES)):
+                        xs.append(features(text, *found[int(n * step)]))
+                        ys.append(y)
+            if strata & _PLANT:
+                for y, whole, *s in planted_examples(text, random.Random(seed)):
+                    xs.append(features(whole, *s))
+                    ys.append(y)
+            thirds += [seed % 3] * (len(xs) - had)
+        yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(thirds, pa.int32()), pa.array([np.array(x).tobytes() for x in xs], pa.binary())], names=["y", "third", "x"])
 
 
 class Selector:
@@ -326,12 +395,16 @@ def _threshold(p: np.ndarray, true: np.ndarray) -> float | None:
     return max(float(ps[fit[-1]] + low) / 2, 0.5)
 
 
-def fit_selector(x: np.ndarray, y: np.ndarray) -> Selector:
-    """Boosts on two thirds of the candidates, calibrates and sets thresholds on the rest."""
+def fit_selector(x: np.ndarray, y: np.ndarray, hold: np.ndarray) -> Selector:
+    """Boosts on the candidates that are not held out, calibrates and sets thresholds on the others."""
     if not len(y) or y.min() == y.max():
         return Selector(Boosted(0.0, []), 1.0, 0.0, {k: 2.0 for k in KINDS})
-    hold = np.arange(len(y)) % 3 == 0
-    model = boost(x[~hold], y[~hold], rounds=60, depth=3, rate=0.2)
+    if min((~hold).sum(), hold.sum()) < 10 or y[~hold].min() == y[~hold].max():
+        # a handful of documents: all of them train and calibrate
+        hold = np.ones(len(y), bool)
+        model = boost(x, y, rounds=100, depth=4, rate=0.2)
+    else:
+        model = boost(x[~hold], y[~hold], rounds=100, depth=4, rate=0.2)
     raw, yh = model.raw(x[hold]), y[hold].astype(float)
     # a logistic curve through the held-out scores, with the usual smoothed targets
     pos, neg = yh.sum(), len(yh) - yh.sum()
@@ -352,19 +425,27 @@ def fit_selector(x: np.ndarray, y: np.ndarray) -> Selector:
 
 
 def train_selector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> Selector:
-    """Fits on candidates of at most ``train_docs`` documents a kind and label; without any, nothing is added to base spans."""
+    """Fits on at most ``train_docs`` documents a stratum, those with the least hashes of their ids; without any, nothing is added to base spans.
+
+    Rows without an id are not drawn; of rows with one id the least text. Equal tables give equal selectors.
+    """
     docs = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k IS NOT NULL")
     held = arrow_map(docs, _strata, docs.select("k", F.lit(0).alias("strata")).schema)
     held = materialize(held.groupBy("k").agg(F.bit_or("strata").alias("strata")), "pii-strata")
-    picks = []
+    least = (F.xxhash64("k"), F.col("k"))
+    picks = [docs.where("t <> ''").groupBy("k").agg(F.lit(_PLANT).alias("strata")).orderBy(*least).limit(train_docs)]
     for bit in (1 << n for n in range(2 * len(KINDS))):
         own = held.where(F.col("strata").bitwiseAND(bit) > 0).select("k")
-        picks.append(own.orderBy(F.xxhash64("k"), "k").limit(train_docs).withColumn("strata", F.lit(bit)))
+        picks.append(own.orderBy(*least).limit(train_docs).withColumn("strata", F.lit(bit)))
     chosen = reduce(DataFrame.union, picks).groupBy("k").agg(F.bit_or("strata").alias("strata"))
-    sample = docs.join(F.broadcast(chosen), "k").select("t", "strata")
-    rows = sorted((tuple(x), y) for y, x in arrow_map(sample, _examples, "y int, x array<double>").collect())
+    sample = docs.join(F.broadcast(chosen), "k").groupBy("k", "strata").agg(F.min("t").alias("t")).select("t", "strata")
+    got = arrow_map(sample, _examples, "y int, third int, x binary").toArrow()
     discard(held)
-    return fit_selector(np.array([x for x, _ in rows]).reshape(-1, FEATURES), np.array([y for _, y in rows]))
+    x = np.frombuffer(b"".join(got.column("x").to_pylist())).reshape(-1, FEATURES)
+    y, third = (got.column(c).to_numpy().astype(np.int64) for c in ("y", "third"))
+    # one order, however the rows came
+    order = np.lexsort([third, y, *x.T])
+    return fit_selector(x[order], y[order], third[order] == 0)
 
 
 def find_spans(texts: list[str], selector: Selector) -> tuple[list[list], list[list]]:
@@ -421,16 +502,20 @@ def _scan(selector):
                 base, spans = find_spans(pc.fill_null(part.column(1), "").to_pylist(), sel)
                 counts = [pa.array([sum(s[0] == k for s in b) for b in base], pa.int64()) for k in KINDS[:4]]
                 sha = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, sha, pa.array([joined(s) for s in spans], pa.string())], names=["doc_id", *_COUNTS, "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, sha, pa.array([joined(s) for s in spans], pa.string()), pa.array([len(s) for s in spans], pa.int64())], names=["doc_id", *_COUNTS, "base_sha256", "spans", "n_spans"])
 
     return run
 
 
 def personal_data(docs: DataFrame, selector: Selector) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row; a null text is empty."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of each row.
+
+    A null text is empty, an empty text has no spans; rows stay as they are, repeated or
+    without an id. ``n_spans`` counts all spans, base and added. Other columns are ignored.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(selector)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(rows, _scan(shared), "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_sha256 string, spans string")
+    return arrow_map(rows, _scan(shared), "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", base_sha256 string, spans string, n_spans long")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Mixing, personal data, quality and toxicity on small tables."""
 
+import os
 import random
 import re
 
@@ -241,10 +242,89 @@ def test_rare_kinds_stay_on(spark):
         assert [{s[0] for s in found} for found in pii.find_spans(texts, sel)[1]] == [{"phone"}, {"email"}]
 
 
-def test_one_text_does_not_crowd_out_others(spark):
+def test_one_text_does_not_crowd_out_others():
     long = " ".join(f"order 4111 1111 1111 {k:04d}" for k in range(3000))
-    batch = [r for b in pii._examples([pa.RecordBatch.from_pydict({"t": [long], "strata": pa.array([(1 << 2 * len(pii.KINDS)) - 1], pa.int32())})]) for r in b.to_pylist()]
-    assert 0 < len(batch) <= 2 * 3 * pii.TRAIN_CANDIDATES
+    every = (pii._PLANT << 1) - 1
+    batch = [r for b in pii._examples([pa.RecordBatch.from_pydict({"t": [long], "strata": pa.array([every], pa.int32())})]) for r in b.to_pylist()]
+    assert 0 < len(batch) <= 2 * pii.TRAIN_CANDIDATES + 2 * len(pii.KINDS) * pii.PLANTED * 4
+    assert {r["third"] for r in batch} == {batch[0]["third"]}
+
+
+def unseen(rng):
+    """(kind or None, value before its place in a text): notations, names and look-alikes that no training example has."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    d = "".join(rng.choice("0123456789") for _ in range(12))
+    card = pii._card(rng, 16, True)
+    c = [card[k : k + 4] for k in (0, 4, 8, 12)]
+    h = [f"{rng.getrandbits(16):x}" for _ in range(6)]
+    o = [str(rng.randint(0, 255)) for _ in range(4)]
+    true = [
+        ("email", "", f"{word()}.{word()} {{at}} {word()} {{dot}} com"),
+        ("email", "reply to ", f"{word()}{rng.randint(10, 99)} AT {word()} DOT org"),
+        ("email", "", f"{word()}_{rng.randint(1, 9)} [@] {word()} [.] net"),
+        ("phone", "ring ", f"({d[:3]}) {d[3:6]} {d[6:10]}"),
+        ("phone", "my number is ", f"{d[:3]}/{d[3:6]}-{d[6:10]}"),
+        ("phone", "", f"0{d[:3]} {d[3:7]} {d[7:10]}"),
+        ("card", "", "~".join(c)),
+        ("card", "charged to ", ",".join(c)),
+        ("ip", "", f"{h[0]}:{h[1]}:{h[2]}::{h[3]}"),
+        ("ip", "via ", " [.] ".join(o)),
+        ("ip", "", "(dot)".join(o)),
+        ("secret", "client_secret = ", "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(20, 60)))),
+        ("secret", 'access-token: "', "eyJ" + "".join(rng.choice(pii._BASE[:62]) for _ in range(rng.randint(30, 900)))),
+        ("secret", "passphrase=", word() + word() + word()),
+        ("secret", "ENCRYPTION_KEY: ", "".join(rng.choice(pii._BASE[:62]) for _ in range(24))),
+        ("secret", "mail_pwd=", word()[:5] + d[:4]),
+    ]
+    false = [
+        (None, "", f"{word()} at home.{word().capitalize()}"),
+        (None, "dated ", f"{d[:2]}.{d[2:4]}.{rng.randint(1950, 2030)}"),
+        (None, "rev ", f"{d[:1]}.{d[1:3]}.{d[3:6]}"),
+        (None, "from ", f"{rng.randint(1900, 2030)} - {rng.randint(1900, 2030)}"),
+        (None, "took ", f"{rng.randint(10, 59)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}"),
+        (None, "", ",".join([*c[:3], f"{(int(c[3]) + 1) % 10000:04}"])),
+        (None, "token: ", "redacted."),
+        (None, "password = ", "<your password>".replace(" ", "_")),
+        (None, "api_key: ", "${API_KEY}"),
+        (None, "heading: ", word() + word()),
+        (None, "shade=", "#" + f"{rng.getrandbits(24):06x}"),
+    ]
+    return true, false
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_recall_and_precision_on_unseen_notations(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND length(text) < 3000")
+    sel = pii.train_selector(docs.where("doc_id % 2 = 0"))
+    rng = random.Random(11)
+    texts = [r["text"] for r in docs.where("doc_id % 2 = 1").orderBy("doc_id").limit(120).collect()]
+    found = planted = chosen = 0
+    by = {}
+    for text in texts:
+        true, false = unseen(rng)
+        for kind, lead, value in [*true, *false]:
+            at = text.find(" ", rng.randrange(len(text) + 1)) + 1
+            whole = f"{text[:at]}{lead}{value} {text[at:]}"
+            start, end = at + len(lead), at + len(lead) + len(value)
+            base, spans = (x[0] for x in pii.find_spans([whole], sel))
+            near = [s for s in spans if s not in base and s[1] < end and start < s[2]]
+            hit = (kind, start, end) in near
+            planted += kind is not None
+            found += hit
+            chosen += len(near)
+            n = by.setdefault((kind, lead), [0, 0, 0])
+            n[0], n[1], n[2] = n[0] + 1, n[1] + hit, n[2] + len(near) - hit
+    assert found >= 0.9 * planted, (found / planted, by)
+    assert found >= 0.95 * chosen, (found / chosen, by)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_equal_tables_give_equal_selectors(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.select(F.lit(5).cast("long").alias("doc_id"), *docs.columns[1:]))
+    one, two = pii.train_selector(docs, train_docs=40), pii.train_selector(docs.repartition(7), train_docs=40)
+    x = np.random.default_rng(0).random((200, pii.FEATURES)) * 20
+    assert one.thresholds == two.thresholds and np.array_equal(one.scores(x), two.scores(x))
 
 
 def test_personal_data_rows(spark):
