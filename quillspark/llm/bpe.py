@@ -468,13 +468,13 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "decoded", pa
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _digests(path: str | None):
-    """Encodes, then decodes the ids, slice by slice; ids and bytes do not leave the worker."""
+def _digests(path: str | None, with_ids: bool = False):
+    """Encodes, then decodes the ids, slice by slice; bytes do not leave the worker, ids only if asked for."""
 
     def run(batches):
         voc = vocabulary(path)
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, all_ids = [], [], [], []
             for lo, hi, data, offs in text_slices(batch.column(1)):
                 ids, first, _, _ = voc.encode_slice(data, offs)
                 text, at = voc.digits(ids)
@@ -482,25 +482,41 @@ def _digests(path: str | None):
                 back_at = np.concatenate([[0], np.cumsum(voc.lens[ids])])[first].tolist()
                 cut = at[first].tolist()
                 n.append(np.diff(first))
+                if with_ids:
+                    all_ids.append(ids)
                 text, back = text.tobytes(), back.tobytes()
                 for d in range(hi - lo):
                     a.append(hashlib.sha256(text[cut[d] + 1 : cut[d + 1]]).hexdigest())
                     b.append(hashlib.sha256(back[back_at[d] : back_at[d + 1]]).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64)), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n = np.concatenate(n) if n else np.zeros(0, np.int64)
+            cols, names = [batch.column(0), pa.array(n), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                cols.append(pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(all_ids) if all_ids else np.zeros(0, np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; a null text is empty."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row.
+
+    A null or empty text has no tokens and the digests of nothing; rows stay as they are,
+    repeated or without an id; an empty table gives an empty table. Other columns are ignored.
+    """
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), _digests(path), _DIGEST)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` by the ranks of byte_bpe_50k."""
+    """All ``documents`` by the ranks of byte_bpe_50k. Odd rows as in :func:`token_digests`."""
     return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last one: what the corpus is as tokens, with digests of ids and of the bytes they decode to."""
-    return token_digests(docs)
+    """Pipeline stage, the last one: the corpus as tokens, a row for each document.
+
+    doc_id, n_tokens, digests of the ids and of the bytes they decode to, and ``ids`` (array
+    of ints). Odd rows as in :func:`token_digests`.
+    """
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), _digests(None, True), _DIGEST + ", ids array<int>")

@@ -411,7 +411,11 @@ def _store(batches):
 
 
 def texts_as_gifs(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep``, n_bytes and media: the text's UTF-8 bytes, padded with 255 to frames of 24 x 24 samples. A null text is empty."""
+    """Columns ``keep``, n_bytes and media: the text's UTF-8 bytes, padded with 255 to frames of 24 x 24 samples.
+
+    A null text is empty; an empty text is one frame of padding. Kept columns named as the new ones give way.
+    """
+    keep = tuple(c for c in keep if c not in ("n_bytes", "media"))
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
     return arrow_map(docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__b"), *keep), _store, schema)
 
@@ -426,6 +430,10 @@ def _digests(batches):
         cols = [[] for _ in names]
         for _, part in _batches_of(batch.column(0)):
             for raw, (movie, screens) in zip(part, decode_gifs(part)):
+                if movie is None:
+                    for c in cols:
+                        c.append(None)
+                    continue
                 # a grey sample is any one of its channels
                 payload = screens[..., 0].tobytes()
                 hist = histograms(screens)
@@ -438,8 +446,12 @@ def _digests(batches):
 
 
 def gif_digests(media: DataFrame) -> DataFrame:
-    """Reads GIFs of texts back: digests of payload and stored bytes, and a histogram feature."""
-    keep = [c for c in media.columns if c != "media"]
+    """Reads GIFs of texts back: digests of payload and stored bytes, and a histogram feature.
+
+    Null, empty or foreign bytes have nulls. Columns with a new column's name are dropped,
+    all others kept.
+    """
+    keep = [c for c in media.columns if c != "media" and c not in [x.split()[0] for x in _DIGEST.split(", ")]]
     schema = media.select(*keep).schema
     for x in _DIGEST.split(", "):
         schema = schema.add(*x.split())
@@ -447,6 +459,6 @@ def gif_digests(media: DataFrame) -> DataFrame:
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``, stored as GIFs and read back."""
+    """All ``documents``, stored as GIFs and read back; a row each, null and empty texts are one frame of padding."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return gif_digests(texts_as_gifs(docs))

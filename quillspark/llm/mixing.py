@@ -32,7 +32,7 @@ from pyspark.sql import types as t
 from .workspace import bounded_broadcast, discard, materialize
 
 #: Documents of a slice of a cell, about.
-STRATUM_ROWS = 4_000
+STRATUM_ROWS = 400
 #: Cells that a size class (a binary order) of a source offers for working off the rest.
 SPARE = 8
 NEWTON_STEPS = 80
@@ -121,13 +121,13 @@ def _newton_step(cells: DataFrame, state: DataFrame, cap: float, few: int) -> Da
     return summed.select("s", "target", "full", F.when(open_, nxt).otherwise(F.col("lam")).alias("lam"), lo.alias("lo"), hi.alias("hi"), open_.alias("open"))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> DataFrame:
-    """What the mix takes of the rows (source, size, h), a row for each (source, size): s, z, docs, floor, extra, slices, cut.
+def mix(sizes: DataFrame, targets: DataFrame, cap: float = 2.0) -> tuple[DataFrame, DataFrame]:
+    """What the mix takes of the rows (source, size, h): cells (s, z, docs, floor, extra, slices) and cuts (s, z, slice, t, need, ties).
 
     ``h`` is a hash of a row's contents. Each of a cell's ``docs`` rows is copied ``floor`` times
-    and ``extra`` of them once more: by slice (h modulo ``slices``), the rows whose h is below
-    ``cut[slice].t``, and ``cut[slice].need`` of the ``ties`` rows that have it. Null sources are
-    a source. Copies never exceed ``cap``, a whole number.
+    and ``extra`` of them once more: by slice (h modulo ``slices``) the rows whose h is below
+    ``t``, and ``need`` of the ``ties`` rows that have it. Null sources are a source. Copies
+    never exceed ``cap``, a whole number.
     """
     cells = materialize(sizes.groupBy("source", "size").agg(F.count("*").alias("docs")), "mix-cells")
     lam = entropy_rates(cells, targets, cap)
@@ -171,9 +171,9 @@ def _work_off(cells: DataFrame, cap: float) -> DataFrame:
     return out.select("source", "size", "docs", F.expr("copies DIV docs").alias("floor"), F.pmod("copies", "docs").alias("extra"))
 
 
-def _cuts(sizes: DataFrame, cells: DataFrame) -> DataFrame:
+def _cuts(sizes: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The plan of :func:`mix` from the cells (source, size, docs, floor, extra)."""
-    cells = cells.select(F.col("source").alias("s"), F.col("size").alias("z"), "docs", "floor", "extra", F.ceil(F.col("docs") / F.lit(STRATUM_ROWS)).alias("slices"))
+    cells = materialize(cells.select(F.col("source").alias("s"), F.col("size").alias("z"), "docs", "floor", "extra", F.ceil(F.col("docs") / F.lit(STRATUM_ROWS)).alias("slices")), "mix-plan")
     some = cells.where("extra > 0 AND extra < docs")
     count, most = some.agg(F.count("*"), F.max("slices")).first()
     rows = sizes.join(bounded_broadcast(some, count), _same("source", "s") & (F.col("size") == F.col("z")))
@@ -191,30 +191,31 @@ def _cuts(sizes: DataFrame, cells: DataFrame) -> DataFrame:
         rows = rows.withColumn("quota", F.col("extra"))
     stratum = Window.partitionBy("s", "z", "slice").orderBy("h")
     ranked = rows.withColumn("n", F.row_number().over(stratum)).withColumn("rank", F.rank().over(stratum)).withColumn("ties", F.count("*").over(stratum.rangeBetween(Window.currentRow, Window.currentRow)))
-    last = ranked.where(F.col("n") == F.col("quota")).select("s", "z", "slice", F.struct(F.col("h").alias("t"), (F.col("quota") - F.col("rank") + 1).cast("long").alias("need"), "ties").alias("c"))
-    by = last.groupBy(F.col("s").alias("s2"), F.col("z").alias("z2")).agg(F.map_from_entries(F.collect_list(F.struct("slice", "c"))).alias("cut"))
-    return materialize(cells.join(by, _same("s", "s2") & (F.col("z") == F.col("z2")), "left").select("s", "z", "docs", "floor", "extra", "slices", "cut"), "mix-plan")
+    cuts = ranked.where(F.col("n") == F.col("quota")).select("s", "z", "slice", F.col("h").alias("t"), (F.col("quota") - F.col("rank") + 1).cast("long").alias("need"), "ties")
+    return cells, materialize(cuts, "mix-cuts")
 
 
-def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def with_copies(rows: DataFrame, plan: tuple[DataFrame, DataFrame]) -> DataFrame:
     """``rows`` (source, size, h and others) with ``copies``, by the plan of :func:`mix`.
 
-    One join with a row for each source and size. Rows of one hash stand for each other: where only
-    a part of them gets a copy, any do.
+    Joins with a row for each source and size, then for each slice that is copied in part. Rows of one
+    hash stand for each other: where only a part of them gets a copy, any do.
     """
     cols = rows.columns
-    count, tied = plan.agg(F.count("*"), F.count_if(F.exists(F.coalesce(F.map_values("cut"), F.array()), lambda c: c["need"] < c["ties"]))).first()
-    joined = rows.join(bounded_broadcast(plan, count), _same("source", "s") & (F.col("size") == F.col("z")))
-    cut = F.element_at("cut", F.pmod("h", "slices"))
-    some = (F.col("extra") > 0) & (F.col("extra") < F.col("docs"))
-    split = F.coalesce(some & (F.col("h") == cut["t"]) & (cut["need"] < cut["ties"]), F.lit(False))
-    more = F.when(F.col("extra") >= F.col("docs"), 1).when(some & (F.col("h") <= cut["t"]), 1).otherwise(0)
-    whole = joined.where(~split).select(*cols, (F.col("floor") + more).cast("long").alias("copies")) if tied else joined.select(*cols, (F.col("floor") + more).cast("long").alias("copies"))
+    cells, cuts = plan
+    cuts = cuts.select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("slice").alias("slice2"), "t", "need", "ties")
+    count, tied = cuts.agg(F.count("*"), F.count_if(F.col("need") < F.col("ties"))).first()
+    joined = rows.join(bounded_broadcast(cells, cells.count()), _same("source", "s") & (F.col("size") == F.col("z")))
+    joined = joined.join(bounded_broadcast(cuts, count), _same("source", "s2") & (F.col("size") == F.col("z2")) & (F.pmod("h", "slices") == F.col("slice2")), "left")
+    more = F.when(F.col("extra") >= F.col("docs"), 1).when(F.col("h") <= F.col("t"), 1).otherwise(0)
+    copies = (F.col("floor") + more).cast("long").alias("copies")
     if not tied:
-        return whole
+        return joined.select(*cols, copies)
+    split = F.coalesce((F.col("h") == F.col("t")) & (F.col("need") < F.col("ties")), F.lit(False))
     same = Window.partitionBy("source", "size", "h").orderBy(F.lit(1))
-    some_of = joined.where(split).withColumn("need", cut["need"]).withColumn("n", F.row_number().over(same))
-    return whole.union(some_of.select(*cols, (F.col("floor") + (F.col("n") <= F.col("need")).cast("int")).cast("long").alias("copies")))
+    some_of = joined.where(split).withColumn("n", F.row_number().over(same))
+    some_of = some_of.select(*cols, (F.col("floor") + (F.col("n") <= F.col("need")).cast("int")).cast("long").alias("copies"))
+    return joined.where(~split).select(*cols, copies).union(some_of)
 
 
 def _plain(kind: t.DataType) -> bool:

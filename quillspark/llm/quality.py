@@ -88,19 +88,33 @@ def _statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
+def _free_prefix(cols: list[str]) -> str:
+    """A prefix for the statistics' columns that no other column begins with."""
+    prefix = "s_"
+    while any(c.lower().startswith(prefix) for c in cols):
+        prefix = "_" + prefix
+    return prefix
+
+
 def _stat_rows(batches):
+    """The other columns, then the statistics of the first one; their names come from the plan."""
     for batch in batches:
         x = _statistics(batch.column(0))
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[*batch.schema.names[1:], *(f"s_{n}" for n in STATISTICS)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[str(k) for k in range(batch.num_columns - 1 + x.shape[1])])
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with a column s_<name> for each statistic; a null or empty text has zeros."""
-    keep = [c for c in docs.columns if c != text_col and not c.startswith("s_")]
-    schema = docs.select(*keep).schema
-    for n in STATISTICS:
-        schema = schema.add(f"s_{n}", "double")
-    return arrow_map(docs.select(F.col(text_col).alias("__text"), *keep), _stat_rows, schema)
+def statistics(docs: DataFrame, text_col: str = "text", prefix: str = "s_", keep_text: bool = False) -> DataFrame:
+    """``docs`` with a column <prefix><name> for each statistic, and without its text unless ``keep_text``.
+
+    A null or empty text has zeros. Other columns must not begin with the prefix.
+    """
+    keep = [c for c in docs.columns if keep_text or c != text_col]
+    kept = docs.select(F.col(f"`{text_col}`"), *(F.col(f"`{c}`") for c in keep)).toDF("text", *(f"k{k}" for k in range(len(keep))))
+    schema = kept.select(*kept.columns[1:]).schema
+    for k in range(len(STATISTICS)):
+        schema = schema.add(f"x{k}", "double")
+    names = [f.name for f in schema]
+    return arrow_map(kept, lambda batches: (pa.RecordBatch.from_arrays(b.columns, names=names) for b in _stat_rows(batches)), schema).toDF(*keep, *(prefix + n for n in STATISTICS))
 
 
 class RuleEnsemble:
@@ -114,17 +128,17 @@ class RuleEnsemble:
         self.bias, self.rules, self.rule_weights = bias, rules, rule_weights
         self.linear, self.linear_weights = linear, linear_weights
 
-    def column(self) -> Column:
-        """The score as one column expression over the s_<name> columns."""
+    def column(self, prefix: str = "s_") -> Column:
+        """The score as one column expression over the <prefix><name> columns."""
         z = F.lit(float(self.bias))
         for conj, w in zip(self.rules, self.rule_weights):
             c = F.lit(True)
             for f, above, t in conj:
-                v = F.col(f"s_{STATISTICS[f]}")
+                v = F.col(prefix + STATISTICS[f])
                 c = c & ((v > float(t)) if above else (v <= float(t)))
             z = z + F.when(c, F.lit(float(w))).otherwise(F.lit(0.0))
         for (f, lo, hi, mean, scale), w in zip(self.linear, self.linear_weights):
-            v = F.greatest(F.least(F.col(f"s_{STATISTICS[f]}"), F.lit(float(hi))), F.lit(float(lo)))
+            v = F.greatest(F.least(F.col(prefix + STATISTICS[f]), F.lit(float(hi))), F.lit(float(lo)))
             z = z + (v - float(mean)) / float(scale) * float(w)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.least(z, F.lit(40.0)), F.lit(-40.0))))
 
@@ -202,32 +216,40 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> RuleEnsemble:
-    """Fits on labelled rows that are not held out, at most ``train_rows`` of them.
+def _known(labels: DataFrame, train_rows: int) -> DataFrame:
+    """(doc_id, label) of at most ``train_rows`` ids that are not held out, those with the least hashes."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("label"))
+    return known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+
+
+def fit_quality(stats: DataFrame, known: DataFrame) -> RuleEnsemble:
+    """Fits on the rows of ``stats`` (doc_id and statistics) with a label in ``known`` (doc_id, label).
 
-    Rows without a label or an id do not count; an id with several labels counts by
-    its largest.
+    Of rows with one id the least by their statistics counts, so equal tables give equal
+    models. Rows without a label or an id do not count; an id with several labels counts
+    by its largest.
     """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("label"))
-    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    sample = stats.join(F.broadcast(known), "doc_id").select("label", "doc_id", *(f"s_{n}" for n in STATISTICS)).limit(2 * train_rows).toPandas()
-    sample = sample.sort_values(list(sample.columns), kind="stable")
-    return fit_rules(sample.iloc[:, 2:].to_numpy(float), sample["label"].to_numpy(float))
+    own = stats.join(F.broadcast(known), "doc_id")
+    least = own.groupBy("doc_id", "label").agg(F.min(F.struct(*(f"s_{n}" for n in STATISTICS))).alias("x"))
+    sample = least.orderBy("doc_id").select("label", "x.*").toPandas()
+    return fit_rules(sample.iloc[:, 1:].to_numpy(float), sample["label"].to_numpy(float))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), train_rows: int = TRAIN_ROWS) -> DataFrame:
     """Columns ``keep`` and score (0 to 1, higher: label 1 likelier) of each row.
 
-    Null and empty texts are scored by their statistics, all 0. Without labels every
-    score is 0.5. Columns not kept are ignored.
+    Null and empty texts are scored by their statistics, all 0; equal texts have equal
+    scores. Without labels every score is 0.5. Columns not kept are ignored, a kept one
+    named score gives way.
     """
-    stats = materialize(statistics(docs.select(*keep, "text")), "quality-statistics")
-    model = fit_quality(stats, labels)
-    return stats.select(*keep, model.column().alias("score"))
+    keep = tuple(c for c in keep if c != "score")
+    stats = materialize(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*keep).alias("row"))), "quality-statistics")
+    model = fit_quality(stats, _known(labels, train_rows))
+    return stats.select("row.*", model.column().alias("score"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``, by ``labels``."""
+    """All ``documents``, by ``labels``. Odd rows as in :func:`score_quality`; a row without an id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -238,30 +260,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     The statistics and the decision are one projection over each row, so rows with
     null or repeated ids are judged by their own texts; nothing is joined or shuffled
-    but the training sample.
+    but the training sample. Columns of any name are kept as they are.
     """
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    cols = docs.columns
+    known = _known(spark.read.parquet(f"{sf_dir}/labels.parquet"), TRAIN_ROWS)
     # the sample's statistics are computed for the sampled rows only
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("quality"))
-    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
     model = fit_quality(statistics(sample), known)
-    stats = arrow_map(docs.select(*cols), _with_statistics(cols.index("text")), _stat_schema(docs.select(*cols)))
-    return stats.where(model.column() >= 0.5).select(*cols)
-
-
-def _stat_schema(docs: DataFrame):
-    schema = docs.schema
-    for n in STATISTICS:
-        schema = schema.add(f"s_{n}", "double")
-    return schema
-
-
-def _with_statistics(at: int):
-    def run(batches):
-        for batch in batches:
-            x = _statistics(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x[:, k]) for k in range(x.shape[1]))], names=[*batch.schema.names, *(f"s_{n}" for n in STATISTICS)])
-
-    return run
+    prefix = _free_prefix(docs.columns)
+    stats = statistics(docs, prefix=prefix, keep_text=True)
+    return stats.where(model.column(prefix) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -498,13 +498,14 @@ class _Join:
         return grown
 
     def state(self) -> DataFrame:
-        """The members with their components."""
+        """The members that can still have untested pairs, with their components: a leader has met all, and so has a second one."""
+        rest = self.members.where("size > 2 AND node <> lead").drop("lead", "lead_n", "lead_place", "size")
         if self.comp is None:
-            return self.members.withColumn("comp", F.col("node"))
-        return self.members.join(self.comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+            return rest.withColumn("comp", F.col("node"))
+        return rest.join(self.comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
 
     def open_buckets(self) -> tuple[DataFrame, int]:
-        """(token, main, size) of the buckets whose members are not all connected, written, and the largest size.
+        """(token, main, size) of the buckets whose members but the leader are not all connected, written, and the largest size.
 
         ``main`` is the component with most members: of two unconnected members one at least is outside it.
         """
@@ -527,14 +528,13 @@ class _Join:
             # a pivot is a member with a small hash for its bucket's size: no ranking of a hot bucket
             large = self.state().join(found.where(F.col("size") > width), "token").join(shape, "node")
             rank = (F.shiftrightunsigned(F.xxhash64("node"), 1) / F.lit(float(1 << 63))) * F.col("size")
-            pivots = large.where((F.col("node") != F.col("lead")) & (rank < width)).select(*cols)
+            pivots = large.where(rank < width).select(*cols)
             self.verified(_pairs(large.where(F.col("comp") != F.col("main")).select(*cols), pivots, percent))
             discard(found)
             found, most = self.open_buckets()
         if most:
             small = self.state().join(found.where(F.col("size") <= SMALL), "token").join(shape, "node")
-            others = small.where(F.col("node") != F.col("lead")).select(*cols)
-            pairs = _pairs(small.where(F.col("comp") != F.col("main")).select(*cols), others, percent)
+            pairs = _pairs(small.where(F.col("comp") != F.col("main")).select(*cols), small.select(*cols), percent)
             if most > SMALL:
                 pairs = pairs.union(self.agreeing(found.where(F.col("size") > SMALL), shape)).distinct()
             self.verified(pairs)
@@ -594,7 +594,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 
     posted = nodes.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), "node", "n", F.col("t.places").alias("place"))
     leads = posted.groupBy("token").agg(F.min("node").alias("lead"), F.min_by("n", "node").alias("lead_n"), F.min_by("place", "node").alias("lead_place"), F.count("*").alias("size"))
-    members = materialize(posted.join(leads.where("size > 1").drop("size"), "token"), "setjoin-members")
+    members = materialize(posted.join(leads.where("size > 1"), "token"), "setjoin-members")
     comp = _Join(known, nodes, members, words, percent, bool(most and most > 1)).run()
     discard(members)
 
@@ -631,17 +631,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with a null doc_id stay. Of rows with one doc_id, the first by text stays.
     Columns of any name are kept as they are.
     """
-    cols = docs.columns
+    names = [F.col(f"`{c}`") for c in docs.columns]
     comp = jaccard_components(docs.select("doc_id", "text"))
     fate = materialize(comp.groupBy("doc_id").agg(F.max(F.col("component_id") < F.col("doc_id")).alias("goes"), F.count("*").alias("rows")).where("doc_id IS NOT NULL AND (goes OR rows > 1)"), "setjoin-fate")
     count, twice = fate.agg(F.count("*"), F.count_if(F.expr("rows > 1 AND NOT goes"))).first()
-    once = docs.join(bounded_broadcast(fate.select("doc_id"), count), "doc_id", "left_anti").select(*cols)
+    once = docs.join(bounded_broadcast(fate.select("doc_id"), count), "doc_id", "left_anti").select(*names)
     if not twice:
         return once
     again = docs.join(bounded_broadcast(fate.where("rows > 1 AND NOT goes").select("doc_id"), twice), "doc_id", "left_semi")
-    row = F.struct(F.col("text").alias("by"), F.struct(*cols).alias("row"))
+    row = F.struct(F.col("text").alias("by"), F.struct(*names).alias("row"))
     first = again.groupBy("doc_id").agg(F.min(row).alias("least")).select("least.row.*")
-    return once.union(first.select(*cols))
+    return once.union(first.select(*names))
 
 
 ORACLE_OP10 = r"""

@@ -84,6 +84,9 @@ def _tidied(function):
 def arrow_map(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with batches bounded in bytes; a task that ends gives its memory back to the system."""
     bound_batches(df.sparkSession)
+    if any("." in c or "`" in c for c in df.columns):
+        # mapInArrow looks columns up by name; those that come out have the schema's names
+        df = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
     return df.mapInArrow(_tidied(function), schema)
 
 

@@ -375,7 +375,7 @@ def labelled(spark, n=500):
 def test_quality(spark):
     rows, labels = labelled(spark)
     rows += [(9000, None, "en", "s", 1), (9001, "", None, None, 1), (9002, "ALL CAPS!! " * 9000, "en", "s", 1), (None, "plain text", "en", "s", 1)]
-    docs = frame(spark, rows)
+    docs = frame(spark, rows).withColumns({f"s_{n}": F.lit("x") for n in ("upper", "z")})
     got = quality.score_quality(docs, labels).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     truth = {r["doc_id"]: r["quality"] for r in labels.where("quality IS NOT NULL").collect()}
@@ -443,3 +443,34 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit_toxicity(frame(spark, odd_rows()), none)
     assert toxicity.score_toxicity(frame(spark, odd_rows()), model).count() == len(odd_rows())
+
+
+# ---------------------------------------------------------------- held-out quality of both classifiers
+DATA = "/root/testdata/sf0.1"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("query, column, recall, precision", [(quality.op8_quality, "quality", 0.99, 0.99), (toxicity.op9_toxicity, "toxic", 0.87, 0.92)])
+def test_held_out_accuracy(spark, query, column, recall, precision):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where(f"{column} IS NOT NULL").select("doc_id", column)
+    rows = query(spark, DATA).join(labels, "doc_id").where("held_out").collect()
+    hit = sum(r["predicted"] == r[column] == 1 for r in rows)
+    assert len(rows) > 900
+    assert hit >= recall * sum(r[column] for r in rows) and hit >= precision * sum(r["predicted"] for r in rows)
+
+
+@pytest.mark.parametrize("query, column, rest, of", [(quality.op8_quality, "quality", 1, 3), (toxicity.op9_toxicity, "toxic", 2, 4)])
+def test_scores_use_neither_held_out_labels_nor_other_columns(spark, tmp_path, query, column, rest, of):
+    import zlib
+
+    rows, labels = labelled(spark, 600)
+    known = [(r["doc_id"], r[column]) for r in labels.collect()]
+    rng = random.Random(1)
+    other_rows = [(i, t, rng.choice("xy"), rng.choice("pq"), rng.randint(0, 9)) for i, t, *_ in rows]
+    other_labels = [(i, (None if y is None else 1 - y) if zlib.crc32(str(i).encode()) % of == rest else y) for i, y in known]
+    got = []
+    for name, docs, marks in (("one", rows, known), ("two", other_rows, other_labels)):
+        frame(spark, docs).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(marks, f"doc_id long, {column} int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got.append(sorted((r["doc_id"], r["score"], r["held_out"]) for r in query(spark, f"{tmp_path}/{name}").collect()))
+    assert got[0] == got[1] and {s for _, s, _ in got[0]} != {0.5}
