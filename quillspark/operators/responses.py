@@ -1,219 +1,211 @@
 """Reading a model's batch answer: which text belongs to which headline.
 
 Pure Python on one batch of a few stories; DataFrames call it through Arrow in
-:mod:`quillspark.operators.summaries`. The order of attempts is: lines marked
-STORY_n, assigned by likeness to the headlines; then numbered headings, "Summary
-of" chunks or one plain paragraph by position; then neighbours that fit each
-other's headline better are exchanged.
+:mod:`quillspark.operators.summaries`. An answer is read in three steps that know
+nothing of each other:
+
+* :func:`entries` cuts the lines into entries: a mark (``STORY_n`` or ``n.``) with its
+  number, the words beside it and the lines below it.
+* :func:`fits` scores every entry against every headline, as one table.
+* :func:`places` turns the table into slots by rules on sets of claims.
+
+Rules. A story entry claims the headline it fits best, if it fits well enough; of several
+claims the first counts, and the slot that bears a later one's number stays empty. An
+item claims likewise, else the slot of its number. Without headlines numbers alone
+decide, items before stories. Without entries the answer is paragraphs or one text.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
-LIKE, SHARE, HEADING_LIKE = 0.7, 0.3, 0.15
+#: A headline quoted beside a mark, a summary's words, and an item's text count from here on.
+QUOTED, COVERED, ITEM = 0.7, 0.3, 0.15
+#: Words that can quote a headline where no sign ends the quotation.
+_QUOTE_WORDS = range(4, 11)
+
+_BREAK = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9\"'])")
+_TITLE = re.compile(r"[^:.!?]{1,80}:\s+(?=\S)")
+
+
+@dataclass(frozen=True)
+class Entry:
+    """``story``: marked STORY_n (counted from 0), else an item (counted from 1); ``slot``: where its number points."""
+
+    story: bool
+    slot: int
+    beside: str
+    below: tuple[str, ...]
+
+    @property
+    def quote(self) -> str:
+        return self.beside.partition("=")[0].strip() if "=" in self.beside else ""
+
+    @property
+    def told(self) -> str:
+        """The entry's own text: what follows the quotation, the lines below a heading, or the heading's line."""
+        if self.story:
+            text = self.beside.partition("=")[2] if "=" in self.beside else self.beside
+            return text.strip() or " ".join(self.below)
+        return " ".join(self.below) or _TITLE.sub("", self.beside, count=1)
+
+
+def _mark(line: str) -> tuple[bool, int, str] | None:
+    """(story, slot, rest) of a line that begins an entry."""
+    bare = line.strip().lstrip("#").strip().lstrip("*").strip()
+    story = bare[:5].lower() == "story"
+    rest = bare[5:].lstrip("_- ") if story else bare
+    digits = rest[: len(rest) - len(rest.lstrip("0123456789"))]
+    rest = rest[len(digits) :]
+    if not digits or len(digits) > 6 or (not story and rest[:1] not in (".", ")")):
+        return None
+    if not story and digits.strip("0") and rest[1:2].isdigit():
+        return None  # a decimal number
+    return story, int(digits) if story else max(int(digits) - 1, 0), rest.lstrip(" \t.):|" if story else ".)").strip()
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9\"'])")
-_MARKED = re.compile(r"STORY[_\-\s]*(\d+)\s*\|?\s*(.*)$", re.I)
-_HEADING = re.compile(r"^\s*(?:###\s*)?(?:\*\*)?(?:(?P<num>\d+)[).]\s*|STORY[_\-\s]*(?P<story>\d+)\s*[:)]?\s*)", re.I)
 
+def entries(lines: list[str]) -> list[Entry]:
+    """All entries of an answer; lines before the first mark belong to none."""
+    starts = [(n, m) for n, m in enumerate(map(_mark, lines)) if m]
+    ends = [n for n, _ in starts[1:]] + [len(lines)]
+    cut = lambda lo, hi: tuple(x.strip() for x in lines[lo:hi] if x.strip())
+    return [Entry(story, slot, rest.strip("* "), cut(n + 1, end)) for (n, (story, slot, rest)), end in zip(starts, ends)]
 
-def _flat(text: str) -> str:
-    return re.sub(r"\s+", " ", text.strip().lower())
 
+def three_sentences(text: str) -> str:
+    """Single spaces, no doubled full stop, at most three sentences."""
+    flat = " ".join((text or "").split()).replace("..", ".").strip()
+    return " ".join(_BREAK.split(flat)[:3])
 
-def _words(text: str, least: int = 4) -> set[str]:
-    return set(re.findall(rf"\b[a-z]{{{least},}}\b", text.lower()))
 
+def _tidy(text: str) -> str:
+    text = text.replace("**", "").strip()
+    return three_sentences(text[8:] if text[:8].lower() == "summary:" else text)
 
-def three_sentences(text: str) -> str:
-    s = re.sub(r"\s+", " ", text or "").strip().replace("..", ".").strip()
-    parts = [p.strip() for p in _SENTENCE.split(s) if p.strip()]
-    return " ".join(parts[:3]) if len(parts) >= 3 else s
-
-
-def _best(scores: list[float]) -> tuple[int | None, float]:
-    """The first of the highest positive scores."""
-    best, at = 0.0, None
-    for k, s in enumerate(scores):
-        if s > best:
-            best, at = s, k
-    return at, best
-
-
-class _Slots:
-    """Summaries by story, with what is taken and what must stay empty."""
-
-    def __init__(self, count: int):
-        self.text = [""] * count
-        self.taken: set[int] = set()
-        self.reserved: set[int] = set()
-        self.skipped: set[int] = set()
-
-    def has(self, k: int | None) -> bool:
-        return k is not None and 0 <= k < len(self.text)
-
-    def assign(self, number: int, target: int, summary: str) -> None:
-        """Gives the line ``number`` to ``target``; a second claim leaves the line's own slot empty."""
-        if target in self.taken:
-            self.skipped.add(number)
-            if self.has(number):
-                self.reserved.add(number)
-            return
-        if target in self.reserved and self.has(number):
-            target = number
-        clean = three_sentences(summary)
-        if clean:
-            self.text[target] = clean
-            self.taken.add(target)
-
-
-def _by_excerpt(parts: list[str], heads: list[set[str]], count: int) -> tuple[int, str] | None:
-    """A headline whose words make up 30 % of the line's first 4 to 10 words, and what follows them."""
-    if len(parts) <= 8:
-        return None
-    for n in range(4, min(11, len(parts))):
-        own = _words(" ".join(parts[:n]))
-        if own:
-            at, score = _best([len(h & own) / len(own) if h else 0.0 for h in heads])
-            if at is not None and score >= SHARE and at < count:
-                return at, " ".join(parts[n:])
+
+def _bag(text: str, least: int = 4) -> frozenset[str]:
+    return frozenset(w for w in re.findall(r"\b[a-z]+\b", text.lower()) if len(w) >= least)
+
+
+def _alike(a: str, b: str) -> float:
+    flat = lambda t: " ".join(t.lower().split())
+    return SequenceMatcher(None, flat(a), flat(b)).ratio()
+
+
+def _share(part: frozenset[str], of: frozenset[str]) -> float:
+    return len(part & of) / len(of) if of else 0.0
+
+
+def _quoted_start(text: str, bags: list[frozenset[str]]) -> tuple[int, list[float]] | None:
+    """The shortest beginning of an unsigned text that quotes a headline: its words, and how much of it each headline has."""
+    words = text.split()
+    for n in _QUOTE_WORDS if len(words) > 8 else ():
+        own = _bag(" ".join(words[:n]))
+        row = [_share(bag, own) for bag in bags]
+        if n < len(words) and max(row, default=0.0) >= COVERED:
+            return n, row
     return None
 
 
-def _read_marked(lines: list[str], slots: _Slots, headlines: list[str]) -> set[int]:
-    count, heads, seen = len(slots.text), [_words(h) for h in headlines], set()
-    for n, line in enumerate(lines):
-        m = _MARKED.match(line.strip())
-        if not m:
-            continue
-        seen.add(n)
-        number, rest = int(m.group(1)), m.group(2).strip()
-        summary = re.sub(r"^STORY[_\-\s]*\d+\s*\|?\s*", "", rest.partition("=")[2].strip() if "=" in rest else rest).strip()
-        if not rest or not summary:
-            continue
-        excerpt = rest.partition("=")[0].strip()
-        at, score = _best([SequenceMatcher(None, _flat(excerpt), _flat(h)).ratio() for h in headlines]) if excerpt else (None, 0.0)
-        if at is None or score < LIKE or at >= count:
-            own = _words(summary[:150])
-            at, score = _best([len(h & own) / len(h) if h and own else 0.0 for h in heads])
-            if at is None or score < SHARE or at >= count:
-                found = _by_excerpt(rest.split(), heads, count)
-                if found is None:
-                    continue
-                at, summary = found
-        slots.assign(number, at, summary)
-    return seen
-
-
-def _headings(lines: list[str], count: int) -> list[tuple[int, int | None, str]]:
-    """(line, story, text) of headings; numbers count from 1, STORY_n also as n itself."""
-    out: list[tuple[int, int | None, str]] = []
-    for n, line in enumerate(lines):
-        m = _HEADING.match(line.strip())
-        if m:
-            if m["num"] is not None:
-                places = [max(int(m["num"]) - 1, 0) if int(m["num"]) > 0 else 0]
+def fits(found: list[Entry], headlines: list[str]) -> list[tuple[list[float], str]]:
+    """For each entry how well it fits each headline (0: not at all) and the text it brings."""
+    bags = [_bag(h) for h in headlines]
+    table = []
+    for e in found:
+        text = e.told
+        if e.story:
+            # the surest kind of likeness that reaches its bound decides
+            quoted = [_alike(e.quote, h) if e.quote else 0.0 for h in headlines]
+            covered = [_share(_bag(text[:150]), bag) for bag in bags]
+            start = None
+            for row, bound in ((quoted, QUOTED), (covered, COVERED)):
+                if max(row, default=0.0) >= bound:
+                    break
             else:
-                k = int(m["story"])
-                places = list(dict.fromkeys([k, max(k - 1, 0)]))
-            out += [(n, k, line) for k in places if 0 <= k < count]
-    if not out and count > 1:
-        out = [(n, None, x) for n, x in enumerate(lines) if x.lower().startswith("summary") and ":" in x]
+                start = _quoted_start(e.beside, bags)
+                row, bound = (start[1], COVERED) if start else ([], 1.0)
+            if start:
+                text = " ".join(e.beside.split()[start[0] :])
+        else:
+            whole = " ".join([e.beside, *e.below])
+            row, bound = [_share(_bag(whole), bag) for bag in bags], ITEM
+            if max(row, default=0.0) < QUOTED:
+                row = [max(share, _alike(e.beside, h)) for share, h in zip(row, headlines)]
+        table.append(([s if s >= bound else 0.0 for s in row] or [0.0] * len(headlines), _tidy(text)))
+    return table
+
+
+def _best(row: list[float]) -> int | None:
+    top = max(row, default=0.0)
+    return row.index(top) if top > 0 else None
+
+
+def places(found: list[Entry], table: list[tuple[list[float], str]], count: int) -> dict[int, str]:
+    """Slots with their texts."""
+    claims = {k: j for k, (row, text) in enumerate(table) if text and (j := _best(row)) is not None and j < count}
+    stories = [k for k in claims if found[k].story]
+    first = {claims[k]: k for k in reversed(stories)}
+    second = [k for k in stories if first[claims[k]] != k]
+    out: dict[int, str] = {}
+    for j, k in sorted(first.items(), key=lambda x: x[1]):
+        # a slot kept empty by an earlier second claim sends its own claim to its number
+        kept = any(found[s].slot == j for s in second if s < k)
+        slot = found[k].slot if kept and found[k].slot < count else j
+        out.setdefault(slot, table[k][1])
+    closed = set(out) | {found[k].slot for k in second}
+    for k, e in enumerate(found):
+        if not e.story and table[k][1]:
+            slot = next((s for s in (claims.get(k), e.slot) if s is not None and s < count and s not in closed), None)
+            if slot is not None:
+                out[slot] = table[k][1]
+                closed.add(slot)
     return out
 
 
-def _heading_text(raw: str, chunk: list[str]) -> str:
-    """The summary below a heading, or after the first separator in it."""
-    if len(chunk) > 1:
-        text = "\n".join(chunk[1:]).strip()
-    else:
-        head = raw.strip()
-        text = head
-        for sep in ":-)":
-            if sep in head:
-                text = head.partition(sep)[2].strip()
-                break
-        if not text and "." in head:
-            text = head.partition(".")[2].strip()
-        text = text or "\n".join(chunk).strip()
-    text = re.sub(r"^\*+\s*", "", text)
-    text = re.sub(r"^(?:###\s*)?\**\d+[).]\s*", "", text)
-    text = re.sub(r"^Summary:\s*", "", text, flags=re.I)
-    return re.sub(r"\*\*|\*{2,}$", "", text).strip()
-
-
-def _likely_story(raw: str, headlines: list[str]) -> int | None:
-    text = _flat(re.sub(r"^(?:#{2,3}\s*)?\*{0,2}\d+[).]\s*", "", raw))
-    own = _words(text)
-    shares = [len(own & _words(_flat(h))) / max(len(_words(_flat(h))), 1) for h in headlines]
-    at, score = _best(shares)
-    if score < LIKE:
-        # a later, closer likeness of the whole texts may still win
-        for k, h in enumerate(headlines):
-            r = SequenceMatcher(None, text, _flat(h)).ratio()
-            if r > score:
-                at, score = k, r
-    return at if at is not None and score >= HEADING_LIKE else None
-
-
-def _read_positions(lines: list[str], slots: _Slots, headlines: list[str] | None, marked: set[int]) -> None:
-    count = len(slots.text)
-    heads = _headings(lines, count)
-    if not heads:
-        if count == 1:
-            plain = [x for x in lines if x.strip() and not x.strip().startswith(("Here are", "***"))]
-            slots.text[0] = three_sentences("\n".join(plain).strip()) or slots.text[0]
-        return
-    if count > 1 and all(k is None for _, k, _ in heads):
-        chunks: list[list[str]] = [[]]
-        for n, line in enumerate(lines):
-            if n and line.strip().lower().startswith("summary of") and chunks[-1]:
-                chunks.append([])
-            chunks[-1].append(line)
-        for k, c in enumerate(chunks[:count]):
-            slots.text[k] = three_sentences("\n".join(c).strip())
-        return
-    for n, (at, own, raw) in enumerate(heads):
-        if headlines and (at in marked or own in slots.skipped):
-            continue
-        target = own
-        if headlines:
-            likely = _likely_story(raw, headlines)
-            if likely is not None and not (likely != own and likely in slots.taken):
-                target = likely
-        end = heads[n + 1][0] if n + 1 < len(heads) else len(lines)
-        chunk = [x for x in lines[at:end] if x.strip()]
-        if not chunk or target in slots.taken or target in slots.reserved or not slots.has(target):
-            continue
-        slots.text[target] = three_sentences(_heading_text(raw, chunk))
-        if target != own:
-            slots.taken.add(target)
-
-
-def _exchange_neighbours(text: list[str], headlines: list[str]) -> None:
-    """From left to right: two neighbours change places if each fits the other's headline better."""
-    for i in range(min(len(text), len(headlines)) - 1):
-        a, b = _words(headlines[i], 3), _words(headlines[i + 1], 3)
-        x, y = _words(text[i], 3), _words(text[i + 1], 3)
-        if text[i] and text[i + 1] and a and b:
-            if len(b & x) / len(b) > len(a & x) / len(a) and len(a & y) / len(a) > len(b & y) / len(b):
-                text[i], text[i + 1] = text[i + 1], text[i]
+def _by_number(found: list[Entry], count: int) -> dict[int, str]:
+    """Items, then stories, at their numbers; of equal numbers of one kind the last."""
+    out: dict[int, str] = {}
+    for story in (True, False):
+        out |= {e.slot: _tidy(e.told) for e in found if e.story == story and e.slot < count}
+    return out
+
+
+def _unmarked(lines: list[str], count: int) -> dict[int, str]:
+    """One text without its introduction, or paragraphs that begin with "Summary of"."""
+    if count == 1:
+        return {0: three_sentences(" ".join(x for x in lines if not x.strip().startswith(("Here are", "***"))))}
+    at = [n for n, x in enumerate(lines) if x.strip().lower().startswith("summary") and ":" in x]
+    return {k: three_sentences(" ".join(lines[lo:hi])) for k, (lo, hi) in enumerate(zip(at, [*at[1:], len(lines)])) if k < count}
+
+
+def _exchanged(texts: list[str], headlines: list[str]) -> list[str]:
+    """Neighbours change places, from left to right, where each fits the other's headline better."""
+    bags, out = [_bag(h, 3) for h in headlines], list(texts)
+    for i, (a, b) in enumerate(zip(bags, bags[1:])):
+        if i + 1 < len(out) and a and b and out[i] and out[i + 1]:
+            x, y = _bag(out[i], 3), _bag(out[i + 1], 3)
+            if _share(x, b) > _share(x, a) and _share(y, a) > _share(y, b):
+                out[i], out[i + 1] = out[i + 1], out[i]
+    return out
 
 
 def read_batch_answer(answer: str | None, count: int, headlines: list[str] | None = None) -> list[str]:
-    """``count`` summaries, "" where the answer has none for a story."""
-    slots = _Slots(count)
-    if not answer:
-        return slots.text
-    lines = answer.splitlines()
-    marked: set[int] = set()
-    if headlines:
-        marked = _read_marked(lines, slots, headlines)
-        if marked and not slots.taken:
-            return slots.text
-    _read_positions(lines, slots, headlines, marked)
-    if headlines:
-        _exchange_neighbours(slots.text, headlines)
-    return slots.text
+    """``count`` summaries, "" where the answer has none for a story.
+
+    Headlines must be texts; an empty one is fitted by nothing. Story entries that fit no
+    headline at all leave every slot empty.
+    """
+    lines = (answer or "").splitlines()
+    found = entries(lines)
+    if not found:
+        slots = _unmarked(lines, count) if answer else {}
+    elif not headlines:
+        slots = _by_number(found, count)
+    else:
+        table = fits(found, headlines)
+        stories = [row for e, (row, _) in zip(found, table) if e.story]
+        slots = {} if stories and not any(map(any, stories)) else places(found, table, count)
+    texts = [slots.get(k, "") for k in range(count)]
+    return _exchanged(texts, headlines) if headlines else texts

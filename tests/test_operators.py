@@ -61,6 +61,56 @@ def test_answers(answer, heads, count, expected):
     assert read_batch_answer(answer, count, heads) == expected
 
 
+GOALS = ["Bridge closes for repairs", "School board elects chair", "Rain delays harvest"]
+ABOUT = ["The bridge closes on Monday for repairs. Detours are posted. Work lasts a week.", "The school board elects a chair tonight. Two members ran. Turnout was low.", "Rain delays the harvest again. Farmers wait. Prices may rise."]
+
+
+def story(n, head, text):
+    return f"STORY_{n} | {head}={text}"
+
+
+@pytest.mark.parametrize(
+    "answer, heads, count, expected",
+    [
+        # quoted headlines, in order and out of order, paraphrased
+        ("\n".join(story(k, GOALS[k], ABOUT[k]) for k in range(3)), GOALS, 3, ABOUT),
+        ("\n".join(story(n, h, ABOUT[j]) for n, (h, j) in enumerate((("New leader named", 1), ("Crossing shut", 0), ("Wet fields", 2)))), GOALS, 3, ABOUT),
+        ("\n".join(f"STORY_{k} | {ABOUT[k]}" for k in range(3)), GOALS, 3, ABOUT),
+        # numbers in several notations, headings with lines below
+        ("1. One is here. It stays.\n2) Two is here.\n\n### 3. Three came. It left.", None, 3, ["One is here. It stays.", "Two is here.", "Three came. It left."]),
+        ("1. Bridge report\n   The bridge closed. Cars wait.\n\n2. Board report\n   A chair was named.", None, 2, ["The bridge closed. Cars wait.", "A chair was named."]),
+        ("**1. Bridge**\nIt closed. Cars wait.", None, 1, ["It closed. Cars wait."]),
+        ("### **2. Board**\nA chair was named. Done.", None, 3, ["", "A chair was named. Done.", ""]),
+        ("Summary of Bridge:\nIt closed.\n\nSummary of Board:\nA chair was named.", None, 2, ["Summary of Bridge: It closed.", "Summary of Board: A chair was named."]),
+        # items come before stories where only numbers count; numbers out of range go nowhere
+        ("STORY_0 | A head=Nothing much. Really.\nSTORY_7 | Far=Out of range.\n1. First of all. It counts.\n3. Third. It counts too.", None, 3, ["First of all. It counts.", "", "Third. It counts too."]),
+        ("1. A. B. C. D. E.\n2. Only one here.", None, 2, ["A. B. C.", "Only one here."]),
+        # items that fit other headlines than their numbers say
+        ("1. The school board elects a chair. Two ran.\n2. Rain delays the harvest. Farmers wait.\n3. The bridge closes for repairs. Cars wait.", GOALS, 3, ["The bridge closes for repairs. Cars wait.", "The school board elects a chair. Two ran.", "Rain delays the harvest. Farmers wait."]),
+        (story(0, GOALS[0], ABOUT[0]) + "\n1. The school board elects a chair. Two ran.\n2. Rain delays the harvest. Farmers wait.", GOALS, 3, [ABOUT[0], "The school board elects a chair. Two ran.", "Rain delays the harvest. Farmers wait."]),
+        # the first claim counts; the second's own slot stays empty, and who would have it goes to its number
+        (story(0, GOALS[0], ABOUT[0]) + "\n" + story(1, "Repairs close bridge", "The bridge closes for long repairs. Boats pass.") + "\n" + story(2, GOALS[2], ABOUT[2]), GOALS, 3, [ABOUT[0], "", ABOUT[2]]),
+        (story(0, GOALS[0], ABOUT[0]) + "\n" + story(1, GOALS[0], "Other words of it. More.") + "\n" + story(2, GOALS[1], ABOUT[1]), GOALS, 3, [ABOUT[0], "", ABOUT[1]]),
+        (story(0, GOALS[0], ABOUT[0]) + "\n1. Bridge closes for repairs. Again.\n2. School board elects chair. Low turnout.", GOALS[:2], 2, [ABOUT[0], "School board elects chair. Low turnout."]),
+        # nothing fits; numbers that are none; more than fits
+        (story(0, "Of cats", "Cats sat on mats. Birds sang.") + "\n" + story(1, "Of fish", "Fish swim far. Reefs grow."), GOALS[:2], 2, ["", ""]),
+        (story(0, GOALS[0], ABOUT[0]) + "\nSTORY_abc | Bad=Skipped words. All.\n" + story(1, GOALS[1], ABOUT[1]) + "\n" + story(42, "Ghost", "Zzz qqq. Xxx."), GOALS[:2], 2, ABOUT[:2]),
+        ("STORY_0 | h=a sum x = y stays. Done.", None, 1, ["a sum x = y stays. Done."]),
+        ("No structure here\nat all.", None, 2, ["", ""]),
+        ("1. One\n2. Two", None, 4, ["One", "Two", "", ""]),
+        ("text", None, 0, []),
+        (story(0, "words", "Some text here. More."), ["", ""], 2, ["", ""]),
+    ],
+)
+def test_answers_of_every_shape(answer, heads, count, expected):
+    assert read_batch_answer(answer, count, heads) == expected
+
+
+def test_a_missing_headline_is_an_error():
+    with pytest.raises(Exception):
+        read_batch_answer("STORY_0 | h=Text here. More.", 1, [None])
+
+
 @pytest.mark.parametrize(
     "summary, headline, reason",
     [
