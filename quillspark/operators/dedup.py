@@ -74,15 +74,21 @@ def accepted(first: DataFrame, categories: DataFrame) -> DataFrame:
     return first.where(~F.col("bad")).join(reached_bands(first, categories), ["category", "band"])
 
 
-def capped(rows: DataFrame, most: int = NO_CAP) -> DataFrame:
+def largest_cap(categories: DataFrame) -> int:
+    """The largest cap that counts; categories are a small table."""
+    return categories.agg(F.max(F.when(F.col("cap") > 0, F.col("cap")).otherwise(F.lit(NO_CAP)))).first()[0] or NO_CAP
+
+
+def capped(rows: DataFrame, most: int | None = None) -> DataFrame:
     """At most ``cap`` rows of each category (0 or less: NO_CAP), freshest band first.
 
-    ``most`` is an upper bound of all caps: as a literal it lets each task keep only
-    its own first rows before the shuffle.
+    ``most`` is an upper bound of all caps, as :func:`largest_cap` finds it: as a literal it
+    lets each task keep only its own first rows before the shuffle.
     """
     w = Window.partitionBy("category").orderBy(*_order())
     cap = F.when(F.col("cap") > 0, F.col("cap")).otherwise(F.lit(NO_CAP))
-    return rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).where(F.col("k") <= cap)
+    ranked = rows.withColumn("k", F.row_number().over(w))
+    return (ranked if most is None else ranked.where(F.col("k") <= most)).where(F.col("k") <= cap)
 
 
 def across_categories(rows: DataFrame) -> DataFrame:
@@ -93,37 +99,47 @@ def across_categories(rows: DataFrame) -> DataFrame:
     return first.select("norm", "r.*").select(*cols)
 
 
-def feed_dedup(candidates: DataFrame, categories: DataFrame, now: datetime, most: int = NO_CAP) -> DataFrame:
+def feed_dedup(candidates: DataFrame, categories: DataFrame, now: datetime, most: int | None = None) -> DataFrame:
     """The whole operator; result rows keep the candidates' columns, band and k (rank within the category)."""
+    most = largest_cap(categories) if most is None else most
     first = leaders(with_bands(candidates, categories, now))
     return across_categories(capped(accepted(first, categories), most))
 
 
-def feed_dedup_stats(candidates: DataFrame, categories: DataFrame, now: datetime, most: int = NO_CAP) -> DataFrame:
+def feed_dedup_stats(candidates: DataFrame, categories: DataFrame, now: datetime, most: int | None = None) -> DataFrame:
     """One row: total_before, total_after, age_filtered, dup_filtered, cross_dup_filtered.
 
     Filtered titles and rows beyond a cap are in no counter; rows that widening
-    recovers stay counted as age-filtered.
+    recovers stay counted as age-filtered. The candidates are read and cleaned once: all
+    counters follow from one aggregate for each title of a category and band, whose
+    exchange the plan reuses.
     """
+    most = largest_cap(categories) if most is None else most
     banded = with_bands(candidates, categories, now)
-    first = leaders(banded)
-    reach = reached_bands(first, categories).withColumn("reached", F.lit(True))
-    keep = capped(accepted(first, categories), most)
-    # copies of a title are counted by band before they meet their leader
-    per = banded.groupBy("category", "norm", "band", "bad").agg(F.count("*").alias("n"), F.sum((F.col("age_h") > F.col("age_limit_h")).cast("long")).alias("aged"))
-    leads = first.select("category", "norm", F.col("band").alias("lead_band"), "in0")
-    joined = per.join(leads, ["category", "norm"]).join(reach, ["category", "band"], "left")
-    counts = F.col("reached") & ((F.col("band") == 0) | F.col("in0") | ~F.col("bad"))
-    extra = F.col("n") - (F.col("band") == F.col("lead_band")).cast("long")
-    part = joined.agg(
+    row = F.struct("cat_pos", "pub_dt", "row_id", "cap", "bad")
+    per = banded.groupBy("category", "norm", "band").agg(
+        F.count("*").alias("n"),
+        F.count_if(~F.col("bad")).alias("good"),
+        F.count_if(F.col("age_h") > F.col("age_limit_h")).alias("aged"),
+        F.min_by(row, F.struct(*_order()[1:])).alias("r"),
+    )
+    lead = F.struct("r.*", "band")
+    titles = per.groupBy("category", "norm").agg(F.min_by(lead, "band").alias("lead"), F.max(F.col("band") == 0).alias("in0"), F.collect_list(F.struct("band", "n", "good", "aged")).alias("bands"))
+    first = titles.select("category", "norm", "in0", "bands", "lead.*")
+    reach = reached_bands(first, categories)
+    keep = capped(first.drop("bands").where(~F.col("bad")).join(F.broadcast(reach), ["category", "band"]), most)
+    # a band's copies count but the leader's row; filtered titles only where the title has a fresh row
+    rows = first.select("category", "in0", F.col("band").alias("lead_band"), F.explode("bands").alias("b")).select("category", "in0", "lead_band", "b.*")
+    rows = rows.join(F.broadcast(reach.withColumn("reached", F.lit(True))), ["category", "band"], "left")
+    counted = F.when((F.col("band") == 0) | F.col("in0"), F.col("n")).otherwise(F.col("good"))
+    is_lead = (F.col("band") == F.col("lead_band")) & (counted > 0)
+    part = rows.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_before"),
         F.coalesce(F.sum("aged"), F.lit(0)).alias("age_filtered"),
-        F.coalesce(F.sum(F.when(counts, extra)), F.lit(0)).alias("dup_filtered"),
+        F.coalesce(F.sum(F.when(F.col("reached"), counted - is_lead.cast("long"))), F.lit(0)).alias("dup_filtered"),
     )
-    after = across_categories(keep).agg(F.count("*").alias("total_after"))
-    kept = keep.agg(F.count("*").alias("kept"))
-    out = part.crossJoin(F.broadcast(after)).crossJoin(F.broadcast(kept))
-    return out.select("total_before", "total_after", "age_filtered", "dup_filtered", (F.col("kept") - F.col("total_after")).alias("cross_dup_filtered"))
+    after = keep.agg(F.count("*").alias("kept"), F.count_distinct("norm").alias("total_after"))
+    return part.crossJoin(F.broadcast(after)).select("total_before", "total_after", "age_filtered", "dup_filtered", (F.col("kept") - F.col("total_after")).alias("cross_dup_filtered"))
 
 
 def priority_order(categories: DataFrame, priority: list[str]) -> DataFrame:

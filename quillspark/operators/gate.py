@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
+from .numbering import percentiles
 
 
 def is_refusal(c: Column) -> Column:
@@ -77,9 +78,8 @@ def outcome_counts(stories: DataFrame) -> DataFrame:
 
 
 def lag_percentiles(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """p50, p95, p99 by linear interpolation, and the maximum."""
-    p = F.percentile(F.col(value), F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return values.groupBy(*by).agg(p.alias("p"), F.max(value).alias("max_value")).select(*by, F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max_value")
+    """p50, p95, p99 by linear interpolation, and the maximum; exact, whatever a group's size."""
+    return percentiles(values, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 def duplicate_urls(urls: DataFrame, url: str = "url") -> DataFrame:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import numbered
+
+#: Target dates or days that a look-up may broadcast.
+MOST_DAYS = 10_000
+
+
+def _few(df: DataFrame, what: str) -> DataFrame:
+    """A broadcast of a table that must be small, which is counted; each reading meets every one of its rows."""
+    if df.limit(MOST_DAYS + 1).count() > MOST_DAYS:
+        raise ValueError(f"more than {MOST_DAYS} {what}: look them up in parts")
+    return F.broadcast(df)
 
 
 def spine(days: list, name: str = "target") -> str:
@@ -20,7 +31,7 @@ def asof_levels(readings: DataFrame, targets: DataFrame, key: str = "series") ->
     all; ties by ord. A minimum per (series, label), combined before the shuffle, so
     a long series is never sorted.
     """
-    both = readings.where("obs_date IS NOT NULL").crossJoin(F.broadcast(targets))
+    both = readings.where("obs_date IS NOT NULL").crossJoin(_few(targets, "target dates"))
     rank = F.struct(
         (F.col("obs_date") > F.col("target")).alias("later"),
         F.abs(F.datediff("obs_date", "target")).alias("away"),
@@ -39,7 +50,7 @@ def labelled_levels(readings: DataFrame, targets: DataFrame, key: str = "series"
         .when(low.contains("30 days ago") | low.contains("thirty days ago") | low.contains("1 month ago") | low.contains("30d"), F.lit("thirty_days_ago"))
     )
     by_label = readings.withColumn("label", named).where("label IS NOT NULL").groupBy(key, "label").agg(F.max_by("value", "ord").alias("named"))
-    keys = readings.select(key).distinct().crossJoin(F.broadcast(targets))
+    keys = readings.select(key).distinct().crossJoin(_few(targets, "target dates"))
     dated = asof_levels(readings, targets, key).select(key, "label", "value")
     out = keys.join(by_label, [key, "label"], "left").join(dated, [key, "label"], "left")
     return out.select(key, "label", "target", F.coalesce("named", "value").alias("value"))
@@ -51,7 +62,7 @@ def nearest_day(periods: DataFrame, days: DataFrame) -> DataFrame:
     ``periods``: slot, day, ord and other columns; ``days``: target (a few rows).
     """
     other = [c for c in periods.columns if c not in ("slot", "day", "ord")]
-    both = periods.where("day IS NOT NULL").crossJoin(F.broadcast(days))
+    both = periods.where("day IS NOT NULL").crossJoin(_few(days, "days"))
     row = F.struct("day", "ord", *other)
     near = both.groupBy("target", "slot").agg(F.min_by(row, F.struct(F.abs(F.datediff("day", "target")), F.col("ord"))).alias("r"))
     return near.select("target", "slot", "r.*")
@@ -102,9 +113,10 @@ def merge_station(climate: DataFrame, monthly: DataFrame) -> DataFrame:
 
 
 def keep_newest(files: DataFrame, most: int) -> DataFrame:
-    """``files`` (kind, name, mtime) with rank and expired: all but the newest ``most`` of each kind."""
-    w = Window.partitionBy("kind").orderBy(F.desc("mtime"), "name")
-    return files.withColumn("rank", F.row_number().over(w)).withColumn("expired", F.col("rank") > most)
+    """``files`` (kind, name, mtime) with rank and expired: all but the newest ``most`` of each kind; no time is oldest."""
+    at = F.unix_micros("mtime") if dict(files.dtypes)["mtime"].startswith("timestamp") else F.col("mtime").cast("double")
+    newest = F.coalesce(-at, F.lit((1 << 63) - 1))
+    return numbered(files, ["kind"], newest, [F.col("name")], "rank").withColumn("expired", F.col("rank") > most)
 
 
 def next_version(files: DataFrame, prefix: str) -> DataFrame:

@@ -14,12 +14,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions import text as T
 from . import gate
+from .numbering import numbered
 from .responses import read_batch_answer
 
 
@@ -45,10 +46,10 @@ class Prompts:
 
 
 def assign_batches(stories: DataFrame, size: int, order: list[str]) -> DataFrame:
-    """Adds batch (from 0) and place within its category."""
-    w = Window.partitionBy("category").orderBy(*order)
-    n = F.row_number().over(w) - 1
-    return stories.withColumn("place", n).withColumn("batch", F.floor(n / size).cast("int"))
+    """Adds place (from 0) and batch within its category, by ``order``, whose first column is a number or an instant."""
+    key, *rest = (F.col(c) for c in order)
+    out = numbered(stories.drop("place", "batch"), ["category"], key, rest, "place").withColumn("place", F.col("place") - 1)
+    return out.withColumn("batch", F.floor(F.col("place") / size).cast("int"))
 
 
 def stub_summary(title: Column) -> Column:
@@ -130,16 +131,21 @@ def _batches(client, prompts: Prompts, least: int):
     return one
 
 
-def summarize(stories: DataFrame, client, size: int = 3, parallel: int = 2, prompts: Prompts = Prompts(), least: int = 100, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def summarize(stories: DataFrame, client, size: int = 3, parallel: int | None = None, prompts: Prompts = Prompts(), least: int = 100, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``stories`` (row_id, category, title, snippet, context) with summary, how and call counts.
 
     Batches of ``size`` stories of a category; a batch without any valid summary is
     asked once more, then each story alone, then the stand-in made of its title.
-    ``store`` writes the answers and reads them back, so no call is made twice.
+    ``parallel``: tasks that call the model; None: as many as a shuffle has. ``store``
+    writes a frame and reads it back: given, the stories are computed once and no call is
+    made twice; without it a task that is repeated asks again.
     """
+    if store:
+        stories = store(stories)
+    parts = [parallel] if parallel else []
     text = T.build_context(F.coalesce("context", F.lit("")), F.coalesce("snippet", F.lit("")), F.coalesce("title", F.lit("")), F.col("category"))
     work = assign_batches(stories.select("row_id", "category", "title", text.alias("context")), size, ["row_id"])
-    answers = work.repartition(parallel, "category", "batch").groupBy("category", "batch").applyInPandas(_batches(client, prompts, least), "row_id long, answer string, how string, batch_calls int, single_calls int")
+    answers = work.repartition(*parts, "category", "batch").groupBy("category", "batch").applyInPandas(_batches(client, prompts, least), "row_id long, answer string, how string, batch_calls int, single_calls int")
     if store:
         answers = store(answers)
     out = stories.join(answers, "row_id", "left")

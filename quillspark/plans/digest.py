@@ -25,7 +25,7 @@ class Run:
     priority: list[str] = field(default_factory=list)
     seeds: list[str] = field(default_factory=list)
     batch_size: int = 3
-    parallel: int = 2
+    parallel: int | None = None
     keep: int = 10
 
 
