@@ -1,4 +1,4 @@
-"""``python -m quillspark config <command>``: what the configuration says, and whether it is sound."""
+"""``python -m quillspark run`` makes a report; ``config <command>`` says what the configuration holds, and whether it is sound."""
 
 from __future__ import annotations
 
@@ -8,6 +8,38 @@ import sys
 from .sources import config
 
 
+def _run(args, tree: dict) -> int:
+    import tempfile
+    import uuid
+    from datetime import datetime, timezone
+
+    from pyspark.sql import SparkSession
+
+    from .operators.summaries import StubClient
+    from .plans import digest
+    from .sources import chat, weather
+
+    spark = SparkSession.builder.appName("quillspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    work = args.work or spark.conf.get("spark.checkpoint.dir", None)
+    if not work:
+        if not spark.sparkContext.master.startswith("local"):
+            print("--work or spark.checkpoint.dir must name a shared folder", file=sys.stderr)
+            return 1
+        work = "file://" + tempfile.mkdtemp(prefix="quillspark-run-")
+
+    def store(df):
+        path = f"{work.rstrip('/')}/run-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    llm = tree.get("llm") or {}
+    client = StubClient() if args.stub or not llm.get("endpoint") else chat.ChatClient(llm["endpoint"], llm.get("model", ""), llm.get("key_env"))
+    now = datetime.fromisoformat(args.now) if args.now else datetime.now(timezone.utc).replace(tzinfo=None)
+    code, path, issues = digest.run_config(spark, tree, now, client, weather.web_fetch(spark, args.transport), store)
+    print("\n".join([*issues, path]))
+    return code
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quillspark")
     parser.add_argument("--config", help="a YAML file; else the usual places")
@@ -17,12 +49,19 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_parser(name)
     sub.add_parser("show-prompt").add_argument("name")
     sub.add_parser("check-connectivity")
+    go = top.add_parser("run", help="fetches, enriches, writes and validates a report")
+    go.add_argument("--transport", help="module:function in the place of HTTP")
+    go.add_argument("--now", help="an ISO time in the place of the clock's, UTC")
+    go.add_argument("--stub", action="store_true", help="made-up summaries instead of a model's")
+    go.add_argument("--work", help="a folder shared by all executors, for what is fetched once")
     args = parser.parse_args(argv)
     path = config.find_config(args.config)
     if path is None:
         print("no configuration found", file=sys.stderr)
         return 1
     tree = config.load_config(path)
+    if args.group == "run":
+        return _run(args, tree)
     if args.command == "validate":
         passed, issues = config.validate_config(tree)
         print("\n".join([*issues, "sound" if passed else f"{len(issues)} issues"]))

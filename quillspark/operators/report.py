@@ -59,6 +59,11 @@ def section_lines(stories: DataFrame, skip: tuple[str, ...] = ("Weather Forecast
     return body.union(head)
 
 
+def rendered_categories(places: DataFrame, skip: tuple[str, ...] = ("Weather Forecast",)) -> int:
+    """Categories that the report shows, empty ones too; the weather's titles are none."""
+    return places.where(~F.col("category").isin(*skip)).count()
+
+
 def front_matter(now: datetime, stories: int, categories: int, tags: list[str], age_window: int = 24, title: str = "Digest") -> list[str]:
     """Lines between the two rules at the report's top; times are UTC."""
     return ["---", f"title: {title}", f"date: {now:%Y-%m-%d}", f"time_generated: {now:%Y-%m-%dT%H:%M:%SZ}", "status: active", f"content_age_window: {age_window}", f"story_count_total: {stories}", f"categories: {categories}", "tags:", *(f"  - {t}" for t in tags), "---"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, report, summaries, tagging
+from ..sources import config, feeds, weather
 
 OK, BAD_CONFIG, BAD_REPORT = 0, 1, 2
 
@@ -43,7 +44,7 @@ def run_digest(spark: SparkSession, run: Run, candidates: DataFrame, categories:
     shown = places.join(done, "category", "left").select("place", "category", F.row_number().over(w).alias("n"), "title", "link", "summary", T.format_pub_date(F.col("pub_dt")).alias("pub_date"), tags.alias("tag_list"), tagging.tag_markup(F.col("title"), F.col("category"), run.rules).alias("tags"))
     total, names = done.count(), done.agg(tagging.tag_union(tags, run.seeds)).first()[0]
     body = [r["line"] for r in report.section_lines(shown).orderBy("place", "line_pos").collect()]
-    head = report.front_matter(run.now, total, places.count(), names or list(run.seeds))
+    head = report.front_matter(run.now, total, report.rendered_categories(places), names or list(run.seeds))
     path, _ = report.reserve(run.folder, run.now)
     report.write_lines(path, [*head, "", f"# Digest -- {run.now:%B %d, %Y}", *weather, *body])
     report.remove_expired(run.folder, "Digest-", run.keep)
@@ -51,6 +52,46 @@ def run_digest(spark: SparkSession, run: Run, candidates: DataFrame, categories:
     return (OK if passed else BAD_REPORT), path, issues
 
 
+def feed_candidates(categories: DataFrame, pages: DataFrame, zone: str = "UTC") -> DataFrame:
+    """Candidates of all feeds: category, title, link, snippet, pub_dt, norm, row_id, context.
+
+    ``pages``: category, text (null: the feed failed). A feed that fails has no candidates and
+    keeps its category's place in the categories table; at most its pool_limit entries count.
+    """
+    items = feeds.feed_items(pages.select("category", "text"))
+    limit = categories.agg(F.max("pool_limit")).first()[0] or 50
+    entries = feeds.feed_entries(items, F.col("category"), zone, limit).join(F.broadcast(categories.select("category", "cat_pos", "pool_limit")), "category").where(F.col("pos") < F.col("pool_limit"))
+    row = (F.col("cat_pos") * 1_000_000 + F.col("pos")).cast("long").alias("row_id")
+    return entries.select("category", "title", "link", "snippet", "pub_dt", T.normalize_title(F.col("title")).alias("norm"), row, F.lit(None).cast("string").alias("context"))
+
+
+def run_config(spark: SparkSession, tree: dict, now: datetime, client, fetch: weather.Fetch, store) -> tuple[int, str, list[str]]:
+    """A whole run from a configuration: feeds, weather, articles, summaries, report; (exit code, path, issues).
+
+    Every request is a row: a feed, lake, page or provider that fails leaves its place empty.
+    """
+    passed, issues = config.validate_config(tree)
+    if not passed:
+        return BAD_CONFIG, "", issues
+    zone = tree["timezone"]
+    table = config.category_table(spark, tree)
+    rss = config.lookup(tree, "rss", {}) or {}
+    url = feeds.feed_url_with_window(F.col("query"), F.greatest("age_limit_h", "window_h"), rss.get("base", feeds.RSS_BASE), rss.get("params", feeds.RSS_PARAMS))
+    table = table.withColumn("url", url)
+    urls = [r["url"] for r in table.select("url").collect()]
+    got = store(fetch(urls)).select("url", weather.body_text(F.col("body")).alias("text"))
+    candidates = store(feed_candidates(table, table.select("category", "url").join(got, "url", "left").select("category", "text"), zone))
+    places = tree.get("weather") or {}
+    lakes = places.get("lakes") or {}
+    bundle = weather.collect_weather(spark, weather.Places(places.get("forecast"), places.get("climate"), places.get("station"), places.get("normals"), lakes), fetch, now.date(), zone, store)
+    links = [r["link"] for r in candidates.where(~feeds.skip_article(F.col("title"), F.col("category"), F.col("link"))).select("link").distinct().collect()] if config.lookup(tree, "extract", True) else []
+    if links:
+        pages = store(fetch(links)).select("url", weather.body_text(F.col("body")).alias("html"))
+        candidates = store(feeds.extract_articles(candidates.drop("context"), pages))
+    run = Run(now, tree["output_dir"], config.tag_rules(tree), tree.get("category_priority") or [], tree.get("tags") or [], int(config.lookup(tree, "llm.batch_size", 3)), config.lookup(tree, "llm.concurrency"), int(tree.get("keep_reports", 10)))
+    return run_digest(spark, run, candidates, table, client, weather.weather_section(spark, bundle, list(lakes)), store)
+
+
 def union_feeds(feeds: list[DataFrame]) -> DataFrame:
     """All feeds in one frame; a feed that has no rows keeps its category's place in the categories table."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), feeds)

@@ -32,6 +32,21 @@ def read_feed_files(spark: SparkSession, path: str, item: str = "item") -> DataF
     return spark.read.format("xml").option("rowTag", item).schema(_ITEM).load(path).withColumn("source_file", F.input_file_name())
 
 
+_DOCUMENT = f"channel struct<item: array<struct<{_ITEM.replace(' string', ': string')}>>>"
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(text, source_file): whole text files."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("source_file"))
+
+
+def feed_items(pages: DataFrame, text: str = "text") -> DataFrame:
+    """The items of RSS documents that were fetched, with the other columns; what is no such document, or null, has none."""
+    keep = [c for c in pages.columns if c != text]
+    parsed = F.from_xml(F.col(text), F.lit(_DOCUMENT), {"rowTag": "rss", "mode": "PERMISSIVE"})
+    return pages.where(F.col(text).isNotNull()).withColumn("__d", parsed).select(*keep, F.inline("__d.channel.item"))
+
+
 def feed_entries(items: DataFrame, category: Column, zone: str = "UTC", limit: int = 50) -> DataFrame:
     """Entries (category, title, link, snippet, pub_dt, pos) of raw items: no blank titles, newest first, at most ``limit``.
 
