@@ -50,10 +50,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _stories(spark: SparkSession, d: str) -> DataFrame:
     """Documents as stories; their times are those of events."""
     events = _read(spark, d, "events")
-    n = events.count()
-    docs = _read(spark, d, "documents")
+    docs = _read(spark, d, "documents").crossJoin(F.broadcast(events.agg(F.count("*").alias("n_events"))))
     title = F.split_part("text", F.lit("\n"), F.lit(1))
-    s = docs.select(F.col("doc_id").alias("row_id"), F.col("source").alias("category"), "lang", title.alias("title"), F.col("text").alias("snippet"), ((F.col("doc_id") * 10) % n).alias("event_id"))
+    s = docs.select(F.col("doc_id").alias("row_id"), F.col("source").alias("category"), "lang", title.alias("title"), F.col("text").alias("snippet"), ((F.col("doc_id") * 10) % F.col("n_events")).alias("event_id"))
     return s.join(events.select("event_id", F.col("ts").alias("pub_dt")), "event_id").drop("event_id").withColumn("norm", T.title_key(F.col("title")))
 
 
@@ -144,16 +143,15 @@ def _age_filter(spark, d):
     return s.select("row_id", F.round(dedup.age_hours(F.col("pub_dt"), NOW), 6).alias("age_h"))
 
 
-@_query("title_dedup_per_category", f"WITH {_S} SELECT category, norm, min_by(row_id, {{'a': -epoch_us(pub_dt), 'b': row_id}}) AS row_id, count(*) AS copies FROM stories GROUP BY ALL")
+@_query("title_dedup_per_category", f"WITH {_S} SELECT category, norm, min_by(row_id, {{'a': -epoch_us(pub_dt), 'b': row_id}}) AS row_id FROM stories GROUP BY ALL")
 def _title_dedup_per_category(spark, d):
-    g = _stories(spark, d).groupBy("category", "norm")
-    return g.agg(F.min_by("row_id", F.struct((-F.unix_micros("pub_dt")).alias("a"), F.col("row_id").alias("b"))).alias("row_id"), F.count("*").alias("copies"))
+    return dedup.leaders(_stories(spark, d).withColumn("band", F.lit(0))).select("category", "norm", "row_id")
 
 
-@_query("title_dedup_cross_category", f"WITH {_S}, {_C} SELECT norm, min_by(row_id, {{'a': cat_pos, 'b': row_id}}) AS row_id FROM stories JOIN cats USING (category) GROUP BY norm")
+@_query("title_dedup_cross_category", f"WITH {_S}, {_C} SELECT norm, min_by(row_id, {{'a': cat_pos, 'b': -epoch_us(pub_dt), 'c': row_id}}) AS row_id FROM stories JOIN cats USING (category) GROUP BY norm")
 def _title_dedup_cross_category(spark, d):
     s = _stories(spark, d).join(_categories(spark, d).select("category", "cat_pos"), "category")
-    return s.groupBy("norm").agg(F.min_by("row_id", F.struct("cat_pos", "row_id")).alias("row_id"))
+    return dedup.across_categories(s.withColumn("band", F.lit(0))).select("norm", "row_id")
 
 
 @_query("category_cap", f"WITH {_S} SELECT category, row_id, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pub_dt DESC, row_id) AS k FROM stories) WHERE k <= {CAP}")
@@ -199,22 +197,13 @@ def _category_counts(spark, d):
 LEFT JOIN (VALUES ('src3', 8, 72), ('src4', 48, 168)) v(s, age, w) ON s = source""",
 )
 def _enrich(spark, d):
-    dim = spark.createDataFrame([("src3", 8, 72), ("src4", 48, 168)], "source string, age int, w int")
-    j = _read(spark, d, "documents").select("doc_id", "source").join(F.broadcast(dim), "source", "left")
-    return j.select("doc_id", "source", F.coalesce("age", F.lit(AGE)).alias("age_limit_h"), F.coalesce("w", F.lit(24)).alias("window_h"))
+    dim = spark.createDataFrame([("src3", 8, 72), ("src4", 48, 168)], "source string, age_limit_h int, window_h int")
+    return dedup.with_settings(_read(spark, d, "documents").select("doc_id", "source"), dim, "source", {"age_limit_h": AGE, "window_h": 24})
 
 
-@_query("category_sections", "SELECT source AS category, count(*) AS n, list(doc_id ORDER BY doc_id)[1:20]::VARCHAR AS first_ids FROM documents GROUP BY source")
+@_query("category_sections", "SELECT source AS category, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL")
 def _sections(spark, d):
-    # the report shows the first twenty of each section: only they are gathered
-    from pyspark.sql import Window
-
-    docs = _read(spark, d, "documents").select(F.col("source").alias("category"), "doc_id")
-    w = Window.partitionBy("category").orderBy("doc_id")
-    first = docs.withColumn("k", F.row_number().over(w)).where("k <= 20").groupBy("category").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    count = docs.groupBy("category").agg(F.count("*").alias("n"))
-    text = F.concat(F.lit("["), F.array_join(F.col("ids").cast("array<string>"), ", "), F.lit("]"))
-    return count.join(first, "category").select("category", "n", text.alias("first_ids"))
+    return dedup.sections(_read(spark, d, "documents").select(F.col("source").alias("category"), "doc_id"), "doc_id")
 
 
 # ---------------------------------------------------------------- filters and text
@@ -237,18 +226,33 @@ def _html_extract(spark, d):
     return _read(spark, d, "pages").select("page_id", T.html_text()(F.col("html")).alias("context"))
 
 
-@_query("html_table_cells")
+@_query(
+    "html_table_cells",
+    """WITH r AS (SELECT s_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS row_no FROM supplier)
+SELECT s_nationkey, 0 AS table_no, row_no::INT AS row_no, 0 AS col_no, s_name AS text FROM r UNION ALL SELECT s_nationkey, 0, row_no::INT, 1, s_suppkey::VARCHAR FROM r
+UNION ALL SELECT DISTINCT s_nationkey, 1, 0, 0, 'end & out' FROM supplier""",
+)
 def _html_cells(spark, d):
-    return feeds.html_tables(_read(spark, d, "pages"), "page_id")
+    # a page for each nation: a table of its suppliers, and another one
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.concat(F.lit("<tr><td> "), x["s_name"], F.lit("</td><th>"), x["s_suppkey"].cast("string"), F.lit("</th></tr>")))
+    html = F.concat(F.lit("<h1>Suppliers</h1><table>"), F.array_join(rows, "\n"), F.lit("</table><table><tr><td>end &amp; <b>out</b></td></tr></table>"))
+    return feeds.html_tables(_read(spark, d, "supplier").groupBy("s_nationkey").agg(html.alias("html")), "s_nationkey")
 
 
 @_query(
     "article_extract_skip",
-    """SELECT page_id, (trim(url) = '' OR starts_with(trim(url), '#') OR contains(url, 'news.google.com')) AS skipped FROM pages""",
+    """WITH p AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '#top' WHEN 2 THEN 'https://news.google.com/x' ELSE url END AS url,
+  CASE page_id % 3 WHEN 0 THEN 'Obituary: somebody' WHEN 1 THEN 'Found dead at home' ELSE 'Plain news' END AS title, CASE page_id % 2 WHEN 0 THEN 'Conroe TX News' ELSE 'World' END AS category FROM pages)
+SELECT page_id, (trim(url) = '' OR starts_with(trim(url), '#') OR contains(url, 'news.google.com') OR (category = 'Conroe TX News' AND """
+    + _any("title", lexicon.OBITUARY)
+    + """)) AS skipped FROM p""",
 )
 def _skip(spark, d):
-    p = _read(spark, d, "pages")
-    return p.select("page_id", feeds.skip_article(F.lit("news"), F.lit("World"), F.col("url")).alias("skipped"))
+    k = F.col("page_id")
+    url = F.when(k % 7 == 0, "").when(k % 7 == 1, "#top").when(k % 7 == 2, "https://news.google.com/x").otherwise(F.col("url"))
+    title = F.when(k % 3 == 0, "Obituary: somebody").when(k % 3 == 1, "Found dead at home").otherwise("Plain news")
+    category = F.when(k % 2 == 0, "Conroe TX News").otherwise("World")
+    return _read(spark, d, "pages").select("page_id", feeds.skip_article(title, category, url).alias("skipped"))
 
 
 @_query("sentence_count", f"SELECT doc_id, ({_sentences('text')})::INT AS n FROM documents")
@@ -270,12 +274,12 @@ def _sentence_trim(spark, d):
     "build_context",
     f"""WITH {_S}, x AS (SELECT *, CASE WHEN lang = 'en' THEN NULL ELSE {_strip('snippet')} END AS c FROM stories)
 SELECT row_id, CASE WHEN len(c) >= 50 THEN substr(c, 1, 600) WHEN {_strip('snippet')} = '' AND {_strip('title')} = '' THEN category || ': ' || title
-  ELSE substr(array_to_string(list_filter([{_strip('substr(snippet, 1, 200)')}, {_strip('title')}], lambda v: len(v) > 0) || ['Category: ' || category], chr(10) || '---' || chr(10)), 1, 600) END AS context FROM x""",
+  ELSE substr(array_to_string(list_filter([{_strip('snippet')}, {_strip('title')}], lambda v: len(v) > 0) || ['Category: ' || category], chr(10) || '---' || chr(10)), 1, 600) END AS context FROM x""",
 )
 def _context(spark, d):
     s = _stories(spark, d)
     own = F.when(F.col("lang") != "en", F.col("snippet"))
-    return s.select("row_id", T.build_context(own, F.substring("snippet", 1, 200), F.col("title"), F.col("category")).alias("context"))
+    return s.select("row_id", T.build_context(own, F.col("snippet"), F.col("title"), F.col("category")).alias("context"))
 
 
 @_query(
@@ -382,9 +386,10 @@ def _verdict(spark, d):
     return gate.verdict(_pairs(spark, d))
 
 
-@_query("duplicate_urls", "SELECT url, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY url HAVING count(*) > 1")
+@_query("duplicate_urls", "SELECT regexp_replace(url, '[0-9]+', 'N', 'g') AS url, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
 def _duplicate_urls(spark, d):
-    return gate.duplicate_urls(_read(spark, d, "pages"))
+    # page numbers are left out, so there are duplicates
+    return gate.duplicate_urls(_read(spark, d, "pages").withColumn("url", F.regexp_replace("url", "[0-9]+", "N")))
 
 
 @_query("lag_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max_value FROM events GROUP BY event_type")
@@ -393,9 +398,9 @@ def _lag(spark, d):
     return p.select("event_type", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")), "max_value")
 
 
-@_query("missing_references", "SELECT DISTINCT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@_query("missing_references", "SELECT DISTINCT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def _missing(spark, d):
-    return gate.missing_references(_read(spark, d, "customer"), "c_custkey", _read(spark, d, "orders").where("o_custkey IS NOT NULL"), "o_custkey")
+    return gate.missing_references(_read(spark, d, "documents"), "doc_id", _read(spark, d, "labels").where("doc_id IS NOT NULL"), "doc_id")
 
 
 @_query("probe_tally", "SELECT count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS failed, bool_and(ok) AS all_ok FROM (SELECT event_type <> 'error' AS ok FROM events)")
@@ -512,14 +517,15 @@ def _forecast(spark, d):
 
 @_query(
     "provider_merge",
-    """WITH c AS (SELECT s_suppkey AS station, s_nationkey AS high FROM supplier WHERE s_suppkey % 3 <> 0), m AS (SELECT s_suppkey AS station, s_nationkey % 4 AS average, s_nationkey % 3 AS current FROM supplier WHERE s_suppkey % 4 <> 0),
+    """WITH c AS (SELECT s_suppkey AS station, CASE WHEN s_suppkey % 3 <> 0 THEN s_nationkey END AS high FROM supplier), m AS (SELECT s_suppkey AS station, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey % 4 END AS average, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey % 3 END AS current FROM supplier),
 f AS (SELECT station, high || '°F' AS t, average || ' Inches' AS a, current || ' Inches' AS b FROM c FULL JOIN m USING (station))
 SELECT station, coalesce(t, 'Unavailable') AS avg_temp_today, coalesce(a, 'Unavailable') AS avg_monthly_rainfall, coalesce(CASE WHEN a IS NOT DISTINCT FROM b THEN NULL ELSE b END, 'Unavailable') AS current_monthly_rainfall FROM f""",
 )
 def _merge(spark, d):
     s = _read(spark, d, "supplier")
-    climate = s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("high"))
-    monthly = s.where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("station"), (F.col("s_nationkey") % 4).alias("average"), (F.col("s_nationkey") % 3).alias("current"))
+    known = lambda k, c: F.when(F.col("s_suppkey") % k != 0, c)
+    climate = s.select(F.col("s_suppkey").alias("station"), known(3, F.col("s_nationkey")).alias("high"))
+    monthly = s.select(F.col("s_suppkey").alias("station"), known(4, F.col("s_nationkey") % 4).alias("average"), known(4, F.col("s_nationkey") % 3).alias("current"))
     return lookup.merge_station(climate, monthly)
 
 
@@ -585,8 +591,10 @@ def _parse(spark, d):
 
 @_query(
     "report_lines",
-    f"""WITH {_DEDUP}, s AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY k) AS n FROM capped WHERE x = 1)
-SELECT category, n * 10 + 1 AS line_pos, n || '. [' || replace(replace(title, chr(10), ' '), chr(13), ' ') || '](http://x/' || row_id || ')' AS line FROM s
+    f"""WITH {_DEDUP}, s AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY k) AS n FROM capped WHERE x = 1),
+l AS (SELECT category, n, unnest(list_filter(['', n || '. [' || replace(replace(title, chr(10), ' '), chr(13), ' ') || '](http://x/' || row_id || ')', CASE WHEN row_id % 3 = 0 THEN '[Summary unavailable]' ELSE 'About ' || row_id END,
+    CASE WHEN row_id % 4 <> 0 THEN '*Originally published on:* ' || strftime(pub_dt, '%Y-%m-%d %H:%M:%S UTC') END, '[[' || lower(category) || ']]'], lambda v: v IS NOT NULL)) AS line, generate_subscripts(list_filter([1, 1, 1, CASE WHEN row_id % 4 <> 0 THEN 1 END, 1], lambda v: v IS NOT NULL), 1) - 1 AS i FROM s)
+SELECT category, n * 10 + i AS line_pos, line FROM l
 UNION ALL SELECT category, 0, '## ' || category || ' (' || count(*) || ' stories)' FROM s GROUP BY category""",
 )
 def _lines(spark, d):
@@ -594,12 +602,130 @@ def _lines(spark, d):
 
     s = dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP)
     w = Window.partitionBy("category").orderBy("k")
-    s = s.select(F.lit(1).alias("place"), "category", F.row_number().over(w).alias("n"), "title", F.concat(F.lit("http://x/"), F.col("row_id").cast("string")).alias("link"), F.lit("s").alias("summary"), F.lit(None).cast("string").alias("pub_date"), F.lit("").alias("tags"))
-    lines = report.section_lines(s)
-    return lines.where((F.col("line_pos") % 10 == 1) | (F.col("line_pos") == 0)).select("category", F.col("line_pos").cast("long").alias("line_pos"), "line")
+    key = F.col("row_id")
+    summary = F.when(key % 3 != 0, F.concat(F.lit("About "), key.cast("string")))
+    pub = F.when(key % 4 != 0, T.format_pub_date(F.col("pub_dt")))
+    s = s.select(F.lit(1).alias("place"), "category", F.row_number().over(w).alias("n"), "title", F.concat(F.lit("http://x/"), key.cast("string")).alias("link"), summary.alias("summary"), pub.alias("pub_date"), F.concat(F.lit("[["), F.lower("category"), F.lit("]]")).alias("tags"))
+    return report.section_lines(s).select("category", F.col("line_pos").cast("long").alias("line_pos"), "line")
 
 
 @_query("markdown_urls", "SELECT page_id, url AS link FROM pages WHERE regexp_matches(url, '^https?://[^)]+$')")
 def _urls(spark, d):
     md = F.concat(F.lit("1. [Title]("), F.col("url"), F.lit(") and [no](mailto:x)"))
     return _read(spark, d, "pages").select("page_id", F.explode(T.extract_urls(md)).alias("link"))
+
+
+@_query("feed_url", f"SELECT p_partkey, '{feeds.RSS_BASE}' || replace(p_name, ' ', '+') || '{feeds.RSS_PARAMS}' AS url FROM part")
+def _feed_url(spark, d):
+    return _read(spark, d, "part").select("p_partkey", feeds.feed_url(F.col("p_name")).alias("url"))
+
+
+@_query(
+    "feed_items",
+    f"""WITH i AS (SELECT p_brand AS category, p_name AS title, 'http://x/' || p_partkey AS link, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos, p_partkey,
+  TIMESTAMP '2024-01-01 00:00:00' + to_minutes((p_retailprice * 10)::BIGINT) AS pub_dt FROM part)
+SELECT category, title, link, pub_dt FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pub_dt DESC, p_partkey) AS n FROM i) WHERE n <= {POOL}""",
+)
+def _feed_items(spark, d):
+    # a feed for each brand, written as RSS and read again
+    p = _read(spark, d, "part")
+    at = F.timestamp_micros(F.lit(1704067200000000) + (F.col("p_retailprice") * 10).cast("decimal(18,0)").cast("long") * 60_000_000)
+    item = F.concat(F.lit("<item><title>"), F.col("p_name"), F.lit("</title><link>http://x/"), F.col("p_partkey").cast("string"), F.lit("</link><pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss Z"), F.lit("</pubDate></item>"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("x")))), lambda v: v["x"])
+    pages = p.groupBy(F.col("p_brand").alias("category")).agg(F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(items, ""), F.lit("</channel></rss>")).alias("text"))
+    return feeds.feed_entries(feeds.feed_items(pages), F.col("category"), limit=POOL).select("category", "title", "link", "pub_dt")
+
+
+@_query(
+    "forecast_periods",
+    """SELECT event_id, 0 AS ord, date_trunc('second', ts) + INTERVAL 5 HOUR AS start, event_id % 2 = 0 AS is_day, event_type AS short, user_id::VARCHAR AS temperature, '10' AS precip FROM events WHERE event_id % 5 <> 0
+UNION ALL SELECT event_id, 1, date_trunc('second', ts), false, 'night', NULL, NULL FROM events WHERE event_id % 5 <> 0""",
+)
+def _periods(spark, d):
+    # a payload for each event; where a precipitation object is null the whole forecast is empty
+    e = _read(spark, d, "events")
+    kind = "struct<startTime:string,isDaytime:boolean,temperature:string,shortForecast:string,probabilityOfPrecipitation:struct<value:string>>"
+    time = lambda zone: F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(zone))
+    rain = F.when(F.col("event_id") % 5 != 0, F.struct(F.lit("10").alias("value")))
+    one = F.struct(time("-05:00").alias("startTime"), (F.col("event_id") % 2 == 0).alias("isDaytime"), F.col("user_id").cast("string").alias("temperature"), F.col("event_type").alias("shortForecast"), rain.alias("probabilityOfPrecipitation")).cast(kind)
+    two = F.struct(time("+00:00").alias("startTime"), F.lit(False).alias("isDaytime"), F.lit(None).cast("string").alias("temperature"), F.lit("night").alias("shortForecast"), F.struct(F.lit(None).cast("string").alias("value")).alias("probabilityOfPrecipitation")).cast(kind)
+    payload = F.to_json(F.struct(F.struct(F.array(one, two).alias("periods")).alias("properties")), {"ignoreNullFields": "false"})
+    return feeds.forecast_periods(e.select("event_id", payload.alias("payload"))).select("event_id", "ord", "start", "is_day", "short", "temperature", "precip")
+
+
+@_query("climate_high", "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN round_even(floor(value * 2) / 2, 0)::INT END AS high FROM events")
+def _high(spark, d):
+    halves = (F.floor(F.col("value") * 2) / 2).cast("string")
+    json = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit('{"daily":{"temperature_2m_max":['), halves, F.lit("]}}"))).otherwise("no json")
+    return _read(spark, d, "events").select("event_id", feeds.climate_high(json).alias("high"))
+
+
+_MM = "(o_orderkey % 60) || '.' || (o_custkey % 10)"
+
+
+@_query("station_rain", f"SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 AND ({_MM})::DOUBLE <= 40 THEN ({_MM})::DOUBLE END AS inches FROM orders")
+def _rain(spark, d):
+    mm = F.concat((F.col("o_orderkey") % 60).cast("string"), F.lit("."), (F.col("o_custkey") % 10).cast("string"))
+    text = F.when(F.col("o_orderkey") % 9 != 0, F.concat(F.lit("Station Summary High 9 Precipitation "), mm, F.lit(" ° in more graph Precipitation 39 in"))).otherwise("Nothing of it")
+    return _read(spark, d, "orders").select("o_orderkey", feeds.station_rain(text).alias("inches"))
+
+
+@_query(
+    "number_texts",
+    """WITH o AS (SELECT o_orderkey, (o_orderkey % 1200) || '.' || (o_custkey % 100) AS x FROM orders)
+SELECT o_orderkey, printf('%.1f%%', x::DOUBLE) AS percent, CASE WHEN regexp_extract('v ' || x, '(-?\d{1,3}(\.\d+)?)', 1)::DOUBLE = floor(regexp_extract('v ' || x, '(-?\d{1,3}(\.\d+)?)', 1)::DOUBLE) THEN floor(regexp_extract('v ' || x, '(-?\d{1,3}(\.\d+)?)', 1)::DOUBLE)::BIGINT::VARCHAR ELSE regexp_extract('v ' || x, '(-?\d{1,3}(\.\d+)?)', 1)::DOUBLE::VARCHAR END AS clean,
+  CASE WHEN x::DOUBLE <= 40 THEN x::DOUBLE END AS clamped FROM o""",
+)
+def _numbers(spark, d):
+    x = F.concat((F.col("o_orderkey") % 1200).cast("string"), F.lit("."), (F.col("o_custkey") % 100).cast("string"))
+    return _read(spark, d, "orders").select("o_orderkey", T.coerce_percent(F.concat(x, F.lit(" %"))).alias("percent"), T.clean_number(F.concat(F.lit("v "), x)).alias("clean"), T.clamp(x).alias("clamped"))
+
+
+@_query("first_match", "SELECT page_id, coalesce(nullif(regexp_extract(url, '/([0-9]+)', 1), ''), nullif(regexp_extract(url, '://([a-z]+)', 1), '')) AS found FROM pages")
+def _first_match(spark, d):
+    return _read(spark, d, "pages").select("page_id", T.first_match(F.col("url"), ["/([0-9]+)", "://([a-z]+)"]).alias("found"))
+
+
+@_query("period_times", "SELECT event_id, date_trunc('second', ts) + (CASE event_id % 3 WHEN 0 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END) AS start FROM events")
+def _period_times(spark, d):
+    t = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(t, F.lit("-05:00"))).when(F.col("event_id") % 3 == 1, F.concat(t, F.lit("Z[UTC]"))).otherwise(t)
+    return _read(spark, d, "events").select("event_id", T.parse_period_time(raw).alias("start"))
+
+
+@_query("lake_labels", "SELECT s_suppkey, CASE WHEN starts_with(k, 'lake') THEN 'Lake ' ELSE 'Lake North ' END || s_suppkey AS label FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'lake_' ELSE 'north-' END || s_suppkey AS k FROM supplier)")
+def _lake_labels(spark, d):
+    key = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "lake_").otherwise("north-"), F.col("s_suppkey").cast("string"))
+    return _read(spark, d, "supplier").select("s_suppkey", T.lake_label(key).alias("label"))
+
+
+@_query(
+    "lake_table",
+    f"""WITH r AS (SELECT o_custkey % 50 AS series, o_orderdate::DATE AS obs_date, o_orderkey AS ord, o_orderkey % 97 AS value FROM orders WHERE o_custkey % 50 <> 7),
+x AS (SELECT series, label, value, row_number() OVER (PARTITION BY series, label ORDER BY obs_date > target, abs(obs_date - target), ord) AS k FROM r CROSS JOIN {_TARGETS}),
+w AS (SELECT series, max(value) FILTER (label = 'today') AS a, max(value) FILTER (label = 'one_week_ago') AS b, max(value) FILTER (label = 'thirty_days_ago') AS c FROM x WHERE k = 1 GROUP BY series)
+SELECT (l.i)::INT AS line_pos, '| Lake ' || l.i || ' | ' || coalesce(a || '%', 'Unavailable') || ' | ' || coalesce(b || '%', 'Unavailable') || ' | ' || coalesce(c || '%', 'Unavailable') || ' |' AS line
+FROM (SELECT unnest(range(0, 50)) AS i) l LEFT JOIN w ON w.series = l.i""",
+)
+def _lake_table(spark, d):
+    readings = _readings(spark, d).where("series <> 7").withColumn("value", (F.col("ord") % 97))
+    levels = lookup.asof_levels(readings, _targets(spark)).select(F.col("series").cast("string").alias("series"), "label", F.concat(F.col("value").cast("string"), F.lit("%")).alias("value"))
+    return report.lake_lines(levels, [str(k) for k in range(50)])
+
+
+@_query(
+    "forecast_table",
+    """WITH t AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey <= 2)
+SELECT n::INT AS line_pos, coalesce('| ' || o_orderkey || ' | ' || o_orderstatus || ' | Unavailable | a&#124;b | Unavailable | Unavailable | Unavailable |', '| Dynamic | Dynamic | Dynamic | Dynamic | Dynamic | Dynamic | Dynamic |') AS line FROM (SELECT unnest(range(1, 4)) AS n) LEFT JOIN t USING (n)""",
+)
+def _forecast_table(spark, d):
+    none = F.lit(None).cast("string")
+    two = _read(spark, d, "orders").where("o_orderkey <= 2")
+    rows = two.select(F.struct("o_orderdate", "o_orderkey").alias("date"), F.col("o_orderkey").cast("string").alias("label"), F.col("o_orderstatus").alias("day"), F.lit(" ").alias("night"), F.lit("a|b").alias("high"), F.lit("N/A").alias("low"), none.alias("precip"), none.alias("wind"))
+    return report.forecast_lines(rows)
+
+
+@_query("extraction_metrics", "SELECT count(*) AS stories, count(*) FILTER (lang <> 'en') AS extracted, coalesce(sum(n_chars), 0)::BIGINT AS bytes, count(*) / 4.0::DOUBLE AS per_second FROM documents")
+def _extraction(spark, d):
+    s = _read(spark, d, "documents").select(F.when(F.col("lang") != "en", F.col("text")).alias("context"), F.col("n_chars").alias("extract_bytes"))
+    return gate.extraction_metrics(s, 4.0)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import numbered
 
 #: A category with fewer accepted stories is widened, by at most so many days.
 ENOUGH, MOST_DAYS, NO_CAP = 3, 7, 9999
@@ -142,6 +143,20 @@ def feed_dedup_stats(candidates: DataFrame, categories: DataFrame, now: datetime
     return part.crossJoin(F.broadcast(after)).select("total_before", "total_after", "age_filtered", "dup_filtered", (F.col("kept") - F.col("total_after")).alias("cross_dup_filtered"))
 
 
+def with_settings(rows: DataFrame, settings: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """``rows`` with the settings of their ``key``, or the defaults; settings are a small table, which is counted."""
+    own = settings.select(key, *defaults)
+    own = F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own
+    return rows.drop(*defaults).join(own, key, "left").select(*(c for c in rows.columns if c not in defaults), *(F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()))
+
+
+def sections(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` by category: place within it, from 1 by ``order`` (a number or instant), and n, its size. Rows without a category are in none."""
+    own = rows.where("category IS NOT NULL")
+    placed = numbered(own, ["category"], F.col(order), [], "place")
+    return placed.join(F.broadcast(own.groupBy("category").agg(F.count("*").alias("n"))), "category")
+
+
 def priority_order(categories: DataFrame, priority: list[str]) -> DataFrame:
     """(category, place): categories of the priority list in its order, the rest by cat_pos."""
     at = F.nullif(F.array_position(F.array(*(F.lit(p) for p in priority)), F.col("category")), F.lit(0))

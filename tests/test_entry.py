@@ -8,9 +8,6 @@ import pytest
 from quillspark import catalogue
 
 DATA = "/root/testdata/sf0.001"
-SLOW = ("feed_dedup", "feed_dedup_stats", "keyword_tags", "asof_levels", "forecast_pivot", "sentence_trim", "summary_gate", "lag_percentiles", "feed_dates")
-
-
 def plain(v):
     if isinstance(v, float):
         return repr(round(v, 6) + 0.0)
@@ -20,7 +17,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", SLOW)
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query_matches_sql(spark, name):
     import duckdb
 
