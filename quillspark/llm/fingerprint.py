@@ -176,37 +176,47 @@ def _edited_rows(batches):
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
-    Order: descending id, nulls last, rows of one id by descending text; the first
-    row follows the last. The last third of a text (rounded down, code points) is
-    replaced by as many first code points of the next one. One row is its own next
-    one; an empty table gives an empty table. Other columns are ignored.
-
-    One shuffle of the texts: ids are cut into ranges at quantiles, each range
-    also gets a copy of the row that follows its last one.
+    Order: descending id, nulls last, rows of one id by descending 64-bit hash of the
+    text; the first row follows the last. The last third of a text (rounded down, code
+    points) is replaced by as many first code points of the next one; a null text is
+    empty. One row is its own next one; an empty table gives an empty table. Other
+    columns are ignored.
+
+    One shuffle of the texts: ids are cut into ranges at quantiles, and the rows of an id
+    (or of none) that fills ranges on its own into stretches of the hash. Each range is a
+    task and also gets a copy of the row that follows its last one. Rows alike in id and
+    text share a stretch; they stream through one task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = rows.select("doc_id").where("doc_id IS NOT NULL")
+    none = F.lit(-(1 << 63))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.select(F.coalesce("doc_id", none).alias("at"), "doc_id", F.xxhash64("text").alias("h"), "text")
     parts = min(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 8), MOST_RANGES)
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10000)).first()[0] or []
+    total, cuts = rows.agg(F.count("*"), F.percentile_approx("at", [k / parts for k in range(1, parts)], 10000)).first()
+    if not total:
+        return arrow_map(rows.select("doc_id", "text").limit(0), _edited_rows_of_none, _EDITED)
+    # an id with more rows than a range should have is the value of some quantile
+    hot = rows.where(F.col("at").isin(sorted(set(cuts)))).groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") * parts > total).collect()
+    stretches = {r["at"]: -(-r["n"] * parts // total) for r in hot}
     cuts = sorted(set(cuts), reverse=True)
-    # the number of the range, counted from the largest id; rows without an id come last
+    # the number of the range, counted from the largest id; an id that is cut heads its range, its stretches by descending hash
     rows = rows.withColumn("bucket", _bucket(cuts))
-    # of each range the first row: an id and, where the id repeats, its largest text decide
-    heads = {r[0]: (r[1], r[2]) for r in rows.groupBy("bucket").agg(F.max(F.coalesce("doc_id", F.lit(-(1 << 63)))), F.count("*")).collect()}
-    order = sorted(heads)
-    if not order:
-        return arrow_map(rows.select("doc_id", "text").limit(0), _edited_rows_of_none, _EDITED)
-    before = {b: order[k - 1] for k, b in enumerate(order)}
-    first_ids = {heads[b][0]: (b, before[b]) for b in order}
-    lookup = F.create_map(*[x for i, (_, p) in first_ids.items() for x in (F.lit(i), F.lit(p))])
-    is_head = F.coalesce("doc_id", F.lit(-(1 << 63))).isin(list(first_ids))
-    copies = rows.where(is_head).withColumn("bucket", lookup[F.coalesce("doc_id", F.lit(-(1 << 63)))])
-    # a repeated id: only its largest text comes first
-    top = copies.groupBy("bucket").agg(F.max_by("doc_id", F.coalesce("text", F.lit(""))).alias("doc_id"), F.max(F.coalesce("text", F.lit(""))).alias("text"))
-    both = rows.select("bucket", "doc_id", "text", F.lit(0).alias("tail")).union(top.select("bucket", "doc_id", "text", F.lit(1)))
-    dealt = both.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), F.desc(F.coalesce("text", F.lit(""))))
-    return arrow_map(dealt.select("bucket", "doc_id", "text"), _edited_rows, _EDITED)
+    if stretches:
+        count = F.create_map(*[x for i, k in stretches.items() for x in (F.lit(i), F.lit(k))])[F.col("at")]
+        share = (F.lit(2.0**63) - F.col("h").cast("double")) / F.lit(2.0**64) * count
+        rows = rows.withColumn("sub", F.coalesce(F.floor(share).cast("int"), F.when(F.col("at").isNotNull(), F.lit(1 << 20))))
+    else:
+        rows = rows.withColumn("sub", F.lit(0))
+    # of each range the first row
+    found = rows.groupBy("bucket", "sub").agg(F.max(F.struct("at", "h")).alias("first")).collect()
+    order = sorted((r["bucket"], r["sub"], r["first"]["at"], r["first"]["h"]) for r in found)
+    ranges = spark.createDataFrame([(b, u, k) for k, (b, u, *_) in enumerate(order)], "bucket int, sub int, part int")
+    heads = spark.createDataFrame([(i, h, (k - 1) % len(order)) for k, (*_, i, h) in enumerate(order)], "at long, h long, part int")
+    tails = rows.select("at", "doc_id", "h", "text").join(F.broadcast(heads), ["at", "h"]).groupBy("part", "at", "h").agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text"))
+    own = rows.join(F.broadcast(ranges), ["bucket", "sub"]).select("part", "doc_id", "at", "h", "text", F.lit(0).alias("tail"))
+    both = own.union(tails.select("part", "doc_id", "at", "h", "text", F.lit(1)))
+    dealt = both.repartitionById(len(order), F.col("part")).sortWithinPartitions("part", "tail", F.desc("at"), F.desc("h"), F.desc("text"))
+    return arrow_map(dealt.select("part", "doc_id", "text"), _edited_rows, _EDITED)
 
 
 def _edited_rows_of_none(batches):
@@ -216,17 +226,17 @@ def _edited_rows_of_none(batches):
 
 
 def _bucket(cuts: list[int]):
-    """The number of cuts (descending) that are not below the id, by halving; after them all for a null id."""
+    """The number of cuts (descending) that are not below the id, by halving."""
 
     def among(lo: int, hi: int):
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= cuts[mid], among(mid + 1, hi)).otherwise(among(lo, mid))
+        return F.when(F.col("at") <= cuts[mid], among(mid + 1, hi)).otherwise(among(lo, mid))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(among(0, len(cuts)))
+    return among(0, len(cuts))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents``, each with its edited text."""
+    """All ``documents``, each with its edited text. Odd rows as in :func:`edited_fingerprints`."""
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))

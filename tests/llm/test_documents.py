@@ -81,6 +81,24 @@ def test_edited_fingerprints(spark):
     assert len(got) == len(rows)
 
 
+def test_hot_ids_follow_each_other(spark):
+    """Two thirds of the rows have one id or none: they are several ranges, and every row is edited with its next one."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(rng.choice([7, 7, None, 100 + k]), f"text {k} " * rng.randint(1, 9)) for k in range(300)] + [(7, "same text")] * 5 + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = F.coalesce("text", F.lit(""))
+    order = docs.select("doc_id", text.alias("text")).orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64(text))).collect()
+    expected = []
+    for k, (i, t) in enumerate(order):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + order[(k + 1) % len(order)][1][:cut]
+        expected.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    got = fingerprint.edited_fingerprints(docs.repartition(5))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got.collect()) == sorted(expected)
+
+
 def test_fingerprint_edges(spark):
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     r = fingerprint.edited_fingerprints(one).first()
