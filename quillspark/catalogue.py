@@ -672,7 +672,7 @@ def _rain(spark, d):
 
 @_query(
     "number_texts",
-    """WITH o AS (SELECT o_orderkey, (o_orderkey % 1200) || '.' || (o_custkey % 100) AS x FROM orders)
+    r"""WITH o AS (SELECT o_orderkey, (o_orderkey % 1200) || '.' || (o_custkey % 100) AS x FROM orders)
 SELECT o_orderkey, printf('%.1f%%', x::DOUBLE) AS percent, CASE WHEN regexp_extract('v ' || x, '(-?\d{1,3}(\.\d+)?)', 1)::DOUBLE = floor(regexp_extract('v ' || x, '(-?\d{1,3}(\.\d+)?)', 1)::DOUBLE) THEN floor(regexp_extract('v ' || x, '(-?\d{1,3}(\.\d+)?)', 1)::DOUBLE)::BIGINT::VARCHAR ELSE regexp_extract('v ' || x, '(-?\d{1,3}(\.\d+)?)', 1)::DOUBLE::VARCHAR END AS clean,
   CASE WHEN x::DOUBLE <= 40 THEN x::DOUBLE END AS clamped FROM o""",
 )
