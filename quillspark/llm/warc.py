@@ -99,6 +99,14 @@ def record(page_id: int | None, url: str | None, ts: str, payload: bytes, digest
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
+def file_info(name: str) -> bytes:
+    """The record that each archive file begins with, gzipped."""
+    block = b"software: quillspark\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:x-file:{name}>", f"WARC-Date: {NO_TIME}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    pack = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
+
+
 def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (lower-case names) and the payload of a gzipped record."""
     raw = zlib.decompress(member, 31)
@@ -127,6 +135,9 @@ def _write(root: str):
                             out.close()
                         name, at = f"capture-{uuid.uuid4().hex}.warc.gz", 0
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                        info = file_info(name)
+                        out.write(info)
+                        at = len(info)
                     member = record(page_id, url, ts or NO_TIME, (html or "").encode(), digest, first, revisit)
                     out.write(member)
                     for col, v in zip(rows, (url_key(url), ts or NO_TIME, page_id, name, at, len(member), "revisit" if revisit else "response", digest)):
@@ -144,6 +155,9 @@ def _write(root: str):
 def write_archives(pages: DataFrame, root: str) -> DataFrame:
     """Writes a record for each row (page_id, url, html, optionally ts as text) and returns the captures.
 
+    Files are named by the attempt that writes them and known by its committed captures only:
+    what a lost or repeated attempt leaves is never read, and goes with the folder.
+
     Payloads are the html in UTF-8, null is empty. Of records with equal payloads of
     at least ``LEAST_REVISIT`` bytes those with the smallest page_id are responses
     (rows that repeat a page_id are each one), the others revisit it; rows without a
@@ -368,7 +382,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``pages``."""
+    """All ``pages``; a row each, null html is empty. Odd rows as in :func:`round_trip`."""
     return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
