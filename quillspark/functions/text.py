@@ -15,6 +15,9 @@ from . import lexicon
 #: A sentence ends at . ! or ? before white space and a capital, digit or quote.
 _SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9\"'])"
 
+#: Code points with the property White_Space (fixed values).
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
@@ -22,8 +25,8 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any script at both ends (trim() knows spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -76,18 +79,22 @@ def first_number(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    parts = F.split(collapse(c), _SENTENCE_GAP)
-    return F.filter(F.transform(parts, strip), lambda p: F.length(p) > 0)
+    return F.filter(F.split(collapse(c), _SENTENCE_GAP), lambda p: F.length(p) > 0)
+
+
+def sentences_of_flat(flat: Column) -> Column:
+    """The number of sentences of a text whose white space is single spaces."""
+    return F.size(F.filter(F.split(flat, _SENTENCE_GAP), lambda p: F.length(p) > 0))
 
 
 def sentence_count(c: Column) -> Column:
-    return F.when(c.isNull() | (strip(c) == ""), F.lit(0)).otherwise(F.size(sentences(c)))
+    return F.coalesce(F.size(sentences(c)), F.lit(0))
 
 
 def sentence_trim(c: Column, most: int = 3) -> Column:
     """At most ``most`` sentences; doubled points are joined first."""
     whole = strip(F.replace(collapse(c), F.lit(".."), F.lit(".")))
-    split = lambda s: F.filter(F.transform(F.split(s, _SENTENCE_GAP), strip), lambda p: F.length(p) > 0)
+    split = lambda s: F.filter(F.split(s, _SENTENCE_GAP), lambda p: F.length(p) > 0)
     short = lambda s: let(split(s), lambda p: F.when(F.size(p) >= most, F.array_join(F.slice(p, 1, most), " ")).otherwise(s))
     return F.when(c.isNull(), F.lit("")).otherwise(let(whole, short))
 
@@ -119,12 +126,16 @@ def coerce_temperature(c: Column, signed: bool = False) -> Column:
 
 
 def contains_any(c: Column, phrases) -> Column:
-    """Whether the lower-cased text contains one of the phrases; false for null."""
-    low = F.lower(c)
+    """Whether the lower-cased text contains one of the phrases; false for null. The text is lower-cased once."""
+    return F.coalesce(let(F.lower(c), lambda low: holds_any(low, phrases)), F.lit(False))
+
+
+def holds_any(low: Column, phrases) -> Column:
+    """:func:`contains_any` of a text that is in lower case already; null for null."""
     found = F.lit(False)
     for p in phrases:
         found = found | F.contains(low, F.lit(p))
-    return F.coalesce(found, F.lit(False))
+    return found
 
 
 def is_obituary(c: Column) -> Column:

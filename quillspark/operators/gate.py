@@ -23,18 +23,23 @@ def topic_overlap(summary: Column, headline: Column) -> Column:
 
 
 def gate_reason(summary: Column, headline: Column) -> Column:
-    """The first check that a summary fails; null for a valid one."""
+    """The first check that a summary fails; null for a valid one. Each form of the texts is made once."""
+
+    def first(x: Column) -> Column:
+        s, flat, norm, head = x["s"], x["flat"], F.lower(x["flat"]), x["head"]
+        return (
+            F.when(s.isNull() | (s == ""), "empty")
+            .when(F.coalesce(T.holds_any(x["low"], lexicon.REFUSAL), F.lit(False)), "refusal")
+            .when(F.coalesce(T.holds_any(x["low"], lexicon.BOILERPLATE), F.lit(False)), "boilerplate")
+            .when(s.startswith(lexicon.AUTO_MARK) | s.startswith(lexicon.UNAVAILABLE_MARK), "marker")
+            .when((norm == head) | F.startswith(norm, F.concat(head, F.lit("."))), "echo")
+            .when(T.sentences_of_flat(flat) < 2, "short")
+            .when(~topic_overlap(s, x["title"]), "off_topic")
+        )
+
     s = T.strip(summary)
-    norm, head = F.lower(T.collapse(summary)), F.lower(T.collapse(F.coalesce(headline, F.lit(""))))
-    return (
-        F.when(summary.isNull() | (s == ""), "empty")
-        .when(is_refusal(s), "refusal")
-        .when(is_boilerplate(s), "boilerplate")
-        .when(s.startswith(lexicon.AUTO_MARK) | s.startswith(lexicon.UNAVAILABLE_MARK), "marker")
-        .when((norm == head) | F.startswith(norm, F.concat(head, F.lit("."))), "echo")
-        .when(T.sentence_count(s) < 2, "short")
-        .when(~topic_overlap(s, headline), "off_topic")
-    )
+    title = F.coalesce(headline, F.lit(""))
+    return T.let(F.struct(s.alias("s"), F.lower(s).alias("low"), T.collapse(summary).alias("flat"), F.lower(T.collapse(title)).alias("head"), headline.alias("title")), first)
 
 
 def is_valid_summary(summary: Column, headline: Column) -> Column:

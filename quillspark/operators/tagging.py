@@ -48,7 +48,8 @@ def tag_score(title_low: Column, category: Column | None, tag: str, rules: TagRu
         if not kw or only_stop_words(kw):
             continue
         at = F.instr(title_low, kw)
-        hit = title_low.rlike(keyword_pattern(kw)) & (at > 0)
+        # a pattern is tried only where its words stand
+        hit = (at > 0) & title_low.rlike(keyword_pattern(kw))
         score = score + F.when(hit, F.when(at <= 100, F.lit(2.0)).otherwise(F.lit(1.0)) * keyword_weight(kw)).otherwise(0.0)
     if category is None:
         return score
@@ -59,7 +60,7 @@ def tag_score(title_low: Column, category: Column | None, tag: str, rules: TagRu
             gain = F.lit(0.0)
             for b in boosted:
                 if not only_stop_words(b):
-                    gain = gain + F.when(title_low.rlike(keyword_pattern(b)), F.lit(2.0)).otherwise(0.0)
+                    gain = gain + F.when((F.instr(title_low, b.lower()) > 0) & title_low.rlike(keyword_pattern(b)), F.lit(2.0)).otherwise(0.0)
         score = score + F.when(category == cat, gain).otherwise(0.0)
     return score
 
