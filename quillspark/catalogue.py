@@ -51,7 +51,7 @@ def _stories(spark: SparkSession, d: str) -> DataFrame:
     """Documents as stories; their times are those of events."""
     events = _read(spark, d, "events")
     docs = _read(spark, d, "documents").crossJoin(F.broadcast(events.agg(F.count("*").alias("n_events"))))
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    title = F.substring_index("text", "\n", 1)
     s = docs.select(F.col("doc_id").alias("row_id"), F.col("source").alias("category"), "lang", title.alias("title"), F.col("text").alias("snippet"), ((F.col("doc_id") * 10) % F.col("n_events")).alias("event_id"))
     return s.join(events.select("event_id", F.col("ts").alias("pub_dt")), "event_id").drop("event_id").withColumn("norm", T.title_key(F.col("title")))
 
@@ -573,8 +573,9 @@ def _batches(spark, d):
 
 @_query("batch_summaries")
 def _batch_summaries(spark, d):
+    # at most CAP stories of each category: they are kept while batches are numbered, asked and joined
     s = dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP).withColumn("context", F.col("snippet"))
-    return summaries.summarize(s, summaries.StubClient()).select("row_id", "category", "title", "summary", "how")
+    return summaries.summarize(s, summaries.StubClient(), store=lambda df: df.persist()).select("row_id", "category", "title", "summary", "how")
 
 
 @_query("fuzzy_headline_match")

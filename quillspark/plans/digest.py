@@ -83,7 +83,7 @@ def run_config(spark: SparkSession, tree: dict, now: datetime, client, fetch: we
     candidates = store(feed_candidates(table, table.select("category", "url").join(got, "url", "left").select("category", "text"), zone))
     places = tree.get("weather") or {}
     lakes = places.get("lakes") or {}
-    bundle = weather.collect_weather(spark, weather.Places(places.get("forecast"), places.get("climate"), places.get("station"), places.get("normals"), lakes), fetch, now.date(), zone, store)
+    bundle = weather.collect_weather(spark, weather.Places(places.get("forecast"), places.get("climate"), places.get("station"), places.get("normals"), lakes, places.get("point")), fetch, now.date(), zone, store)
     links = [r["link"] for r in candidates.where(~feeds.skip_article(F.col("title"), F.col("category"), F.col("link"))).select("link").distinct().collect()] if config.lookup(tree, "extract", True) else []
     if links:
         pages = store(fetch(links)).select("url", weather.body_text(F.col("body")).alias("html"))

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import StructType
 
 ATTEMPTS, BACKOFF, BODY_LIMIT = 3, (0.25, 0.5), 5 * 1024 * 1024
@@ -77,9 +77,10 @@ class _Urls(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
+        self.only: set | None = None
 
     def partitions(self):
-        urls = json.loads(self.options.get("urls", "[]"))
+        urls = [u for u in json.loads(self.options.get("urls", "[]")) if self.only is None or u in self.only]
         n = max(1, int(self.options.get("parallel", "4")))
         return [_Urls(urls[k::n]) for k in range(min(n, len(urls)))] or [_Urls([])]
 
@@ -94,6 +95,20 @@ class _Reader(DataSourceReader):
             yield (url, r["status"], r["body"], r["error"], r["attempts"])
 
 
+class _ChoosingReader(_Reader):
+    def pushFilters(self, filters):
+        """Equality and IN on ``url`` choose the requests; Spark still applies every filter.
+
+        Spark refuses a reader that has this unless ``spark.sql.python.filterPushdown.enabled``
+        is set, so option ``pushdown`` asks for it.
+        """
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute == ("url",):
+                self.only = values if self.only is None else self.only & values
+            yield f
+
+
 class WebSource(DataSource):
     """Rows (url, status, body, error, attempts); requests are dealt over ``parallel`` tasks."""
 
@@ -105,4 +120,5 @@ class WebSource(DataSource):
         return "url string, status int, body binary, error string, attempts int"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        options = dict(self.options)
+        return (_ChoosingReader if options.get("pushdown") == "true" else _Reader)(options)

@@ -30,13 +30,17 @@ Fetch = Callable[[list[str]], DataFrame]
 
 @dataclass(frozen=True)
 class Places:
-    """Where the data is. Each provider may be None: it then counts as failed."""
+    """Where the data is. Each provider may be None: it then counts as failed.
+
+    ``point`` is asked first where there is one: its answer names the forecast's URL.
+    """
 
     forecast: str | None = None
     climate: str | None = None
     station: str | None = None
     normals: str | None = None
     lakes: dict[str, str] = field(default_factory=dict)
+    point: str | None = None
 
 
 def web_fetch(spark: SparkSession, transport: str | None = None, parallel: int = FAN_OUT, timeout: float = 15.0) -> Fetch:
@@ -125,11 +129,18 @@ def collect_weather(spark: SparkSession, places: Places, fetch: Fetch, today: da
     provider that fails, or whose payload cannot be read, has its default and an error.
     """
     station = month_range_url(places.station, today) if places.station else None
-    urls = {u for u in (places.forecast, places.climate, station, places.normals, *places.lakes.values()) if u}
+    errors: list[str] = []
+    forecast_at = places.forecast
+    if places.point:
+        answer = fetch([places.point]).select(F.from_json(body_text(F.col("body")), "properties struct<forecast: string>")["properties"]["forecast"].alias("url"), "error").first()
+        forecast_at = (answer and answer["url"]) or forecast_at
+        if not forecast_at:
+            errors.append(f"{places.point}: {(answer and answer['error']) or 'no forecast'}")
+    urls = {u for u in (forecast_at, places.climate, station, places.normals, *places.lakes.values()) if u}
     got = fetch(sorted(urls))
     got = (store(got) if store else got).select("url", F.when(F.col("error").isNull(), body_text(F.col("body"))).alias("text"), "error")
     page = lambda url, *cols: got.where(F.col("url") == (url or "")).select(*cols)
-    errors = [f"{r['url']}: {r['error'] or 'no text'}" for r in got.where("error IS NOT NULL OR text IS NULL").orderBy("url").collect()]
+    errors += [f"{r['url']}: {r['error'] or 'no text'}" for r in got.where("error IS NOT NULL OR text IS NULL").orderBy("url").collect()]
 
     def tried(name: str, work: Callable, default):
         try:
@@ -139,7 +150,7 @@ def collect_weather(spark: SparkSession, places: Places, fetch: Fetch, today: da
             return default
 
     days = spark.createDataFrame([(today + timedelta(days=k),) for k in range(3)], "target date")
-    periods = feeds.forecast_periods(page(places.forecast, F.col("text").alias("payload")), zone=zone)
+    periods = feeds.forecast_periods(page(forecast_at, F.col("text").alias("payload")), zone=zone)
     forecast = tried("forecast", lambda: [r.asDict() for r in lookup.forecast_rows(periods, days).orderBy("date").collect()] if periods.limit(1).count() else [], [])
     high = page(places.climate, F.lit(1).alias("station"), feeds.climate_high(F.col("text")).alias("high"))
     named = lambda url: page(url, F.lit(1).alias("station"), F.col("text").alias("html"))

@@ -97,3 +97,23 @@ def test_config(spark, tmp_path):
     (tmp_path / "config.yaml").write_text("a: {b: 1}")
     p = config.find_config(cwd=str(tmp_path))
     assert config.lookup(config.load_config(p), "a.b") == 1 and config.lookup({}, "a.b", 7) == 7
+
+
+def test_filters_choose_the_requests():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    reader = http.WebSource({"urls": json.dumps(["a", "b", "c", "d"]), "parallel": "2", "pushdown": "true"}).reader(None)
+    filters = [In(("url",), ("a", "b", "x")), GreaterThan(("status",), 1), EqualTo(("url",), "b")]
+    assert list(reader.pushFilters(filters)) == filters
+    assert [u for p in reader.partitions() for u in p.urls] == ["b"]
+
+
+def test_pushed_filters(spark):
+    spark.dataSource.register(http.WebSource)
+    key = "spark.sql.python.filterPushdown.enabled"
+    spark.conf.set(key, "true")
+    try:
+        df = spark.read.format("web").option("urls", json.dumps(["a", "bad", "c"])).option("transport", "tests.test_sources:fake_transport").option("pushdown", "true").load()
+        assert [r["url"] for r in df.where("url = 'c'").collect()] == ["c"]
+    finally:
+        spark.conf.unset(key)

@@ -68,6 +68,16 @@ def test_a_provider_that_fails_costs_no_other(spark, gone):
     assert flags["any_missing"] == (gone in ("http://w/climate", "http://w/normals") or "graph" in gone) and not flags["all_missing"]
 
 
+def test_a_point_names_its_forecast(spark):
+    import dataclasses
+
+    pages = PAGES | {"http://w/points/1,2": '{"properties":{"forecast":"http://w/forecast"}}', "http://w/points/0,0": "{}"}
+    asked = dataclasses.replace(PLACES, forecast=None, point="http://w/points/1,2")
+    assert len(weather.collect_weather(spark, asked, fetch(spark, pages), TODAY)["forecast"]) == 3
+    got = weather.collect_weather(spark, dataclasses.replace(asked, point="http://w/points/0,0"), fetch(spark, pages), TODAY)
+    assert got["forecast"] == [] and "http://w/points/0,0: no forecast" in got["errors"]
+
+
 def test_no_provider_at_all(spark):
     got = weather.collect_weather(spark, weather.Places(lakes={"a": "http://w/a"}), fetch(spark, {}), TODAY)
     assert got["forecast"] == [] and set(got["station"].values()) == {"Unavailable"} and got["lakes"] == {"a": dict.fromkeys(weather.LABELS)}
