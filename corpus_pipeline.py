@@ -13,7 +13,7 @@ from quillspark.llm.mixing import mix_stage
 from quillspark.llm.pii import redact_stage
 from quillspark.llm.quality import quality_stage
 from quillspark.llm.setjoin import keep_one_of_each
-from quillspark.llm.workspace import materialize
+from quillspark.llm.workspace import discard, materialize
 
 STAGES = [
     ("quality", quality_stage),
@@ -28,8 +28,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each one's result is written and read again."""
+    """Applies the stages to ``documents``; each one's result is written and read again, and goes when the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
