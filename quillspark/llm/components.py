@@ -5,8 +5,9 @@ around it (large star: neighbours above a node; small star: neighbours below).
 The edge table never grows beyond its size, so a hub with a third of all edges
 costs no more than its edges; groups are reduced by map-side minima first.
 
-A table of at most ``ONE_TASK`` edges, which is counted first, is cheaper to solve in
-one task by union-find (two dozen megabytes); beyond it the contractions run.
+A table of at most ``ONE_TASK`` edges, which is counted first unless a bound is known, is
+cheaper to solve in one task by union-find (two dozen megabytes); beyond it the
+contractions run.
 """
 
 from __future__ import annotations
@@ -59,13 +60,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return out.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, label: str = "components", at_most: int | None = None) -> DataFrame:
     """(node, component) of every node that an edge (a, b) touches; the component is its smallest node.
 
     Loops and repeated edges are ignored, an empty table gives an empty table,
-    edges with a null end are ignored.
+    edges with a null end are ignored. ``at_most``: a bound of the number of edges, if known.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    if at_most is not None and at_most <= ONE_TASK:
+        return materialize(arrow_map(edges.select("a", "b").coalesce(1), _union_find, "node long, component long"), label)
     cur = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
     if cur.count() <= ONE_TASK:
         out = materialize(arrow_map(cur.coalesce(1), _union_find, "node long, component long"), label)

@@ -458,6 +458,8 @@ class _Join:
         self.docs, self.nodes, self.members = docs, nodes, members
         self.words, self.percent, self.repeated = words, percent, repeated
         self.comp: DataFrame | None = None
+        #: Links so far; a component table has two nodes for each at most.
+        self.links = 0
 
     def texts(self, asks: DataFrame, rows: int) -> DataFrame:
         """``asks`` (rep, digest and others), about ``rows`` of them, with the texts of these documents."""
@@ -490,8 +492,9 @@ class _Join:
         discard(close)
         grown = links.count()
         if grown:
-            old = self.comp
-            self.comp = connected_components(links if old is None else links.union(old.select("node", "component")), "setjoin-components")
+            old, known = self.comp, 2 * self.links
+            self.links += grown
+            self.comp = connected_components(links if old is None else links.union(old.select("node", "component")), "setjoin-components", known + grown)
             if old is not None:
                 discard(old)
         discard(links)
