@@ -21,7 +21,7 @@ def test_batches_are_bounded_and_the_callers_settings_stay(spark):
 
     def sizes(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())], names=["n"])
 
     spark.conf.unset(key)
     got = [r["n"] for r in workspace.arrow_map(texts, sizes, "n int").collect()]
