@@ -56,6 +56,11 @@ def _stories(spark: SparkSession, d: str) -> DataFrame:
     return s.join(events.select("event_id", F.col("ts").alias("pub_dt")), "event_id").drop("event_id").withColumn("norm", T.title_key(F.col("title")))
 
 
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """Stories without their texts: what deduplication carries through its shuffles."""
+    return _stories(spark, d).drop("snippet", "lang")
+
+
 def _categories(spark: SparkSession, d: str) -> DataFrame:
     src = _read(spark, d, "documents").select(F.col("source").alias("category")).where("category IS NOT NULL").distinct()
     return src.select("category", F.substring("category", 4, 9).cast("int").alias("cat_pos"), F.lit(AGE).alias("age_limit_h"), F.lit(WINDOW).alias("window_h"), F.lit(CAP).alias("cap"))
@@ -122,7 +127,7 @@ capped AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY cat_pos, band
 # ---------------------------------------------------------------- deduplication
 @_query("feed_dedup", f"WITH {_DEDUP} SELECT category, row_id, title, band, k::INT AS k FROM capped WHERE x = 1")
 def _feed_dedup(spark, d):
-    out = dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP)
+    out = dedup.feed_dedup(_titles(spark, d), _categories(spark, d), NOW, CAP)
     return out.select("category", "row_id", "title", "band", "k")
 
 
@@ -134,7 +139,7 @@ def _feed_dedup(spark, d):
   (SELECT count(*) FROM capped WHERE x > 1) AS cross_dup_filtered""",
 )
 def _feed_dedup_stats(spark, d):
-    return dedup.feed_dedup_stats(_stories(spark, d), _categories(spark, d), NOW, CAP)
+    return dedup.feed_dedup_stats(_titles(spark, d), _categories(spark, d), NOW, CAP)
 
 
 @_query("age_filter", f"WITH {_S} SELECT row_id, round(age_h, 6) AS age_h FROM stories WHERE age_h IS NULL OR age_h <= 72")
@@ -145,18 +150,18 @@ def _age_filter(spark, d):
 
 @_query("title_dedup_per_category", f"WITH {_S} SELECT category, norm, min_by(row_id, {{'a': -epoch_us(pub_dt), 'b': row_id}}) AS row_id FROM stories GROUP BY ALL")
 def _title_dedup_per_category(spark, d):
-    return dedup.leaders(_stories(spark, d).withColumn("band", F.lit(0))).select("category", "norm", "row_id")
+    return dedup.leaders(_titles(spark, d).withColumn("band", F.lit(0))).select("category", "norm", "row_id")
 
 
 @_query("title_dedup_cross_category", f"WITH {_S}, {_C} SELECT norm, min_by(row_id, {{'a': cat_pos, 'b': -epoch_us(pub_dt), 'c': row_id}}) AS row_id FROM stories JOIN cats USING (category) GROUP BY norm")
 def _title_dedup_cross_category(spark, d):
-    s = _stories(spark, d).join(_categories(spark, d).select("category", "cat_pos"), "category")
+    s = _titles(spark, d).join(_categories(spark, d).select("category", "cat_pos"), "category")
     return dedup.across_categories(s.withColumn("band", F.lit(0))).select("norm", "row_id")
 
 
 @_query("category_cap", f"WITH {_S} SELECT category, row_id, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pub_dt DESC, row_id) AS k FROM stories) WHERE k <= {CAP}")
 def _category_cap(spark, d):
-    s = _stories(spark, d).withColumn("band", F.lit(0)).withColumn("cap", F.lit(CAP))
+    s = _titles(spark, d).withColumn("band", F.lit(0)).withColumn("cap", F.lit(CAP))
     return dedup.capped(s, CAP).select("category", "row_id", "k")
 
 
@@ -169,7 +174,7 @@ SELECT category, band FROM w WHERE band = 0 OR below < 3""",
 )
 def _widen_category(spark, d):
     cats = _categories(spark, d)
-    return dedup.reached_bands(dedup.leaders(dedup.with_bands(_stories(spark, d), cats, NOW)), cats)
+    return dedup.reached_bands(dedup.leaders(dedup.with_bands(_titles(spark, d), cats, NOW)), cats)
 
 
 @_query("candidate_pool_topk", f"SELECT event_type AS category, event_id AS row_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS rank FROM events) WHERE rank <= {POOL}")
@@ -188,7 +193,7 @@ def _priority(spark, d):
 
 @_query("category_counts", f"WITH {_DEDUP} SELECT category, count(*) AS n FROM capped WHERE x = 1 GROUP BY category")
 def _category_counts(spark, d):
-    return dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP).groupBy("category").agg(F.count("*").alias("n"))
+    return dedup.feed_dedup(_titles(spark, d), _categories(spark, d), NOW, CAP).groupBy("category").agg(F.count("*").alias("n"))
 
 
 @_query(
@@ -601,7 +606,7 @@ UNION ALL SELECT category, 0, '## ' || category || ' (' || count(*) || ' stories
 def _lines(spark, d):
     from pyspark.sql import Window
 
-    s = dedup.feed_dedup(_stories(spark, d), _categories(spark, d), NOW, CAP)
+    s = dedup.feed_dedup(_titles(spark, d), _categories(spark, d), NOW, CAP)
     w = Window.partitionBy("category").orderBy("k")
     key = F.col("row_id")
     summary = F.when(key % 3 != 0, F.concat(F.lit("About "), key.cast("string")))
