@@ -8,7 +8,8 @@ above the need that has an open row). A packed row has the matrix row of ids
 (padded), the cumulative lengths of its segments, the places where positions
 start anew, and which part of which document each segment is.
 
-Packing happens where the documents are: nothing is shuffled, a task holds one buffer.
+The ids are exchanged once, two bytes each; a task holds one buffer. Which documents are packed
+together follows from their ids and texts, not from the table's layout.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .vector import text_slices
 from .workspace import arrow_map
 
 ROW_TOKENS = 2048
 BUFFER_TOKENS = 4_000_000
 PAD = 50256
+#: Text bytes of the documents that are packed together, about, and parts at most.
+PART_BYTES, MOST_PARTS = 32 << 20, 1 << 17
 
 _PACKED = "pack_id string, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_starts array<long>"
 
@@ -81,20 +85,43 @@ def best_fit_decreasing(lengths: np.ndarray, row: int) -> list[list[int]]:
     return rows
 
 
-def _pack(path: str | None, row: int, buffer: int, pad: int):
-    def run(batches):
-        from pyspark import TaskContext
+def _encoded(path: str | None, pad: int):
+    """(part, doc_id, digest, tokens) of texts that have tokens; ids in two bytes as long as all fit, the padding too."""
 
+    def run(batches):
         from .bpe import vocabulary
-        from .vector import text_slices
 
         voc = vocabulary(path)
-        # two bytes an id as long as all fit, the padding too
-        kind = np.dtype("<u2") if max(len(voc.lens) - 1, pad) < 1 << 16 else np.dtype("<u4")
-        part, serial = TaskContext.get().partitionId(), 0
+        kind = _kind(voc, pad)
+        for batch in batches:
+            keep, tokens = [], []
+            for lo, hi, data, offs in text_slices(batch.column(3)):
+                flat, first, _, _ = voc.encode_slice(data, offs)
+                flat = flat.astype(kind)
+                for d in range(hi - lo):
+                    if first[d + 1] > first[d]:
+                        keep.append(lo + d)
+                        tokens.append(flat[first[d] : first[d + 1]].tobytes())
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(tokens, pa.binary())], names=["part", "doc_id", "digest", "tokens"])
+
+    return run
+
+
+def _kind(voc, pad: int) -> np.dtype:
+    return np.dtype("<u2") if max(len(voc.lens) - 1, pad) < 1 << 16 else np.dtype("<u4")
+
+
+def _pack(path: str | None, row: int, buffer: int, pad: int):
+    """Packs the documents of each part in the order they come, a buffer at a time."""
+
+    def run(batches):
+        from .bpe import vocabulary
+
+        kind = _kind(vocabulary(path), pad)
+        part, serial, held = None, 0, 0
         docs: list[int | None] = []
         tokens: list[np.ndarray] = []
-        held = 0
 
         def flush():
             nonlocal held, serial
@@ -121,15 +148,15 @@ def _pack(path: str | None, row: int, buffer: int, pad: int):
             held = 0
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for lo, hi, data, offs in text_slices(batch.column(1)):
-                flat, first, _, _ = voc.encode_slice(data, offs)
-                flat = flat.astype(kind)
-                for d in range(hi - lo):
-                    if first[d + 1] > first[d]:
-                        docs.append(ids[lo + d])
-                        tokens.append(flat[first[d] : first[d + 1]])
-                        held += int(first[d + 1] - first[d])
+            for p, doc_id, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if p != part:
+                    if tokens:
+                        yield from flush()
+                    part, serial = p, 0
+                docs.append(doc_id)
+                # a copy, so that the batch goes when it was read
+                tokens.append(np.frombuffer(one.as_buffer(), kind).copy())
+                held += len(tokens[-1])
                 if held >= buffer:
                     yield from flush()
         if tokens:
@@ -143,19 +170,28 @@ def _by(xs: list, n: int):
         yield xs[k : k + n]
 
 
-def packed_rows(docs: DataFrame, row: int = ROW_TOKENS, buffer: int = BUFFER_TOKENS, pad: int = PAD, path: str | None = None) -> DataFrame:
+def packed_rows(docs: DataFrame, row: int = ROW_TOKENS, buffer: int = BUFFER_TOKENS, pad: int = PAD, path: str | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Packed rows of the byte-level BPE ids of every text.
 
     ``ids`` are ``row`` little-endian ids of 16 bits (32 where the vocabulary or the padding
-    needs them); after ``n_tokens`` of them come ``pad``. Documents are packed with those of
-    their partition, without a shuffle: another layout of the same table gives other rows of
-    the same tokens, the same layout the same rows. Segment k of a row lies between cu_seqlens[k] and cu_seqlens[k+1] and
-    holds the ids of doc_ids[k] from doc_starts[k] on; positions start anew at
-    position_resets. Null and empty texts have no tokens and no segment; an empty
-    table gives an empty table; rows with a null doc_id are packed under null.
+    needs them); after ``n_tokens`` of them come ``pad``. Segment k of a row lies between
+    cu_seqlens[k] and cu_seqlens[k+1] and holds the ids of doc_ids[k] from doc_starts[k] on;
+    positions start anew at position_resets.
+
+    Documents are dealt into parts of about ``part_bytes`` of text by a hash of id and text and
+    packed in order of id within them, a buffer of ``buffer`` tokens at a time: equal tables
+    give equal rows, however they are laid out. A part streams through its task, so its size
+    bounds no memory. Null and empty texts have no tokens and no segment; an empty table gives
+    an empty table; rows with a null doc_id are packed under null. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(rows, _pack(path, row, buffer, pad), _PACKED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # parts follow from ids and texts alone, so ids that many rows share are spread as well
+    parts = int(min(max(-(-size // part_bytes), 1), MOST_PARTS))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id", "digest"), F.lit(parts)).cast("int").alias("part"), "doc_id", "digest", "text")
+    ids = arrow_map(rows, _encoded(path, pad), "part int, doc_id long, digest long, tokens binary")
+    dealt = ids.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "digest").select("part", "doc_id", "tokens")
+    return arrow_map(dealt, _pack(path, row, buffer, pad), _PACKED)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
@@ -164,5 +200,5 @@ def write_packed(packed: DataFrame, path: str) -> None:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ``documents`` in rows of 2048 ids."""
+    """All ``documents`` in rows of 2048 ids. Odd rows as in :func:`packed_rows`."""
     return packed_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -297,3 +297,9 @@ def test_packing_is_lossless(spark, reference):
         got = [x for s in sorted(parts.get(i, {})) for x in parts[i][s]]
         assert got == reference.encode_ordinary(t or "")
     assert packing.packed_rows(empty(spark)).count() == 0
+
+
+def test_packs_do_not_depend_on_the_layout(spark):
+    rows = odd_rows() + [(None, "no id", "en", "a", 1)] * 3 + [(10, f"text {k} of one id " * 9, "en", "a", 1) for k in range(40)]
+    every = [sorted(tuple(map(str, r)) for r in packing.packed_rows(frame(spark, rows).repartition(n), row=64, buffer=500, part_bytes=4000).collect()) for n in (1, 3, 7)]
+    assert every[0] == every[1] == every[2] and len(every[0]) > 20
