@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .vector import mix, prefix_hash, ragged_index, span_hash, text_slices
+from .vector import Kept, mix, prefix_hash, ragged_index, span_hash, text_slices
 from .workspace import arrow_map, extended
 
 #: Ids and pieces (as a power of two) that the cache of merged pieces holds before it starts anew: some 25 MB.
@@ -398,18 +398,16 @@ class Vocabulary:
         return out, at
 
 
-_loaded: dict[str, Vocabulary] = {}
+_loaded = Kept(Vocabulary)
 
 
 def vocabulary(path: str | None = None) -> Vocabulary:
-    """The vocabulary of a rank file; its tables, some 20 MB, are kept for the life of a worker. None: byte_bpe_50k."""
+    """The vocabulary of a rank file, kept by a worker while its tasks use it. None: byte_bpe_50k."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    if path not in _loaded:
-        _loaded[path] = Vocabulary(path)
-    return _loaded[path]
+    return _loaded.get(path)
 
 
 def _encode(path: str | None):

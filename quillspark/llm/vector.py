@@ -29,12 +29,37 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _libc = ctypes.CDLL(None)
 
 
+class Kept:
+    """A table of a worker that is made once and stays while task after task uses it."""
+
+    def __init__(self, make):
+        self.make, self.held, self.used = make, {}, False
+        KEPT.append(self)
+
+    def get(self, key):
+        self.used = True
+        if key not in self.held:
+            self.held[key] = self.make(key)
+        return self.held[key]
+
+    def end_of_task(self) -> None:
+        if not self.used:
+            self.held.clear()
+        self.used = False
+
+
+KEPT: list[Kept] = []
+
+
 def tidy() -> None:
     """Gives freed memory back to the system; every task of a Python worker ends with it.
 
     From then on the worker's arrays of 16 MiB or more are mapped on their own and go
-    back when they are freed. Nothing is changed in the driver or by an import.
+    back when they are freed. Nothing is changed in the driver or by an import. Tables
+    that the task did not use are dropped: a worker serves many operators in its life.
     """
+    for table in KEPT:
+        table.end_of_task()
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "mallopt"):
         _libc.mallopt(-3, 16 << 20)
@@ -42,9 +67,6 @@ def tidy() -> None:
         _libc.malloc_trim(0)
 
 
-_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply)."""
     h = h ^ (h >> np.uint64(30))
@@ -55,15 +77,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _powers(size: int) -> list[np.ndarray]:
+    out = []
+    for b in (_BASE, _BASE_INV):
+        t = np.full(size, b, dtype=np.uint64)
+        t[0] = 1
+        out.append(np.multiply.accumulate(t))
+    return out
+
+
+_tables = Kept(_powers)
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
-        for k, b in enumerate((_BASE, _BASE_INV)):
-            t = np.full(size, b, dtype=np.uint64)
-            t[0] = 1
-            _powers[k] = np.multiply.accumulate(t)
-    return _powers
+    """Powers of the base and of its inverse, at least ``n`` of each; those of a longer text are made for it alone."""
+    size = SLICE_BYTES + (SLICE_BYTES >> 2)
+    return _tables.get(size) if n <= size else _powers(n)
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

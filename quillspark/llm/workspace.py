@@ -56,7 +56,7 @@ def discard(*frames: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch of whole texts, on the way to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
