@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .vector import distinct_sets, mix
+from .vector import distinct_sets, mix, trim
 from .workspace import arrow_map, bounded_broadcast, discard, materialize
 
 #: Cells of the count table, as powers of two. Levels take half a byte a cell, so
@@ -151,9 +151,11 @@ def _merged(first, add, done):
     return lambda batches: _packed_rows(chunks(batches), "out")
 
 
-def _by_chunk(rows: DataFrame, function) -> np.ndarray | list:
-    """What ``function`` makes of each chunk; the chunks spread over as many tasks as a shuffle has."""
-    return arrow_map(rows.repartition("chunk").sortWithinPartitions("chunk"), function, "chunk int, out binary").collect()
+def _by_chunk(rows: DataFrame, function):
+    """(chunk, bytes) that ``function`` makes of each chunk; the chunks spread over as many tasks as a shuffle has."""
+    got = arrow_map(rows.repartition("chunk").sortWithinPartitions("chunk"), function, "chunk int, out binary").toArrow()
+    for chunk, out in zip(got.column(0), got.column(1)):
+        yield chunk.as_py(), out.as_buffer()
 
 
 def _rarity(counts: DataFrame, bits: int, load: float) -> np.ndarray:
@@ -581,10 +583,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     marks = bits + 1
     send = spark.sparkContext.broadcast
     level = send(_rarity(arrow_map(docs.select("text"), _counted(words, bits), "chunk int, counts binary"), bits, shingles / (1 << bits)))
+    trim()
     shared = send(_shared_bits(arrow_map(known.select("text"), _prefix_tokens(words, percent, level, bits, _range_bits(marks)), "chunk int, tokens binary"), marks))
     sets = materialize(arrow_map(docs, _sets(words, percent, level, bits, shared, marks), _SET), "setjoin-sets")
     level.destroy()
     shared.destroy()
+    del level, shared
+    trim()
 
     solid = sets.where("n > 0 AND doc_id IS NOT NULL")
     least = F.struct("doc_id", "digest")

@@ -60,9 +60,14 @@ def tidy() -> None:
     """
     for table in KEPT:
         table.end_of_task()
-    pa.default_memory_pool().release_unused()
     if hasattr(_libc, "mallopt"):
         _libc.mallopt(-3, 16 << 20)
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; for the driver, after it held a large table."""
+    pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):
         _libc.malloc_trim(0)
 
