@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, gif, mixing, packing, pii, quality, setjoin, toxicity, warc
+from . import audit, bpe, fingerprint, gif, mixing, negatives, packing, pii, quality, setjoin, token_counts, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.op8_quality,
         "op9_toxicity_mil": toxicity.op9_toxicity,
         "op10_ngram_jaccard_join": setjoin.op10_jaccard,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op12_hard_negatives": negatives.op12_negatives,
+        "op13_filter_audit": audit.op13_audit,
         **{name: query for name, (query, _) in CHECKS.items()},
     }
 
@@ -29,6 +32,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_capture_index": warc.ORACLE_OP1,
         "op10_ngram_jaccard_join": setjoin.ORACLE_OP10,
+        "op12_hard_negatives": negatives.ORACLE_OP12,
+        "op13_filter_audit": audit.ORACLE_OP13,
         **{name: sql for name, (_, sql) in CHECKS.items()},
     }
 
