@@ -16,8 +16,9 @@ join them, drawn for each kind and label on its own, so that a rare kind is foun
 corpus of any size. The documents of a third of the sample calibrate the scores, and for
 each kind the threshold is the least score down to which the share of true ones is
 ``PRECISION`` or more; a kind with few true ones, or without such a score, has the
-threshold of all kinds together. Chosen spans never overlap a base span; of overlapping
-ones the likeliest stays.
+threshold of all kinds together. A chosen span may hold or cross base spans (a secret with a
+card number in it) but does not lie within one; of overlapping chosen ones the likeliest
+stays.
 
 Positions are code points, ends exclusive.
 """
@@ -29,7 +30,9 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_right
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +118,8 @@ _CREDENTIAL = re.compile(r"(?i)pass(?:word|wd|phrase|code)?s?$|pwd|token|secret|
 _OPEN = re.compile(r"\s*[\"']?")
 # a value reaches its run's end, however long
 _VALUE = re.compile(r"[^\s\"',;]{6,}+")
-_RANDOM = re.compile(r"(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9+/_.=-]{16,}+")
+# the last of each in a run: a value that looks random has digits, letters and nothing else but a few signs
+_LASTS = {"other": re.compile(r"(?s)[^A-Za-z0-9+/_.=-](?=[A-Za-z0-9+/_.=-]*+$)"), "digit": re.compile(r"[0-9](?=[^0-9]*+$)"), "letter": re.compile(r"[A-Za-z](?=[^A-Za-z]*+$)")}
 _IN_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 
 
@@ -153,26 +157,42 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
         if "[" in text or "(" in text or "{" in text:
             out += [("ip", *m.span()) for m in _DEFANGED.finditer(text)]
     for sign in "=:":
-        at = text.find(sign)
-        while at >= 0:
-            nxt = at + 1
-            name = _name_before(text, at)
-            if name and (m := _VALUE.match(text, _OPEN.match(text, nxt).end())):
-                credential = _CREDENTIAL.search(name)
-                if credential or _RANDOM.fullmatch(m.group()):
-                    out.append(("secret", *m.span()))
-                    end = m.end()
-                    while text[end - 1] in ".)]}!?" and end - m.start() > 6:
-                        end -= 1
-                    if end < m.end():
-                        out.append(("secret", m.start(), end))
-                if credential:
-                    # names within a value are part of it, so a long one is read once
-                    nxt = m.end()
-            at = text.find(sign, nxt)
+        out += _given(text, sign)
     return out
 
 
+def _given(text: str, sign: str):
+    """Values that are given to names by a sign; of a run of value characters each is looked at once.
+
+    A credential's value reaches its run's end, and names within it are part of it; so is
+    the value of another name that looks random, but credentials within it still count.
+    """
+    at, run_end, random_found = text.find(sign), -1, False
+    while at >= 0:
+        nxt = at + 1
+        name = _name_before(text, at)
+        start = _OPEN.match(text, nxt).end() if name else nxt
+        if name and start >= run_end:
+            run = _VALUE.match(text, start)
+            # the last characters of the run that are not of a random value, digits and letters
+            run_end, random_found = (run.end(), False) if run else (start, True)
+            last = {c: run.start() + m.start() for c, p in _LASTS.items() if (m := p.search(run.group()))} if run else {}
+        if name and run_end - start >= 6:
+            credential = _CREDENTIAL.search(name)
+            alike = not random_found and run_end - start >= 16 and last.get("other", -1) < start <= min(last.get("digit", -1), last.get("letter", -1))
+            if credential or alike:
+                yield "secret", start, run_end
+                end = run_end
+                while text[end - 1] in ".)]}!?" and end - start > 6:
+                    end -= 1
+                if end < run_end:
+                    yield "secret", start, end
+                random_found = True
+            if credential:
+                nxt = run_end
+        at = text.find(sign, nxt)
+
+
 #: What is written in the place of a credential (some of the planted look-alikes, too).
 _STANDS = ("unknown", "required", "undefined", "changeme", "********", "optional", "xxxxxxxx", "redacted", "<token>", "${SECRET}", "expired", "missing", "invalid", "your-key-here", "<your-password>", "%(secret)s", "{{token}}", "disabled", "enabled", "default", "string", "example", "placeholder", "not-set")
 _PLACEHOLDER = re.compile(r"(?i)(?:" + "|".join(w for w in _STANDS if w.isalpha()) + r"|[*x._-]++|<.*>|\$?\{+[^{}]*\}+|%[(]?[a-z_]+[)]?[a-z%]|your[_-].*)[.!?)\]]*")
@@ -299,11 +319,16 @@ def _planted(rng: random.Random, kind: str, true: bool, words: list[str]) -> tup
     sign, mark = pick(("=", ": ", " = ", ":", ": ")), pick(("", "", '"', "'"))
     n = pick((6, 7, 8, 10, 12, 16, 20, 32, 40, 64, 120, 400))
     value = pick((lambda: "".join(pick(_HEX) for _ in range(n)), lambda: "".join(pick(_BASE) for _ in range(n)), lambda: (word() + word() + word())[: max(n, 8)].ljust(6, "a"), lambda: f"{word()[:6]}{_digits_of(rng, 3)}!".rjust(7, "z"), lambda: "-".join("".join(pick(_HEX) for _ in range(k)) for k in (8, 4, 4, 4, 12)), lambda: ".".join("".join(pick(_BASE[:62] + "_-") for _ in range(n)) for _ in range(3))))
+    own = value()
+    if rng.random() < 0.25:
+        # values that hold what a base pattern finds
+        held = pick((lambda: _card(rng, 16, True), lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"{word()}{rng.randint(1, 9)}@{word()}.{word()}.{pick(_TLDS)}", lambda: "+1" + _digits_of(rng, 10)))()
+        own = pick((own[:12] + "-" + held + "-" + word(), pick(_BASE[:26]) + held + "!" + own[:8], word() + held + pick(("ZZ", "_x", "-q", "!x")) + str(rng.randint(1, 99))))
     if true:
-        return pick(_NAMES) + sign + mark, value(), mark + pick((" ", "\n", ", ") if not mark else (" ", ", "))
+        return pick(_NAMES) + sign + mark, own, mark + pick((" ", "\n", ", ") if not mark else (" ", ", "))
     if rng.random() < 0.45:
         return pick(_NAMES) + sign + mark, pick(_STANDS), mark + pick((" ", " ", ". ", ", "))
-    return pick(_OTHER_NAMES) + sign + mark, value(), mark + " "
+    return pick(_OTHER_NAMES) + sign + mark, own, mark + " "
 
 
 _WORDS = re.compile(r"[a-z]{2,12}")
@@ -320,9 +345,9 @@ def planted_examples(text: str, rng: random.Random, times: int = PLANTED):
                 left = text[max(0, at - 60) : at]
                 start = len(left) + len(lead)
                 whole = left + lead + value + tail + text[at : at + 60]
-                good, _ = base_spans(whole)
+                covered = Covered(base_spans(whole)[0])
                 for s in proposals(whole):
-                    if s[1] < start + len(value) and start < s[2] and not any(s[1] < e and b < s[2] for _, b, e in good):
+                    if s[1] < start + len(value) and start < s[2] and s not in covered:
                         yield int(true and s == (kind, start, start + len(value))), whole, *s
 
 
@@ -448,25 +473,49 @@ def train_selector(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fit_selector(x[order], y[order], third[order] == 0)
 
 
+class Covered:
+    """Spans that lie within a base span, which says all that they could say."""
+
+    def __init__(self, base: list[tuple[str, int, int]]):
+        order = sorted((b, e) for _, b, e in base)
+        self.starts = [b for b, _ in order]
+        self.ends = list(accumulate((e for _, e in order), max))
+
+    def __contains__(self, span: tuple[str, int, int]) -> bool:
+        k = bisect_right(self.starts, span[1])
+        return k > 0 and self.ends[k - 1] >= span[2]
+
+
 def find_spans(texts: list[str], selector: Selector) -> tuple[list[list], list[list]]:
-    """Base spans and all spans of each text, by start, then kind."""
+    """Base spans and all spans of each text, by start, then kind.
+
+    An added span may hold or cross base spans, but never lies within one or overlaps another added one.
+    """
     base, extra, xs, owner = [], [], [], []
     for t in texts:
         good, _ = base_spans(t)
         base.append(good)
+        covered = Covered(good)
         for s in proposals(t):
-            if not any(s[1] < e and b < s[2] for _, b, e in good):
+            if s not in covered:
                 extra.append(s)
                 xs.append(features(t, *s))
                 owner.append(len(base) - 1)
     spans = [list(b) for b in base]
     if extra:
         p = selector.scores(np.array(xs))
+        taken: dict[int, tuple[list[int], list[int]]] = {}
         # likeliest first, then the longer, then the earlier one
         for k in sorted(range(len(extra)), key=lambda k: (owner[k], -p[k], extra[k][1] - extra[k][2], extra[k][1], _ORDER[extra[k][0]])):
-            s, own = extra[k], spans[owner[k]]
-            if p[k] >= selector.thresholds[s[0]] and not any(s[1] < e and b < s[2] for _, b, e in own):
-                own.append(s)
+            kind, start, end = extra[k]
+            if p[k] < selector.thresholds[kind]:
+                continue
+            starts, ends = taken.setdefault(owner[k], ([], []))
+            at = bisect_right(starts, start)
+            if (at == 0 or ends[at - 1] <= start) and (at == len(starts) or starts[at] >= end):
+                starts.insert(at, start)
+                ends.insert(at, end)
+                spans[owner[k]].append(extra[k])
         for k in set(owner):
             spans[k].sort(key=lambda s: (s[1], _ORDER[s[0]]))
     return base, spans
@@ -477,12 +526,15 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """The text with every span, or run of overlapping spans, replaced by its first kind in brackets."""
+    """The text with every span, or run of overlapping spans, replaced by the kind of the longest one in brackets."""
     out, at, k = [], 0, 0
     while k < len(spans):
         kind, start, end = spans[k]
+        longest = end - start
         k += 1
         while k < len(spans) and spans[k][1] < end:
+            if spans[k][2] - spans[k][1] > longest:
+                kind, longest = spans[k][0], spans[k][2] - spans[k][1]
             end = max(end, spans[k][2])
             k += 1
         out += [text[at:start], f"[{kind.upper()}]"]
