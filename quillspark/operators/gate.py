@@ -75,11 +75,15 @@ def outcome(summary: Column) -> Column:
     return F.when(s == "", "invalid").when(s.startswith(lexicon.UNAVAILABLE_MARK), "unavailable").when(s.startswith(lexicon.AUTO_MARK), "auto").otherwise("valid")
 
 
+def outcome_aggregates(summary: Column) -> list[Column]:
+    """Aggregates of the outcomes, which add up to total_stories."""
+    of = lambda o, name: F.count_if(outcome(summary) == o).alias(name)
+    return [F.count(F.lit(1)).alias("total_stories"), of("valid", "final_valid"), of("auto", "auto_fallbacks"), of("unavailable", "unavailable_summaries"), of("invalid", "final_invalid")]
+
+
 def outcome_counts(stories: DataFrame) -> DataFrame:
-    """One row over (title, summary): the counts of outcomes; they add up to total_stories."""
-    s = stories.select(outcome(F.col("summary")).alias("o"))
-    of = lambda o, name: F.count_if(F.col("o") == o).alias(name)
-    return s.agg(F.count("*").alias("total_stories"), of("valid", "final_valid"), of("auto", "auto_fallbacks"), of("unavailable", "unavailable_summaries"), of("invalid", "final_invalid"))
+    """One row over (title, summary): the counts of outcomes."""
+    return stories.agg(*outcome_aggregates(F.col("summary")))
 
 
 def lag_percentiles(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -1,15 +1,18 @@
 """Batched enrichment through a model client: batches, answers, gate, recovery and metrics.
 
 A client is any picklable object with ``complete(system, user) -> str``. Calls are
-made from as many tasks as ``parallel`` says, one batch at a time in each; what they
-return is written once (:func:`summarize` takes a ``store`` for that), because a call
-must not be repeated by a second action.
+made in two waves, each of a width of its own: batches of stories first, then the
+stories that no batch answered, those of all batches together, with a deadline. What a
+wave returns is written once (:func:`summarize` takes a ``store`` for that), because a
+call must not be repeated by a second action.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -87,24 +90,24 @@ def valid_summary(summary: str | None, headline: str) -> bool:
     return not (norm == head or norm.startswith(head + ".")) and _sentences(s) >= 2 and bool(_topic(headline) & _topic(s))
 
 
-def _single(client, prompts: Prompts, context: str, least: int) -> tuple[str | None, int]:
-    """One story on its own; the second attempt is strict. Calls made are counted."""
+def _single(client, prompts: Prompts, context: str, least: int, made: list) -> str | None:
+    """One story on its own; the second attempt is strict. ``made`` gets an entry for each call."""
     if len(context.strip()) < least:
-        return None, 0
-    prompt, calls = prompts.single, 0
+        return None
+    prompt = prompts.single
     for turn in range(_SINGLE):
-        calls += 1
+        made.append(prompt)
         try:
             text = " ".join(x.strip() for x in str(client.complete(prompt, context) or "").splitlines() if x.strip())
         except Exception:  # a failing call is one outcome among others, as in the batch
             text = ""
         if text and (turn or not _refused(text, lexicon.BOILERPLATE)):
-            return text, calls
+            return text
         prompt = prompts.strict
-    return None, calls
+    return None
 
 
-def _batches(client, prompts: Prompts, least: int):
+def _batches(client, prompts: Prompts):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
         titles = [t or "" for t in pdf["title"]]
@@ -119,48 +122,107 @@ def _batches(client, prompts: Prompts, least: int):
             got = [s if valid_summary(s, t) else "" for s, t in zip(read, titles)]
             if any(got):
                 break
-        tries, how = [], []
-        for k, (t, x) in enumerate(zip(titles, pdf["context"])):
-            n = 0
-            if got[k]:
-                how.append("batch")
-            else:
-                s, n = _single(client, prompts, x or "", least)
-                ok = valid_summary(s, t)
-                got[k] = s if ok else ""
-                how.append("single" if ok else "none")
-            tries.append(n)
-        return pd.DataFrame({"row_id": pdf["row_id"], "answer": got, "how": how, "batch_calls": calls, "single_calls": tries})
+        return pd.DataFrame({"row_id": pdf["row_id"], "title": titles, "context": pdf["context"], "answer": got, "batch_place": range(len(titles)), "batch_calls": calls})
 
     return one
 
 
-def summarize(stories: DataFrame, client, size: int = 3, parallel: int | None = None, prompts: Prompts = Prompts(), least: int = 100, store: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _until(call: Callable[[], str | None], until: float) -> tuple[str | None, bool]:
+    """The answer of a call, and whether it came in time; a late call is left to itself."""
+    left, out = until - time.time(), []
+    if left <= 0:
+        return None, False
+    thread = threading.Thread(target=lambda: out.append(call()), daemon=True)
+    thread.start()
+    thread.join(left)
+    return (out[0], True) if out else (None, False)
+
+
+def _alone(client, prompts: Prompts, least: int, until: float | None):
+    def run(frames):
+        for pdf in frames:
+            answers, how, calls = [], [], []
+            for title, context in zip(pdf["title"], pdf["context"]):
+                made: list = []
+                ask = lambda c=context or "", m=made: _single(client, prompts, c, least, m)
+                text, ended = (ask(), True) if until is None else _until(ask, until)
+                ok = ended and valid_summary(text, title)
+                answers.append(text if ok else "")
+                how.append("single" if ok else "none" if ended else "late")
+                calls.append(len(made))
+            yield pd.DataFrame({"row_id": pdf["row_id"], "answer": answers, "how": how, "single_calls": calls})
+
+    return run
+
+
+def recover(failed: DataFrame, client, prompts: Prompts = Prompts(), least: int = 100, parallel: int = 2, deadline_s: float = 0.0) -> DataFrame:
+    """The recovery wave: stories (row_id, title, context) asked for one by one, from ``parallel`` tasks at once.
+
+    Columns row_id, answer (empty: none), how and single_calls. ``how``: single (answered), none (asked
+    in vain, or a context under ``least``) or late. ``deadline_s``: seconds from this
+    call on in which stories are asked for, 0 for no end; a call under way then is not
+    waited for, and a task that runs again afterwards asks for nothing. The clocks of
+    driver and executors are taken to agree.
+    """
+    until = time.time() + deadline_s if deadline_s > 0 else None
+    return failed.select("row_id", "title", "context").repartition(parallel).mapInPandas(_alone(client, prompts, least, until), "row_id long, answer string, how string, single_calls int")
+
+
+def summarize(
+    stories: DataFrame,
+    client,
+    size: int = 3,
+    parallel: int | None = None,
+    prompts: Prompts = Prompts(),
+    least: int = 100,
+    store: Callable[[DataFrame], DataFrame] | None = None,
+    recovery_parallel: int = 2,
+    deadline_s: float = 0.0,
+) -> DataFrame:
     """``stories`` (row_id, category, title, snippet, context) with summary, how and call counts.
 
     Batches of ``size`` stories of a category; a batch without any valid summary is
-    asked once more, then each story alone, then the stand-in made of its title.
-    ``parallel``: tasks that call the model; None: as many as a shuffle has. ``store``
-    writes a frame and reads it back: given, the stories are computed once and no call is
-    made twice; without it a task that is repeated asks again.
+    asked once more. Stories still without one go to :func:`recover`, those of all batches
+    in one wave of width ``recovery_parallel`` that ends after ``deadline_s`` seconds; what
+    remains gets the stand-in made of its title. ``parallel``: tasks that ask for batches;
+    None: as many as a shuffle has. ``store`` writes a frame and reads it back: given,
+    no call is made twice. Without it answers are kept in the executors' storage, a lost
+    part is asked for again, and there can be no deadline.
     """
+    if deadline_s > 0 and not store:
+        raise ValueError("a deadline needs a store: it counts from the moment at which the wave runs")
     if store:
         stories = store(stories)
+    keep = store or (lambda df: df.persist())
     parts = [parallel] if parallel else []
     text = T.build_context(F.coalesce("context", F.lit("")), F.coalesce("snippet", F.lit("")), F.coalesce("title", F.lit("")), F.col("category"))
     work = assign_batches(stories.select("row_id", "category", "title", text.alias("context")), size, ["row_id"])
-    answers = work.repartition(*parts, "category", "batch").groupBy("category", "batch").applyInPandas(_batches(client, prompts, least), "row_id long, answer string, how string, batch_calls int, single_calls int")
-    if store:
-        answers = store(answers)
-    out = stories.join(answers, "row_id", "left")
-    return out.withColumn("summary", F.coalesce(F.nullif("answer", F.lit("")), T.auto_summary(F.col("title")))).drop("answer")
+    answers = work.repartition(*parts, "category", "batch").groupBy("category", "batch").applyInPandas(_batches(client, prompts), "row_id long, title string, context string, answer string, batch_place int, batch_calls int")
+    answers = keep(answers)
+    alone = keep(recover(answers.where("answer = ''"), client, prompts, least, recovery_parallel, deadline_s))
+    alone = alone.select(F.col("row_id").alias("__id"), F.col("answer").alias("__answer"), F.col("how").alias("__how"), F.col("single_calls").alias("__calls"))
+    both = answers.join(alone, F.col("row_id") == F.col("__id"), "left")
+    said = both.select("row_id", F.coalesce(F.nullif("answer", F.lit("")), F.nullif("__answer", F.lit(""))).alias("__said"), F.coalesce("__how", F.lit("batch")).alias("how"), "batch_place", "batch_calls", F.coalesce("__calls", F.lit(0)).alias("single_calls"))
+    return stories.join(said, "row_id", "left").withColumn("summary", F.coalesce("__said", T.auto_summary(F.col("title")))).drop("__said")
+
+
+def call_counts() -> list[Column]:
+    """Aggregates over what :func:`summarize` returns: batches, calls, and how the recovery went."""
+    first = F.col("batch_place") == 0
+    late = F.col("how") == "late"
+    return [
+        F.count_if(first).alias("sub_batches"),
+        F.coalesce(F.sum(F.when(first, F.col("batch_calls"))), F.lit(0)).alias("batch_calls"),
+        F.count_if(first & (F.col("batch_calls") > 1)).alias("batch_retries"),
+        F.count_if((F.col("how") != "batch") & (~late | (F.col("single_calls") > 0))).alias("individual_recovery_attempts"),
+        F.count_if(F.col("how") == "single").alias("individual_recovered"),
+        F.count_if(late).alias("past_deadline"),
+    ]
 
 
 def metrics(summarized: DataFrame) -> DataFrame:
     """One row: outcome counts and calls."""
-    base = gate.outcome_counts(summarized)
-    calls = summarized.agg(F.count_if(F.col("how") == "single").alias("individual_recovered"), F.count_if(F.col("single_calls") > 0).alias("individual_recovery_attempts"))
-    return base.crossJoin(F.broadcast(calls))
+    return summarized.agg(*gate.outcome_aggregates(F.col("summary")), *call_counts())
 
 
 def match_headlines(rows: DataFrame, answer: str, headlines: str, count: str | None = None, out: str = "summaries") -> DataFrame:

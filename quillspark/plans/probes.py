@@ -20,7 +20,9 @@ def url_probe(url: str, transport: http.Transport, any_2xx: bool = True, timeout
     """Asks for a URL once and tells its status; raises where it is not accepted."""
 
     def run() -> str:
-        status, _, _ = transport(url, timeout)
+        status, _, body = transport(url, timeout)
+        if hasattr(body, "close"):
+            body.close()
         if not ((200 <= status < 300) if any_2xx else status == 200):
             raise ValueError(f"status {status}")
         return f"status {status}"

@@ -3,7 +3,8 @@
 ``spark.read.format("web")`` after ``spark.dataSource.register(WebSource)``; the
 requests come from option ``urls`` (JSON list) or ``path`` (a text file of URLs). A
 transport is named by option ``transport`` as ``module:function``, called as
-``f(url, timeout) -> (status, headers, body bytes)``; without one, urllib is used.
+``f(url, timeout) -> (status, headers, body)``, the body bytes or an iterable of pieces,
+which is read only as far as the limit; without one, urllib is used.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +24,10 @@ from pyspark.sql.types import StructType
 ATTEMPTS, BACKOFF, BODY_LIMIT = 3, (0.25, 0.5), 5 * 1024 * 1024
 RETRY = (429, 502, 503, 504)
 
-Transport = Callable[[str, float], tuple[int, dict, bytes]]
+Body = bytes | Iterable[bytes]
+Transport = Callable[[str, float], tuple[int, dict, Body]]
+#: Bytes of a piece of a body.
+PIECE = 64 * 1024
 
 
 def is_accepted(status: Column, any_2xx: bool = False) -> Column:
@@ -34,12 +38,41 @@ def should_retry(status: Column) -> Column:
     return status.isin(*RETRY)
 
 
-def _urllib(url: str, timeout: float) -> tuple[int, dict, bytes]:
+def _pieces(response) -> Iterator[bytes]:
+    with response:
+        while piece := response.read(PIECE):
+            yield piece
+
+
+def _urllib(url: str, timeout: float) -> tuple[int, dict, Body]:
     try:
-        with urllib.request.urlopen(url, timeout=timeout) as r:
-            return r.status, dict(r.headers), r.read(BODY_LIMIT + 1)
+        r = urllib.request.urlopen(url, timeout=timeout)
     except urllib.error.HTTPError as e:
         return e.code, dict(e.headers), b""
+    return r.status, dict(r.headers), _pieces(r)
+
+
+def _close(body: Body) -> None:
+    if hasattr(body, "close"):
+        body.close()
+
+
+def _bounded(headers: dict, body: Body, limit: int) -> bytes | None:
+    """The whole body, or None when it is over the limit: by its length header without reading, else as soon as it is."""
+    size = str({k.lower(): v for k, v in headers.items()}.get("content-length") or "")
+    try:
+        if size.isdigit() and int(size) > limit:
+            return None
+        if isinstance(body, bytes):
+            return body if len(body) <= limit else None
+        out = bytearray()
+        for piece in body:
+            out += piece
+            if len(out) > limit:
+                return None
+        return bytes(out)
+    finally:
+        _close(body)
 
 
 def get(url: str, transport: Transport, timeout: float = 10.0, limit: int = BODY_LIMIT, any_2xx: bool = False, sleep=time.sleep) -> dict:
@@ -49,16 +82,14 @@ def get(url: str, transport: Transport, timeout: float = 10.0, limit: int = BODY
         out["attempts"] = turn + 1
         try:
             status, headers, body = transport(url, timeout)
+            good = (200 <= status < 300) if any_2xx else status == 200
+            whole = _bounded(headers, body, limit) if good else _close(body)
         except Exception as e:  # a failed request is a row with its error, not a failed task
             out.update(status=None, error=type(e).__name__)
         else:
             out.update(status=status, error=None)
-            if (200 <= status < 300) if any_2xx else status == 200:
-                size = {k.lower(): v for k, v in headers.items()}.get("content-length")
-                if (size and str(size).isdigit() and int(size) > limit) or len(body) > limit:
-                    out["error"] = "too large"
-                else:
-                    out["body"] = body
+            if good:
+                out.update(body=whole, error="too large" if whole is None else None)
                 return out
             if status not in RETRY:
                 out["error"] = f"status {status}"

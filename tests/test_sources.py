@@ -117,3 +117,77 @@ def test_pushed_filters(spark):
         assert [r["url"] for r in df.where("url = 'c'").collect()] == ["c"]
     finally:
         spark.conf.unset(key)
+
+
+class _Pages:
+    """A server on this machine: /n gives n bytes, /told/n says so in its header, /lie/n says less."""
+
+    def __enter__(self):
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        sent = self.sent = []
+
+        class Page(BaseHTTPRequestHandler):
+            def do_GET(self):
+                n = int(self.path.rsplit("/", 1)[-1])
+                self.send_response(200)
+                if self.path.startswith("/told"):
+                    self.send_header("Content-Length", str(n))
+                self.end_headers()
+                try:
+                    for k in range(0, n, 1 << 16):
+                        self.wfile.write(b"x" * min(1 << 16, n - k))
+                        sent.append(min(1 << 16, n - k))
+                except OSError:
+                    pass
+
+            def log_message(self, *a):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Page)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.base = f"http://127.0.0.1:{self.server.server_port}"
+        return self
+
+    def __exit__(self, *a):
+        self.server.shutdown()
+        self.server.server_close()
+
+
+def test_bodies_up_to_any_limit():
+    mib = 1 << 20
+    with _Pages() as pages:
+        for path in ("", "/told"):
+            r = http.get(f"{pages.base}{path}/{8 * mib}", http._urllib, limit=10 * mib)
+            assert len(r["body"]) == 8 * mib and r["error"] is None
+            assert http.get(f"{pages.base}{path}/{8 * mib}", http._urllib)["error"] == "too large"
+            assert len(http.get(f"{pages.base}{path}/{5 * mib}", http._urllib)["body"]) == 5 * mib
+        del pages.sent[:]
+        # without a header no more is read than the limit and what buffers hold
+        assert http.get(f"{pages.base}/{512 * mib}", http._urllib, limit=mib)["body"] is None
+        assert sum(pages.sent) < 64 * mib
+
+
+def test_a_length_above_the_limit_is_not_read():
+    read = []
+
+    class Pieces:
+        def __iter__(self):
+            read.append("begun")
+            yield b"x"
+
+        def close(self):
+            read.append("closed")
+
+    r = http.get("u", lambda u, t: (200, {"Content-Length": "11"}, Pieces()), limit=10)
+    assert r["error"] == "too large" and r["body"] is None and read == ["closed"]
+    r = http.get("u", lambda u, t: (404, {}, Pieces()), limit=10)
+    assert r["error"] == "status 404" and read == ["closed", "closed"]
+
+    def broken():
+        yield b"x"
+        raise OSError("gone")
+
+    assert http.get("u", lambda u, t: (200, {}, broken()), sleep=lambda s: None) == {"status": None, "body": None, "error": "OSError", "attempts": 3}
+    assert http.get("u", lambda u, t: (200, {}, iter([b"ab", b"c"])), limit=3)["body"] == b"abc"
