@@ -504,6 +504,40 @@ def _nearest(spark, d):
     return lookup.nearest_day(p, days)
 
 
+_MERGE = """WITH r AS (SELECT l_suppkey % 10 AS series, l_shipdate::DATE AS obs_date, l_orderkey * 10 + l_linenumber AS ord, l_quantity AS value FROM lineitem),
+p AS (SELECT series, obs_date, min(ord) AS ord, arg_min(value, ord) AS value FROM r GROUP BY series, obs_date),
+f AS (SELECT series, min(obs_date) AS obs_date, arg_min(value, obs_date) AS value FROM p GROUP BY series),
+t AS (SELECT o_custkey % 10 AS series, o_orderkey AS label, o_orderdate::DATE AS target FROM orders)"""
+
+
+def _shipments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Quantities by shipping date, and every order's date as a target."""
+    r = _read(spark, d, "lineitem").select((F.col("l_suppkey") % 10).alias("series"), F.to_date("l_shipdate").alias("obs_date"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_quantity").alias("value"))
+    t = _read(spark, d, "orders").select((F.col("o_custkey") % 10).alias("series"), F.col("o_orderkey").alias("label"), F.to_date("o_orderdate").alias("target"))
+    return r, t
+
+
+@_query(
+    "asof_merge",
+    f"""{_MERGE} SELECT t.series, t.label, t.target, coalesce(b.obs_date, f.obs_date) AS obs_date, coalesce(b.value, f.value) AS value
+FROM t ASOF LEFT JOIN p b ON t.series = b.series AND t.target >= b.obs_date JOIN f ON t.series = f.series""",
+)
+def _asof_merge(spark, d):
+    return lookup.asof_merge(*_shipments(spark, d))
+
+
+@_query(
+    "nearest_merge",
+    f"""{_MERGE}, x AS (SELECT t.*, b.obs_date AS b_date, b.ord AS b_ord, b.value AS b_value, a.obs_date AS a_date, a.ord AS a_ord, a.value AS a_value
+FROM t ASOF LEFT JOIN p b ON t.series = b.series AND t.target >= b.obs_date ASOF LEFT JOIN p a ON t.series = a.series AND t.target < a.obs_date),
+y AS (SELECT *, a_date IS NULL OR (b_date IS NOT NULL AND (target - b_date < a_date - target OR (target - b_date = a_date - target AND b_ord < a_ord))) AS earlier FROM x)
+SELECT series, label, target, CASE WHEN earlier THEN b_date ELSE a_date END AS obs_date, CASE WHEN earlier THEN b_value ELSE a_value END AS value FROM y WHERE a_date IS NOT NULL OR b_date IS NOT NULL""",
+)
+def _nearest_merge(spark, d):
+    near = lookup.nearest_merge(*_shipments(spark, d), "series", "obs_date")
+    return near.select("series", "label", "target", "near.obs_date", "near.value")
+
+
 @_query(
     "forecast_pivot",
     """WITH p AS (SELECT ts::DATE AS day, hour(ts) BETWEEN 6 AND 17 AS is_day, event_id AS ord, event_type AS short, user_id AS temperature, value FROM events),

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,6 +21,8 @@ from .numbering import numbered
 
 #: A category with fewer accepted stories is widened, by at most so many days.
 ENOUGH, MOST_DAYS, NO_CAP = 3, 7, 9999
+#: Categories that are broadcast at most.
+FEW = 100_000
 
 
 def age_hours(pub_dt: Column, now: datetime) -> Column:
@@ -39,6 +41,11 @@ def pool(candidates: DataFrame, limit: int = 50) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
+def small(categories: DataFrame) -> DataFrame:
+    """The categories, to be broadcast when they are counted to be few."""
+    return F.broadcast(categories) if categories.limit(FEW + 1).count() <= FEW else categories
+
+
 def with_bands(candidates: DataFrame, categories: DataFrame, now: datetime) -> DataFrame:
     """Adds the category's settings, age_h, bad (filtered titles) and band (0: within the limit, else days, 2 at least)."""
     c = candidates.join(categories, "category").withColumn("age_h", age_hours(F.col("pub_dt"), now))
@@ -54,25 +61,46 @@ def _order() -> list[Column]:
 
 
 def leaders(banded: DataFrame) -> DataFrame:
-    """The first row of each title of a category, and whether the title has a row within the limit (in0)."""
+    """The first row of each title of a category."""
     row = F.struct(*(F.col(c) for c in banded.columns if c not in ("category", "norm")))
-    first = banded.groupBy("category", "norm").agg(F.min_by(row, F.struct(*_order())).alias("r"), F.max(F.col("band") == 0).alias("in0"))
-    return first.select("category", "norm", "in0", "r.*")
+    first = banded.groupBy("category", "norm").agg(F.min_by(row, F.struct(*_order())).alias("r"))
+    return first.select("category", "norm", "r.*")
+
+
+#: Bands that can be reached.
+_BANDS = (0, *range(2, MOST_DAYS + 1))
+
+
+def _reach(first: DataFrame, categories: DataFrame) -> DataFrame:
+    """(category, reach): of each of ``_BANDS`` whether it counts; one count per category and band decides."""
+    ok = first.where(~F.col("bad")).groupBy("category").agg(*(F.count_if(F.col("band") == b).alias(f"ok_{b}") for b in _BANDS))
+    every = categories.select("category", "window_h").join(ok, "category", "left")
+    days, below, reach = F.least(F.floor(F.col("window_h") / 24), F.lit(MOST_DAYS)), F.lit(0), []
+    for b in _BANDS:
+        reach.append(F.lit(True) if b == 0 else (below < ENOUGH) & (F.lit(b) <= days))
+        below = below + F.coalesce(f"ok_{b}", F.lit(0))
+    return every.select("category", F.array(*reach).alias("reach"))
+
+
+def _reached(band: Column) -> Column:
+    """Whether a band counts, by the array of :func:`_reach`."""
+    return (band <= MOST_DAYS) & F.coalesce(F.try_element_at("reach", F.greatest(band, F.lit(1))), F.lit(False))
 
 
 def reached_bands(first: DataFrame, categories: DataFrame) -> DataFrame:
     """(category, band) that count: band 0, and day bands while fewer than ENOUGH stories came before."""
-    ok = first.where(~F.col("bad") & (F.col("band") <= MOST_DAYS)).groupBy("category", "band").agg(F.count("*").alias("n"))
-    every = categories.select("category", "window_h", F.explode(F.array(F.lit(0), *(F.lit(d) for d in range(2, MOST_DAYS + 1)))).alias("band"))
-    w = Window.partitionBy("category").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    below = every.join(ok, ["category", "band"], "left").withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    days = F.least(F.floor(F.col("window_h") / 24), F.lit(MOST_DAYS))
-    return below.where((F.col("band") == 0) | ((F.col("below") < ENOUGH) & (F.col("band") <= days))).select("category", "band")
+    bands = F.array(*(F.lit(b) for b in _BANDS))
+    return _reach(first, categories).select("category", F.explode(F.filter(bands, lambda b: _reached(b))).alias("band"))
 
 
 def accepted(first: DataFrame, categories: DataFrame) -> DataFrame:
     """Leaders that are not filtered and whose band is reached."""
-    return first.where(~F.col("bad")).join(reached_bands(first, categories), ["category", "band"])
+    return first.where(~F.col("bad")).join(_few(_reach(first, categories), categories), "category").where(_reached(F.col("band"))).drop("reach")
+
+
+def _few(reach: DataFrame, categories: DataFrame) -> DataFrame:
+    """As many rows as there are categories: broadcast if they are."""
+    return F.broadcast(reach) if "ResolvedHint" in categories._jdf.queryExecution().analyzed().nodeName() else reach
 
 
 def largest_cap(categories: DataFrame) -> int:
@@ -103,50 +131,86 @@ def across_categories(rows: DataFrame) -> DataFrame:
 def feed_dedup(candidates: DataFrame, categories: DataFrame, now: datetime, most: int | None = None) -> DataFrame:
     """The whole operator; result rows keep the candidates' columns, band and k (rank within the category)."""
     most = largest_cap(categories) if most is None else most
+    categories = small(categories)
     first = leaders(with_bands(candidates, categories, now))
     return across_categories(capped(accepted(first, categories), most))
 
 
+def _counted_titles(candidates: DataFrame, categories: DataFrame, now: datetime) -> DataFrame:
+    """Each title's first row in its category with the counts of its rows by band, and the bands that are reached."""
+    banded = with_bands(candidates, categories, now)
+    row = F.struct(*(F.col(c) for c in banded.columns if c not in ("category", "norm")))
+    counts = {"n": F.count("*"), "aged": F.count_if(F.col("age_h") > F.col("age_limit_h"))}
+    for b in _BANDS:
+        counts[f"n_{b}"] = F.count_if(F.col("band") == b)
+        counts[f"good_{b}"] = F.count_if((F.col("band") == b) & ~F.col("bad"))
+    titles = banded.groupBy("category", "norm").agg(F.min_by(row, F.struct(*_order())).alias("r"), *(c.alias(f"__{k}") for k, c in counts.items()))
+    # always true: both readers of the titles ask for the same columns, so that one exchange serves both
+    titles = titles.where(F.greatest(*(F.col(f"__{k}") for k in counts)) > 0)
+    first = titles.select("category", "norm", "r.*", *(f"__{k}" for k in counts))
+    return first.join(_few(_reach(first, categories), categories), "category")
+
+
+def _title_counters() -> list[Column]:
+    """Aggregates over :func:`_counted_titles`: total_before, age_filtered, dup_filtered."""
+    copies = F.lit(0)
+    for b in _BANDS:
+        # a band's copies count but the leader's row; filtered titles only where the title has a fresh row
+        n = F.when((F.col("__n_0") > 0) | F.lit(b == 0), F.col(f"__n_{b}")).otherwise(F.col(f"__good_{b}"))
+        lead = ((F.col("band") == b) & (n > 0)).cast("long")
+        copies = copies + F.when(_reached(F.lit(b)), n - lead).otherwise(0)
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    return [total("__n", "total_before"), total("__aged", "age_filtered"), total(copies, "dup_filtered")]
+
+
+def _kept_of(titles: DataFrame) -> DataFrame:
+    ok = titles.where(~F.col("bad") & _reached(F.col("band")))
+    return ok.drop("reach", *(c for c in titles.columns if c.startswith("__")))
+
+
+class Counters:
+    """Counters that a plan made while it ran; :meth:`get` after an action of it."""
+
+    def __init__(self):
+        self.seen = [Observation() for _ in range(3)]
+
+    def get(self) -> dict[str, int]:
+        before, kept, after = (o.get for o in self.seen)
+        return {**before, **after, "cross_dup_filtered": kept["kept"] - after["total_after"]}
+
+
+def feed_dedup_observed(candidates: DataFrame, categories: DataFrame, now: datetime, most: int | None = None) -> tuple[DataFrame, Counters]:
+    """:func:`feed_dedup` and the counters of :func:`feed_dedup_stats`, both from one execution of one plan.
+
+    Counters are those of the first action that runs the plan to its end; work that is done twice
+    because an executor was lost counts twice in them, but never in the rows.
+    """
+    most = largest_cap(categories) if most is None else most
+    out = Counters()
+    titles = _counted_titles(candidates, small(categories), now).observe(out.seen[0], *_title_counters())
+    kept = capped(_kept_of(titles), most).observe(out.seen[1], F.count(F.lit(1)).alias("kept"))
+    return across_categories(kept).observe(out.seen[2], F.count(F.lit(1)).alias("total_after")), out
+
+
 def feed_dedup_stats(candidates: DataFrame, categories: DataFrame, now: datetime, most: int | None = None) -> DataFrame:
     """One row: total_before, total_after, age_filtered, dup_filtered, cross_dup_filtered.
 
     Filtered titles and rows beyond a cap are in no counter; rows that widening
     recovers stay counted as age-filtered. The candidates are read and cleaned once: all
-    counters follow from one aggregate for each title of a category and band, whose
-    exchange the plan reuses.
+    counters follow from one aggregate for each title of a category, whose exchange
+    the plan reuses.
     """
     most = largest_cap(categories) if most is None else most
-    banded = with_bands(candidates, categories, now)
-    row = F.struct("cat_pos", "pub_dt", "row_id", "cap", "bad")
-    per = banded.groupBy("category", "norm", "band").agg(
-        F.count("*").alias("n"),
-        F.count_if(~F.col("bad")).alias("good"),
-        F.count_if(F.col("age_h") > F.col("age_limit_h")).alias("aged"),
-        F.min_by(row, F.struct(*_order()[1:])).alias("r"),
-    )
-    lead = F.struct("r.*", "band")
-    titles = per.groupBy("category", "norm").agg(F.min_by(lead, "band").alias("lead"), F.max(F.col("band") == 0).alias("in0"), F.collect_list(F.struct("band", "n", "good", "aged")).alias("bands"))
-    first = titles.select("category", "norm", "in0", "bands", "lead.*")
-    reach = reached_bands(first, categories)
-    keep = capped(first.drop("bands").where(~F.col("bad")).join(F.broadcast(reach), ["category", "band"]), most)
-    # a band's copies count but the leader's row; filtered titles only where the title has a fresh row
-    rows = first.select("category", "in0", F.col("band").alias("lead_band"), F.explode("bands").alias("b")).select("category", "in0", "lead_band", "b.*")
-    rows = rows.join(F.broadcast(reach.withColumn("reached", F.lit(True))), ["category", "band"], "left")
-    counted = F.when((F.col("band") == 0) | F.col("in0"), F.col("n")).otherwise(F.col("good"))
-    is_lead = (F.col("band") == F.col("lead_band")) & (counted > 0)
-    part = rows.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_before"),
-        F.coalesce(F.sum("aged"), F.lit(0)).alias("age_filtered"),
-        F.coalesce(F.sum(F.when(F.col("reached"), counted - is_lead.cast("long"))), F.lit(0)).alias("dup_filtered"),
-    )
+    titles = _counted_titles(candidates.select("category", "title", "norm", "pub_dt", "row_id"), small(categories), now)
+    keep = capped(_kept_of(titles), most)
     after = keep.agg(F.count("*").alias("kept"), F.count_distinct("norm").alias("total_after"))
-    return part.crossJoin(F.broadcast(after)).select("total_before", "total_after", "age_filtered", "dup_filtered", (F.col("kept") - F.col("total_after")).alias("cross_dup_filtered"))
+    part = titles.agg(*_title_counters()).crossJoin(F.broadcast(after))
+    return part.select("total_before", "total_after", "age_filtered", "dup_filtered", (F.col("kept") - F.col("total_after")).alias("cross_dup_filtered"))
 
 
 def with_settings(rows: DataFrame, settings: DataFrame, key: str, defaults: dict) -> DataFrame:
     """``rows`` with the settings of their ``key``, or the defaults; settings are a small table, which is counted."""
-    own = settings.select(key, *defaults)
-    own = F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own
+    own = small(settings.select(key, *defaults))
     return rows.drop(*defaults).join(own, key, "left").select(*(c for c in rows.columns if c not in defaults), *(F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()))
 
 
@@ -154,7 +218,7 @@ def sections(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` by category: place within it, from 1 by ``order`` (a number or instant), and n, its size. Rows without a category are in none."""
     own = rows.where("category IS NOT NULL")
     placed = numbered(own, ["category"], F.col(order), [], "place")
-    return placed.join(F.broadcast(own.groupBy("category").agg(F.count("*").alias("n"))), "category")
+    return placed.join(small(own.groupBy("category").agg(F.count("*").alias("n"))), "category")
 
 
 def priority_order(categories: DataFrame, priority: list[str]) -> DataFrame:

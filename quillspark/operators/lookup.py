@@ -2,21 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .numbering import numbered
+from .stretches import with_stretches
 
-#: Target dates or days that a look-up may broadcast.
+#: Target dates or days that a look-up may broadcast; more are merged with the readings.
 MOST_DAYS = 10_000
 
 
-def _few(df: DataFrame, what: str) -> DataFrame:
-    """A broadcast of a table that must be small, which is counted; each reading meets every one of its rows."""
-    if df.limit(MOST_DAYS + 1).count() > MOST_DAYS:
-        raise ValueError(f"more than {MOST_DAYS} {what}: look them up in parts")
-    return F.broadcast(df)
+def _are_few(df: DataFrame) -> bool:
+    """Whether each reading may meet every row of a table, which is then broadcast."""
+    return df.limit(MOST_DAYS + 1).count() <= MOST_DAYS
+
+
+def neighbours(points: DataFrame, asks: DataFrame, per: int | None = None) -> DataFrame:
+    """``asks`` (g, day, ask) with the points around them: before (the last one up to its day) and after (the next one).
+
+    ``points``: g, day, row (a struct), one for each day of a group g. Both are put into one order, in
+    stretches of bounded size; the last and next points of other stretches are carried over
+    the borders by a table that has a row for each group and stretch. Neither side is
+    broadcast, no group or day is gathered in one task.
+    """
+    kind = points.schema["row"].dataType
+    both = points.select("g", "day", F.lit(0).alias("kind"), "row", F.lit(None).cast(asks.schema["ask"].dataType).alias("ask")).unionByName(asks.select("g", "day", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("row"), "ask"))
+    both = with_stretches(both, [F.col("g"), F.col("day"), F.col("kind"), F.xxhash64("ask")], per=per)
+    near = lambda *order: F.last("row", ignorenulls=True).over(Window.partitionBy("g", "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    inside = both.withColumn("__before", near("day", "kind")).withColumn("__after", near(F.desc("day"), F.desc("kind"))).where("kind = 1")
+    own = F.when(F.col("kind") == 0, F.col("day"))
+    ends = both.groupBy("g", "__stretch").agg(F.max_by("row", own).alias("last"), F.min_by("row", own).alias("first"))
+    to = lambda c, *order: F.last(c, ignorenulls=True).over(Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select("g", "__stretch", to("last", "__stretch").alias("__come"), to("first", F.desc("__stretch")).alias("__next"))
+    out = inside.join(ends, ["g", "__stretch"])
+    return out.select("g", "day", "ask", F.coalesce("__before", "__come").alias("before"), F.coalesce("__after", "__next").alias("after"))
+
+
+def _points(rows: DataFrame, g: Column, day: str, ord: str, row: Column) -> DataFrame:
+    """One point for each day of a group: that with the least ``ord``."""
+    return rows.where(F.col(day).isNotNull()).groupBy(g.alias("g"), F.col(day).alias("day")).agg(F.min_by(row, ord).alias("row"))
+
+
+def asof_merge(readings: DataFrame, targets: DataFrame, key: str = "series", per: int | None = None) -> DataFrame:
+    """:func:`asof_levels` for any number of targets, each of one series: ``targets`` has the column ``key``, too.
+
+    Null dates and targets have no row, nor have targets of a series without readings.
+    """
+    g = F.struct(F.col(key).alias("key"))
+    points = _points(readings, g, "obs_date", "ord", F.struct("obs_date", "value"))
+    asks = targets.where("target IS NOT NULL").select(g.alias("g"), F.col("target").alias("day"), F.struct("label").alias("ask"))
+    found = neighbours(points, asks, per).withColumn("r", F.coalesce("before", "after")).where("r IS NOT NULL")
+    return found.select(F.col("g.key").alias(key), F.col("ask.label").alias("label"), F.col("day").alias("target"), F.col("r.obs_date").alias("obs_date"), F.col("r.value").alias("value"))
 
 
 def spine(days: list, name: str = "target") -> str:
@@ -26,12 +63,16 @@ def spine(days: list, name: str = "target") -> str:
 def asof_levels(readings: DataFrame, targets: DataFrame, key: str = "series") -> DataFrame:
     """For each series and target date the reading that stands for it.
 
-    ``readings``: series, obs_date, ord, value; ``targets``: label, target (a few
-    rows). The exact date wins; else the nearest earlier one; else the nearest at
-    all; ties by ord. A minimum per (series, label), combined before the shuffle, so
-    a long series is never sorted.
+    ``readings``: series, obs_date, ord, value; ``targets``: label, target. The exact
+    date wins; else the nearest earlier one; else the nearest at all; ties by ord. With a few
+    targets it is a minimum per (series, label), combined before the shuffle, so a long
+    series is never sorted; more of them are merged with the readings (:func:`asof_merge`).
+    Null dates and targets have no row.
     """
-    both = readings.where("obs_date IS NOT NULL").crossJoin(_few(targets, "target dates"))
+    targets = targets.where("target IS NOT NULL")
+    if not _are_few(targets):
+        return asof_merge(readings, readings.where("obs_date IS NOT NULL").select(key).distinct().join(targets), key)
+    both = readings.where("obs_date IS NOT NULL").crossJoin(F.broadcast(targets))
     rank = F.struct(
         (F.col("obs_date") > F.col("target")).alias("later"),
         F.abs(F.datediff("obs_date", "target")).alias("away"),
@@ -50,7 +91,7 @@ def labelled_levels(readings: DataFrame, targets: DataFrame, key: str = "series"
         .when(low.contains("30 days ago") | low.contains("thirty days ago") | low.contains("1 month ago") | low.contains("30d"), F.lit("thirty_days_ago"))
     )
     by_label = readings.withColumn("label", named).where("label IS NOT NULL").groupBy(key, "label").agg(F.max_by("value", "ord").alias("named"))
-    keys = readings.select(key).distinct().crossJoin(_few(targets, "target dates"))
+    keys = readings.select(key).distinct().join(F.broadcast(targets) if _are_few(targets) else targets)
     dated = asof_levels(readings, targets, key).select(key, "label", "value")
     out = keys.join(by_label, [key, "label"], "left").join(dated, [key, "label"], "left")
     return out.select(key, "label", "target", F.coalesce("named", "value").alias("value"))
@@ -59,15 +100,35 @@ def labelled_levels(readings: DataFrame, targets: DataFrame, key: str = "series"
 def nearest_day(periods: DataFrame, days: DataFrame) -> DataFrame:
     """For each day and slot the period nearest in either direction, the first on ties.
 
-    ``periods``: slot, day, ord and other columns; ``days``: target (a few rows).
+    ``periods``: slot, day, ord and other columns; ``days``: target. Many days are merged
+    with the periods instead of meeting each of them. Null days have no row.
     """
     other = [c for c in periods.columns if c not in ("slot", "day", "ord")]
-    both = periods.where("day IS NOT NULL").crossJoin(_few(days, "days"))
+    days = days.where("target IS NOT NULL")
     row = F.struct("day", "ord", *other)
+    if not _are_few(days):
+        own = periods.where("day IS NOT NULL")
+        return nearest_merge(own, own.select("slot").distinct().join(days), "slot").select("target", "slot", "near.*")
+    both = periods.where("day IS NOT NULL").crossJoin(F.broadcast(days))
     near = both.groupBy("target", "slot").agg(F.min_by(row, F.struct(F.abs(F.datediff("day", "target")), F.col("ord"))).alias("r"))
     return near.select("target", "slot", "r.*")
 
 
+def nearest_merge(rows: DataFrame, targets: DataFrame, key: str, day: str = "day", per: int | None = None) -> DataFrame:
+    """``targets`` (key, target and others) with near: the row of their key that is nearest in either direction, the least ``ord`` on ties.
+
+    ``rows``: key, day, ord and other columns. Targets of a key without rows have none.
+    """
+    g = F.struct(F.col(key).alias("key"))
+    kept = F.struct(day, "ord", *(c for c in rows.columns if c not in (key, day, "ord")))
+    points = _points(rows, g, day, "ord", kept)
+    asks = targets.where("target IS NOT NULL").select(g.alias("g"), F.col("target").alias("day"), F.struct(*(c for c in targets.columns if c not in (key, "target")), F.lit(0).alias("__")).alias("ask"))
+    rank = lambda side: F.struct(F.abs(F.datediff(F.col(f"{side}.{day}"), "day")), F.col(f"{side}.ord"))
+    earlier = F.col("after").isNull() | (F.col("before").isNotNull() & (rank("before") <= rank("after")))
+    found = neighbours(points, asks, per).withColumn("near", F.when(earlier, F.col("before")).otherwise(F.col("after"))).where("near IS NOT NULL")
+    return found.select(F.col("g.key").alias(key), F.col("day").alias("target"), "ask.*", "near").drop("__")
+
+
 def forecast_rows(periods: DataFrame, days: DataFrame) -> DataFrame:
     """A row for each day with day and night columns.
 

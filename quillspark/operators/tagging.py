@@ -1,11 +1,13 @@
 """Keyword tagging: weighted matches, category boosts, conflicts and a minimum of tags, in array expressions.
 
-The dictionary is configuration (tag -> keywords, in order) and bounded; it becomes
-column expressions, so a story is tagged where it is, without join or shuffle.
+The dictionary is configuration (tag -> keywords, in order) and bounded; it becomes an
+inverted index that is one constant of the plan, so a story is tagged where it is,
+without join or shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -41,49 +43,102 @@ def keyword_weight(keyword: str) -> int:
     return max(sum(w not in lexicon.TAG_STOP for w in keyword.split()), 1)
 
 
-def tag_score(title_low: Column, category: Column | None, tag: str, rules: TagRules) -> Column:
-    """The score of one tag for a lower-cased title, before threshold and cap."""
-    score = F.lit(0.0)
-    for kw in rules.mappings.get(tag) or []:
-        if not kw or only_stop_words(kw):
-            continue
-        at = F.instr(title_low, kw)
-        # a pattern is tried only where its words stand
-        hit = (at > 0) & title_low.rlike(keyword_pattern(kw))
-        score = score + F.when(hit, F.when(at <= 100, F.lit(2.0)).otherwise(F.lit(1.0)) * keyword_weight(kw)).otherwise(0.0)
-    if category is None:
-        return score
-    for cat, boosted in rules.boosts.items():
-        if tag in boosted:
-            gain = F.lit(3.0)
-        else:
-            gain = F.lit(0.0)
-            for b in boosted:
-                if not only_stop_words(b):
-                    gain = gain + F.when((F.instr(title_low, b.lower()) > 0) & title_low.rlike(keyword_pattern(b)), F.lit(2.0)).otherwise(0.0)
-        score = score + F.when(category == cat, gain).otherwise(0.0)
-    return score
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+_RUN = re.compile("[a-z]+")
+#: Endings that a keyword's last word may have in a title.
+_ENDINGS = ("s", "es", "ed", "ing")
+
+
+def index_entry(keyword: str) -> dict | None:
+    """What finds a keyword in a lower-cased title; None for one that never counts.
+
+    ``word``: the keyword's first run of letters, which must be a run of the title, with an ending
+    where ``open``. ``pattern``: null where that says it all, else what must match as well.
+    """
+    if not keyword or only_stop_words(keyword):
+        return None
+    low = keyword.lower()
+    run = _RUN.search(low)
+    alone = run.span() == (0, len(low))
+    return {"kw": keyword, "word": run.group(), "open": run.end() == len(low), "pattern": None if alone else keyword_pattern(keyword), "weight": keyword_weight(keyword)}
+
+
+def dictionary_index(rules: TagRules) -> tuple[list[dict], dict[str, list[dict]]]:
+    """Entries of all tags (tag: its place), and those of the boosts of each category."""
+    tags = [e | {"tag": n} for n, keywords in enumerate(rules.mappings.values()) for kw in keywords or [] if (e := index_entry(kw)) and kw == kw.lower()]
+    boosts = {cat: [e | {"kw": b.lower()} for b in boosted if (e := index_entry(b))] for cat, boosted in rules.boosts.items()}
+    return tags, boosts
+
+
+_ENTRY = "struct<kw:string,word:string,open:boolean,pattern:string,weight:int,tag:int>"
+
+
+def _place(word: Column, low: Column) -> Column:
+    """Where a word begins in a title, from 1; 0 for nowhere."""
+    return F.call_function("locate", word, low)
+
+
+def _constant(value, ddl: str) -> Column:
+    """A value of any size as one literal: the plan holds a constant, not an expression for each part."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
+def _words_met(low: Column, words: list[str]) -> Column:
+    """Of a title's runs of letters those that the index has: exact (as they stand) and stems (or without an ending)."""
+    runs = F.array_distinct(F.regexp_extract_all(low, F.lit("[a-zA-Z]+"), F.lit(0)))
+    cut = lambda r: F.array(r, *(F.when(F.endswith(r, F.lit(e)), F.substr(r, F.lit(1), F.length(r) - len(e))) for e in _ENDINGS))
+    # a set of literals: one hash for each run, however many words there are
+    known = lambda xs: F.filter(xs, lambda x: x.isin(words)) if words else F.array().cast("array<string>")
+    return F.struct(known(runs).alias("exact"), F.array_distinct(known(F.flatten(F.transform(runs, cut)))).alias("stems"))
+
+
+def _stands(e: Column, low: Column, met: Column) -> Column:
+    """Whether an entry's keyword is in the title: its word first, the pattern only for those that pass."""
+    word = F.when(e["open"], F.array_contains(met["stems"], e["word"])).otherwise(F.array_contains(met["exact"], e["word"]))
+    return word & (e["pattern"].isNull() | ((_place(e["kw"], low) > 0) & F.rlike(low, e["pattern"])))
+
+
 def scored_tags(title: Column, category: Column | None, rules: TagRules) -> Column:
-    """Array of (score, turn, tag) above the threshold, capped, best first, ties in dictionary order."""
+    """Array of (score, turn, tag) above the threshold, capped, best first, ties in dictionary order.
+
+    An inverted index of the dictionary is one constant of the plan: a title's words are looked up in
+    the set of the keywords' first words, and only entries of words that it has are tried.
+    The plan does not grow with keywords, tags or boosts.
+    """
     if not rules.mappings:
         return F.array().cast("array<struct<score:double,turn:int,tag:string>>")
-    names = F.array(*(F.lit(t) for t in rules.mappings))
-
-    def scores(low: Column) -> Column:
-        raw = F.array(*(tag_score(low, category, tag, rules) for tag in rules.mappings))
-        # equal scores: the earlier tag has the larger second key
-        rows = F.transform(raw, lambda s, n: F.struct(F.least(s, F.lit(rules.score_cap)).alias("score"), (-n).alias("turn"), F.element_at(names, n + 1).alias("tag"), s.alias("raw")))
-        kept = F.filter(rows, lambda x: x["raw"] > rules.score_threshold)
-        return F.sort_array(F.transform(kept, lambda x: F.struct(x["score"].alias("score"), x["turn"].alias("turn"), x["tag"].alias("tag"))), asc=False)
-
-    return _let(F.lower(F.coalesce(title, F.lit(""))), scores)
+    names = _constant(list(rules.mappings), "array<string>")
+    tags, boosts = dictionary_index(rules)
+    words = sorted({e["word"] for e in [*tags, *(e for own in boosts.values() for e in own)]})
+    index, extra = _constant(tags, f"array<{_ENTRY}>"), _constant(boosts, f"map<string,array<{_ENTRY}>>")
+    place = {t: n for n, t in enumerate(rules.mappings)}
+    raised = _constant({cat: [place[t] for t in boosted if t in place] for cat, boosted in rules.boosts.items()}, "map<string,array<int>>")
+
+    def scores(x: Column) -> Column:
+        low, met = x["low"], x["met"]
+        none = F.size(met["stems"]) == 0
+        points = lambda e: F.when(_place(e["kw"], low) <= 100, F.lit(2.0)).otherwise(F.lit(1.0)) * e["weight"]
+        found = F.when(none, F.array().cast("array<struct<tag:int,points:double>>")).otherwise(F.transform(F.filter(index, lambda e: _stands(e, low, met)), lambda e: F.struct(e["tag"].alias("tag"), points(e).alias("points"))))
+        more = F.lit(0) if category is None else F.when(none, 0).otherwise(F.coalesce(F.size(F.filter(F.try_element_at(extra, category), lambda e: _stands(e, low, met))), F.lit(0)))
+        mine = F.lit(None).cast("array<int>") if category is None else F.try_element_at(raised, category)
+        return _let(F.struct(found.alias("found"), F.greatest(more, F.lit(0)).alias("more"), mine.alias("mine")), ranked)
+
+    def ranked(y: Column) -> Column:
+        def raw(tag: Column, n: Column) -> Column:
+            own = F.aggregate(F.filter(y["found"], lambda f: f["tag"] == n), F.lit(0.0), lambda acc, f: acc + f["points"])
+            gain = F.when(y["mine"].isNull(), 0.0).when(F.array_contains(y["mine"], n), 3.0).otherwise(2.0 * y["more"])
+            # equal scores: the earlier tag has the larger second key
+            return F.struct((own + gain).alias("raw"), (-n).alias("turn"), tag.alias("tag"))
+
+        kept = F.filter(F.transform(names, raw), lambda s: s["raw"] > rules.score_threshold)
+        return F.sort_array(F.transform(kept, lambda s: F.struct(F.least(s["raw"], F.lit(rules.score_cap)).alias("score"), s["turn"].alias("turn"), s["tag"].alias("tag"))), asc=False)
+
+    whole = _let(F.lower(F.coalesce(title, F.lit(""))), lambda low: F.struct(low.alias("low"), _words_met(low, words).alias("met")))
+    return _let(whole, scores)
 
 
 def conflict_losers(scored: Column, rules: TagRules) -> Column:

@@ -75,6 +75,20 @@ def test_random_feeds(spark):
         got = [r["row_id"] for r in dedup.feed_dedup(c, k, NOW).collect()]
         assert sorted(got) == sorted(expected)
         assert dedup.feed_dedup_stats(c, k, NOW).first().asDict() == stats
+        rows, counters = dedup.feed_dedup_observed(c, k, NOW)
+        assert sorted(r["row_id"] for r in rows.collect()) == sorted(expected)
+        assert counters.get() == stats
+
+
+def test_many_categories_are_not_broadcast(spark, monkeypatch):
+    cats = [(f"c{k}", k, 24, 72, 2) for k in range(6)]
+    cands = [(i, f"c{i % 6}", f"title {i % 11}", NOW - timedelta(hours=i)) for i in range(80)]
+    expected, stats = model(cands, cats, NOW)
+    monkeypatch.setattr(dedup, "FEW", 3)
+    c, k = frames(spark, cands, cats)
+    assert "BroadcastHint" not in dedup.small(k)._jdf.queryExecution().toString() and dedup.small(k.limit(2)) is not k
+    assert sorted(r["row_id"] for r in dedup.feed_dedup(c, k, NOW).collect()) == sorted(expected)
+    assert dedup.feed_dedup_stats(c, k, NOW).first().asDict() == stats
 
 
 def test_limits(spark):
