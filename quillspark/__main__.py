@@ -22,7 +22,8 @@ def _run(args, tree: dict) -> int:
     spark = SparkSession.builder.appName("quillspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     work = args.work or spark.conf.get("spark.checkpoint.dir", None)
     if not work:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             print("--work or spark.checkpoint.dir must name a shared folder", file=sys.stderr)
             return 1
         work = "file://" + tempfile.mkdtemp(prefix="quillspark-run-")
@@ -33,7 +34,7 @@ def _run(args, tree: dict) -> int:
         return spark.read.schema(df.schema).parquet(path)
 
     llm = tree.get("llm") or {}
-    client = StubClient() if args.stub or not llm.get("endpoint") else chat.ChatClient(llm["endpoint"], llm.get("model", ""), llm.get("key_env"))
+    client = StubClient() if args.stub or not llm.get("endpoint") else chat.ChatClient(llm["endpoint"], llm.get("model", ""), llm.get("key_env"), float(llm.get("temperature", 0.0)), int(llm.get("max_tokens", 1200)), float(llm.get("timeout", 120.0)))
     now = datetime.fromisoformat(args.now) if args.now else datetime.now(timezone.utc).replace(tzinfo=None)
     code, path, issues = digest.run_config(spark, tree, now, client, weather.web_fetch(spark, args.transport), store)
     print("\n".join([*issues, path]))

@@ -91,11 +91,16 @@ def lag_percentiles(values: DataFrame, by: list[str], value: str = "value") -> D
     return percentiles(values, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
+def extraction_aggregates(bytes_column: bool = True) -> list[Column]:
+    """Aggregates over (context, extract_bytes): stories, extracted (with a context) and bytes."""
+    size = F.coalesce(F.sum("extract_bytes"), F.lit(0)) if bytes_column else F.lit(0)
+    return [F.count(F.lit(1)).alias("stories"), F.count_if(F.coalesce(F.col("context"), F.lit("")) != "").alias("extracted"), size.cast("long").alias("bytes")]
+
+
 def extraction_metrics(stories: DataFrame, seconds: float | None = None) -> DataFrame:
     """One row over (context, and extract_bytes where there): stories, extracted (with a context), bytes, per_second."""
-    size = F.coalesce(F.sum("extract_bytes"), F.lit(0)) if "extract_bytes" in stories.columns else F.lit(0)
     rate = F.count("*") / F.lit(float(seconds)) if seconds and seconds > 0 else F.lit(0.0)
-    return stories.agg(F.count("*").alias("stories"), F.count_if(F.coalesce(F.col("context"), F.lit("")) != "").alias("extracted"), size.cast("long").alias("bytes"), rate.cast("double").alias("per_second"))
+    return stories.agg(*extraction_aggregates("extract_bytes" in stories.columns), rate.cast("double").alias("per_second"))
 
 
 def duplicate_urls(urls: DataFrame, url: str = "url") -> DataFrame:

@@ -115,9 +115,9 @@ def write_lines(path: str, lines: list[str]) -> None:
         raise
 
 
-def remove_expired(folder: str, prefix: str, most: int) -> list[str]:
-    """Deletes all but the newest ``most`` reports; other files stay."""
-    own = [f for f in os.listdir(folder) if f.startswith(prefix) and f.endswith(".md")]
+def remove_expired(folder: str, prefix: str, most: int, suffix: str = ".md") -> list[str]:
+    """Deletes all but the newest ``most`` reports (or files of another suffix); other files stay."""
+    own = [f for f in os.listdir(folder) if f.startswith(prefix) and f.endswith(suffix)]
     own.sort(key=lambda f: (-os.path.getmtime(os.path.join(folder, f)), f))
     for f in own[most:]:
         os.remove(os.path.join(folder, f))

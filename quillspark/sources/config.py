@@ -67,6 +67,18 @@ RULES = (
     Rule("tagging_config.score_threshold", float, required=False, low=0),
     Rule("prompts.batch", str, required=False, filled=True),
     Rule("prompts.single", str, required=False, filled=True),
+    Rule("prompts.strict", str, required=False, filled=True),
+    Rule("llm.endpoint", str, required=False, filled=True),
+    Rule("llm.model", str, required=False, filled=True),
+    Rule("llm.batch_size", int, required=False, low=1),
+    Rule("llm.concurrency", int, required=False, low=1),
+    Rule("llm.recovery_concurrency", int, required=False, low=1),
+    Rule("llm.recovery_deadline_s", float, required=False, low=0),
+    Rule("llm.temperature", float, required=False, low=0, high=2),
+    Rule("llm.max_tokens", int, required=False, low=1),
+    Rule("llm.timeout", float, required=False, low=0),
+    Rule("keep_reports", int, required=False, low=1),
+    Rule("extract", bool, required=False),
     Rule("weather.lakes", dict, required=False),
 )
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.__main__ import main
 from quillspark.operators import gate, report
+from quillspark.operators.summaries import StubClient
+from quillspark.plans import digest
 from quillspark.sources import chat, feeds, weather
 
 TODAY = date(2026, 7, 30)
@@ -168,9 +170,51 @@ def test_a_run_from_a_configuration(spark, tmp_path, capsys):
     out = os.path.join(str(tmp_path / "out"), "Digest-2026-07-30_v01.md")
     text = open(out).read()
     assert code == 0, said
+    (log,) = os.listdir(tmp_path / "out" / "logs")
+    told = open(tmp_path / "out" / "logs" / log).read()
+    for part in ("sources: ", "stories: total_before 12, age_filtered 0, dup_filtered 0, total_after 9, cross_dup_filtered 0", "articles: stories 9, extracted 7,", "summaries: total_stories 9,", "report: ", "validation: ", "passed"):
+        assert part in told, told
     assert text.index("## World (5 stories)") < text.index("## Local (4 stories)") < text.index("## Lost")
     assert "story_count_total: 9" in text and "categories: 3" in text and "| Lake North Fork | 88.1% |" in text and "[[sea]]" in text
     tree["timezone"] = "No/Where"
     path.write_text(yaml.safe_dump(tree))
     assert main(["--config", str(path), "run", "--stub"]) == 1
     assert datetime(2026, 7, 30)
+
+
+class Told:
+    """A client that says which prompts it got."""
+
+    def complete(self, system, user):
+        assert system in ("B!", "S!", "T!")
+        return StubClient().complete(system, user) if system != "B!" else ""
+
+
+def test_pages_of_kept_stories_only(spark, tmp_path):
+    asked = []
+
+    def fetch(urls):
+        asked.append(list(urls))
+        rows = [(u, *(run_transport(u, 1.0)[k] for k in (0, 2))) for u in urls]
+        return spark.createDataFrame([(u, s, bytearray(b) if s == 200 else None, None, 1) for u, s, b in rows], "url string, status int, body binary, error string, attempts int")
+
+    n = iter(range(100))
+
+    def store(df):
+        path = str(tmp_path / f"t{next(n)}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    tree = {
+        "timezone": "UTC", "output_dir": str(tmp_path / "out"), "categories": {"Local": {"query": "l", "max_stories": 2}, "World": {"query": "w", "max_stories": 3}},
+        "rss": {"base": "http://feed/?q=", "params": ""}, "prompts": {"batch": "B!", "single": "S!", "strict": "T!"}, "llm": {"recovery_concurrency": 3, "recovery_deadline_s": 600, "batch_size": 2},
+    }
+    code, path, issues = digest.run_config(spark, tree, datetime(2026, 7, 30, 14), Told(), fetch, store)
+    assert code == 0, issues
+    pages = sorted(u for urls in asked for u in urls if u.startswith("http://page/"))
+    # the newest of each feed, not the whole pools of six
+    assert pages == ["http://page/l/4", "http://page/l/5", "http://page/w/3", "http://page/w/4", "http://page/w/5"]
+    run = digest.settings(tree, datetime(2026, 7, 30, 14), digest.logging.getLogger("t"))
+    assert run.prompts.strict == "T!" and run.recovery_parallel == 3 and run.recovery_deadline_s == 600.0 and run.batch_size == 2
+    # all batches stay silent: every story with a page is recovered alone
+    assert "individual_recovered 5" in open(tmp_path / "out" / "logs" / os.listdir(tmp_path / "out" / "logs")[0]).read()
