@@ -48,16 +48,14 @@ def small(categories: DataFrame) -> DataFrame:
 
 def with_bands(candidates: DataFrame, categories: DataFrame, now: datetime) -> DataFrame:
     """Adds the category's settings, age_h, bad (filtered titles) and band (0: within the limit, else days, 2 at least)."""
-    c = candidates.join(categories, "category").withColumn("age_h", age_hours(F.col("pub_dt"), now))
-    fresh = F.col("age_h").isNull() | (F.col("age_h") <= F.col("age_limit_h"))
-    return c.withColumn("bad", T.is_obituary(F.col("title")) | T.is_real_estate(F.col("title"))).withColumn(
-        "band", F.when(fresh, F.lit(0)).otherwise(F.greatest(F.lit(2), F.ceil(F.col("age_h") / 24))).cast("int")
-    )
+    bad = T.is_obituary(F.col("title")) | T.is_real_estate(F.col("title"))
+    c = candidates.join(categories, "category").withColumns({"age_h": age_hours(F.col("pub_dt"), now), "bad": bad})
+    return c.withColumn("band", F.expr("CAST(CASE WHEN age_h IS NULL OR age_h <= age_limit_h THEN 0 ELSE greatest(2, ceil(age_h / 24)) END AS INT)"))
 
 
 def _order() -> list[Column]:
     # newest first; undated rows have the largest key
-    return [F.col("band"), F.coalesce(-F.unix_micros("pub_dt"), F.lit((1 << 63) - 1)).alias("k"), F.col("row_id")]
+    return [F.col("band"), F.expr(f"coalesce(-unix_micros(pub_dt), {(1 << 63) - 1}L) AS k"), F.col("row_id")]
 
 
 def leaders(banded: DataFrame) -> DataFrame:
@@ -73,29 +71,26 @@ _BANDS = (0, *range(2, MOST_DAYS + 1))
 
 def _reach(first: DataFrame, categories: DataFrame) -> DataFrame:
     """(category, reach): of each of ``_BANDS`` whether it counts; one count per category and band decides."""
-    ok = first.where(~F.col("bad")).groupBy("category").agg(*(F.count_if(F.col("band") == b).alias(f"ok_{b}") for b in _BANDS))
-    every = categories.select("category", "window_h").join(ok, "category", "left")
-    days, below, reach = F.least(F.floor(F.col("window_h") / 24), F.lit(MOST_DAYS)), F.lit(0), []
-    for b in _BANDS:
-        reach.append(F.lit(True) if b == 0 else (below < ENOUGH) & (F.lit(b) <= days))
-        below = below + F.coalesce(f"ok_{b}", F.lit(0))
-    return every.select("category", F.array(*reach).alias("reach"))
+    ok = first.where("NOT bad").groupBy("category").agg(F.expr(f"array({', '.join(f'count_if(band = {b})' for b in _BANDS)})").alias("ok"))
+    # band after band, while fewer than ENOUGH stories came before
+    before = "aggregate(slice(ok, 1, i), 0L, (n, x) -> n + x)"
+    reach = f"transform(array({', '.join(map(str, _BANDS))}), (b, i) -> b = 0 OR (coalesce({before}, 0) < {ENOUGH} AND b <= least(floor(window_h / 24), {MOST_DAYS}))) AS reach"
+    return categories.select("category", "window_h").join(ok, "category", "left").selectExpr("category", reach)
 
 
-def _reached(band: Column) -> Column:
-    """Whether a band counts, by the array of :func:`_reach`."""
-    return (band <= MOST_DAYS) & F.coalesce(F.try_element_at("reach", F.greatest(band, F.lit(1))), F.lit(False))
+def _reached(band: str) -> str:
+    """Whether a band counts, by the array of :func:`_reach`, where its place is one less but for 0."""
+    return f"coalesce(get(reach, CASE WHEN {band} = 0 THEN 0 ELSE {band} - 1 END), false)"
 
 
 def reached_bands(first: DataFrame, categories: DataFrame) -> DataFrame:
     """(category, band) that count: band 0, and day bands while fewer than ENOUGH stories came before."""
-    bands = F.array(*(F.lit(b) for b in _BANDS))
-    return _reach(first, categories).select("category", F.explode(F.filter(bands, lambda b: _reached(b))).alias("band"))
+    return _reach(first, categories).selectExpr("category", f"explode(filter(array({', '.join(map(str, _BANDS))}), b -> {_reached('b')})) AS band")
 
 
 def accepted(first: DataFrame, categories: DataFrame) -> DataFrame:
     """Leaders that are not filtered and whose band is reached."""
-    return first.where(~F.col("bad")).join(_few(_reach(first, categories), categories), "category").where(_reached(F.col("band"))).drop("reach")
+    return first.where("NOT bad").join(_few(_reach(first, categories), categories), "category").where(_reached("band")).drop("reach")
 
 
 def _few(reach: DataFrame, categories: DataFrame) -> DataFrame:
@@ -115,9 +110,8 @@ def capped(rows: DataFrame, most: int | None = None) -> DataFrame:
     lets each task keep only its own first rows before the shuffle.
     """
     w = Window.partitionBy("category").orderBy(*_order())
-    cap = F.when(F.col("cap") > 0, F.col("cap")).otherwise(F.lit(NO_CAP))
     ranked = rows.withColumn("k", F.row_number().over(w))
-    return (ranked if most is None else ranked.where(F.col("k") <= most)).where(F.col("k") <= cap)
+    return (ranked if most is None else ranked.where(f"k <= {most}")).where(f"k <= CASE WHEN cap > 0 THEN cap ELSE {NO_CAP} END")
 
 
 def across_categories(rows: DataFrame) -> DataFrame:
@@ -140,32 +134,27 @@ def _counted_titles(candidates: DataFrame, categories: DataFrame, now: datetime)
     """Each title's first row in its category with the counts of its rows by band, and the bands that are reached."""
     banded = with_bands(candidates, categories, now)
     row = F.struct(*(F.col(c) for c in banded.columns if c not in ("category", "norm")))
-    counts = {"n": F.count("*"), "aged": F.count_if(F.col("age_h") > F.col("age_limit_h"))}
-    for b in _BANDS:
-        counts[f"n_{b}"] = F.count_if(F.col("band") == b)
-        counts[f"good_{b}"] = F.count_if((F.col("band") == b) & ~F.col("bad"))
-    titles = banded.groupBy("category", "norm").agg(F.min_by(row, F.struct(*_order())).alias("r"), *(c.alias(f"__{k}") for k, c in counts.items()))
+    counts = [f"count_if({x}) AS {name}" for x, name in (("true", "__n"), ("age_h > age_limit_h", "__aged"))]
+    counts += [f"array({', '.join(f'count_if(band = {b}{also})' for b in _BANDS)}) AS {name}" for also, name in (("", "__ns"), (" AND NOT bad", "__goods"))]
+    titles = banded.groupBy("category", "norm").agg(F.min_by(row, F.struct(*_order())).alias("r"), *map(F.expr, counts))
     # always true: both readers of the titles ask for the same columns, so that one exchange serves both
-    titles = titles.where(F.greatest(*(F.col(f"__{k}") for k in counts)) > 0)
-    first = titles.select("category", "norm", "r.*", *(f"__{k}" for k in counts))
-    return first.join(_few(_reach(first, categories), categories), "category")
+    titles = titles.where("__n + __aged + aggregate(concat(__ns, __goods), 0L, (n, x) -> n + x) > 0")
+    return titles.select("category", "norm", "r.*", "__n", "__aged", "__ns", "__goods").join(_few(_reach(titles.select("category", "r.*"), categories), categories), "category")
 
 
 def _title_counters() -> list[Column]:
-    """Aggregates over :func:`_counted_titles`: total_before, age_filtered, dup_filtered."""
-    copies = F.lit(0)
-    for b in _BANDS:
-        # a band's copies count but the leader's row; filtered titles only where the title has a fresh row
-        n = F.when((F.col("__n_0") > 0) | F.lit(b == 0), F.col(f"__n_{b}")).otherwise(F.col(f"__good_{b}"))
-        lead = ((F.col("band") == b) & (n > 0)).cast("long")
-        copies = copies + F.when(_reached(F.lit(b)), n - lead).otherwise(0)
-    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
-    return [total("__n", "total_before"), total("__aged", "age_filtered"), total(copies, "dup_filtered")]
+    """Aggregates over :func:`_counted_titles`: total_before, age_filtered, dup_filtered.
+
+    A band's copies count but the leader's row; filtered titles only where the title has a fresh row.
+    """
+    n = "CASE WHEN __ns[0] > 0 OR i = 0 THEN __ns[i] ELSE __goods[i] END"
+    lead = f"CASE WHEN i = CASE WHEN band = 0 THEN 0 ELSE band - 1 END AND {n} > 0 THEN 1 ELSE 0 END"
+    copies = f"aggregate(sequence(0, {len(_BANDS) - 1}), 0L, (acc, i) -> acc + CASE WHEN reach[i] THEN {n} - {lead} ELSE 0 END)"
+    return [F.expr(f"coalesce(sum({c}), 0L) AS {name}") for c, name in (("__n", "total_before"), ("__aged", "age_filtered"), (copies, "dup_filtered"))]
 
 
 def _kept_of(titles: DataFrame) -> DataFrame:
-    ok = titles.where(~F.col("bad") & _reached(F.col("band")))
-    return ok.drop("reach", *(c for c in titles.columns if c.startswith("__")))
+    return titles.where(f"NOT bad AND {_reached('band')}").drop("reach", "__n", "__aged", "__ns", "__goods")
 
 
 class Counters:
