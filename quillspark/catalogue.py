@@ -231,17 +231,35 @@ def _html_extract(spark, d):
     return _read(spark, d, "pages").select("page_id", T.html_text()(F.col("html")).alias("context"))
 
 
+@_query(
+    "html_plain_text",
+    """WITH t AS (SELECT doc_id, trim(regexp_replace(translate(text, '<>&', '   '), '[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x{0085}]+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) >= 50 THEN substr(t, 1, 600) END AS context FROM t""",
+)
+def _html_plain(spark, d):
+    # each text as a page whose menu and script are not shown
+    body = F.translate(F.coalesce("text", F.lit("")), "<>&", "   ")
+    html = F.concat(F.lit("<!DOCTYPE html><html><nav class='top'>Home <b>page</b></nav><body><p id=\"x\">"), body, F.lit("</p><script>let a = 1;</script></body></html>"))
+    return _read(spark, d, "documents").select("doc_id", T.html_text()(html).alias("context"))
+
+
+#: Rows of a made-up page.
+_PAGE = 100
+
+
 @_query(
     "html_table_cells",
-    """WITH r AS (SELECT s_nationkey, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS row_no FROM supplier)
-SELECT s_nationkey, 0 AS table_no, row_no::INT AS row_no, 0 AS col_no, s_name AS text FROM r UNION ALL SELECT s_nationkey, 0, row_no::INT, 1, s_suppkey::VARCHAR FROM r
-UNION ALL SELECT DISTINCT s_nationkey, 1, 0, 0, 'end & out' FROM supplier""",
+    f"""WITH r AS (SELECT s_nationkey, s_suppkey // {_PAGE} AS page, s_suppkey, s_name, row_number() OVER (PARTITION BY s_nationkey, s_suppkey // {_PAGE} ORDER BY s_suppkey) - 1 AS row_no FROM supplier),
+c AS (SELECT s_nationkey, page, 0 AS table_no, row_no::INT AS row_no, 0 AS col_no, s_name AS text FROM r UNION ALL SELECT s_nationkey, page, 0, row_no::INT, 1, s_suppkey::VARCHAR FROM r
+UNION ALL SELECT DISTINCT s_nationkey, page, 1, 0, 0, 'end & out' FROM r)
+SELECT s_nationkey || '-' || page AS page, table_no, row_no, col_no, text FROM c""",
 )
 def _html_cells(spark, d):
-    # a page for each nation: a table of its suppliers, and another one
+    # pages of the suppliers of each nation: a table of up to a hundred, and another one
     rows = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.concat(F.lit("<tr><td> "), x["s_name"], F.lit("</td><th>"), x["s_suppkey"].cast("string"), F.lit("</th></tr>")))
     html = F.concat(F.lit("<h1>Suppliers</h1><table>"), F.array_join(rows, "\n"), F.lit("</table><table><tr><td>end &amp; <b>out</b></td></tr></table>"))
-    return feeds.html_tables(_read(spark, d, "supplier").groupBy("s_nationkey").agg(html.alias("html")), "s_nationkey")
+    page = F.concat_ws("-", "s_nationkey", F.floor(F.col("s_suppkey") / _PAGE)).alias("page")
+    return feeds.html_tables(_read(spark, d, "supplier").groupBy(page).agg(html.alias("html")), "page")
 
 
 @_query(
@@ -662,17 +680,18 @@ def _feed_url(spark, d):
 
 @_query(
     "feed_items",
-    f"""WITH i AS (SELECT p_brand AS category, p_name AS title, 'http://x/' || p_partkey AS link, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) - 1 AS pos, p_partkey,
+    f"""WITH i AS (SELECT p_brand || '-' || p_partkey // {_PAGE} AS category, p_name AS title, 'http://x/' || p_partkey AS link, p_partkey,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes((p_retailprice * 10)::BIGINT) AS pub_dt FROM part)
 SELECT category, title, link, pub_dt FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY pub_dt DESC, p_partkey) AS n FROM i) WHERE n <= {POOL}""",
 )
 def _feed_items(spark, d):
-    # a feed for each brand, written as RSS and read again
+    # feeds of up to a hundred parts of a brand, written as RSS and read again
     p = _read(spark, d, "part")
     at = F.timestamp_micros(F.lit(1704067200000000) + (F.col("p_retailprice") * 10).cast("decimal(18,0)").cast("long") * 60_000_000)
     item = F.concat(F.lit("<item><title>"), F.col("p_name"), F.lit("</title><link>http://x/"), F.col("p_partkey").cast("string"), F.lit("</link><pubDate>"), F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss Z"), F.lit("</pubDate></item>"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("x")))), lambda v: v["x"])
-    pages = p.groupBy(F.col("p_brand").alias("category")).agg(F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(items, ""), F.lit("</channel></rss>")).alias("text"))
+    feed = F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / _PAGE)).alias("category")
+    pages = p.groupBy(feed).agg(F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(items, ""), F.lit("</channel></rss>")).alias("text"))
     return feeds.feed_entries(feeds.feed_items(pages), F.col("category"), limit=POOL).select("category", "title", "link", "pub_dt")
 
 
@@ -741,27 +760,27 @@ def _lake_labels(spark, d):
 
 @_query(
     "lake_table",
-    f"""WITH r AS (SELECT o_custkey % 50 AS series, o_orderdate::DATE AS obs_date, o_orderkey AS ord, o_orderkey % 97 AS value FROM orders WHERE o_custkey % 50 <> 7),
+    f"""WITH r AS (SELECT o_custkey % 50 AS series, o_orderdate::DATE AS obs_date, o_orderkey AS ord, CASE WHEN o_custkey % 50 <> 7 THEN o_orderkey % 97 END AS value FROM orders),
 x AS (SELECT series, label, value, row_number() OVER (PARTITION BY series, label ORDER BY obs_date > target, abs(obs_date - target), ord) AS k FROM r CROSS JOIN {_TARGETS}),
 w AS (SELECT series, max(value) FILTER (label = 'today') AS a, max(value) FILTER (label = 'one_week_ago') AS b, max(value) FILTER (label = 'thirty_days_ago') AS c FROM x WHERE k = 1 GROUP BY series)
 SELECT (l.i)::INT AS line_pos, '| Lake ' || l.i || ' | ' || coalesce(a || '%', 'Unavailable') || ' | ' || coalesce(b || '%', 'Unavailable') || ' | ' || coalesce(c || '%', 'Unavailable') || ' |' AS line
 FROM (SELECT unnest(range(0, 50)) AS i) l LEFT JOIN w ON w.series = l.i""",
 )
 def _lake_table(spark, d):
-    readings = _readings(spark, d).where("series <> 7").withColumn("value", (F.col("ord") % 97))
+    # a lake without values
+    readings = _readings(spark, d).withColumn("value", F.when(F.col("series") != 7, F.col("ord") % 97))
     levels = lookup.asof_levels(readings, _targets(spark)).select(F.col("series").cast("string").alias("series"), "label", F.concat(F.col("value").cast("string"), F.lit("%")).alias("value"))
     return report.lake_lines(levels, [str(k) for k in range(50)])
 
 
 @_query(
     "forecast_table",
-    """WITH t AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey <= 2)
+    """WITH t AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n, o_orderkey, o_orderstatus FROM orders)
 SELECT n::INT AS line_pos, coalesce('| ' || o_orderkey || ' | ' || o_orderstatus || ' | Unavailable | a&#124;b | Unavailable | Unavailable | Unavailable |', '| Dynamic | Dynamic | Dynamic | Dynamic | Dynamic | Dynamic | Dynamic |') AS line FROM (SELECT unnest(range(1, 4)) AS n) LEFT JOIN t USING (n)""",
 )
 def _forecast_table(spark, d):
     none = F.lit(None).cast("string")
-    two = _read(spark, d, "orders").where("o_orderkey <= 2")
-    rows = two.select(F.struct("o_orderdate", "o_orderkey").alias("date"), F.col("o_orderkey").cast("string").alias("label"), F.col("o_orderstatus").alias("day"), F.lit(" ").alias("night"), F.lit("a|b").alias("high"), F.lit("N/A").alias("low"), none.alias("precip"), none.alias("wind"))
+    rows = _read(spark, d, "orders").select(F.struct("o_orderdate", "o_orderkey").alias("date"), F.col("o_orderkey").cast("string").alias("label"), F.col("o_orderstatus").alias("day"), F.lit(" ").alias("night"), F.lit("a|b").alias("high"), F.lit("N/A").alias("low"), none.alias("precip"), none.alias("wind"))
     return report.forecast_lines(rows)
 
 

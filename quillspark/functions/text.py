@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+import re
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -247,15 +249,68 @@ class _Visible(HTMLParser):
             self.parts.append(data)
 
 
-def visible_text(html: str | None) -> str:
-    if not html:
-        return ""
+def parsed_text(html: str) -> str:
     p = _Visible()
     p.feed(html)
     p.close()
     return " ".join(" ".join(p.parts).split())
 
 
+_HIDES = "|".join(sorted(_Visible._HIDDEN))
+#: Markup whose reading leaves no choice: plain tags with quoted attributes, plain comments, a document type.
+_MARK = re.compile(r"""<(?:/?[a-zA-Z][^<>"'=]*+|[a-zA-Z][a-zA-Z0-9]*+(?:\s++[a-zA-Z][a-zA-Z0-9-]*+(?:="[^"<>]*+"|='[^'<>]*+')?)*+\s*+|!--(?:[^<>-]|-(?!-))*+--|!(?i:doctype)\s[^<>\["']*+)>""")
+#: Elements whose text is not read as other text is; a title or a text area may hold nothing but text.
+_RAW = re.compile(r"(?i)<(?:iframe|noembed|noframes|noscript|plaintext|xmp|svg|math)\b|<(title|textarea)\b(?![^<>]*>[^<]*</\1\s*>)")
+_HIDDEN = re.compile(rf"(?i)<(/?)({_HIDES})(?=[\s/>])[^<>]*>")
+_ENDS = {tag: re.compile(rf"(?i)</{tag}(\s*>)?") for tag in ("script", "style")}
+
+
+def quick_text(html: str) -> str | None:
+    """The visible text of a page of plain markup, as :func:`parsed_text` gives it; None for any other page."""
+    if _RAW.search(html):
+        return None
+    shown, hidden, open_, at, pos = [], [], [], 0, 0
+    while m := _HIDDEN.search(html, pos):
+        pos, tag = m.end(), m.group(2).lower()
+        if m.group(1):
+            if tag in open_:
+                del open_[open_.index(tag) :]
+                if not open_:
+                    hidden.append(html[at:pos])
+                    at = pos
+            continue
+        if m.group().endswith("/>"):
+            return None
+        if not open_:
+            shown.append(html[at : m.start()])
+            at = pos
+        open_.append(tag)
+        if tag in _ENDS:
+            # a script's text is not markup; it ends at its own end tag
+            end = _ENDS[tag].search(html, pos)
+            if not end or not end.group(1) or "<!--" in html[pos : end.start()]:
+                return None
+            if len(open_) > 1:
+                return None
+            open_.clear()
+            at = pos = end.end()
+    if open_:
+        return None
+    shown.append(html[at:])
+    if any("<" in _MARK.sub("", h) or "<!--" in h for h in hidden):
+        return None
+    text = _MARK.sub(" ", " ".join(shown))
+    return None if "<" in text else " ".join((unescape(text) if "&" in text else text).split())
+
+
+def visible_text(html: str | None) -> str:
+    """Text outside of elements that carry none, in single spaces. Plain markup is read by patterns, all other by a parser."""
+    if not html:
+        return ""
+    text = quick_text(html)
+    return parsed_text(html) if text is None else text
+
+
 def html_text(chars: int = 600, least: int = 50):
     """A column function: visible text of a page, its first ``chars`` characters; null under ``least``."""
 

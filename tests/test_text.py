@@ -78,3 +78,45 @@ def test_visible_text():
     page = "<html><style>p{}</style><body><nav>menu</nav><p>One &amp; <b>two</b></p><script>x</script><footer>f</footer></body></html>"
     assert T.visible_text(page) == "One & two"
     assert T.visible_text(None) == ""
+
+
+def odd_page(rng):
+    """Markup of every kind, well formed or not."""
+    pieces = ["plain words ", "a &amp; b ", "&lt;", "&#8217;", "&copy", "&notit; ", "AT&T ", "<b>", "</b>", "<p class=\"x y\">", "<p class='x'>", "<p class=x>", "</p >", "<br/>", "<br />", "<img src=\"a>b\">", "<a href='x&amp;y'>", "</a>", "<!-- c -->", "<!-- a - b -->", "<!-- a -- b -->", "<!--->", "<!-- <b> -->", "<!DOCTYPE html>", "<!doctype x [y]>", "<?php x ?>", "<![CDATA[ z ]]>", "<script>", "</script>", "<script src='a'>", "let a = 1 < 2;", "<style>", "</style>", "<nav>", "</nav>", "<NAV id=\"n\">", "</Nav>", "<header>", "</header>", "<footer>", "</footer>", "<aside>", "</aside>", "<navy>", "</navy>", "<title>", "t &amp; u", "</title>", "<textarea>", "</textarea>", "<iframe>", "</iframe>", "<plaintext>", "<svg>", "</svg>", "<", ">", "< b", "<3", "</>", "</ b>", "<a\nb=\"c\"\n>", "\n", " ", "<nav/>", "<script/>", "<x y z=\"1\">", "<a b=c/>", "<a b='c'd='e'>", "'", "\"", "--", "-->", "<noscript>", "</noscript>", "<a b =\"c\">"]
+    usual = [p for p in pieces if p not in ("<", "< b", "<3", "</>", "</ b>", "let a = 1 < 2;", "<!-- a -- b -->", "<!-- <b> -->", "<img src=\"a>b\">", "<plaintext>", "<iframe>", "<svg>", "<![CDATA[ z ]]>", "<?php x ?>", "<!--->", "<!doctype x [y]>")]
+    return "".join(rng.choice(usual if rng.random() < 0.9 else pieces) for _ in range(rng.randint(1, 30)))
+
+
+def test_quick_text_is_what_the_parser_reads():
+    import random
+
+    rng = random.Random(12)
+    quick = 0
+    for _ in range(60_000):
+        page = odd_page(rng)
+        got = T.quick_text(page)
+        if got is not None:
+            quick += 1
+            assert got == T.parsed_text(page), page
+    assert quick > 1500
+    for page in ("<nav><header>a</nav>b</header>c", "<nav>a<nav>b</nav>c</nav>d", "x<header>y<nav>z</nav></header>w", "a</nav>b", "<nav>open to the end", "<script>if (a < b) x</script>y", "<p>1 < 2</p>"):
+        assert T.visible_text(page) == T.parsed_text(page)
+
+
+def test_pages_are_read_quickly():
+    import glob
+    import time
+
+    import pyarrow.parquet as pq
+    import pytest
+
+    files = glob.glob("/root/testdata/sf0.1/pages.parquet")
+    if not files:
+        pytest.skip("no tables")
+    pages = [h or "" for h in pq.read_table(files[0], columns=["html"])["html"].to_pylist()]
+    began = time.process_time()
+    quick = [T.visible_text(h) for h in pages]
+    middle = time.process_time()
+    slow = [T.parsed_text(h) for h in pages]
+    assert quick == slow
+    assert 2 * (middle - began) < time.process_time() - middle
