@@ -6,6 +6,7 @@ import os
 import re
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,15 +144,77 @@ def forecast_row_count(section: str) -> int:
     return sum(len(c) >= 3 and any(v != "-" for v in c) for c in cells)
 
 
+def stories_of(content: Column) -> Column:
+    """Array of (title, summary) of the numbered, linked stories of a report."""
+    sections = F.split(content, r"(?m)^##\s+")
+    blocks = F.flatten(F.transform(sections, lambda s: F.split(T.strip(s), r"\n(?=\d+\.\s+\[)")))
+    title = lambda b: F.regexp_extract(b, r"^\d+\.\s+\[(.+?)\]\((.+?)\)", 1)
+
+    def told(b: Column) -> Column:
+        rest = F.transform(F.slice(F.split(b, "\n"), 2, 1_000_000), T.strip)
+        kept = F.filter(rest, lambda x: (x != "") & ~x.startswith("*Originally published") & ~x.startswith("[[") & ~x.startswith("---") & ~x.startswith("##"))
+        return F.array_join(kept, " ")
+
+    found = F.filter(blocks, lambda b: (title(b) != "") & F.contains(b, F.lit("\n")))
+    return F.transform(found, lambda b: F.struct(T.strip(title(b)).alias("title"), told(b).alias("summary")))
+
+
 def report_stories(spark: SparkSession, content: str) -> DataFrame:
     """(title, summary) of the numbered, linked stories of a report."""
     report = spark.createDataFrame([(content,)], "content string")
-    sections = report.select(F.explode(F.split("content", r"(?m)^##\s+")).alias("s"))
-    blocks = sections.select(F.explode(F.split(T.strip(F.col("s")), r"\n(?=\d+\.\s+\[)")).alias("b"))
-    title = F.regexp_extract("b", r"^\d+\.\s+\[(.+?)\]\((.+?)\)", 1)
-    rest = F.transform(F.slice(F.split("b", "\n"), 2, 1_000_000), T.strip)
-    told = F.filter(rest, lambda x: (x != "") & ~x.startswith("*Originally published") & ~x.startswith("[[") & ~x.startswith("---") & ~x.startswith("##"))
-    return blocks.where(title != "").where(F.contains("b", F.lit("\n"))).select(T.strip(title).alias("title"), F.array_join(told, " ").alias("summary"))
+    return report.select(F.inline(stories_of(F.col("content"))))
+
+
+def _front_matter_facts(content: Column) -> Column:
+    """What is asked of the front matter, (missing, count, body): YAML is read in Python, from the reports' tops only."""
+
+    @F.pandas_udf("missing array<string>, count string, body string")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            meta, body = parse_front_matter(text)
+            count = meta.get("story_count_total")
+            rows.append(([k for k in REQUIRED if meta.get(k) is None], None if count is None else str(count), body))
+        return pd.DataFrame(rows, columns=["missing", "count", "body"])
+
+    return of(content)
+
+
+def _table_rows(section: Column) -> Column:
+    """:func:`forecast_row_count` as an expression."""
+    lines = F.filter(F.transform(F.split(section, "\n"), T.strip), lambda x: x.startswith("|"))
+    cells = F.transform(lines, lambda x: F.filter(F.transform(F.split(x, r"\|"), T.strip), lambda c: c != ""))
+    return F.size(F.filter(cells, lambda c: (F.size(c) >= 3) & F.exists(c, lambda v: v != "-")))
+
+
+def validate_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(path, passed, issues) of every report that ``path`` names: a folder, a pattern or a file.
+
+    The rules of :func:`validate_report` as one projection over whole files: no shuffle, no
+    loop at the driver, as many reports as there are. An empty folder gives no rows.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.regexp_replace("value", "\r\n?", "\n").alias("content"))
+    files = files.withColumn("front", _front_matter_facts(F.col("content"))).select("path", "size", "content", "front.*")
+    sections = F.filter(F.transform(F.split("body", r"(?m)^##\s+"), T.strip), lambda s: F.lower(F.element_at(F.split(s, "\n"), 1)).rlike("weather|forecast"))
+    urls = F.regexp_extract_all("body", F.lit(r"\[[^\]]+\]\((https?://[^)]+)\)"), F.lit(1))
+    facts = files.withColumns({"weather": F.get(sections, F.lit(0)), "urls": urls, "stories": stories_of(F.col("content"))})
+    again = F.size(F.filter(F.array_distinct("urls"), lambda u: F.size(F.filter("urls", lambda v: v == u)) > 1))
+    issue = lambda when, text: F.when(when, text)
+    whole = F.array(
+        F.when(F.col("weather").isNull(), "weather: no section").when(_table_rows(F.col("weather")) < 3, "weather: fewer than 3 rows"),
+        *(issue(F.contains("body", F.lit(w)), F.lit(f"placeholder: {w}")) for w in ("Dynamic", "Unavailable")),
+        issue(F.col("count").isNotNull() & ~F.coalesce(F.col("count").rlike("^[0-9]+$") & F.col("count").try_cast("long").between(5, 200), F.lit(False)), F.concat(F.lit("story count: "), F.col("count"))),
+        issue(F.col("again") > 0, F.concat(F.lit("duplicate URLs: "), F.col("again"))),
+        issue(~F.col("size").between(5 * 1024, 10 * 1024 * 1024), F.concat(F.lit("size: "), F.col("size"), F.lit(" bytes"))),
+    )
+    missing = F.transform("missing", lambda k: F.concat(F.lit("front matter: "), k, F.lit(" missing")))
+    own = F.transform("stories", lambda s: F.struct(s["title"].alias("title"), gate.story_issue(s["title"], s["summary"]).alias("issue")))
+    bad = F.filter("own", lambda s: s["issue"].isNotNull())
+    told = F.transform("bad", lambda s: F.concat(s["issue"], F.lit(": "), F.substring(s["title"], 1, 80)))
+    none = F.when(F.size("stories") == 0, F.array(F.lit("no stories"))).otherwise(F.array().cast("array<string>"))
+    out = facts.withColumn("again", again).withColumn("own", own).withColumn("bad", bad)
+    passed = (F.size("stories") > 0) & (F.size("bad") <= F.size("stories") * F.lit(0.10))
+    return out.select("path", passed.alias("passed"), F.concat(missing, F.array_compact(whole), told, none).alias("issues"))
 
 
 def validate_report(spark: SparkSession, path: str) -> tuple[bool, list[str]]:
