@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, gate, report, summaries, tagging
-from ..sources import config, feeds, weather
+from ..sources import config, feeds, report_sink, weather
 from . import probes
 
 OK, BAD_CONFIG, BAD_REPORT = 0, 1, 2
@@ -59,8 +59,8 @@ def run_digest(spark: SparkSession, run: Run, candidates: DataFrame, categories:
     """Deduplicates, fetches articles, enriches, tags, renders, writes and validates; (exit code, path, issues).
 
     ``store`` writes a frame once and reads it back. ``articles`` gets the stories that
-    deduplication kept, and returns them with their context. What reaches the driver is the
-    finished report: a capped number of stories of each category. The counters of
+    deduplication kept, and returns them with their context. The report is written by tasks
+    and joined in order; the check reads the finished file. The counters of
     deduplication, extraction and summaries come from the plans that make the stories, while
     they run; they are in ``run.counters`` and in the log.
     """
@@ -87,10 +87,11 @@ def run_digest(spark: SparkSession, run: Run, candidates: DataFrame, categories:
         w = Window.partitionBy("category").orderBy("k")
         shown = places.join(done, "category", "left").select("place", "category", F.row_number().over(w).alias("n"), "title", "link", "summary", T.format_pub_date(F.col("pub_dt")).alias("pub_date"), tags.alias("tag_list"), tagging.tag_markup(F.col("title"), F.col("category"), run.rules).alias("tags"))
         names = done.agg(tagging.tag_union(tags, run.seeds)).first()[0]
-        body = [r["line"] for r in report.section_lines(shown).orderBy("place", "line_pos").collect()]
         head = report.front_matter(run.now, total, report.rendered_categories(places), names or list(run.seeds))
+        top = spark.createDataFrame([(k, line) for k, line in enumerate([*head, "", f"# Digest -- {run.now:%B %d, %Y}", *weather])], "line_pos long, line string")
+        lines = report.section_lines(shown).select("place", "line_pos", "line").unionByName(top.withColumn("place", F.lit(-1)))
         path, _ = report.reserve(run.folder, run.now)
-        report.write_lines(path, [*head, "", f"# Digest -- {run.now:%B %d, %Y}", *weather, *body])
+        report_sink.save_report(lines, ["place", "line_pos"], path)
         report.remove_expired(run.folder, "Digest-", run.keep)
     with _phase(run, "validation"):
         passed, issues = report.validate_report(spark, path)
