@@ -641,6 +641,15 @@ def _fuzzy(spark, d):
     return p.select("conv_id", "turn", F.round(summaries.likeness(F.col("title"), F.col("summary")), 6).alias("ratio"))
 
 
+@_query("closest_headlines")
+def _closest(spark, d):
+    # what was said in six turns of a conversation, and the same in other words, word order or case
+    c = _read(spark, d, "conversations").select("conv_id", F.floor(F.col("turn") / 6).alias("batch"), "turn", "text")
+    said = F.when(F.col("turn") % 3 == 0, F.upper("text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("Re: "), F.col("text"))).otherwise(F.array_join(F.reverse(F.split("text", " ")), " "))
+    lines = c.select("conv_id", "batch", F.col("turn").alias("line_id"), said.alias("line"))
+    return summaries.closest_headlines(lines, c.select("conv_id", "batch", F.col("turn").alias("head_id"), F.col("text").alias("head")), ["conv_id", "batch"]).withColumn("ratio", F.round("ratio", 6))
+
+
 @_query("parse_batch_response")
 def _parse(spark, d):
     p = _pairs(spark, d).select("conv_id", "turn", F.array(F.col("title")).alias("heads"), F.concat(F.lit("STORY_0 | "), F.col("title"), F.lit("="), F.col("summary")).alias("answer"))

@@ -247,3 +247,34 @@ def likeness(a: Column, b: Column) -> Column:
         return pd.Series([SequenceMatcher(None, flat(p), flat(q)).ratio() for p, q in zip(x, y)])
 
     return of(a, b)
+
+
+def _flat(text: Column) -> Column:
+    """As :func:`likeness` compares texts: in lower case, with single spaces."""
+    return F.lower(T.collapse(F.coalesce(text, F.lit(""))))
+
+
+def likeness_bound(a: Column, b: Column) -> Column:
+    """What :func:`likeness` cannot exceed, for texts made by ``_flat``: twice the characters that both have over all characters."""
+    times = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, 1.0).otherwise(2.0 * shared / total)
+
+
+def closest_headlines(lines: DataFrame, heads: DataFrame, by: list[str], least: float = 0.7) -> DataFrame:
+    """(by, line_id, head_id, ratio): for each line the headline of its batch that is most like it, from ``least`` on.
+
+    ``lines``: by, line_id, line; ``heads``: by, head_id, head. Batches are small (a call's stories);
+    lines and headlines of one batch meet. Pairs whose lengths, or whose characters, cannot
+    reach ``least`` are left out by expressions; sequences are matched for the others only. Of
+    equal ratios the smallest head_id counts. A null text is empty.
+    """
+    a = lines.select(*by, "line_id", _flat(F.col("line")).alias("__a"))
+    b = heads.select(*by, "head_id", _flat(F.col("head")).alias("__b"))
+    x, y = F.length("__a"), F.length("__b")
+    near = a.join(b, by).where(2.0 * F.least(x, y) >= F.lit(least) * (x + y))
+    near = near.where(likeness_bound(F.col("__a"), F.col("__b")) >= least - 1e-9)
+    found = near.withColumn("ratio", likeness(F.col("__a"), F.col("__b"))).where(F.col("ratio") >= least)
+    best = found.groupBy(*by, "line_id").agg(F.max_by(F.struct("head_id", "ratio"), F.struct("ratio", -F.col("head_id"))).alias("r"))
+    return best.select(*by, "line_id", "r.head_id", "r.ratio")
