@@ -237,16 +237,19 @@ def match_headlines(rows: DataFrame, answer: str, headlines: str, count: str | N
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Ratio of matching blocks of two texts, lower-cased and with single spaces."""
+    """Ratio of matching blocks of two texts, lower-cased and with single spaces.
 
-    @F.pandas_udf("double")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
+    Pairs come to Python a hundred at a time: matching takes far longer than their transport, and
+    a worker holds neither thousands of texts nor the libraries of Arrow batches.
+    """
+
+    def of(x: str | None, y: str | None) -> float:
         from difflib import SequenceMatcher
 
         flat = lambda t: " ".join((t or "").lower().split())
-        return pd.Series([SequenceMatcher(None, flat(p), flat(q)).ratio() for p, q in zip(x, y)])
+        return SequenceMatcher(None, flat(x), flat(y)).ratio()
 
-    return of(a, b)
+    return F.udf(of, "double", useArrow=False)(a, b)
 
 
 def _flat(text: Column) -> Column:
@@ -275,6 +278,7 @@ def closest_headlines(lines: DataFrame, heads: DataFrame, by: list[str], least:
     x, y = F.length("__a"), F.length("__b")
     near = a.join(b, by).where(2.0 * F.least(x, y) >= F.lit(least) * (x + y))
     near = near.where(likeness_bound(F.col("__a"), F.col("__b")) >= least - 1e-9)
-    found = near.withColumn("ratio", likeness(F.col("__a"), F.col("__b"))).where(F.col("ratio") >= least)
+    found = near.withColumn("ratio", likeness(F.col("__a"), F.col("__b")))
     best = found.groupBy(*by, "line_id").agg(F.max_by(F.struct("head_id", "ratio"), F.struct("ratio", -F.col("head_id"))).alias("r"))
-    return best.select(*by, "line_id", "r.head_id", "r.ratio")
+    # the best ones are compared: a filter of all ratios moves below their projection, and each pair is matched twice
+    return best.where(F.col("r.ratio") >= least).select(*by, "line_id", "r.head_id", "r.ratio")

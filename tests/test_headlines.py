@@ -40,3 +40,11 @@ def test_the_bound_is_one(spark):
     for r in got:
         m = SequenceMatcher(None, r["a"], r["b"])
         assert abs(r["x"] - m.quick_ratio()) < 1e-12 and r["x"] >= m.ratio() - 1e-12
+
+
+def test_each_pair_is_matched_once_in_small_batches(spark):
+    df = spark.createDataFrame([(1, 1, "a b c")], "b int, id int, text string")
+    own = summaries.closest_headlines(df.select("b", F.col("id").alias("line_id"), F.col("text").alias("line")), df.select("b", F.col("id").alias("head_id"), F.col("text").alias("head")), ["b"])
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == plan.count("BatchEvalPython") == 1
+    assert [tuple(r) for r in own.collect()] == [(1, 1, 1, 1.0)]
