@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .numbering import numbered
-from .stretches import with_stretches
+from .stretches import ROWS, with_stretches
 
 #: Target dates or days that a look-up may broadcast; more are merged with the readings.
 MOST_DAYS = 10_000
@@ -21,27 +21,38 @@ def _are_few(df: DataFrame) -> bool:
 def neighbours(points: DataFrame, asks: DataFrame, per: int | None = None) -> DataFrame:
     """``asks`` (g, day, ask) with the points around them: before (the last one up to its day) and after (the next one).
 
-    ``points``: g, day, row (a struct), one for each day of a group g. Both are put into one order, in
-    stretches of bounded size; the last and next points of other stretches are carried over
-    the borders by a table that has a row for each group and stretch. Neither side is
-    broadcast, no group or day is gathered in one task.
+    ``points``: g, day, row (a struct), one for each day of a group g. Each day of a group is looked
+    up once, however many asks it has: points and distinct days are put into one order, in stretches
+    of bounded size; the last and next points of other stretches are carried over the borders
+    by a table that has a row for each group and stretch. No group is gathered in one task. The
+    days found are broadcast when they are counted to be few, else joined with the asks by a
+    shuffle. Null days have no row.
     """
     kind = points.schema["row"].dataType
-    both = points.select("g", "day", F.lit(0).alias("kind"), "row", F.lit(None).cast(asks.schema["ask"].dataType).alias("ask")).unionByName(asks.select("g", "day", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("row"), "ask"))
-    both = with_stretches(both, [F.col("g"), F.col("day"), F.col("kind"), F.xxhash64("ask")], per=per)
+    days = asks.where("day IS NOT NULL").select("g", "day").distinct()
+    both = points.select("g", "day", F.lit(0).alias("kind"), "row").unionByName(days.select("g", "day", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("row")))
+    n = both.count()
+    both = with_stretches(both, [F.col("g"), F.col("day"), F.col("kind")], per=per, n=n)
     near = lambda *order: F.last("row", ignorenulls=True).over(Window.partitionBy("g", "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    inside = both.withColumn("__before", near("day", "kind")).withColumn("__after", near(F.desc("day"), F.desc("kind"))).where("kind = 1")
+    inside = both.withColumn("before", near("day", "kind")).withColumn("after", near(F.desc("day"), F.desc("kind"))).where("kind = 1")
+    if n <= (per or ROWS):
+        return asks.join(F.broadcast(inside.select("g", "day", "before", "after")), ["g", "day"])
     own = F.when(F.col("kind") == 0, F.col("day"))
     ends = both.groupBy("g", "__stretch").agg(F.max_by("row", own).alias("last"), F.min_by("row", own).alias("first"))
     to = lambda c, *order: F.last(c, ignorenulls=True).over(Window.partitionBy("g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select("g", "__stretch", to("last", "__stretch").alias("__come"), to("first", F.desc("__stretch")).alias("__next"))
-    out = inside.join(ends, ["g", "__stretch"])
-    return out.select("g", "day", "ask", F.coalesce("__before", "__come").alias("before"), F.coalesce("__after", "__next").alias("after"))
+    found = inside.join(ends, ["g", "__stretch"]).select("g", "day", F.coalesce("before", "__come").alias("before"), F.coalesce("after", "__next").alias("after"))
+    return asks.join(found, ["g", "day"])
 
 
-def _points(rows: DataFrame, g: Column, day: str, ord: str, row: Column) -> DataFrame:
-    """One point for each day of a group: that with the least ``ord``."""
-    return rows.where(F.col(day).isNotNull()).groupBy(g.alias("g"), F.col(day).alias("day")).agg(F.min_by(row, ord).alias("row"))
+def _points(rows: DataFrame, g: Column, day: str, ord: str, kept: list[str]) -> DataFrame:
+    """One point for each day of a group: that with the least ``ord``; its row has the columns ``kept``.
+
+    Columns are aggregated one by one, which hashing can do where all have a fixed width; a struct would have all rows sorted.
+    """
+    least = [F.min_by(c, ord).alias(f"c{k}") for k, c in enumerate(kept)]
+    own = rows.where(F.col(day).isNotNull()).groupBy(g.alias("g"), F.col(day).alias("day")).agg(F.min(ord).alias("least"), *least)
+    return own.select("g", "day", F.when(F.col("least").isNotNull(), F.struct(*(F.col("day" if c == day else f"c{k}").alias(c) for k, c in enumerate(kept)))).alias("row"))
 
 
 def asof_merge(readings: DataFrame, targets: DataFrame, key: str = "series", per: int | None = None) -> DataFrame:
@@ -50,7 +61,7 @@ def asof_merge(readings: DataFrame, targets: DataFrame, key: str = "series", per
     Null dates and targets have no row, nor have targets of a series without readings.
     """
     g = F.struct(F.col(key).alias("key"))
-    points = _points(readings, g, "obs_date", "ord", F.struct("obs_date", "value"))
+    points = _points(readings, g, "obs_date", "ord", ["obs_date", "value"])
     asks = targets.where("target IS NOT NULL").select(g.alias("g"), F.col("target").alias("day"), F.struct("label").alias("ask"))
     found = neighbours(points, asks, per).withColumn("r", F.coalesce("before", "after")).where("r IS NOT NULL")
     return found.select(F.col("g.key").alias(key), F.col("ask.label").alias("label"), F.col("day").alias("target"), F.col("r.obs_date").alias("obs_date"), F.col("r.value").alias("value"))
@@ -120,8 +131,7 @@ def nearest_merge(rows: DataFrame, targets: DataFrame, key: str, day: str = "day
     ``rows``: key, day, ord and other columns. Targets of a key without rows have none.
     """
     g = F.struct(F.col(key).alias("key"))
-    kept = F.struct(day, "ord", *(c for c in rows.columns if c not in (key, day, "ord")))
-    points = _points(rows, g, day, "ord", kept)
+    points = _points(rows, g, day, "ord", [day, "ord", *(c for c in rows.columns if c not in (key, day, "ord"))])
     asks = targets.where("target IS NOT NULL").select(g.alias("g"), F.col("target").alias("day"), F.struct(*(c for c in targets.columns if c not in (key, "target")), F.lit(0).alias("__")).alias("ask"))
     rank = lambda side: F.struct(F.abs(F.datediff(F.col(f"{side}.{day}"), "day")), F.col(f"{side}.ord"))
     earlier = F.col("after").isNull() | (F.col("before").isNotNull() & (rank("before") <= rank("after")))

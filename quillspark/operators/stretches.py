@@ -29,13 +29,14 @@ def _bounds(keys: DataFrame, rows: int, parts: int) -> Column | None:
     return F.from_json(F.lit(text), ArrayType(keys.schema["k"].dataType)) if text and text != "[]" else None
 
 
-def with_stretches(rows: DataFrame, order: list[Column], name: str = "__stretch", per: int | None = None) -> DataFrame:
+def with_stretches(rows: DataFrame, order: list[Column], name: str = "__stretch", per: int | None = None, n: int | None = None) -> DataFrame:
     """``rows`` with the number of the stretch, from 0, rising in ``order`` (ascending, nulls first).
 
     Rows whose whole key is equal share a stretch. A table of one stretch is not looked at again.
+    ``n``: the number of rows, where the caller has counted them.
     """
     per = per or ROWS
-    n = rows.count()
+    n = rows.count() if n is None else n
     parts = min(math.ceil(n / per), MOST)
     key = F.struct(*(c.alias(f"k{i}") for i, c in enumerate(order)))
     bounds = _bounds(rows.select(key.alias("k")), n, parts) if parts > 1 else None

@@ -140,3 +140,22 @@ def test_look_ups_of_many_targets_are_merged(spark, monkeypatch):
     merged = lookup.asof_merge(r, t.withColumn("series", F.lit("a")))._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in merged and "NestedLoop" not in merged
     assert [rows(lookup.asof_levels(r, t)), rows(lookup.nearest_day(p, t.select("target")).select("target", "slot", "day", "ord", "value")), rows(lookup.labelled_levels(r.withColumn("reading_label", F.lit("")), t))] == few
+
+
+def many_targets(spark, monkeypatch):
+    """Readings, 3000 targets on five days, and a list of the numbers of rows that are put into stretches."""
+    counted, own = [], lookup.with_stretches
+    monkeypatch.setattr(lookup, "with_stretches", lambda rows, *a, **b: counted.append(rows.count()) or own(rows, *a, **b))
+    readings = [("a", date(2024, 1, 1) + timedelta(days=k % 40), 200 - k, float(k)) for k in range(200)]
+    targets = [("a", k, date(2023, 12, 30) + timedelta(days=11 * (k % 5))) for k in range(3000)]
+    r = spark.createDataFrame(readings, "series string, obs_date date, ord long, value double")
+    return readings, targets, r, spark.createDataFrame(targets, "series string, label long, target date"), counted
+
+
+def test_nearest_merge_looks_a_day_up_once(spark, monkeypatch):
+    readings, targets, r, t, counted = many_targets(spark, monkeypatch)
+    near = lookup.nearest_merge(r, t, "series", "obs_date")
+    assert counted == [45] and "SortAggregate" not in near._jdf.queryExecution().executedPlan().toString()
+    by_day = {d: min(readings, key=lambda x: (abs((x[1] - d).days), x[2])) for _, _, d in targets}
+    for df in (near, lookup.nearest_merge(r, t, "series", "obs_date", per=7)):
+        assert {x["label"]: (x["target"], x["near"]["obs_date"], x["near"]["ord"], x["near"]["value"]) for x in df.collect()} == {k: (d, *by_day[d][1:]) for _, k, d in targets}
