@@ -159,3 +159,12 @@ def test_nearest_merge_looks_a_day_up_once(spark, monkeypatch):
     by_day = {d: min(readings, key=lambda x: (abs((x[1] - d).days), x[2])) for _, _, d in targets}
     for df in (near, lookup.nearest_merge(r, t, "series", "obs_date", per=7)):
         assert {x["label"]: (x["target"], x["near"]["obs_date"], x["near"]["ord"], x["near"]["value"]) for x in df.collect()} == {k: (d, *by_day[d][1:]) for _, k, d in targets}
+
+
+def test_asof_merge_looks_a_day_up_once(spark, monkeypatch):
+    readings, targets, r, t, counted = many_targets(spark, monkeypatch)
+    merged = lookup.asof_merge(r, t)
+    assert counted == [45] and "SortAggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+    by_day = {d: min(readings, key=lambda x: (x[1] > d, abs((x[1] - d).days), x[2])) for _, _, d in targets}
+    for df in (merged, lookup.asof_merge(r, t, per=7)):
+        assert {x["label"]: (x["target"], x["obs_date"], x["value"]) for x in df.collect()} == {k: (d, by_day[d][1], by_day[d][3]) for _, k, d in targets}
