@@ -168,3 +168,15 @@ def test_asof_merge_looks_a_day_up_once(spark, monkeypatch):
     by_day = {d: min(readings, key=lambda x: (x[1] > d, abs((x[1] - d).days), x[2])) for _, _, d in targets}
     for df in (merged, lookup.asof_merge(r, t, per=7)):
         assert {x["label"]: (x["target"], x["obs_date"], x["value"]) for x in df.collect()} == {k: (d, by_day[d][1], by_day[d][3]) for _, k, d in targets}
+
+
+def test_asof_merge_does_not_grow_with_copies(spark, monkeypatch):
+    """Copies of both tables with shifted keys fall on the same days: as many rows are put into stretches, no target is shuffled."""
+    readings, targets, r, t, counted = many_targets(spark, monkeypatch)
+    copies = spark.range(4).select(F.col("id").alias("copy"))
+    r = r.crossJoin(copies).select("series", "obs_date", (F.col("ord") + 1000 * F.col("copy")).alias("ord"), (F.col("value") + 1000 * F.col("copy")).alias("value"))
+    t = t.crossJoin(copies).select("series", (F.col("label") + 3000 * F.col("copy")).alias("label"), "target")
+    merged = lookup.asof_merge(r, t)
+    assert counted == [45] and "SortMergeJoin" not in merged._jdf.queryExecution().executedPlan().toString()
+    by_day = {d: min(readings, key=lambda x: (x[1] > d, abs((x[1] - d).days), x[2])) for _, _, d in targets}
+    assert {x["label"]: (x["target"], x["obs_date"], x["value"]) for x in merged.collect()} == {k + 3000 * c: (d, by_day[d][1], by_day[d][3]) for _, k, d in targets for c in range(4)}
